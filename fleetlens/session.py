@@ -61,3 +61,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write a step of an iterative job to the shared folder and read it back.
+
+    Like a checkpoint it ends the lineage; being a table it also tells the
+    planner its size, so the next join is broadcast only if it really is small.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
