@@ -8,7 +8,7 @@ topology, ``conversations`` the questions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from fleetlens import schema
 from fleetlens.config import Thresholds
@@ -27,9 +27,13 @@ EVENTS = T.StructType([
     T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
     T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
-VM = F.concat(F.lit("vm-"), F.lpad(F.col("user_id").cast("string"), 5, "0"))
-APP = F.concat(F.lit("app-"), (F.col("user_id") % 8).cast("string"))
-SITE = F.when(F.col("user_id") % 2 == 0, "dc-east").otherwise("dc-west")
+
+def _ids() -> list[Column]:
+    """vm_id, app and site of a user."""
+    user = F.col("user_id")
+    return [F.concat(F.lit("vm-"), F.lpad(user.cast("string"), 5, "0")).alias("vm_id"),
+            F.concat(F.lit("app-"), (user % 8).cast("string")).alias("app"),
+            F.when(user % 2 == 0, "dc-east").otherwise("dc-west").alias("site")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +47,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vm_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     value, k = F.col("value"), F.get_json_object("props", "$.k").cast("double")
     wide = events(spark, sf_dir).select(
-        "ts", VM.alias("vm_id"), APP.alias("app"), SITE.alias("site"),
+        "ts", *_ids(),
         value.alias("cpu_pct"), value.alias("heap_mb"), k.alias("gc_pause_ms"),
         value.alias("disk_io_await_ms"), k.alias("disk_iops"), k.alias("net_mbps"),
         (value / 10).alias("net_retrans_pct"), value.alias("app_latency_ms"),
@@ -53,7 +57,7 @@ def vm_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def app_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select(
-        "ts", VM.alias("vm_id"), APP.alias("app"), SITE.alias("site"),
+        "ts", *_ids(),
         F.when(F.col("event_type") == "error", "ERROR").otherwise("WARN").alias("level"),
         "event_type", F.col("props").alias("message"))
     return schema.conform(rows, schema.APP_EVENTS)
@@ -78,3 +82,11 @@ def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("question"))
+
+
+def app_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A topology of the event apps: app k needs app (k - 1) div 2, on every VM."""
+    number = F.col("user_id") % 8
+    return (events(spark, sf_dir).filter(number >= 1).select(
+        *_ids(),
+        F.concat(F.lit("app-"), F.floor((number - 1) / 2).cast("string")).alias("depends_on_app")).distinct())

@@ -47,9 +47,11 @@ def _err_floor(cfg: Thresholds) -> Column:
     return F.greatest(col("err_base"), F.lit(cfg.error_base_floor_pct))
 
 
-# A VM must be present on both sides of a recent-versus-baseline comparison; a
-# row without an id has nothing to be compared by.
-_BOTH = (col("n_recent") > 0) & (col("n_base") > 0) & col("vm_id").isNotNull()
+def _both() -> Column:
+    """A VM must be present on both sides of a recent-versus-baseline comparison;
+    a row without an id has nothing to be compared by."""
+    return (col("n_recent") > 0) & (col("n_base") > 0) & col("vm_id").isNotNull()
+
 
 RULES: dict[str, Rule] = {rule.name: rule for rule in [
     Rule(
@@ -72,7 +74,7 @@ RULES: dict[str, Rule] = {rule.name: rule for rule in [
                "check for unbounded cache/collection growth."),
     Rule(
         name="io_spike", scope="vm", app="app_recent",
-        fires=lambda c: _BOTH & (col("io_base_std") > c.io_min_std) & (_io_z() > c.io_z),
+        fires=lambda c: _both() & (col("io_base_std") > c.io_min_std) & (_io_z() > c.io_z),
         severity=lambda c: F.lit("P2"),
         evidence=lambda c: {
             "await_ms": col("io_recent"), "baseline_ms": col("io_base"),
@@ -111,7 +113,7 @@ RULES: dict[str, Rule] = {rule.name: rule for rule in [
                "recent deploys and GC pauses."),
     Rule(
         name="error_storm", scope="vm", app="app_recent",
-        fires=lambda c: (_BOTH & (col("err_recent") > c.error_floor_pct)
+        fires=lambda c: (_both() & (col("err_recent") > c.error_floor_pct)
                          & (col("err_recent") > _err_floor(c) * c.error_jump_x)),
         severity=lambda c: F.when(col("err_recent") > c.error_p1_pct, "P1").otherwise("P2"),
         evidence=lambda c: {

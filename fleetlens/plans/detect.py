@@ -16,10 +16,15 @@ REPLAY = (45.0, 30.0, 15.0, 0.0)
 
 
 def replay(metrics: DataFrame, cfg: Thresholds, asofs: Sequence[float] = REPLAY,
-           rules: dict[str, Rule] | None = None, fleet: DataFrame | None = None) -> DataFrame:
-    """Alerts at every instant, with the instant in ``asof``. Unsorted."""
+           rules: dict[str, Rule] | None = None, fleet: DataFrame | None = None,
+           bounds: tuple[int, int] | None = None) -> DataFrame:
+    """Alerts at every instant, with the instant in ``asof``. Unsorted.
+
+    ``fleet`` (vm_id, app) and ``bounds`` (data start and end) each save a scan
+    where the caller has them.
+    """
     rules = RULES if rules is None else rules
-    points = instants(metrics, cfg, list(asofs))
+    points = instants(metrics, cfg, list(asofs), bounds)
     parts = []
     vm_rules = [rule for rule in rules.values() if rule.scope == "vm"]
     if vm_rules:
@@ -34,9 +39,10 @@ def replay(metrics: DataFrame, cfg: Thresholds, asofs: Sequence[float] = REPLAY,
 
 
 def detect(metrics: DataFrame, cfg: Thresholds, asof: float = 0.0,
-           rules: dict[str, Rule] | None = None, fleet: DataFrame | None = None) -> DataFrame:
+           rules: dict[str, Rule] | None = None, fleet: DataFrame | None = None,
+           bounds: tuple[int, int] | None = None) -> DataFrame:
     """The alerts table as of (data end - ``asof``), in contract order and sorted."""
-    found = replay(metrics, cfg, [asof], rules, fleet)
+    found = replay(metrics, cfg, [asof], rules, fleet, bounds)
     return sort_alerts(found.select(*ALERTS.names))
 
 
