@@ -78,7 +78,9 @@ def app_latency(metrics: DataFrame, cfg: Thresholds, points: list[Instant]) -> D
     rows = tag_instants(
         metrics.select(*_present(metrics, "ts", "ts_day", "app", "app_latency_ms")), points, heap=False)
     # recent and baseline never overlap, so one flag tells them apart
-    p95 = exact_percentile(rows, ["asof", "app", "in_recent"], "app_latency_ms", P95, "p95")
+    known = points[0].n_rows
+    p95 = exact_percentile(rows, ["asof", "app", "in_recent"], "app_latency_ms", P95, "p95",
+                           n_rows=None if known is None else known * len(points))
     t_end = F.create_map(*[F.lit(x) if i == 0 else at(x) for p in points for i, x in enumerate((p.asof, p.end))])
     return (p95.groupBy("asof", "app")
             .agg(F.max(F.when(F.col("in_recent"), F.col("p95"))).alias("p95_recent"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from fleetlens.operators.windows import Bounds
+
 LAST = 10
 
 
@@ -22,11 +24,12 @@ def table_sizes(ledger: DataFrame) -> DataFrame:
         F.sum("added").alias("n_rows"), F.count("*").alias("n_batches"))
 
 
-def time_bounds(ledger: DataFrame, table: str = "vm_metrics") -> tuple[int, int] | None:
-    """First and last ts of a table in microseconds, without reading the table."""
+def time_bounds(ledger: DataFrame, table: str = "vm_metrics") -> Bounds | None:
+    """Time bounds and row count of a table, without reading the table."""
     row = ledger.filter(F.col("table") == table).agg(
-        F.unix_micros(F.min("first_ts")).alias("lo"), F.unix_micros(F.max("last_ts")).alias("hi")).first()
-    return None if row.hi is None else (row.lo, row.hi)
+        F.unix_micros(F.min("first_ts")).alias("lo"), F.unix_micros(F.max("last_ts")).alias("hi"),
+        F.sum("rows").alias("n")).first()
+    return None if row.hi is None else Bounds(row.lo, row.hi, row.n)
 
 
 def last_batches(ledger: DataFrame, last: int = LAST) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -17,17 +18,20 @@ BLAST_HINTS = ["goes down", "go down", "went down", "blast radius", "blast-radiu
 
 
 def named_app(question: Column, apps: Sequence[str] = tuple(APPS)) -> Column:
-    """First app of the list whose name, or name with spaces, occurs in the text."""
+    """First app of the list whose name, or name with spaces, occurs in the text.
+
+    A chain of conditions rather than a lambda over an array or a join on
+    "contains": it stays in generated code and needs no second table.
+    """
     text = F.lower(question)
-    names = F.array(*[F.lit(app) for app in apps])
-    named = F.filter(names, lambda a: text.contains(a) | text.contains(F.replace(a, F.lit("-"), F.lit(" "))))
-    return F.get(named, F.lit(0))
+    return F.coalesce(*[
+        F.when(text.contains(app) | text.contains(app.replace("-", " ")), app) for app in apps], F.lit(None))
 
 
 def is_blast(question: Column, hints: Sequence[str] = tuple(BLAST_HINTS)) -> Column:
     """Whether the text contains any of the hints."""
     text = F.lower(question)
-    return F.exists(F.array(*[F.lit(hint) for hint in hints]), lambda hint: text.contains(hint))
+    return reduce(lambda found, hint: found | text.contains(hint), hints, F.lit(False))
 
 
 def route(questions: DataFrame, default_app: str | None, apps: Sequence[str] = tuple(APPS),

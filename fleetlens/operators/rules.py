@@ -156,8 +156,8 @@ def _alert(rule: Rule, cfg: Thresholds) -> Column:
 def alerts_from(features: DataFrame, cfg: Thresholds, rules: list[Rule]) -> DataFrame:
     """All alerts of one feature frame, in one pass over it."""
     fired = F.array(*[F.when(rule.fires(cfg), _alert(rule, cfg)) for rule in rules])
-    return (features.select("asof", F.col("t_end").alias("ts"), F.explode(F.array_compact(fired)).alias("_a"))
-            .select("asof", "ts", "_a.*"))
+    return (features.select("asof", F.col("t_end").alias("ts"), F.explode(fired).alias("_a"))
+            .filter(col("_a").isNotNull()).select("asof", "ts", "_a.*"))
 
 
 def sort_alerts(alerts: DataFrame) -> DataFrame:

@@ -30,37 +30,48 @@ class Instant:
     recent_lo: int
     heap_lo: int
     base_hi: int
+    n_rows: int | None = None      # rows of the whole fact, if known
 
 
 def at(us: int) -> Column:
     return F.timestamp_micros(F.lit(us))
 
 
-def data_bounds(metrics: DataFrame) -> tuple[int, int]:
-    """First and last ts of the fact, in microseconds."""
-    if "ts_day" in metrics.columns:
-        # Lake table: the outermost day partitions hold both ends.
+@dataclass(frozen=True)
+class Bounds:
+    """First and last ts of the fact, and its row count where it is known."""
+
+    start: int
+    end: int
+    n_rows: int | None = None
+
+
+def data_bounds(metrics: DataFrame) -> Bounds:
+    lake = "ts_day" in metrics.columns
+    if lake:
+        # The outermost day partitions hold both ends.
         days = metrics.agg(F.min("ts_day").alias("lo"), F.max("ts_day").alias("hi")).first()
         if days.lo is not None:
             metrics = metrics.filter(F.col("ts_day").isin(days.lo, days.hi))
-    row = metrics.agg(F.unix_micros(F.min("ts")).alias("lo"), F.unix_micros(F.max("ts")).alias("hi")).first()
+    row = metrics.agg(F.unix_micros(F.min("ts")).alias("lo"), F.unix_micros(F.max("ts")).alias("hi"),
+                      F.count("*").alias("n")).first()
     if row.hi is None:
         raise ValueError("vm_metrics is empty")
-    return row.lo, row.hi
+    return Bounds(row.lo, row.hi, None if lake else row.n)
 
 
 def instants(metrics: DataFrame, cfg: Thresholds, asof: float | Sequence[float] = 0.0,
-             bounds: tuple[int, int] | None = None) -> list[Instant]:
-    start, last = bounds or data_bounds(metrics)
+             bounds: Bounds | None = None) -> list[Instant]:
+    bounds = bounds or data_bounds(metrics)
     unit = cfg.unit_us
     out = []
     for minutes in (asof if isinstance(asof, Sequence) else [asof]):
-        end = last - round(minutes * unit)
+        end = bounds.end - round(minutes * unit)
         recent_lo = end - cfg.recent_min * unit
         out.append(Instant(
-            asof=float(minutes), start=start, end=end, recent_lo=recent_lo,
+            asof=float(minutes), start=bounds.start, end=end, recent_lo=recent_lo,
             heap_lo=end - cfg.heap_min * unit,
-            base_hi=min(start + cfg.baseline_min * unit, recent_lo)))
+            base_hi=min(bounds.start + cfg.baseline_min * unit, recent_lo), n_rows=bounds.n_rows))
     return out
 
 
@@ -108,7 +119,8 @@ def tag_instants(df: DataFrame, points: list[Instant], heap: bool = True) -> Dat
     if len(points) == 1:
         df = df.select("*", tags(points[0]).alias("_tag"))
     else:
-        member = [F.when(recent(p) | trailing(p) | base(p), tags(p)) for p in points]
-        df = df.select("*", F.explode(F.array_compact(F.array(*member))).alias("_tag"))
+        # Dropping non-members after the explode keeps the stage in generated
+        # code, which a lambda over the array would not.
+        df = df.select("*", F.explode(F.array(*[tags(p) for p in points])).alias("_tag"))
     return (df.select("*", "_tag.*").drop("_tag")
             .filter(F.col("in_recent") | F.col("in_heap") | F.col("in_base")))

@@ -119,6 +119,8 @@ FROM f"""
 ORACLES["app_latency_p95"] = f"""
 WITH {P} SELECT "asof", app, round(p_rec, 6) AS p95_recent, round(p_base, 6) AS p95_base FROM p"""
 
+ORACLES["app_latency_p95_distributed"] = ORACLES["app_latency_p95"]
+
 # --- detection --------------------------------------------------------------
 
 ORACLES["heap_leak"] = f"""

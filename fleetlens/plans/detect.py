@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from fleetlens.config import Thresholds
 from fleetlens.operators.features import app_latency, vm_features
 from fleetlens.operators.rules import RULES, Rule, alerts_from, rule_hits, sort_alerts
-from fleetlens.operators.windows import instants
+from fleetlens.operators.windows import Bounds, instants
 from fleetlens.schema import ALERTS
 
 REPLAY = (45.0, 30.0, 15.0, 0.0)
@@ -17,10 +17,10 @@ REPLAY = (45.0, 30.0, 15.0, 0.0)
 
 def replay(metrics: DataFrame, cfg: Thresholds, asofs: Sequence[float] = REPLAY,
            rules: dict[str, Rule] | None = None, fleet: DataFrame | None = None,
-           bounds: tuple[int, int] | None = None) -> DataFrame:
+           bounds: Bounds | None = None) -> DataFrame:
     """Alerts at every instant, with the instant in ``asof``. Unsorted.
 
-    ``fleet`` (vm_id, app) and ``bounds`` (data start and end) each save a scan
+    ``fleet`` (vm_id, app) and ``bounds`` each save a scan
     where the caller has them.
     """
     rules = RULES if rules is None else rules
@@ -40,10 +40,13 @@ def replay(metrics: DataFrame, cfg: Thresholds, asofs: Sequence[float] = REPLAY,
 
 def detect(metrics: DataFrame, cfg: Thresholds, asof: float = 0.0,
            rules: dict[str, Rule] | None = None, fleet: DataFrame | None = None,
-           bounds: tuple[int, int] | None = None) -> DataFrame:
-    """The alerts table as of (data end - ``asof``), in contract order and sorted."""
-    found = replay(metrics, cfg, [asof], rules, fleet, bounds)
-    return sort_alerts(found.select(*ALERTS.names))
+           bounds: Bounds | None = None, ordered: bool = True) -> DataFrame:
+    """The alerts table as of (data end - ``asof``), in contract order and sorted.
+
+    ``ordered=False`` saves the sort where the alerts feed another query.
+    """
+    found = replay(metrics, cfg, [asof], rules, fleet, bounds).select(*ALERTS.names)
+    return sort_alerts(found) if ordered else found
 
 
 def hits(metrics: DataFrame, cfg: Thresholds, rule: str, asofs: Sequence[float] = (0.0,)) -> DataFrame:

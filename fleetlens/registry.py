@@ -7,6 +7,7 @@ decimals, so that results can be compared across engines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -56,6 +57,11 @@ def us(name: str) -> Column:
     return F.unix_micros(name).alias(f"{name}_us")
 
 
+def _alerts(m: DataFrame) -> DataFrame:
+    """Alerts as of the data end, for queries that build on them."""
+    return detect.detect(m, CFG, ordered=False)
+
+
 # --- windows and features ---------------------------------------------------
 
 @query
@@ -87,6 +93,14 @@ def vm_window_features(spark, sf):
         "n_base", "io_base", "io_base_std", "err_base"))
 
 
+@query
+def app_latency_p95_distributed(spark, sf):
+    """The same percentiles by the two-pass method used on large tables."""
+    m = dt.vm_metrics(spark, sf)
+    points = [replace(p, n_rows=None) for p in windows.instants(m, CFG, dt.REPLAY)]
+    return r6(app_latency(m, CFG, points).select("asof", "app", "p95_recent", "p95_base"))
+
+
 @query
 def app_latency_p95(spark, sf):
     """Exact p95 latency of every app at every replay instant."""
@@ -141,7 +155,7 @@ def detect_alerts(spark, sf):
 @query
 def alert_evidence(spark, sf):
     """The evidence JSON, read back key by key."""
-    found = detect.detect(dt.vm_metrics(spark, sf), CFG)
+    found = _alerts(dt.vm_metrics(spark, sf))
     evidence = F.from_json("evidence_json", "map<string,double>")
     return (found.select("rule", "vm_id", "app", F.explode(evidence).alias("evidence_key", "x"))
             .groupBy("rule", "evidence_key").agg(F.count("x").alias("n_values")))
@@ -169,13 +183,13 @@ def replay_eta_timeline(spark, sf):
 @query
 def alerts_by_severity_and_app(spark, sf):
     """D9"""
-    return detect.select_alerts(detect.detect(dt.vm_metrics(spark, sf), CFG), "p1", "app-3")
+    return detect.select_alerts(_alerts(dt.vm_metrics(spark, sf)), "p1", "app-3")
 
 
 @query
 def alert_summary_by_app(spark, sf):
     """Severity counts and rules of each app."""
-    return rca.alert_summary(detect.detect(dt.vm_metrics(spark, sf), CFG))
+    return rca.alert_summary(_alerts(dt.vm_metrics(spark, sf)))
 
 
 # --- graph ------------------------------------------------------------------
@@ -244,7 +258,7 @@ def dependency_trace(spark, sf):
     m = dt.vm_metrics(spark, sf)
     t = dt.app_topology(spark, sf)
     roots = graph.all_roots(graph.edges(t))
-    return r6(graph.trace(t, roots, detect.detect(m, CFG)))
+    return r6(graph.trace(t, roots, _alerts(m)))
 
 
 # --- root cause and questions -----------------------------------------------
@@ -265,14 +279,14 @@ def worst_vms_by_app(spark, sf):
 
 def _judged(spark, sf):
     m = dt.vm_metrics(spark, sf)
-    return rca.verdict(rca.facts(m, CFG, detect.detect(m, CFG)), CFG)
+    return rca.verdict(rca.facts(m, CFG, _alerts(m)), CFG)
 
 
 @query
 def rca_facts(spark, sf):
     """Q3, P10: the facts bundle of every app."""
     m = dt.vm_metrics(spark, sf)
-    found = rca.facts(m, CFG, detect.detect(m, CFG))
+    found = rca.facts(m, CFG, _alerts(m))
     vms = F.array_join(F.transform("worst", lambda w: w["vm_id"]), ",")
     return r6(found.select("app", "p95_now", "p95_base", vms.alias("worst_vms"), "alert_counts",
                            "alert_rules", "leaking"))
@@ -282,7 +296,7 @@ def rca_facts(spark, sf):
 def rca_facts_text(spark, sf):
     """Q3: the facts as text rows, counted per section."""
     m = dt.vm_metrics(spark, sf)
-    alerts = detect.detect(m, CFG)
+    alerts = _alerts(m)
     return rca.facts_lines(rca.facts(m, CFG, alerts), alerts).groupBy("app", "section").agg(
         F.count("line").alias("n_lines"))
 
@@ -313,7 +327,7 @@ def question_routing(spark, sf):
 def question_answers(spark, sf):
     """Q8: the number of answer lines of every question."""
     m = dt.vm_metrics(spark, sf)
-    found = answers.answer(dt.questions(spark, sf), m, dt.app_topology(spark, sf), detect.detect(m, CFG),
+    found = answers.answer(dt.questions(spark, sf), m, dt.app_topology(spark, sf), _alerts(m),
                            CFG, ["app-1", "app-3"], HINTS)
     return found.groupBy("conv_id", "turn", "app", "intent").agg(
         F.count("*").alias("n_lines"))
@@ -333,7 +347,7 @@ def guarded_sql(spark, sf):
 @query
 def guarded_sql_alerts(spark, sf):
     """Alerts are registered for SQL as well."""
-    tables.register(alerts=detect.detect(dt.vm_metrics(spark, sf), CFG))
+    tables.register(alerts=_alerts(dt.vm_metrics(spark, sf)))
     return sqlguard.guarded(
         spark, "SELECT rule, severity, count(*) AS n FROM alerts GROUP BY rule, severity")
 
@@ -344,14 +358,14 @@ def guarded_sql_alerts(spark, sf):
 def fleet_kpis(spark, sf):
     """Q10, A10, A11"""
     m = dt.vm_metrics(spark, sf)
-    return health.kpis(m, detect.detect(m, CFG))
+    return health.kpis(m, _alerts(m))
 
 
 @query
 def fleet_grid(spark, sf):
     """Q11, J5, A13, K3"""
     m = dt.vm_metrics(spark, sf)
-    return r6(health.grid(m, detect.detect(m, CFG)))
+    return r6(health.grid(m, _alerts(m)))
 
 
 @query
@@ -364,14 +378,14 @@ def vm_heap_series(spark, sf):
 @query
 def alert_list(spark, sf):
     """Q13"""
-    return detect.select_alerts(detect.detect(dt.vm_metrics(spark, sf), CFG))
+    return detect.select_alerts(_alerts(dt.vm_metrics(spark, sf)))
 
 
 @query
 def default_chart_vm(spark, sf):
     """K7"""
     m = dt.vm_metrics(spark, sf)
-    return health.default_vm(m, detect.detect(m, CFG))
+    return health.default_vm(m, _alerts(m))
 
 
 # --- quality and evaluation -------------------------------------------------
@@ -468,7 +482,7 @@ def alert_lead_times(spark, sf):
 def _chunked(spark, m, label):
     """The fact as raw chunks in a fresh folder of the shared scratch space."""
     base = scratch_dir(spark, label)
-    start = windows.data_bounds(m)[0]
+    start = windows.data_bounds(m).start
     sinks.rechunk(m, f"{base}/raw", "vm_metrics", start, CHUNK_MINUTES)
     return base
 
@@ -477,7 +491,7 @@ def _chunked(spark, m, label):
 def chunk_slices(spark, sf):
     """Rows per chunk of three days."""
     m = dt.vm_metrics(spark, sf)
-    start = windows.data_bounds(m)[0]
+    start = windows.data_bounds(m).start
     return m.groupBy(sinks.chunk_id(col("ts"), start, CHUNK_MINUTES).alias("chunk")).agg(F.count("*").alias("n"))
 
 
@@ -506,11 +520,11 @@ def ingest_ledger(spark, sf):
 def _two_batches(spark, sf):
     """A lake that got the first half of the fact, then the second."""
     m = dt.vm_metrics(spark, sf)
-    lo, hi = windows.data_bounds(m)
-    half = (lo + hi) // 2
+    bounds = windows.data_bounds(m)
+    half = (bounds.start + bounds.end) // 2
     base = scratch_dir(spark, "halves")
     for part in (windows.between(m, hi=half), windows.between(m, lo=half + 1)):
-        sinks.write_chunks(part, f"{base}/raw", "vm_metrics")
+        sinks.rechunk(part, f"{base}/raw", "vm_metrics", bounds.start, CHUNK_MINUTES)
         # every new chunk in one batch, however many there are
         ingest.ingest_once(spark, f"{base}/raw", f"{base}/lake", max_files=1_000_000)
     return f"{base}/lake"
@@ -574,7 +588,7 @@ def topology_overwrite(spark, sf):
 def alerts_json(spark, sf):
     """Alerts through the JSON sink."""
     path = scratch_dir(spark, "alerts-json")
-    sinks.write_alerts_json(detect.detect(dt.vm_metrics(spark, sf), CFG), path)
+    sinks.write_alerts_json(_alerts(dt.vm_metrics(spark, sf)), path)
     back = spark.read.schema("ts string, severity string, rule string, vm_id string, app string").json(path)
     return back.select("ts", "severity", "rule", "vm_id", "app")
 
@@ -583,7 +597,7 @@ def alerts_json(spark, sf):
 def alerts_table(spark, sf):
     """Two appends of one instant, the second replacing the first."""
     path = scratch_dir(spark, "alerts")
-    found = detect.detect(dt.vm_metrics(spark, sf), CFG)
+    found = _alerts(dt.vm_metrics(spark, sf))
     for _ in range(2):
         sinks.append_alerts(found, path, replace_instant=True)
     return sinks.read_alerts(spark, path).groupBy("rule", "severity").agg(F.count("*").alias("n"))
@@ -592,7 +606,7 @@ def alerts_table(spark, sf):
 @query
 def alert_digest(spark, sf):
     """The alert messages."""
-    return sinks.digest(detect.detect(dt.vm_metrics(spark, sf), CFG)).select(
+    return sinks.digest(_alerts(dt.vm_metrics(spark, sf))).select(
         "page", "n_alerts", "color", "headline", "text")
 
 

@@ -17,12 +17,18 @@ SETTINGS = {
     "spark.sql.legacy.parquet.nanosAsLong": "true",
 }
 
+# Settings that only take effect when a session starts.
+STARTUP = {
+    # Spares a call into the JVM for every column expression that is built.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 
 def build_session(app_name: str = "fleetlens", master: str | None = None, **conf) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **conf}.items():
+    for key, value in {**SETTINGS, **STARTUP, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

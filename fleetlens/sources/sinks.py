@@ -16,15 +16,16 @@ def with_hours(df: DataFrame) -> DataFrame:
     return df.withColumns({"dt": F.date_format("ts", "yyyy-MM-dd"), "hour": F.date_format("ts", "HH")})
 
 
-def write_chunks(df: DataFrame, root: str, table: str) -> str:
-    """Raw layout: <root>/<table>/dt=.../hour=.../part-*.parquet, appended.
+def balanced(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows of one output folder together, as far as that leaves tasks of even
+    size: the adaptive planner splits a busy folder and merges quiet ones."""
+    return df.hint("rebalance", *[F.col(name) for name in columns])
 
-    Rows are first spread by hour and a salt, so that one busy hour is written
-    by several tasks and one quiet hour does not leave a file per task.
-    """
+
+def write_chunks(df: DataFrame, root: str, table: str) -> str:
+    """Raw layout: <root>/<table>/dt=.../hour=.../part-*.parquet, appended."""
     path = f"{root.rstrip('/')}/{table}"
-    spread = with_hours(df).withColumn("_salt", F.pmod(F.xxhash64("vm_id"), F.lit(8)))
-    (spread.repartition("dt", "hour", "_salt").drop("_salt")
+    (balanced(with_hours(df), "dt", "hour")
      .write.mode("append").partitionBy("dt", "hour").parquet(path))
     return path
 
@@ -35,19 +36,18 @@ def chunk_id(ts: Column, start_us: int, minutes: float) -> Column:
 
 
 def rechunk(df: DataFrame, root: str, table: str, start_us: int, minutes: float) -> str:
-    """Write a table as raw chunks of ``minutes`` each: <root>/<table>/chunk=N/."""
+    """Write a table as raw chunks of ``minutes`` each: <root>/<table>/chunk=N/, appended."""
     path = f"{root.rstrip('/')}/{table}"
-    spread = df.withColumn("chunk", chunk_id(F.col("ts"), start_us, minutes))
-    (spread.repartition("chunk", F.pmod(F.xxhash64("vm_id"), F.lit(8)))
-     .write.mode("overwrite").partitionBy("chunk").parquet(path))
+    sliced = df.withColumn("chunk", chunk_id(F.col("ts"), start_us, minutes))
+    balanced(sliced, "chunk").write.mode("append").partitionBy("chunk").parquet(path)
     return path
 
 
 def write_dimension(df: DataFrame, path: str, table: str = "topology") -> int:
-    """Overwrite a dimension; returns the rows written. Small tables become one
-    file, larger ones as many as the adaptive planner asks for."""
+    """Overwrite a dimension; returns the rows written. A small one becomes one
+    file, a large one as many as its size asks for."""
     rows = schema.conform(df, schema.TABLES[table])
-    rows.repartition(F.col(rows.columns[0])).write.mode("overwrite").parquet(path)
+    balanced(rows).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(rows.schema).parquet(path).count()
 
 

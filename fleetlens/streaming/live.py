@@ -89,6 +89,6 @@ def detect_on_commit(spark: SparkSession, lake: str, alerts_path: str, cfg: Thre
         bounds = time_bounds(read_ledger(spark, lake))
         if bounds:
             metrics = read_lake(spark, table_path(lake, "vm_metrics"), "vm_metrics")
-            append_alerts(detect(metrics, cfg, bounds=bounds), alerts_path, replace_instant=True)
+            append_alerts(detect(metrics, cfg, bounds=bounds, ordered=False), alerts_path, replace_instant=True)
 
     return run
