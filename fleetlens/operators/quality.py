@@ -77,9 +77,13 @@ def label_incidents(metrics: DataFrame, incidents: DataFrame, unit_s: float = 60
 
 def first_crossings(metrics: DataFrame, cap_mb: float) -> DataFrame:
     """First sample per VM at which the heap reaches the cap, as an app event."""
-    over = metrics.filter(col("heap_mb") >= cap_mb)
-    first = over.groupBy("vm_id").agg(F.min("ts").alias("ts"), F.max("app").alias("app"), F.max("site").alias("site"))
-    return first.select(
+    # Text stays in the keys of the first step, so it is a hash aggregation; the
+    # second works on about one row per VM.
+    first = (metrics.filter(col("heap_mb") >= cap_mb)
+             .groupBy("vm_id", "app", "site").agg(F.min("ts").alias("ts"))
+             .groupBy("vm_id").agg(F.min("ts").alias("first_ts"), F.min_by("app", "ts").alias("app"),
+                                   F.min_by("site", "ts").alias("site")))
+    return first.withColumnRenamed("first_ts", "ts").select(
         "ts", "vm_id", "app", "site", F.lit("ERROR").alias("level"), F.lit("oom_kill").alias("event_type"),
         F.lit(f"java.lang.OutOfMemoryError: Java heap space (cap {int(cap_mb)}MB)").alias("message"))
 
