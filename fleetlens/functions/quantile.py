@@ -60,7 +60,8 @@ def exact_percentile(rows: DataFrame, keys: list[str], value: str, p: float, nam
 
     group = Window.partitionBy(*groups)
     buckets = (
-        rows.groupBy(*groups, "_b").agg(F.count("*").alias("_n"))
+        rows.groupBy(*groups, "_b")
+        .agg(F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
         .withColumn("_upto", F.sum("_n").over(group.orderBy("_b")))
         .withColumn("_pos", (F.sum("_n").over(group) - 1) * F.lit(float(p)))
         .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos"))
@@ -70,15 +71,20 @@ def exact_percentile(rows: DataFrame, keys: list[str], value: str, p: float, nam
         return (F.col("_upto") - F.col("_n") <= F.col(rank)) & (F.col(rank) < F.col("_upto"))
 
     targets = (buckets.filter(holds("_lo") | holds("_hi"))
-               .select(*groups, "_b", "_pos", "_lo", "_hi", (F.col("_upto") - F.col("_n")).alias("_before")))
+               .select(*groups, "_b", "_pos", "_lo", "_hi", "_least", "_most",
+                       (F.col("_upto") - F.col("_n")).alias("_before")))
 
     fixed = targets.take(MAX_LOCAL_TARGETS + 1)
     if len(fixed) <= MAX_LOCAL_TARGETS:
-        # Size just checked: a local relation this small is joined map-side.
+        # Size just checked: a local relation this small is joined map-side. Rows
+        # outside all target buckets fall to a plain range test before the join.
         targets = F.broadcast(rows.sparkSession.createDataFrame(fixed, targets.schema))
+        ends = [end for row in fixed for end in (row["_least"], row["_most"])]
+        if ends and not any(map(math.isnan, ends)):
+            rows = rows.filter(F.col("_v").between(min(ends), max(ends)))
 
     ranks = ["_pos", "_lo", "_hi"]
-    counted = (rows.join(targets, [*groups, "_b"])
+    counted = (rows.join(targets.drop("_least", "_most"), [*groups, "_b"])
                .groupBy(*groups, *keys, "_v", *ranks)
                .agg(F.count("*").alias("_n"), F.min("_before").alias("_before")))
     ranked = counted.withColumn(

@@ -19,14 +19,16 @@ def slope_if(cond: Column, y: Column, x: Column) -> Column:
     return F.regr_slope(F.when(cond, y.cast("double")), x)
 
 
-def corr_if(cond: Column, y: Column, x: Column) -> Column:
-    """Pearson correlation, null when either side is constant.
+def slope_and_corr_if(cond: Column, y: Column, x: Column) -> tuple[Column, Column]:
+    """Regression slope and Pearson correlation from the same three moments.
 
-    The built-in corr raises a division error there while ANSI mode is on.
+    The correlation is null when either side is constant; the built-in corr
+    raises a division error there while ANSI mode is on.
     """
     y = F.when(cond, y.cast("double"))
     x = F.when(y.isNotNull(), x)
-    return F.try_divide(F.covar_pop(y, x), F.stddev_pop(y) * F.stddev_pop(x))
+    together, var_x, var_y = F.covar_pop(y, x), F.var_pop(x), F.var_pop(y)
+    return F.try_divide(together, var_x), F.try_divide(together, F.sqrt(var_x) * F.sqrt(var_y))
 
 
 def whole(value: Column) -> Column:

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from fleetlens.config import Thresholds
 from fleetlens.functions.keys import key_names, with_keys
 from fleetlens.functions.quantile import exact_percentile
-from fleetlens.functions.stats import corr_if, latest_if, mean_if, slope_if
-from fleetlens.operators.windows import Instant, at, tag_instants
+from fleetlens.functions.stats import latest_if, mean_if, slope_and_corr_if, slope_if
+from fleetlens.operators.windows import Instant, slot_keys, spread_slots, tag_instants
 
 P95 = 0.95
 
@@ -19,13 +19,13 @@ def vm_apps(metrics: DataFrame, points: list[Instant]) -> DataFrame:
     Kept out of the feature aggregate: a string buffer there would turn the hash
     aggregation of the whole fact into a sort. This pass reads three columns.
     """
-    groups = ["asof", *key_names(["vm_id"])]
+    vm, slot = key_names(["vm_id"]), slot_keys(points)
     rows = tag_instants(metrics.select(*_present(metrics, "ts", "ts_day", "vm_id", "app")), points)
     seen = (with_keys(rows.filter(F.col("in_recent") | F.col("in_heap")), ["vm_id"])
-            .groupBy(*groups, "app").agg(F.max("in_recent").alias("recent")))
-    return seen.groupBy(*groups).agg(
-        F.max(F.when(F.col("recent"), F.col("app"))).alias("app_recent"),
-        F.max("app").alias("app_heap"))
+            .groupBy(*slot, *vm, "app").agg(F.max("in_recent").alias("recent")))
+    apps = seen.groupBy(*slot, *vm).agg(
+        F.max(F.when(F.col("recent"), F.col("app"))).alias("app_recent"), F.max("app").alias("app_heap"))
+    return spread_slots(apps, points, vm).drop("t_end")
 
 
 def vm_features(metrics: DataFrame, cfg: Thresholds, points: list[Instant],
@@ -42,12 +42,11 @@ def vm_features(metrics: DataFrame, cfg: Thresholds, points: list[Instant],
     # small numbers keep the regression sums accurate.
     minutes = (F.unix_micros(ts) - F.unix_micros("t_end")) / F.lit(float(cfg.unit_us))
     heap_mb, io = F.col("heap_mb"), F.col("disk_io_await_ms")
+    slope, corr = slope_and_corr_if(heap, heap_mb, minutes)
 
-    groups = key_names(["vm_id"])
-    stats = with_keys(rows, ["vm_id"]).groupBy("asof", "t_end", *groups).agg(
-        F.count_if(heap).alias("n_heap"),
-        slope_if(heap, heap_mb, minutes).alias("heap_slope"),
-        corr_if(heap, heap_mb, minutes).alias("heap_corr"),
+    vm = key_names(["vm_id"])
+    stats = with_keys(rows, ["vm_id"]).groupBy(*slot_keys(points), *vm).agg(
+        F.count_if(heap).alias("n_heap"), slope.alias("heap_slope"), corr.alias("heap_corr"),
         latest_if(heap, heap_mb, ts).alias("heap_now"),
         F.count_if(recent).alias("n_recent"),
         mean_if(recent, io).alias("io_recent"),
@@ -63,14 +62,19 @@ def vm_features(metrics: DataFrame, cfg: Thresholds, points: list[Instant],
         F.stddev_samp(F.when(base, io.cast("double"))).alias("io_base_std"),
         mean_if(base, F.col("error_rate_pct")).alias("err_base"),
     )
+    stats = spread_slots(stats, points, vm)
     if fleet is None:
-        stats = stats.join(vm_apps(metrics, points), ["asof", *groups], "left")
+        apps = vm_apps(metrics, points)
+        stats = stats.join(apps.drop("asof") if len(points) == 1 else apps,
+                           vm if len(points) == 1 else ["asof", *vm], "left")
     else:
-        known = (with_keys(fleet, ["vm_id"]).groupBy(*groups).agg(F.max("app").alias("app_recent"))
+        known = (with_keys(fleet, ["vm_id"]).groupBy(*vm).agg(F.max("app").alias("app_recent"))
                  .withColumn("app_heap", F.col("app_recent")))
-        stats = stats.join(known, groups, "left")
-    return (stats.withColumn("vm_id", F.when(~F.col("_z0"), F.col("_k0")))
-            .withColumn("app", F.coalesce("app_recent", "app_heap")).drop(*groups))
+        stats = stats.join(known, vm, "left")
+    return stats.select(
+        "asof", "t_end", F.when(~F.col("_z0"), F.col("_k0")).alias("vm_id"),
+        F.coalesce("app_recent", "app_heap").alias("app"),
+        *[name for name in stats.columns if name not in ("asof", "t_end", *vm)])
 
 
 def app_latency(metrics: DataFrame, cfg: Thresholds, points: list[Instant]) -> DataFrame:
@@ -78,14 +82,14 @@ def app_latency(metrics: DataFrame, cfg: Thresholds, points: list[Instant]) -> D
     rows = tag_instants(
         metrics.select(*_present(metrics, "ts", "ts_day", "app", "app_latency_ms")), points, heap=False)
     # recent and baseline never overlap, so one flag tells them apart
+    rows = rows.select("slot", "app", F.when(F.col("in_recent"), 1).otherwise(0).alias("recent"), "app_latency_ms")
     known = points[0].n_rows
-    p95 = exact_percentile(rows, ["asof", "app", "in_recent"], "app_latency_ms", P95, "p95",
-                           n_rows=None if known is None else known * len(points))
-    t_end = F.create_map(*[F.lit(x) if i == 0 else at(x) for p in points for i, x in enumerate((p.asof, p.end))])
-    return (p95.groupBy("asof", "app")
-            .agg(F.max(F.when(F.col("in_recent"), F.col("p95"))).alias("p95_recent"),
-                 F.max(F.when(~F.col("in_recent"), F.col("p95"))).alias("p95_base"))
-            .withColumn("t_end", t_end[F.col("asof")]))
+    p95 = exact_percentile(rows, [*slot_keys(points), "app", "recent"], "app_latency_ms", P95, "p95",
+                           n_rows=None if known is None else known * (len(points) + 1))
+    both = p95.groupBy(*slot_keys(points), "app").agg(
+        F.max(F.when(F.col("recent") == 1, F.col("p95"))).alias("p95_recent"),
+        F.max(F.when(F.col("recent") == 0, F.col("p95"))).alias("p95_base"))
+    return spread_slots(both, points, ["app"])
 
 
 def _present(df: DataFrame, *names: str) -> list[str]:

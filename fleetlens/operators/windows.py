@@ -86,41 +86,88 @@ def between(df: DataFrame, lo: int | None = None, hi: int | None = None) -> Data
     return df
 
 
-def tag_instants(df: DataFrame, points: list[Instant], heap: bool = True) -> DataFrame:
-    """Rows that fall in a window of some instant, once per such instant.
-
-    Adds ``asof``, ``t_end`` and the flags ``in_recent``, ``in_heap``, ``in_base``.
-    Several instants are an array literal exploded in the map stage: the rows are
-    repeated before the partial aggregation, never across a shuffle.
-    """
-    ts = F.col("ts")
+def _base_ends(points: list[Instant]) -> list[int]:
+    """Ends of the distinct baseline windows; late instants all share one."""
+    return sorted({p.base_hi for p in points})
 
-    def recent(p: Instant) -> Column:
-        return (ts > at(p.recent_lo)) & (ts <= at(p.end))
 
-    def trailing(p: Instant) -> Column:
-        return ((ts > at(p.heap_lo)) & (ts <= at(p.end))) if heap else F.lit(False)
-
-    def base(p: Instant) -> Column:
-        return (ts >= at(p.start)) & (ts < at(p.base_hi))
-
-    lows = [p.recent_lo for p in points] + ([p.heap_lo for p in points] if heap else [])
-    low, high, base_hi = min(lows), max(p.end for p in points), max(p.base_hi for p in points)
-    df = between(df, hi=high).filter((ts > at(low)) | (ts < at(base_hi)))
+def _prefilter(df: DataFrame, points: list[Instant], heap: bool) -> DataFrame:
+    """Drop what no window can contain; these are the predicates the scan gets."""
+    ts, end, base_hi = F.col("ts"), max(p.end for p in points), max(p.base_hi for p in points)
+    low = min(min(p.recent_lo, p.heap_lo) if heap else p.recent_lo for p in points)
+    df = between(df, hi=end).filter((ts > at(low)) | (ts < at(base_hi)))
     if "ts_day" in df.columns:
         day = F.col("ts_day")
         df = df.filter((day >= F.to_date(at(low))) | (day <= F.to_date(at(base_hi))))
+    return df
+
 
-    def tags(p: Instant) -> Column:
-        return F.struct(
-            F.lit(p.asof).alias("asof"), at(p.end).alias("t_end"), recent(p).alias("in_recent"),
-            trailing(p).alias("in_heap"), base(p).alias("in_base"))
+def _at_slot(values: list[Column]) -> Column:
+    return F.array(*values)[F.col("slot")]
 
+
+def tag_instants(df: DataFrame, points: list[Instant], heap: bool = True) -> DataFrame:
+    """Rows that fall in a window, with ``slot`` and the flags ``in_recent``,
+    ``in_heap`` and ``in_base``.
+
+    A slot is an instant's recent and heap window (numbered like the instants)
+    or one of the distinct baseline windows (numbered after them); a row appears
+    once per slot it falls in. The slots are an explode in the map stage, so rows
+    are repeated before the partial aggregation and never across a shuffle.
+    ``spread_slots`` brings the aggregated slots back to instants. A single
+    instant needs no repetition: all its windows are flags of slot 0.
+    """
+    ts = F.col("ts")
+    df = _prefilter(df, points, heap)
+
+    def low(p: Instant) -> int:
+        return min(p.heap_lo, p.recent_lo) if heap else p.recent_lo
+
+    if len(points) == 1:
+        p, = points
+        now = ts <= at(p.end)
+        df = df.select(
+            "*", F.lit(0).alias("slot"), at(p.end).alias("t_end"), (now & (ts > at(p.recent_lo))).alias("in_recent"),
+            ((now & (ts > at(p.heap_lo))) if heap else F.lit(False)).alias("in_heap"),
+            ((ts >= at(p.start)) & (ts < at(p.base_hi))).alias("in_base"))
+        return df.filter(F.col("in_recent") | F.col("in_heap") | F.col("in_base"))
+
+    start, ends = points[0].start, _base_ends(points)
+    member = [(ts > at(low(p))) & (ts <= at(p.end)) for p in points]
+    member += [(ts >= at(start)) & (ts < at(hi)) for hi in ends]
+    # Only the slot number is exploded, and non-members go afterwards: both keep
+    # the stage in generated code.
+    df = (df.select("*", F.explode(F.array(*[F.when(m, i) for i, m in enumerate(member)])).alias("slot"))
+          .filter(F.col("slot").isNotNull()))
+    never = [at(points[0].end)] * len(ends)
+    now = F.col("slot") < len(points)
+    return df.select(
+        "*", _at_slot([at(p.end) for p in points] + never).alias("t_end"),
+        (now & (ts > _at_slot([at(p.recent_lo) for p in points] + never))).alias("in_recent"),
+        ((now & (ts > _at_slot([at(p.heap_lo) for p in points] + never))) if heap else F.lit(False)).alias("in_heap"),
+        (~now).alias("in_base"))
+
+
+def slot_keys(points: list[Instant]) -> list[str]:
+    """The grouping column that tells slots apart; none for a single instant."""
+    return ["slot"] if len(points) > 1 else []
+
+
+def spread_slots(grouped: DataFrame, points: list[Instant], keys: list[str]) -> DataFrame:
+    """Aggregated slots -> one row per instant and ``keys``, with asof and t_end.
+
+    Every other column must be null or zero in the slots it does not belong to;
+    a shared baseline row goes to each instant that uses it.
+    """
     if len(points) == 1:
-        df = df.select("*", tags(points[0]).alias("_tag"))
-    else:
-        # Dropping non-members after the explode keeps the stage in generated
-        # code, which a lambda over the array would not.
-        df = df.select("*", F.explode(F.array(*[tags(p) for p in points])).alias("_tag"))
-    return (df.select("*", "_tag.*").drop("_tag")
-            .filter(F.col("in_recent") | F.col("in_heap") | F.col("in_base")))
+        return grouped.select(F.lit(points[0].asof).alias("asof"), at(points[0].end).alias("t_end"), "*")
+    ends = _base_ends(points)
+    users = [[i] for i in range(len(points))] + [
+        [i for i, p in enumerate(points) if p.base_hi == hi] for hi in ends]
+    values = [name for name in grouped.columns if name not in ("slot", *keys)]
+    point = F.explode(_at_slot([F.array(*[F.lit(i) for i in which]) for which in users]))
+    merged = (grouped.select(point.alias("slot"), *keys, *values)
+              .groupBy("slot", *keys).agg(*[F.max(name).alias(name) for name in values]))
+    return merged.select(
+        _at_slot([F.lit(p.asof) for p in points]).alias("asof"),
+        _at_slot([at(p.end) for p in points]).alias("t_end"), *keys, *values)

@@ -77,10 +77,12 @@ def evaluation_windows(spark, sf):
 def window_samples(spark, sf):
     """Samples per instant, app and window."""
     m = dt.vm_metrics(spark, sf)
-    tagged = windows.tag_instants(m, windows.instants(m, CFG, dt.REPLAY))
-    return tagged.groupBy("asof", "app").agg(
+    points = windows.instants(m, CFG, dt.REPLAY)
+    tagged = windows.tag_instants(m, points)
+    counted = tagged.groupBy(*windows.slot_keys(points), "app").agg(
         F.count_if("in_recent").alias("n_recent"), F.count_if("in_heap").alias("n_heap"),
         F.count_if("in_base").alias("n_base"))
+    return windows.spread_slots(counted, points, ["app"]).drop("t_end")
 
 
 @query

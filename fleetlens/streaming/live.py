@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlens.config import Thresholds
-from fleetlens.functions.stats import corr_if, latest_if, mean_if, slope_if
+from fleetlens.functions.stats import latest_if, mean_if, slope_and_corr_if
 from fleetlens.operators.history import time_bounds
 from fleetlens.operators.rules import RULES, alerts_from
 from fleetlens.operators.windows import Instant, between
@@ -74,10 +74,10 @@ def live_heap(stream: DataFrame, cfg: Thresholds, slide_s: float = 30,
     yes, ts, heap = F.lit(True), F.col("ts"), F.col("heap_mb")
     windows = _windows(stream, cfg.heap_min, cfg, slide_s, watermark)
     minutes = (F.unix_micros(ts) - F.unix_micros("window.end")) / F.lit(float(cfg.unit_us))
-    features = windows.withColumn("_x", minutes).groupBy("window", "vm_id").agg(
+    slope, corr = slope_and_corr_if(yes, heap, minutes)
+    features = windows.groupBy("window", "vm_id").agg(
         F.count("*").alias("n_heap"), F.max("app").alias("app_heap"),
-        slope_if(yes, heap, F.col("_x")).alias("heap_slope"),
-        corr_if(yes, heap, F.col("_x")).alias("heap_corr"),
+        slope.alias("heap_slope"), corr.alias("heap_corr"),
         latest_if(yes, heap, ts).alias("heap_now"))
     return _finish(features, cfg, HEAP_RULES)
 
