@@ -8,7 +8,7 @@ from fleetlens.config import Thresholds
 from fleetlens.functions.keys import key_names, with_keys
 from fleetlens.functions.quantile import exact_percentile
 from fleetlens.functions.stats import latest_if, mean_if, slope_and_corr_if, slope_if
-from fleetlens.operators.windows import Instant, slot_keys, spread_slots, tag_instants
+from fleetlens.operators.windows import Instant, label_slots, slot_keys, spread_slots, tag_instants
 
 P95 = 0.95
 
@@ -25,7 +25,7 @@ def vm_apps(metrics: DataFrame, points: list[Instant]) -> DataFrame:
             .groupBy(*slot, *vm, "app").agg(F.max("in_recent").alias("recent")))
     apps = seen.groupBy(*slot, *vm).agg(
         F.max(F.when(F.col("recent"), F.col("app"))).alias("app_recent"), F.max("app").alias("app_heap"))
-    return spread_slots(apps, points, vm).drop("t_end")
+    return label_slots(apps, points).drop("t_end")
 
 
 def vm_features(metrics: DataFrame, cfg: Thresholds, points: list[Instant],

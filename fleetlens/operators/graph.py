@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from fleetlens.functions.sizing import small_side
 from fleetlens.session import materialize
 
 DOWNSTREAM, UPSTREAM = "downstream", "upstream"
@@ -25,7 +26,7 @@ def edges(topology: DataFrame) -> DataFrame:
 
 def build_topology(fleet: DataFrame, edge_list: DataFrame) -> DataFrame:
     """One row per VM and dependency. Apps without dependencies have no rows."""
-    return fleet.join(edge_list, "app").select("vm_id", "app", "site", "depends_on_app")
+    return fleet.join(small_side(edge_list), "app").select("vm_id", "app", "site", "depends_on_app")
 
 
 def roots_of(spark: SparkSession, *apps: str) -> DataFrame:
@@ -152,4 +153,5 @@ def vms_in_radius(edge_set: DataFrame, roots: DataFrame, vms: DataFrame, max_hop
     app would grow with the fleet.
     """
     hit = hops(edge_set, roots, DOWNSTREAM, max_hops).select("root", "app").distinct()
-    return hit.join(vms.select("app", "vm_id").distinct(), "app").select("root", "app", "vm_id")
+    placed = vms.select("app", "vm_id").distinct()
+    return placed.join(small_side(hit), "app").select("root", "app", "vm_id")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetlens.functions.ranking import position_by_slice, position_by_sort
+from fleetlens.functions.sizing import small_side
 from fleetlens.schema import METRICS
 
 col = F.col
@@ -29,7 +30,7 @@ def downsample_fleet(fleet: DataFrame, target: int) -> DataFrame:
     The first VMs of an app by id are kept. With ``target`` at or above the
     fleet size nothing is removed.
     """
-    sizes = fleet.groupBy("app").agg(F.count("*").alias("n_app"))
+    sizes = small_side(fleet.groupBy("app").agg(F.count("*").alias("n_app")))
     total = sizes.agg(F.sum("n_app")).first()[0] or 0
     if target >= total:
         return fleet
@@ -41,7 +42,8 @@ def downsample_fleet(fleet: DataFrame, target: int) -> DataFrame:
 
 def keep_vms(facts: DataFrame, fleet: DataFrame) -> DataFrame:
     """Fact rows of the VMs in ``fleet``."""
-    return facts.join(fleet.select("vm_id").distinct(), "vm_id", "left_semi").select(*facts.columns)
+    wanted = small_side(fleet.select("vm_id").distinct())
+    return facts.join(wanted, "vm_id", "left_semi").select(*facts.columns)
 
 
 def select_vms(fleet: DataFrame, app: str | None = None, vms: Sequence[str] = (),
@@ -69,7 +71,7 @@ def label_incidents(metrics: DataFrame, incidents: DataFrame, unit_s: float = 60
     a range condition; a VM with very many samples is split by the adaptive skew
     join when the incidents are too many to broadcast.
     """
-    joined = metrics.join(incidents, "vm_id").filter(
+    joined = metrics.join(small_side(incidents), "vm_id").filter(
         (col("ts") >= col("start_ts")) & (col("ts") < col("end_ts")))
     elapsed = (F.unix_micros("ts") - F.unix_micros("start_ts")) / F.lit(unit_s * 1e6)
     return joined.select(*metrics.columns, "incident", elapsed.alias("elapsed_min"))
@@ -116,7 +118,7 @@ def band_audit(metrics: DataFrame, baseline: DataFrame, noise: float) -> DataFra
         low = F.greatest(mean - sigma * BAND_SIGMAS, F.lit(0.0))
         return (value < low) | (value > mean + sigma * BAND_SIGMAS)
 
-    counted = metrics.join(baseline, "app").groupBy("app").agg(
+    counted = metrics.join(small_side(baseline), "app").groupBy("app").agg(
         *[F.struct(F.count(m).alias("n_samples"), F.count_if(outside(m)).alias("n_outside")).alias(m)
           for m in METRICS])
     long = counted.unpivot("app", METRICS, "metric", "x")

@@ -153,6 +153,16 @@ def slot_keys(points: list[Instant]) -> list[str]:
     return ["slot"] if len(points) > 1 else []
 
 
+def label_slots(grouped: DataFrame, points: list[Instant]) -> DataFrame:
+    """``asof`` and ``t_end`` instead of the slot, where slots are instants."""
+    if len(points) == 1:
+        times = [F.lit(points[0].asof), at(points[0].end)]
+    else:
+        times = [_at_slot([F.lit(p.asof) for p in points]), _at_slot([at(p.end) for p in points])]
+    return grouped.select(
+        times[0].alias("asof"), times[1].alias("t_end"), *[c for c in grouped.columns if c != "slot"])
+
+
 def spread_slots(grouped: DataFrame, points: list[Instant], keys: list[str]) -> DataFrame:
     """Aggregated slots -> one row per instant and ``keys``, with asof and t_end.
 
@@ -160,7 +170,7 @@ def spread_slots(grouped: DataFrame, points: list[Instant], keys: list[str]) ->
     a shared baseline row goes to each instant that uses it.
     """
     if len(points) == 1:
-        return grouped.select(F.lit(points[0].asof).alias("asof"), at(points[0].end).alias("t_end"), "*")
+        return label_slots(grouped, points)
     ends = _base_ends(points)
     users = [[i] for i in range(len(points))] + [
         [i for i, p in enumerate(points) if p.base_hi == hi] for hi in ends]
@@ -168,6 +178,4 @@ def spread_slots(grouped: DataFrame, points: list[Instant], keys: list[str]) ->
     point = F.explode(_at_slot([F.array(*[F.lit(i) for i in which]) for which in users]))
     merged = (grouped.select(point.alias("slot"), *keys, *values)
               .groupBy("slot", *keys).agg(*[F.max(name).alias(name) for name in values]))
-    return merged.select(
-        _at_slot([F.lit(p.asof) for p in points]).alias("asof"),
-        _at_slot([at(p.end) for p in points]).alias("t_end"), *keys, *values)
+    return label_slots(merged, points)

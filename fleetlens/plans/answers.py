@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.config import Thresholds
+from fleetlens.functions.sizing import small_side
 from fleetlens.operators import graph, rca
 from fleetlens.operators.features import app_latency
 from fleetlens.operators.questions import APPS, BLAST_HINTS, route
@@ -83,4 +84,4 @@ def answer(questions: DataFrame, metrics: DataFrame, topology: DataFrame, alerts
     routed = route(questions, fallback, apps, hints)
     known = list(dict.fromkeys([*apps, *([fallback] if fallback else [])]))
     lines = answer_lines(metrics, topology, alerts, cfg, known, asof)
-    return routed.join(lines, ["app", "intent"])
+    return routed.join(small_side(lines), ["app", "intent"])

@@ -12,7 +12,7 @@ from fleetlens.operators import graph
 from fleetlens.operators.questions import APPS
 from fleetlens.plans import answers, sqlguard
 from fleetlens.plans.detect import detect, select_alerts
-from fleetlens.sources.tables import open_chunks, register
+from fleetlens.sources.tables import open_tables, register
 
 
 @dataclass
@@ -23,9 +23,9 @@ class Lake:
     apps: Sequence[str] = tuple(APPS)
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, cfg: Thresholds | None = None,
-             namespace: str | None = None) -> "Lake":
-        frames = open_chunks(spark, root, namespace)
+    def open(cls, spark: SparkSession, root: str = "", cfg: Thresholds | None = None,
+             namespace: str | None = None, ingested: bool = False) -> "Lake":
+        frames = open_tables(spark, root, namespace, ingested)
         return cls(frames["vm_metrics"], frames["topology"], cfg or Thresholds())
 
     def alerts(self, asof: float = 0.0) -> DataFrame:

@@ -15,6 +15,9 @@ SETTINGS = {
     # Raw chunks written by pandas carry nanosecond timestamps, which Spark only
     # reads as longs; schema.conform turns them back into timestamps.
     "spark.sql.legacy.parquet.nanosAsLong": "true",
+    # Window state of a large fleet belongs on disk, not in the executor heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 # Settings that only take effect when a session starts.

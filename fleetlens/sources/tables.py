@@ -62,14 +62,19 @@ def register(**frames: DataFrame) -> None:
         frame.createOrReplaceTempView(name)
 
 
-def open_chunks(spark: SparkSession, root: str, namespace: str | None = None) -> dict[str, DataFrame]:
-    """All contract tables below a folder, or of a catalog namespace; registered."""
+def open_tables(spark: SparkSession, root: str = "", namespace: str | None = None,
+                ingested: bool = False) -> dict[str, DataFrame]:
+    """All contract tables, registered: raw chunk folders below ``root``, the
+    folders of an ingested lake, or the tables of a catalog namespace."""
     frames = {}
     for table in ("vm_metrics", "app_events", "topology"):
+        folder = f"{root.rstrip('/')}/{table}"
         if namespace:
             frames[table] = read_catalog(spark, namespace, table, optional=table == "topology")
+        elif ingested and table in schema.FACTS:
+            frames[table] = read_lake(spark, folder, table)
         else:
-            frames[table] = read_chunks(spark, f"{root.rstrip('/')}/{table}", table)
+            frames[table] = read_chunks(spark, folder, table)
     register(**frames)
     return frames
 

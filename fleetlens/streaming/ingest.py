@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetlens import schema
+from fleetlens.functions.sizing import small_side
 from fleetlens.sources.tables import list_chunks, read_lake
 
 LEDGER = T.StructType([
@@ -128,7 +129,10 @@ def ingest_stream(spark: SparkSession, raw: str, lake: str, table: str, watch_se
             # Loaded earlier under another checkpoint.
             done = read_ledger(session, lake).filter(
                 (F.col("table") == table) & (F.col("stream") != known["stream"]))
-            batch = batch.join(done.select(F.col("file_path").alias("_source_file")), "_source_file", "left_anti")
+            again = batch.select("_source_file").distinct().join(
+                done.select(F.col("file_path").alias("_source_file")), "_source_file", "left_semi")
+            # at most as many names as a batch has files
+            batch = batch.join(small_side(again, max_files), "_source_file", "left_anti")
         commit(session, lake, table, batch, batch_id, known["stream"], stream_batch)
         if on_commit:
             on_commit(batch_id)

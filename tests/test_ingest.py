@@ -171,7 +171,7 @@ def test_lake_reads_prune_days(spark, dirs):
 
 def test_sources(spark, dirs, tmp_path):
     raw, _ = dirs
-    frames = tables.open_chunks(spark, raw)
+    frames = tables.open_tables(spark, raw)
     assert {name: f.count() for name, f in frames.items()} == {"vm_metrics": 0, "app_events": 0, "topology": 0}
     assert frames["topology"].schema == schema.TOPOLOGY
     os.makedirs(f"{raw}/app_events")
@@ -192,7 +192,7 @@ def test_catalog_tables(spark, tmp_path):
     assert tables.read_catalog(spark, "obs_test", "vm_metrics").columns == [*schema.VM_METRICS.names, "ts_day"]
     m = fleet.metrics(spark, 4)
     m.withColumn("ts_day", F.to_date("ts")).write.insertInto("obs_test.vm_metrics")
-    frames = tables.open_chunks(spark, "", namespace="obs_test")
+    frames = tables.open_tables(spark, namespace="obs_test")
     assert frames["vm_metrics"].count() == m.count() == spark.table("vm_metrics").count()
     assert frames["topology"].count() == 0
     with pytest.raises(Exception):
