@@ -31,14 +31,20 @@ def slope_and_corr_if(cond: Column, y: Column, x: Column) -> tuple[Column, Colum
     return F.try_divide(together, var_x), F.try_divide(together, F.sqrt(var_x) * F.sqrt(var_y))
 
 
+def _fixed(value: Column, digits: int) -> Column:
+    """Text with a fixed number of decimals, ties to even. A negative value that
+    rounds to zero keeps its sign, as in C and Python formatting."""
+    rounded = F.bround(value, digits)
+    text = F.format_string(f"%.{digits}f", rounded)
+    return F.when((value < 0) & (rounded == 0), F.concat(F.lit("-"), text)).otherwise(text)
+
+
 def whole(value: Column) -> Column:
-    """Text with no decimals, ties to even."""
-    return F.format_string("%.0f", F.bround(value, 0))
+    return _fixed(value, 0)
 
 
 def tenth(value: Column) -> Column:
-    """Text with one decimal, ties to even."""
-    return F.format_string("%.1f", F.bround(value, 1))
+    return _fixed(value, 1)
 
 
 def severity_rank(severity: Column) -> Column:

@@ -272,7 +272,9 @@ WITH {F}{WORST} SELECT app, place, vm_id, round(slope_rec, 6) AS heap_slope, rou
 FACTS = A + WORST + SUMMARY + """,
 facts AS (
   SELECT p.app, p.e, coalesce(p_rec, 0) AS p95_now, coalesce(p_base, 0) AS p95_base, alert_counts, alert_rules,
-         coalesce(leaking, FALSE) AS leaking, one.vm_id AS worst_vm, one.v_rec AS latency, one.slope_rec, one.cur_rec,
+         coalesce(leaking, FALSE) AS leaking, one.vm_id AS worst_vm, one.v_rec AS latency,
+         -- a slope over one sample is NaN here, which would count as larger than any threshold
+         CASE WHEN NOT isnan(one.slope_rec) THEN one.slope_rec END AS slope_rec, one.cur_rec,
          one.gc, (SELECT string_agg(vm_id, ',' ORDER BY place) FROM worst x WHERE x.app = p.app) AS worst_vms
   FROM p LEFT JOIN summary USING (app) LEFT JOIN (SELECT * FROM worst WHERE place = 1) one ON one.app = p.app
   WHERE "asof" = 0),

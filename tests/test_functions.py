@@ -69,3 +69,13 @@ def test_positions_with_one_hot_key(spark):
                      position_by_slice(df.select("k", "ts"), ["k"], ["ts"], F.date_trunc("day", "ts"), "at"))
     _check_positions(df.select("k", "name"), ["k"], ["name"],
                      position_by_sort(df.select("k", "name"), ["k"], ["name"], "at"))
+
+
+@pytest.mark.parametrize("digits", [0, 1])
+def test_number_text_is_that_of_python(spark, digits):
+    from fleetlens.functions.stats import tenth, whole
+    values = [0.0, 0.5, 1.5, 2.5, -0.3, -0.5, -0.04, -1.5, 0.25, 0.75, -0.25, 12.5, 1234567.0, 1e9 + 0.5, 99.95001,
+              2048.25, 2048.75, 3.14159, -7.96]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    text = (whole if digits == 0 else tenth)(F.col("x"))
+    assert [r[0] for r in df.select(text).collect()] == [f"{v:.{digits}f}" for v in values]
