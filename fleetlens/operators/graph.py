@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlens.functions.sizing import small_side
-from fleetlens.session import materialize
+from fleetlens.session import checkpoint, checkpoint_counted
 
 DOWNSTREAM, UPSTREAM = "downstream", "upstream"
 # Levels whose results are merged into one table before going on.
@@ -39,42 +39,56 @@ def all_roots(edge_set: DataFrame) -> DataFrame:
             .union(edge_set.select(F.col("depends_on_app").alias("root"))).distinct())
 
 
-def _steps(edge_set: DataFrame, direction: str) -> DataFrame:
-    if direction == DOWNSTREAM:
-        return edge_set.select(F.col("depends_on_app").alias("src"), F.col("app").alias("dst"))
-    if direction == UPSTREAM:
-        return edge_set.select(F.col("app").alias("src"), F.col("depends_on_app").alias("dst"))
-    raise ValueError(f"direction must be {DOWNSTREAM} or {UPSTREAM}")
+def _steps(edge_set: DataFrame, *directions: str) -> DataFrame:
+    """(direction, src, dst): the edges as they are walked."""
+    need, of = F.col("app"), F.col("depends_on_app")
+    ways = []
+    for direction in directions:
+        if direction not in (DOWNSTREAM, UPSTREAM):
+            raise ValueError(f"direction must be {DOWNSTREAM} or {UPSTREAM}")
+        src, dst = (of, need) if direction == DOWNSTREAM else (need, of)
+        ways.append(F.struct(F.lit(direction).alias("direction"), src.alias("src"), dst.alias("dst")))
+    return edge_set.select(F.explode(F.array(*ways)).alias("way")).select("way.*")
 
 
 def _advance(frontier: DataFrame, steps: DataFrame) -> DataFrame:
-    return (frontier.join(steps, F.col("app") == F.col("src"))
-            .select("root", F.col("dst").alias("app")).distinct())
+    here = frontier.select("direction", "root", F.col("app").alias("src"))
+    return here.join(steps, ["direction", "src"]).select("direction", "root", F.col("dst").alias("app")).distinct()
 
 
-def reach(edge_set: DataFrame, roots: DataFrame, direction: str = DOWNSTREAM,
-          max_depth: int | None = None) -> DataFrame:
-    """(root, app, depth): every app reached from each root, at its least depth.
+def _start(roots: DataFrame, *directions: str) -> DataFrame:
+    way = F.explode(F.array(*[F.lit(d) for d in directions]))
+    return roots.select("root").distinct().select(way.alias("direction"), "root", F.col("root").alias("app"))
 
-    An app already seen for a root is not expanded again, so cycles end; the root
-    itself is never part of its own result.
-    """
-    steps = materialize(_steps(edge_set, direction), "steps")
-    frontier = materialize(
-        roots.select("root", F.col("root").alias("app"), F.lit(0).alias("depth")).distinct(), "reach")
+
+def _explore(edge_set: DataFrame, start: DataFrame, directions: list[str], max_depth: int | None) -> DataFrame:
+    """(direction, root, app, depth) for all starts of both directions at once:
+    one level of every walk per round."""
+    steps = checkpoint(_steps(edge_set, *directions))
+    frontier = checkpoint(start.withColumn("depth", F.lit(0)))
     seen, depth = frontier, 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        fresh = _advance(frontier, steps).join(seen, ["root", "app"], "left_anti")
-        frontier = materialize(fresh.withColumn("depth", F.lit(depth)), "reach")
-        if frontier.isEmpty():
+        fresh = _advance(frontier, steps).join(seen, ["direction", "root", "app"], "left_anti")
+        frontier, found = checkpoint_counted(fresh.withColumn("depth", F.lit(depth)))
+        if not found:
             break
         seen = seen.unionByName(frontier)
         if depth % MERGE_EVERY == 0:
-            seen = materialize(seen, "reach")
+            seen = checkpoint(seen)
     return seen.filter(F.col("depth") > 0)
 
 
+def reach(edge_set: DataFrame, roots: DataFrame, direction: str = DOWNSTREAM,
+          max_depth: int | None = None) -> DataFrame:
+    """(root, app, depth): every app reached from each root, at its least depth.
+
+    An app already seen for a root is not expanded again, so cycles end; the root
+    itself is never part of its own result.
+    """
+    return _explore(edge_set, _start(roots, direction), [direction], max_depth).select("root", "app", "depth")
+
+
 def hops(edge_set: DataFrame, roots: DataFrame, direction: str = DOWNSTREAM,
          max_hops: int = 5) -> DataFrame:
     """(root, app, hops): distinct path lengths of 1..max_hops.
@@ -82,13 +96,15 @@ def hops(edge_set: DataFrame, roots: DataFrame, direction: str = DOWNSTREAM,
     Unlike ``reach`` an app appears once per path length. On a cyclic graph a
     path here may use an edge twice.
     """
-    steps = materialize(_steps(edge_set, direction), "steps")
-    frontier = roots.select("root", F.col("root").alias("app")).distinct()
+    steps = checkpoint(_steps(edge_set, direction))
+    frontier = _start(roots, direction)
     found = None
     for step in range(1, max_hops + 1):
-        frontier = materialize(_advance(frontier, steps), "hops")
-        level = frontier.withColumn("hops", F.lit(step))
+        frontier, rows = checkpoint_counted(_advance(frontier, steps))
+        level = frontier.select("root", "app", F.lit(step).alias("hops"))
         found = level if found is None else found.unionByName(level)
+        if not rows:
+            break
     return found
 
 
@@ -98,27 +114,25 @@ def paths(edge_set: DataFrame, fault: str, symptom: str) -> DataFrame:
     spark = edge_set.sparkSession
     # Only apps that lie between the two can be on a path: those hit by the
     # fault and needed by the symptom.
-    hit = reach(edge_set, roots_of(spark, fault), DOWNSTREAM).select("app")
-    needed = reach(edge_set, roots_of(spark, symptom), UPSTREAM).select("app")
-    ends = roots_of(spark, fault, symptom).select(F.col("root").alias("app"))
-    inner = hit.intersect(needed).union(ends).distinct()
-    steps = materialize(
+    ends = spark.createDataFrame(
+        [(DOWNSTREAM, fault, fault), (UPSTREAM, symptom, symptom)], "direction string, root string, app string")
+    near = _explore(edge_set, ends, [DOWNSTREAM, UPSTREAM], None)
+    inner = (near.groupBy("app").agg(F.count_distinct("direction").alias("n")).filter("n = 2").select("app")
+             .union(ends.select("app")).distinct())
+    steps = checkpoint(
         _steps(edge_set, DOWNSTREAM)
         .join(inner.withColumnRenamed("app", "src"), "src", "left_semi")
-        .join(inner.withColumnRenamed("app", "dst"), "dst", "left_semi"), "steps")
+        .join(inner.withColumnRenamed("app", "dst"), "dst", "left_semi").select("src", "dst"))
 
     walk = roots_of(spark, fault).select(F.array("root").alias("path"), F.col("root").alias("app"))
-    found = None
-    while True:
-        walk = materialize(
-            walk.join(steps, F.col("app") == F.col("src"))
+    found, open_paths = None, 1
+    while open_paths:
+        walk, open_paths = checkpoint_counted(
+            walk.filter(F.col("app") != symptom).join(steps, F.col("app") == F.col("src"))
             .filter(~F.array_contains("path", F.col("dst")))
-            .select(F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("app")), "paths")
+            .select(F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("app")))
         arrived = walk.filter(F.col("app") == symptom)
         found = arrived if found is None else found.unionByName(arrived)
-        walk = walk.filter(F.col("app") != symptom)
-        if walk.isEmpty():
-            break
     return found.select(F.lit(fault).alias("fault"), F.lit(symptom).alias("symptom"), "path",
                         (F.size("path") - 1).alias("hops"))
 
@@ -136,12 +150,9 @@ def alert_tags(alerts: DataFrame) -> DataFrame:
 def trace(topology: DataFrame, roots: DataFrame, alerts: DataFrame) -> DataFrame:
     """(root, direction, depth, app, tags): both directions of every root, each
     app with its active alerts (empty when it has none)."""
-    edge_set = materialize(edges(topology), "edges")
-    both = None
-    for direction in (DOWNSTREAM, UPSTREAM):
-        part = reach(edge_set, roots, direction).withColumn("direction", F.lit(direction))
-        both = part if both is None else both.unionByName(part)
-    return (both.join(alert_tags(alerts), "app", "left")
+    both = [DOWNSTREAM, UPSTREAM]
+    reached = _explore(edges(topology), _start(roots, *both), both, None)
+    return (reached.join(alert_tags(alerts), "app", "left")
             .select("root", "direction", "depth", "app", F.coalesce("tags", F.lit("")).alias("tags")))
 
 

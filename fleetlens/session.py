@@ -24,6 +24,8 @@ SETTINGS = {
 STARTUP = {
     # Spares a call into the JVM for every column expression that is built.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Checkpoint files go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -72,12 +74,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a step of an iterative job to the shared folder and read it back.
-
-    Like a checkpoint it ends the lineage; being a table it also tells the
-    planner its size, so the next join is broadcast only if it really is small.
-    """
-    path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def checkpoint_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """A checkpointed step of an iterative job, and how many rows it has."""
+    kept = checkpoint(df)
+    return kept, kept.count()
