@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, functions as F
 
 from fleetlens.config import Thresholds
@@ -9,10 +11,28 @@ from fleetlens.functions.keys import key_names, with_keys
 from fleetlens.functions.quantile import exact_percentile
 from fleetlens.functions.stats import latest_if, mean_if, slope_and_corr_if, slope_if
 from fleetlens.operators.windows import Instant, label_slots, slot_keys, spread_slots, tag_instants
+from fleetlens.session import checkpoint
 
 P95 = 0.95
 
 
+@dataclass(frozen=True)
+class Frames:
+    """The two feature frames everything else is derived from: one row per
+    (asof, VM) and one per (asof, app), whatever the number of samples."""
+
+    vm: DataFrame
+    app: DataFrame
+
+    def kept(self) -> "Frames":
+        """The frames checkpointed, for several queries over the same instants."""
+        return Frames(checkpoint(self.vm), checkpoint(self.app))
+
+
+def frames(metrics: DataFrame, cfg: Thresholds, points: list[Instant], fleet: DataFrame | None = None) -> Frames:
+    return Frames(vm_features(metrics, cfg, points, fleet), app_latency(metrics, cfg, points))
+
+
 def vm_apps(metrics: DataFrame, points: list[Instant]) -> DataFrame:
     """(asof, vm key) -> app, taken from the recent and the heap window.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetlens.config import Thresholds
 from fleetlens.functions.stats import severity_rank, tenth, whole
-from fleetlens.operators.features import app_latency, vm_features
+from fleetlens.operators.features import Frames, frames
 from fleetlens.operators.windows import instants
 
 col = F.col
@@ -51,13 +51,17 @@ def alert_summary(alerts: DataFrame) -> DataFrame:
         F.array_join(F.transform("rules", lambda r: r["rule"]), "; ").alias("alert_rules"), "leaking")
 
 
-def facts(metrics: DataFrame, cfg: Thresholds, alerts: DataFrame, asof: float = 0.0) -> DataFrame:
-    """One row per app: p95 now and baseline, its worst VMs, its alert summary."""
-    points = instants(metrics, cfg, asof)
-    worst = worst_vms(vm_features(metrics, cfg, points), cfg).groupBy("app").agg(
+def facts(metrics: DataFrame, cfg: Thresholds, alerts: DataFrame, asof: float = 0.0,
+          found: Frames | None = None) -> DataFrame:
+    """One row per app: p95 now and baseline, its worst VMs, its alert summary.
+
+    ``found``: the feature frames of this instant, where the caller has them.
+    """
+    found = found or frames(metrics, cfg, instants(metrics, cfg, asof))
+    worst = worst_vms(found.vm, cfg).groupBy("app").agg(
         F.sort_array(F.collect_list(F.struct(
             "place", "vm_id", "heap_slope", "heap_now", "gc", "io_await", "latency"))).alias("worst"))
-    return (app_latency(metrics, cfg, points).filter(col("app").isNotNull())
+    return (found.app.filter(col("app").isNotNull())
             .join(worst, "app", "left").join(alert_summary(alerts), "app", "left")
             .select("app", "t_end", F.coalesce("p95_recent", F.lit(0.0)).alias("p95_now"),
                     F.coalesce("p95_base", F.lit(0.0)).alias("p95_base"),

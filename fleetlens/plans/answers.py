@@ -9,16 +9,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fleetlens.config import Thresholds
 from fleetlens.functions.sizing import small_side
 from fleetlens.operators import graph, rca
-from fleetlens.operators.features import app_latency
+from fleetlens.operators.features import Frames, app_latency, frames
 from fleetlens.operators.questions import APPS, BLAST_HINTS, route
 from fleetlens.operators.windows import instants
+from fleetlens.plans.detect import alerts_of
 
 col, lit = F.col, F.lit
 
 
-def default_app(metrics: DataFrame, cfg: Thresholds, asof: float = 0.0) -> str | None:
+def default_app(metrics: DataFrame, cfg: Thresholds, asof: float = 0.0, found: Frames | None = None) -> str | None:
     """The slowest app of the recent window, which unnamed questions are about."""
-    row = rca.slowest_app(app_latency(metrics, cfg, instants(metrics, cfg, asof))).first()
+    latency = found.app if found else app_latency(metrics, cfg, instants(metrics, cfg, asof))
+    row = rca.slowest_app(latency).first()
     return row.app if row else None
 
 
@@ -61,10 +63,10 @@ def blast_lines(topology: DataFrame, roots: DataFrame, alerts: DataFrame) -> Dat
 
 
 def answer_lines(metrics: DataFrame, topology: DataFrame, alerts: DataFrame, cfg: Thresholds,
-                 apps: Sequence[str], asof: float = 0.0) -> DataFrame:
+                 apps: Sequence[str], asof: float = 0.0, found: Frames | None = None) -> DataFrame:
     """(app, intent, line_no, line): both kinds of answer for the listed apps."""
     spark = metrics.sparkSession
-    judged = rca.verdict(rca.facts(metrics, cfg, alerts, asof), cfg)
+    judged = rca.verdict(rca.facts(metrics, cfg, alerts, asof, found), cfg)
     causes = rca.narrative_lines(judged).filter(col("app").isin(list(apps)))
     blast = blast_lines(topology, graph.roots_of(spark, *apps), alerts)
     return (causes.withColumn("intent", lit("rca"))
@@ -72,16 +74,19 @@ def answer_lines(metrics: DataFrame, topology: DataFrame, alerts: DataFrame, cfg
             .select("app", "intent", "line_no", "line"))
 
 
-def answer(questions: DataFrame, metrics: DataFrame, topology: DataFrame, alerts: DataFrame,
-           cfg: Thresholds, apps: Sequence[str] = tuple(APPS),
-           hints: Sequence[str] = tuple(BLAST_HINTS), asof: float = 0.0) -> DataFrame:
+def answer(questions: DataFrame, metrics: DataFrame, topology: DataFrame, cfg: Thresholds,
+           apps: Sequence[str] = tuple(APPS), hints: Sequence[str] = tuple(BLAST_HINTS),
+           asof: float = 0.0) -> DataFrame:
     """Every question with its app, its intent and the lines of its answer.
 
-    Answers are made once per (app, intent) and joined to the questions, so the
-    work on the fact does not depend on how many questions there are.
+    The fact is aggregated once, into feature frames; alerts, verdicts and the
+    default app come from those. Answers are made once per (app, intent) and
+    joined to the questions, so none of this depends on how many there are.
     """
-    fallback = default_app(metrics, cfg, asof)
+    found = frames(metrics, cfg, instants(metrics, cfg, asof)).kept()
+    alerts = alerts_of(found, cfg).drop("asof")
+    fallback = default_app(metrics, cfg, asof, found)
     routed = route(questions, fallback, apps, hints)
     known = list(dict.fromkeys([*apps, *([fallback] if fallback else [])]))
-    lines = answer_lines(metrics, topology, alerts, cfg, known, asof)
+    lines = answer_lines(metrics, topology, alerts, cfg, known, asof, found)
     return routed.join(small_side(lines), ["app", "intent"])

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fleetlens.config import Thresholds
-from fleetlens.operators.features import app_latency, vm_features
+from fleetlens.operators.features import Frames, app_latency, frames, vm_features
 from fleetlens.operators.rules import RULES, Rule, alerts_from, rule_hits, sort_alerts
 from fleetlens.operators.windows import Bounds, instants
 from fleetlens.schema import ALERTS
@@ -23,19 +24,18 @@ def replay(metrics: DataFrame, cfg: Thresholds, asofs: Sequence[float] = REPLAY,
     ``fleet`` (vm_id, app) and ``bounds`` each save a scan
     where the caller has them.
     """
+    return alerts_of(frames(metrics, cfg, instants(metrics, cfg, list(asofs), bounds), fleet), cfg, rules)
+
+
+def alerts_of(found: Frames, cfg: Thresholds, rules: dict[str, Rule] | None = None) -> DataFrame:
+    """Alerts of given feature frames, with ``asof``. Unsorted."""
     rules = RULES if rules is None else rules
-    points = instants(metrics, cfg, list(asofs), bounds)
     parts = []
-    vm_rules = [rule for rule in rules.values() if rule.scope == "vm"]
-    if vm_rules:
-        parts.append(alerts_from(vm_features(metrics, cfg, points, fleet), cfg, vm_rules))
-    app_rules = [rule for rule in rules.values() if rule.scope == "app"]
-    if app_rules:
-        parts.append(alerts_from(app_latency(metrics, cfg, points), cfg, app_rules))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    for scope, frame in (("vm", found.vm), ("app", found.app)):
+        chosen = [rule for rule in rules.values() if rule.scope == scope]
+        if chosen:
+            parts.append(alerts_from(frame, cfg, chosen))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def detect(metrics: DataFrame, cfg: Thresholds, asof: float = 0.0,

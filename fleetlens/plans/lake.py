@@ -47,8 +47,7 @@ class Lake:
     def answer(self, question: str, asof: float = 0.0) -> DataFrame:
         """The answer to one question, as ordered lines."""
         asked = self.metrics.sparkSession.createDataFrame([(question,)], "question string")
-        lines = answers.answer(asked, self.metrics, self.topology, self.alerts(asof), self.cfg,
-                               self.apps, asof=asof)
+        lines = answers.answer(asked, self.metrics, self.topology, self.cfg, self.apps, asof=asof)
         return lines.orderBy("line_no", "line").select("app", "intent", "line")
 
     def call(self, name: str, **arguments):

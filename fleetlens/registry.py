@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetlens import driver_tables as dt, schema
 from fleetlens.operators import graph, health, history, quality, questions, rca, rules, windows
-from fleetlens.operators.features import app_latency, vm_features
+from fleetlens.operators.features import app_latency, frames, vm_features
 from fleetlens.plans import answers, detect, sqlguard
 from fleetlens.session import prepare, scratch_dir
 from fleetlens.sources import sinks, tables
@@ -279,16 +279,22 @@ def worst_vms_by_app(spark, sf):
     return r6(rca.worst_vms(vm_features(m, CFG, windows.instants(m, CFG)), CFG))
 
 
-def _judged(spark, sf):
+def _facts(spark, sf):
+    """Facts and alerts as of the data end, from one aggregation of the fact."""
     m = dt.vm_metrics(spark, sf)
-    return rca.verdict(rca.facts(m, CFG, _alerts(m)), CFG)
+    found = frames(m, CFG, windows.instants(m, CFG)).kept()
+    alerts = detect.alerts_of(found, CFG).drop("asof")
+    return rca.facts(m, CFG, alerts, found=found), alerts
+
+
+def _judged(spark, sf):
+    return rca.verdict(_facts(spark, sf)[0], CFG)
 
 
 @query
 def rca_facts(spark, sf):
     """Q3, P10: the facts bundle of every app."""
-    m = dt.vm_metrics(spark, sf)
-    found = rca.facts(m, CFG, _alerts(m))
+    found, _ = _facts(spark, sf)
     vms = F.array_join(F.transform("worst", lambda w: w["vm_id"]), ",")
     return r6(found.select("app", "p95_now", "p95_base", vms.alias("worst_vms"), "alert_counts",
                            "alert_rules", "leaking"))
@@ -297,9 +303,7 @@ def rca_facts(spark, sf):
 @query
 def rca_facts_text(spark, sf):
     """Q3: the facts as text rows, counted per section."""
-    m = dt.vm_metrics(spark, sf)
-    alerts = _alerts(m)
-    return rca.facts_lines(rca.facts(m, CFG, alerts), alerts).groupBy("app", "section").agg(
+    return rca.facts_lines(*_facts(spark, sf)).groupBy("app", "section").agg(
         F.count("line").alias("n_lines"))
 
 
@@ -329,8 +333,8 @@ def question_routing(spark, sf):
 def question_answers(spark, sf):
     """Q8: the number of answer lines of every question."""
     m = dt.vm_metrics(spark, sf)
-    found = answers.answer(dt.questions(spark, sf), m, dt.app_topology(spark, sf), _alerts(m),
-                           CFG, ["app-1", "app-3"], HINTS)
+    found = answers.answer(
+        dt.questions(spark, sf), m, dt.app_topology(spark, sf), CFG, ["app-1", "app-3"], HINTS)
     return found.groupBy("conv_id", "turn", "app", "intent").agg(
         F.count("*").alias("n_lines"))
 

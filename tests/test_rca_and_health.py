@@ -94,7 +94,7 @@ def test_answers_for_a_table_of_questions(spark):
     asked = spark.createDataFrame(
         [(1, "why is patient onboarding slow?"), (2, "what breaks if postgres-db goes down?"), (3, "what is broken?")],
         "id int, question string")
-    got = answers.answer(asked, m, fleet.topology(spark), detect(m, CFG, 30), CFG, APPS, asof=30)
+    got = answers.answer(asked, m, fleet.topology(spark), CFG, APPS, asof=30)
     text = {}
     for r in got.orderBy("id", "line_no", "line").collect():
         text.setdefault(r.id, []).append(r.line)
