@@ -97,7 +97,7 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "replay":
         rule_counts(replay(lake.metrics, lake.cfg, REPLAY)).orderBy(F.desc("asof"), "rule", "severity").show(SHOWN)
     elif args.command == "ask":
-        for row in lake.answer(args.question, args.asof).collect():
+        for row in lake.answer(args.question, args.asof).toLocalIterator():
             print(row.line)
     elif args.command == "sql":
         lake.alerts(args.asof)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlsplit
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -89,11 +91,16 @@ def table_of(path: Column) -> Column:
     return F.when(below("app_events"), "app_events").when(below("vm_metrics"), "vm_metrics")
 
 
-def list_chunks(spark: SparkSession, root: str) -> DataFrame:
-    """(file_path, table, length, modified) of every chunk below ``root``; the
-    file contents are not read. Files of no known table are left out."""
+def list_chunks(spark: SparkSession, root: str, table: str | None = None) -> DataFrame:
+    """(file_path, table, length, modified) of every chunk below ``root``, or of
+    one table's; the file contents are not read. Files of no known table are left
+    out. Only the path below ``root`` decides the table."""
+    root = root.rstrip("/")
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "*.parquet").load(root))
+             .option("pathGlobFilter", "*.parquet").load(f"{root}/{table}" if table else root))
+    base = urlsplit(root).path or root
+    found = F.locate(base, F.col("path"))
+    key = F.when(found > 0, F.substr("path", found + F.lit(len(base) + 1))).otherwise(F.col("path"))
     return files.select(
-        F.col("path").alias("file_path"), table_of(F.col("path")).alias("table"),
+        F.col("path").alias("file_path"), table_of(key).alias("table"),
         "length", F.col("modificationTime").alias("modified")).filter(F.col("table").isNotNull())

@@ -149,7 +149,7 @@ def ingest_files(spark: SparkSession, raw: str, lake: str, table: str, max_files
     batches = 0
     while True:
         ledger = read_ledger(spark, lake).filter(F.col("table") == table)
-        todo = (list_chunks(spark, table_path(raw, table)).filter(F.col("table") == table)
+        todo = (list_chunks(spark, raw, table).filter(F.col("table") == table)
                 .join(ledger, "file_path", "left_anti").select("file_path"))
         # Spark plans a read from a list of names: this many at a time.
         names = [row.file_path for row in todo.orderBy("file_path").limit(max_files).collect()]

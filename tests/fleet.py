@@ -40,8 +40,7 @@ def metrics(spark, n_samples=180, fleet=None, incidents=(), noise=0.05, **baseli
     """incidents: (metric, app, first n VMs, start minute, added at once, added per minute)."""
     means = {**BASELINE, **baseline}
     wave = F.sin(12.9898 * F.col("vm") + 78.233 * F.col("sample") + F.col("k"))
-    df = vms(spark, fleet).join(
-        spark.range(n_samples).select(F.col("id").alias("sample")), F.lit(True))
+    df = vms(spark, fleet).withColumn("sample", F.explode(F.expr(f"sequence(0L, {n_samples - 1}L)")))
     minute = F.col("sample") * (STEP_S / 60.0)
     nth = F.substring("vm_id", -4, 4).cast("int")
     columns = [F.timestamp_micros(F.lit(START_US) + F.col("sample") * STEP_S * 1_000_000).alias("ts"),

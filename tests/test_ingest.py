@@ -138,6 +138,17 @@ def test_routing_by_path(spark):
         "vm_metrics", "app_events", None, "vm_metrics", "app_events", "app_events"]
 
 
+def test_a_root_named_like_a_table_does_not_misroute(spark, tmp_path):
+    raw = str(tmp_path / "app_events" / "raw")
+    chunk(raw, "vm_metrics", "a.parquet", ["2026-01-01 08:00"])
+    chunk(raw, "app_events", "a.parquet", ["2026-01-01 08:00"])
+    found = tables.list_chunks(spark, raw).collect()
+    assert sorted((r.table, f"/raw/{r.table}/" in r.file_path) for r in found) == [
+        ("app_events", True), ("vm_metrics", True)]
+    lake = str(tmp_path / "lake")
+    assert sorted(r.table for r in ingest.ingest_once(spark, raw, lake).collect()) == ["app_events", "vm_metrics"]
+
+
 def test_watch_mode_and_detection_after_each_batch(spark, dirs, tmp_path):
     raw, lake = dirs
     alerts = str(tmp_path / "alerts")
