@@ -16,6 +16,9 @@ col = F.col
 NOISE_FLOOR = {"net_retrans_pct": 0.05, "error_rate_pct": 0.03, "gc_pause_ms": 1.0}
 BAND_SIGMAS = 6.0
 
+# Samples of one VM that one task may number.
+SLICE_ROWS = 2_000_000
+
 
 def clip_metrics(metrics: DataFrame) -> DataFrame:
     """Negative metric values become 0; nulls stay null."""
@@ -90,13 +93,23 @@ def first_crossings(metrics: DataFrame, cap_mb: float) -> DataFrame:
         F.lit(f"java.lang.OutOfMemoryError: Java heap space (cap {int(cap_mb)}MB)").alias("message"))
 
 
-def thin(metrics: DataFrame, every: int, slice_: str = "day") -> DataFrame:
+def time_slice(metrics: DataFrame, limit: int = SLICE_ROWS) -> str:
+    """The longest time unit in which no VM has more than ``limit`` samples."""
+    for unit in ("day", "hour", "minute"):
+        sizes = metrics.groupBy("vm_id", F.date_trunc(unit, "ts")).agg(F.count("*").alias("n"))
+        if (sizes.agg(F.max("n")).first()[0] or 0) <= limit:
+            return unit
+    return "second"
+
+
+def thin(metrics: DataFrame, every: int, slice_: str | None = None) -> DataFrame:
     """Every ``every``-th sample of each VM in time order, starting with its first.
 
     Positions are counted per VM and time slice, so a VM with a large part of
-    all samples is numbered by many tasks.
+    all samples is numbered by many tasks; the slice follows the busiest VM.
     """
-    numbered = position_by_slice(metrics, ["vm_id"], ["ts"], F.date_trunc(slice_, "ts"), "_position")
+    unit = slice_ or time_slice(metrics)
+    numbered = position_by_slice(metrics, ["vm_id"], ["ts"], F.date_trunc(unit, "ts"), "_position")
     return numbered.filter(col("_position") % every == 0).drop("_position")
 
 

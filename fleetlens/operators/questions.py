@@ -17,27 +17,34 @@ BLAST_HINTS = ["goes down", "go down", "went down", "blast radius", "blast-radiu
                "depends on", "depend on", "fails", " fail", "outage", "impact"]
 
 
-def named_app(question: Column, apps: Sequence[str] = tuple(APPS)) -> Column:
-    """First app of the list whose name, or name with spaces, occurs in the text.
-
-    A chain of conditions rather than a lambda over an array or a join on
-    "contains": it stays in generated code and needs no second table.
-    """
-    text = F.lower(question)
+def _first_named(text: Column, apps: Sequence[str]) -> Column:
+    # A chain of conditions rather than a lambda over an array or a join on
+    # "contains": it stays in generated code and needs no second table.
     return F.coalesce(*[
         F.when(text.contains(app) | text.contains(app.replace("-", " ")), app) for app in apps], F.lit(None))
 
 
+def _hinted(text: Column, hints: Sequence[str]) -> Column:
+    return reduce(lambda found, hint: found | text.contains(hint), hints, F.lit(False))
+
+
+def named_app(question: Column, apps: Sequence[str] = tuple(APPS)) -> Column:
+    """First app of the list whose name, or name with spaces, occurs in the text."""
+    return _first_named(F.lower(question), apps)
+
+
 def is_blast(question: Column, hints: Sequence[str] = tuple(BLAST_HINTS)) -> Column:
     """Whether the text contains any of the hints."""
-    text = F.lower(question)
-    return reduce(lambda found, hint: found | text.contains(hint), hints, F.lit(False))
+    return _hinted(F.lower(question), hints)
 
 
 def route(questions: DataFrame, default_app: str | None, apps: Sequence[str] = tuple(APPS),
           hints: Sequence[str] = tuple(BLAST_HINTS)) -> DataFrame:
-    """Adds ``app`` (the default where none is named) and ``intent``. Map-only."""
-    question = F.col("question")
-    return questions.withColumns({
-        "app": F.coalesce(named_app(question, apps), F.lit(default_app)),
-        "intent": F.when(is_blast(question, hints), "blast").otherwise("rca")})
+    """Adds ``app`` (the default where none is named) and ``intent``. Map-only.
+
+    The text is lowered once, in a projection of its own, not once per phrase.
+    """
+    text = F.col("_text")
+    return questions.withColumn("_text", F.lower("question")).withColumns({
+        "app": F.coalesce(_first_named(text, apps), F.lit(default_app)),
+        "intent": F.when(_hinted(text, hints), "blast").otherwise("rca")}).drop("_text")

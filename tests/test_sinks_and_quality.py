@@ -133,6 +133,17 @@ def test_thinning(spark):
     assert [(r[0] - fleet.START_US) // 1_000_000 for r in first] == [i * 300 for i in range(10)]
 
 
+def test_slice_follows_the_busiest_vm(spark):
+    m = fleet.metrics(spark, 180)
+    assert quality.time_slice(m) == "day"
+    # 180 samples in 90 minutes: 120 in an hour, 2 in a minute, 1 in a second
+    assert quality.time_slice(m, 150) == "hour"
+    assert quality.time_slice(m, 10) == "minute"
+    assert quality.time_slice(m, 1) == "second"
+    by_day, by_minute = (sorted(map(tuple, quality.thin(m, 7, unit).collect())) for unit in ("day", "minute"))
+    assert by_day == by_minute
+
+
 def test_healthy_metrics_stay_in_their_band(spark):
     m = fleet.metrics(spark, noise=0.05)
     audit = quality.band_audit(m, quality.app_means(m), 0.05).collect()
