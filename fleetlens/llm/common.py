@@ -185,20 +185,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     links = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                        .filter("u <> v").distinct())
+    seen = None
     while True:
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .filter("u <> v").distinct())
-        large = checkpoint(large)
+        large = checkpoint(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                           .filter("u <> v").distinct())
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionAll(down.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        small = checkpoint(small)
-        same = small.select(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        was = links.select(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        links = small
-        if same == was:
+        links = checkpoint(large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                           .unionAll(down.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if now == seen:
             break
+        seen = now
     roots = links.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)

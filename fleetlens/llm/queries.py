@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe
-from fleetlens.llm.common import documents
+from fleetlens.llm import bpe, decontam, jaccard, langid
+from fleetlens.llm.common import documents, held_out
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -15,6 +16,23 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.identified(docs, langid.dictionaries(docs.filter(~held_out(F.col("doc_id")))))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.scanned(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_language_id": op2_language_id,
+    "op6_decontamination": op6_decontamination,
+    "op9_jaccard_join": op9_jaccard_join,
 }
