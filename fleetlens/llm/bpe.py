@@ -422,7 +422,7 @@ def _digests(words: Vocabulary, texts: list[str], with_ids: bool) -> list[tuple]
     for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False):
         numbers = spelled[spelled_at[a]: max(spelled_at[b] - 1, spelled_at[a])]
         out.append((b - a, hashlib.sha256(numbers).hexdigest(),
-                    hashlib.sha256(plain[plain_at[a]:plain_at[b]]).hexdigest(), ids[a:b] if with_ids else None))
+                    hashlib.sha256(plain[plain_at[a]:plain_at[b]]).hexdigest(), ids[a:b].astype(np.int32) if with_ids else None))
     return out
 
 
@@ -436,5 +436,5 @@ def _digest(words: Vocabulary, texts: list[str], with_ids: bool) -> tuple:
         decoded.update(words.decode(ids)[0])
         count += len(ids)
         if with_ids:
-            kept.append(ids)
+            kept.append(ids.astype(np.int32))
     return count, numbers.hexdigest(), decoded.hexdigest(), np.concatenate(kept) if with_ids else None

@@ -13,13 +13,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from fleetlens.session import checkpoint, prepare, scratch_dir
+from fleetlens.session import checkpoint, scratch_dir
 
 #: Text bytes that a task works on at a time; a longer document is one piece of its own.
 PIECE_BYTES = 1 << 20
 #: Rows of an Arrow batch between the JVM and Python.
 BATCH_ROWS = 2_000
+#: Ids that are sent to every executor; more are joined by shuffle.
+FEW_IDS = 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -90,6 +93,38 @@ def map_pieces(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: st
     return df.mapInArrow(run, schema)
 
 
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name that the rows do not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
+def annotated(df: DataFrame, text_col: str, work: Callable[[pa.Array], dict], fields: str, name: str,
+              limit: int = PIECE_BYTES) -> DataFrame:
+    """All rows and columns as they are, and a struct column `name` that `work` makes of the texts."""
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, text_col, limit):
+                made = work(piece.column(place))
+                extra = pa.StructArray.from_arrays(list(made.values()), list(made))
+                yield pa.RecordBatch.from_arrays([*piece.columns, extra], [*piece.schema.names, name])
+
+    schema = StructType([*df.schema.fields, StructField(name, StructType.fromDDL(fields))])
+    return df.mapInArrow(run, schema)
+
+
+def without(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id is not among the given distinct ids; those are broadcast only if they are few."""
+    ids = written(ids.select(ids.columns[0]).toDF("gone"), "gone")
+    few = ids.count() <= FEW_IDS
+    gone = ids.withColumnRenamed("gone", name := free_name(df, "gone"))
+    return df.join(F.broadcast(gone) if few else gone, df[id_col] == gone[name], "left_anti")
+
+
 # ---- spans and their hashes
 
 

@@ -157,61 +157,65 @@ def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes:
         yield [tuple(r) for r in (rows if blocks == 1 else rows.filter(part == i)).collect()]
 
 
-def scanned(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id",
-            text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-            block_bytes: int = BLOCK_BYTES, with_text: bool = False) -> DataFrame:
-    """One row per document: how many words, how many inside occurrences, and the items that occur.
-
-    With `with_text`, the rows also carry the text, `hits` (word ranges
-    [start, end) that are inside occurrences) and `items`.
-    """
-    spark = docs.sparkSession
-    rows = two_columns(docs, id_col, text_col).withColumns({
-        "n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<long>"),
-        "items": F.array().cast("array<string>")})
-    key = rows.schema["doc_id"].dataType.simpleString()
-    state = f"doc_id {key}, text string, n_words long, hits array<long>, items array<string>"
+STATE = "n_words bigint, hits array<bigint>, items array<string>"
+
+
+def flagged(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text_col: str = "text",
+            item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES,
+            name: str = "overlap") -> DataFrame:
+    """All rows and columns, and a struct `name`: n_words, hits (word ranges [start, end) that are inside
+    occurrences, as one flat list) and items (those that occur, sorted as strings)."""
+    sent = docs.sparkSession.sparkContext.broadcast
+    rows = docs.withColumn(name, F.lit(None).cast(f"struct<{STATE.replace(' ', ':').replace(',:', ',')}>"))
     for items in _item_blocks(benchmark, item_col, item_text_col, block_bytes):
-        rows = rows.mapInArrow(_pass(spark.sparkContext.broadcast((items, window))), state)
-    if not with_text:
-        rows = rows.drop("text")
-    return rows.mapInArrow(_summary, f"doc_id {key}, {SCHEMA}" + (
-        ", text string, hits array<long>, items array<string>" if with_text else ""))
+        rows = rows.mapInArrow(_pass(sent((items, window)), rows.columns.index(text_col), len(rows.columns) - 1), rows.schema)
+    return rows
 
 
-def _texts(batches, limit=PIECE_BYTES):
-    for batch in batches:
-        for piece in pieces(batch, "text", limit):
-            data, offsets = text_bytes(piece.column(1))
-            data, starts, ends, hashes = _words(data, offsets)
-            first = np.searchsorted(starts, offsets[:-1])
-            stop = np.searchsorted(starts, offsets[1:])
-            yield piece, data, starts, ends, hashes, first, stop
+def scanned(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+            **options) -> DataFrame:
+    """One row per document: how many words, how many inside occurrences, and the items that occur."""
+    rows = flagged(two_columns(docs, id_col, text_col), benchmark, **options, name="overlap")
+    key = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "overlap.*").mapInArrow(_summary, f"doc_id {key}, {SCHEMA}")
 
 
-def _pass(sent):
+def _pass(sent, place: int, state: int):
     """Search one block of patterns; its occurrences join those found before."""
 
     def run(batches):
         patterns = Patterns(*sent.value)
-        for piece, data, starts, ends, hashes, first, stop in _texts(batches):
-            spans: dict[int, list[int]] = {}
-            names: dict[int, set] = {}
-            for begin, length, items in patterns.hits(data, starts, ends, hashes, first, stop):
-                doc = int(np.searchsorted(stop, begin, side="right"))
-                spans.setdefault(doc, []).extend((begin - int(first[doc]), begin - int(first[doc]) + length))
-                names.setdefault(doc, set()).update(items)
-            hits, found = piece.column(3).to_pylist(), piece.column(4).to_pylist()
-            for doc, own in spans.items():
-                hits[doc] = _united((hits[doc] or []) + own)
-                found[doc] = sorted({*(found[doc] or []), *names[doc]})
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": piece.column(0), "text": piece.column(1), "n_words": pa.array(stop - first, pa.int64()),
-                "hits": pa.array(hits, pa.list_(pa.int64())), "items": pa.array(found, pa.list_(pa.string()))})
+        for batch in batches:
+            for piece in pieces(batch, batch.schema.names[place], PIECE_BYTES):
+                yield pa.RecordBatch.from_arrays([
+                    *piece.columns[:state], _searched(patterns, piece.column(place), piece.column(state))],
+                    piece.schema.names)
 
     return run
 
 
+def _searched(patterns: Patterns, texts: pa.Array, before: pa.Array) -> pa.Array:
+    data, offsets = text_bytes(texts)
+    data, starts, ends, hashes = _words(data, offsets)
+    first, stop = np.searchsorted(starts, offsets[:-1]), np.searchsorted(starts, offsets[1:])
+    spans: dict[int, list[int]] = {}
+    names: dict[int, set] = {}
+    for begin, length, items in patterns.hits(data, starts, ends, hashes, first, stop):
+        doc = int(np.searchsorted(stop, begin, side="right"))
+        spans.setdefault(doc, []).extend((begin - int(first[doc]), begin - int(first[doc]) + length))
+        names.setdefault(doc, set()).update(items)
+    hits: list[list] = [[]] * len(texts)
+    found: list[list] = [[]] * len(texts)
+    for doc, old in enumerate(before.to_pylist()):
+        own = ((old or {}).get("hits") or []) + spans.get(doc, [])
+        if own:
+            hits[doc] = _united(own)
+            found[doc] = sorted({*((old or {}).get("items") or []), *names.get(doc, ())})
+    return pa.StructArray.from_arrays(
+        [pa.array((stop - first).astype(np.int64)), pa.array(hits, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))],
+        ["n_words", "hits", "items"])
+
+
 def _united(flat: list[int]) -> list[int]:
     """Disjoint ranges that cover the same words, as one flat list."""
     out: list[int] = []
@@ -226,12 +230,10 @@ def _united(flat: list[int]) -> list[int]:
 def _summary(batches):
     for batch in batches:
         column = dict(zip(batch.schema.names, batch.columns, strict=True))
-        hits, items = column["hits"].to_pylist(), column["items"].to_pylist()
-        n_hit = [sum(h[1::2]) - sum(h[::2]) for h in hits]
-        out = {"doc_id": column["doc_id"], "n_words": column["n_words"],
-               "n_hit": pa.array(n_hit, pa.int64()), "n_items": pa.array([len(i) for i in items], pa.int64()),
-               "items_sha256": pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], pa.string()),
-               "contaminated": pa.array([n > 0 for n in n_hit], pa.bool_())}
-        if "text" in column:
-            out |= {"text": column["text"], "hits": column["hits"], "items": column["items"]}
-        yield pa.RecordBatch.from_pydict(out)
+        n_hit = [sum(h[1::2]) - sum(h[::2]) for h in column["hits"].to_pylist()]
+        items = column["items"].to_pylist()
+        yield pa.RecordBatch.from_pydict({
+            "doc_id": column["doc_id"], "n_words": column["n_words"],
+            "n_hit": pa.array(n_hit, pa.int64()), "n_items": pa.array([len(i) for i in items], pa.int64()),
+            "items_sha256": pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], pa.string()),
+            "contaminated": pa.array([n > 0 for n in n_hit], pa.bool_())})

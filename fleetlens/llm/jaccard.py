@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import (PIECE_BYTES, SpanHash, components, lowered, mixed, owners, pieces, runs, text_bytes,
+from fleetlens.llm.common import (FEW_IDS, PIECE_BYTES, SpanHash, components, lowered, mixed, owners, pieces, runs, text_bytes,
                                   two_columns, written)
 
 WORDS, PERCENT = 4, 85
@@ -48,8 +48,6 @@ BAND = 1.7
 SPARE = 2
 #: Undecided pairs for each document up to which they are compared directly.
 DIRECT = 8
-#: Ids that are sent to every executor to pick the texts of candidates; more are joined by shuffle.
-SENT_IDS = 1_000_000
 BUCKETS = 256
 
 _HASH = SpanHash(11)
@@ -243,7 +241,7 @@ class _Join:
         likely = written(likely.mapInArrow(_maybe(self.percent), "a long, b long"), "likely")
         nodes = written(likely.select(F.col("a").alias("node")).unionAll(likely.select(F.col("b").alias("node"))).distinct(),
                         "nodes")
-        few = nodes.count() <= SENT_IDS
+        few = nodes.count() <= FEW_IDS
         texts = self.docs.withColumn("node", F.col("doc_id"))
         texts = texts.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").select("doc_id", "text", "node")
         sets = written(texts.mapInArrow(_sets(self.words), "node long, features binary"), "sets")

@@ -1,9 +1,9 @@
 """Language identification by compression.
 
 For every language a zstandard raw-content dictionary is made of labelled texts.
-A text is compressed once with each dictionary, in blocks of BLOCK_BYTES so that
-a long text keeps asking the dictionaries and not itself, and the language with
-the smallest total wins. The margin is the share by which the runner-up is larger;
+A text is brought to lower case, with one space for all that is no letter, and
+compressed with each dictionary, in blocks of BLOCK_BYTES so that a long text keeps
+asking the dictionaries and not itself; the language with the smallest total wins. The margin is the share by which the runner-up is larger;
 where it is below MARGIN the decision is rejected. The score rises with the margin
 from 0.5 (no difference) to 1.
 
@@ -26,16 +26,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import map_pieces, two_columns
+from fleetlens.llm.common import annotated
 
-SAMPLE_TEXTS = 120
+SAMPLE_TEXTS = 240
 MIN_BYTES, MAX_BYTES = 200, 20_000
-DICTIONARY_BYTES = 96_000
+DICTIONARY_BYTES = 64_000
 #: Labels that get a dictionary, those with the most rows first.
 MAX_LANGUAGES = 200
 BLOCK_BYTES = 4_096
-LEVEL = 3
-MARGIN = 0.004
+#: Texts up to this size are also compressed from three later starts: a few bytes are too coarse a measure.
+SHORT_BYTES = 1_024
+MARGIN = 0.001
 UNKNOWN = "und"
 
 _PLAIN = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
@@ -68,21 +69,22 @@ def dictionaries(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return out
 
 
-def identified(docs: DataFrame, learned: dict[str, bytes], *, margin: float = MARGIN, id_col: str = "doc_id",
-               text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, lang_pred, score, margin, rejected."""
-    only = two_columns(docs, id_col, text_col)
-    key = only.schema["doc_id"].dataType.simpleString()
+FIELDS = "lang_pred string, score double, margin double, rejected boolean"
+
+
+def identified(docs: DataFrame, learned: dict[str, bytes], *, margin: float = MARGIN, text_col: str = "text",
+               name: str = "language") -> DataFrame:
+    """All rows and columns, and a struct `name` of lang_pred, score, margin and rejected."""
     sent = docs.sparkSession.sparkContext.broadcast(learned)
 
-    def work(batch: pa.RecordBatch) -> dict:
-        rows = [_decide(_Compressors.of(sent.value), text) for text in batch.column(1).to_pylist()]
-        lang, score, gap = zip(*rows, strict=True)
-        return {"doc_id": batch.column(0), "lang_pred": pa.array(lang, pa.string()),
-                "score": pa.array(score, pa.float64()), "margin": pa.array(gap, pa.float64()),
-                "rejected": pa.array([name == UNKNOWN or g < margin for name, g in zip(lang, gap, strict=True)], pa.bool_())}
+    def work(texts: pa.Array) -> dict:
+        compressors = _Compressors.of(sent.value)
+        lang, score, gap = zip(*(_decide(compressors, text) for text in texts.to_pylist()), strict=True)
+        return {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()),
+                "margin": pa.array(gap, pa.float64()),
+                "rejected": pa.array([x == UNKNOWN or g < margin for x, g in zip(lang, gap, strict=True)], pa.bool_())}
 
-    return map_pieces(only, work, f"doc_id {key}, lang_pred string, score double, margin double, rejected boolean")
+    return annotated(docs, text_col, work, FIELDS, name)
 
 
 class _Compressors:
@@ -96,9 +98,11 @@ class _Compressors:
             made = []
             for lang, content in sorted(learned.items()):
                 own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                own.precompute_compress(level=LEVEL)
-                made.append((lang, zstandard.ZstdCompressor(
-                    level=LEVEL, dict_data=own, write_checksum=False, write_content_size=False, write_dict_id=False)))
+                settings = zstandard.ZstdCompressionParameters(
+                    strategy=zstandard.STRATEGY_LAZY2, window_log=17, hash_log=16, chain_log=16, search_log=5, min_match=3,
+                    write_checksum=False, write_content_size=False, write_dict_id=False)
+                own.precompute_compress(compression_params=settings)
+                made.append((lang, zstandard.ZstdCompressor(dict_data=own, compression_params=settings)))
             cls._kept = (id(learned), made)
         return cls._kept[1]
 
@@ -112,7 +116,10 @@ def _decide(compressors: list, text: str | None) -> tuple[str, float, float]:
     if not text or not compressors or not _LETTER.search(text):
         return UNKNOWN, 0.0, 0.0
     raw = normalized(text)
-    blocks = [raw[i: i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
+    if len(raw) <= SHORT_BYTES:
+        blocks = [raw[len(raw) * i // 4:] for i in range(4)]
+    else:
+        blocks = [raw[i: i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
     sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in compressors)
     if len(sizes) == 1:
         return sizes[0][1], 1.0, 1.0

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, decontam, jaccard, langid
+from fleetlens.llm import bpe, decontam, jaccard, langid, pii, quality, sharding, warc, winnow
 from fleetlens.llm.common import documents, held_out
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -18,21 +18,85 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    found = langid.identified(docs, langid.dictionaries(docs.filter(~held_out(F.col("doc_id")))))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+    learned = langid.dictionaries(docs.filter(~held_out(F.col("doc_id"))))
+    found = langid.identified(docs.select("doc_id", "text"), learned)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score",
+                        "language.margin", "language.rejected")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), documents(spark, sf_dir, "labels")
+    folded = quality.trained(docs, labels.filter(~held_out(F.col("doc_id"))))
+    return quality.scored(docs, folded).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.followed(documents(spark, sf_dir))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.scanned(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """A crawl's records: every page as a full response, and a not-modified answer to a later or earlier recrawl.
+
+    The recrawl's instant follows from the URL, so some come before any response, and
+    some find that another page has taken the URL since.
+    """
+    html = F.coalesce(F.col("html"), F.lit(""))
+    tag = F.concat(F.lit('"'), F.substring(F.md5(html.cast("binary")), 1, 16), F.lit('"'))
+    moved = (F.crc32(F.coalesce(F.col("url"), F.lit("")).cast("binary")) % 2001 - 1000) * 2 + 1
+
+    def record(kind, shift, headers, payload):
+        ts = F.col("page_id") * 2 + shift
+        headers = {"date": ts.cast("string"), **headers}
+        return pages.select(
+            (F.col("page_id") * 2 + int(kind == "revisit")).alias("record_id"), F.lit(kind).alias("type"), "url",
+            ts.alias("ts"), F.create_map(*[x for k, v in headers.items() for x in (F.lit(k), v)]).alias("headers"),
+            payload.alias("payload"))
+
+    content = F.struct(F.md5(html.cast("binary")).alias("md5"), F.octet_length(html).cast("long").alias("bytes"))
+    full = record("response", F.lit(0), {
+        "content-type": F.lit("text/html"), "content-length": F.octet_length(html).cast("string"), "etag": tag,
+        "cache-control": F.lit("max-age=60"), "last-modified": F.col("page_id").cast("string")}, content)
+    again = record("revisit", moved, {
+        "content-length": F.lit("0"), "etag": F.concat(F.lit("W/"), tag), "cache-control": F.lit("max-age=3600"),
+        "server": F.lit("recrawl")}, F.lit(None).cast(full.schema["payload"].dataType))
+    return full.unionAll(again)
+
+
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return warc.resolved(captures(documents(spark, sf_dir, "pages"))).select(
+        F.col("record_id").alias("revisit_id"), "url_key", "ts", "state", "refers_to", "refers_ts",
+        F.array_join(lines, "\n").alias("headers"), F.col("payload.md5").alias("payload_md5"),
+        F.col("payload.bytes").alias("payload_bytes"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(documents(spark, sf_dir))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = pii.found(docs, pii.trained(docs))
+    return found.select("doc_id", *(f"pii.{c}" for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_language_id": op2_language_id,
+    "op4_quality": op4_quality,
+    "op5_winnowing": op5_winnowing,
     "op6_decontamination": op6_decontamination,
+    "op7_warc_revisits": op7_warc_revisits,
+    "op8_sharding": op8_sharding,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_personal_data": op10_personal_data,
 }
