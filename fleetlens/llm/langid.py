@@ -19,6 +19,8 @@ name. Equal texts get equal results; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -63,8 +65,8 @@ def dictionaries(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     out = {}
     for lang, texts in sorted(chosen.items()):
         some = [normalized(text) for _, text in sorted(set(texts))[:SAMPLE_TEXTS]]
-        room = max(1, DICTIONARY_BYTES // len(some))
-        content = b"\n".join(text[:room] for text in some) if sum(map(len, some)) > DICTIONARY_BYTES else b"\n".join(some)
+        room = max(1, DICTIONARY_BYTES // len(some))  # an excerpt of each, from anywhere in it
+        content = b"\n".join(t[(at := crc32(t) % max(1, len(t) - room)): at + room] for t in some)
         out[lang] = content
     return out
 
