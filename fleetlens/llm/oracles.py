@@ -1,3 +1,97 @@
-"""The same results in DuckDB SQL, for the operators that SQL can express."""
+"""The same results in DuckDB SQL, for the operators that SQL can express.
 
-ORACLES: dict[str, str] = {}
+Merging by rank, compression, suffix removal with its digests, trained models, rolling
+hashes and differencing are beyond it; tests hold those against brute force.
+"""
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+DECONTAMINATION = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), pat AS (
+  SELECT DISTINCT item, n, w[i:i + n - 1] AS p
+  FROM (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)
+), win AS (
+  SELECT doc_id, i, n, w[i:i + n - 1] AS p
+  FROM (SELECT doc_id, w, n, unnest(range(1, CAST(len(w) AS BIGINT) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM pat))
+), hit AS (
+  SELECT doc_id, i, win.n, item FROM win JOIN pat ON win.p = pat.p
+), words AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM hit) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+JACCARD = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, w[i:i + 3] AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) AS i FROM d)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes sa ON sa.doc_id = a JOIN sizes sb ON sb.doc_id = b
+  WHERE 100 * common.n >= 85 * (sa.n + sb.n - common.n)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT a AS node, b AS other FROM edges
+  UNION
+  SELECT reach.node, edges.b FROM reach JOIN edges ON reach.other = edges.a
+)
+SELECT d.doc_id, coalesce(sizes.n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id
+FROM d LEFT JOIN sizes USING (doc_id)
+LEFT JOIN (SELECT node AS doc_id, min(other) AS low FROM reach GROUP BY node) USING (doc_id)
+"""
+
+WARC = r"""
+WITH p AS (
+  SELECT page_id, url, md5(coalesce(html, '')) AS m, strlen(coalesce(html, '')) AS n,
+         regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest,
+         '"' || md5(coalesce(html, ''))[1:16] || '"' AS tag
+  FROM pages
+), q AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www[.]', ''), ':(80|443)$', '') AS host,
+         regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+         array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '[?](.*)$', 1), '&'),
+           lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|gclid|fbclid)='))), '&') AS query
+  FROM p
+), k AS (
+  SELECT *, host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url_key FROM q
+), moved AS (
+  SELECT *, page_id * 2 + ((length(coalesce(url, '')) * 7919 + page_id * 104729) % 2001 - 1000) * 2 + 1 AS ts FROM k
+), full_ AS (
+  SELECT url_key, page_id * 2 AS ts, page_id, m, n, tag FROM k
+), r AS (
+  SELECT moved.page_id, moved.url_key, moved.ts, moved.tag AS own, f.page_id AS other, f.m, f.n, f.tag
+  FROM moved ASOF LEFT JOIN full_ f ON moved.url_key = f.url_key AND moved.ts > f.ts
+)
+SELECT page_id * 2 + 1 AS revisit_id, url_key, ts,
+       CASE WHEN other IS NULL THEN 'missing' WHEN own = tag THEN 'resolved' ELSE 'mismatch' END AS state,
+       CASE WHEN own = tag THEN other * 2 END AS refers_to, CASE WHEN own = tag THEN other * 2 END AS refers_ts,
+       CASE WHEN own = tag THEN 'cache-control: max-age=3600' || chr(10) || 'content-length: ' || n || chr(10)
+         || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'etag: W/' || own || chr(10)
+         || 'last-modified: ' || other END AS headers,
+       CASE WHEN own = tag THEN m END AS payload_md5, CASE WHEN own = tag THEN n END AS payload_bytes
+FROM r
+"""
+
+ORACLES: dict[str, str] = {
+    "op6_decontamination": DECONTAMINATION,
+    "op7_warc_revisits": WARC,
+    "op9_jaccard_join": JACCARD,
+}

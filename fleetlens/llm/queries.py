@@ -46,12 +46,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def captures(pages: DataFrame) -> DataFrame:
     """A crawl's records: every page as a full response, and a not-modified answer to a later or earlier recrawl.
 
-    The recrawl's instant follows from the URL, so some come before any response, and
+    The recrawl's instant follows from URL and id, so some come before any response, and
     some find that another page has taken the URL since.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     tag = F.concat(F.lit('"'), F.substring(F.md5(html.cast("binary")), 1, 16), F.lit('"'))
-    moved = (F.crc32(F.coalesce(F.col("url"), F.lit("")).cast("binary")) % 2001 - 1000) * 2 + 1
+    moved = ((F.length(F.coalesce(F.col("url"), F.lit(""))) * 7919 + F.col("page_id") * 104_729) % 2001 - 1000) * 2 + 1
 
     def record(kind, shift, headers, payload):
         ts = F.col("page_id") * 2 + shift
