@@ -17,13 +17,19 @@ partitions beyond the necessary number make such sets rare. (A band with k = 0 n
 signature: its sets link only when equal.)
 
 Equal sets are one class, whose smallest document stands for it; a task emits the
-signatures of a class once. Members of a signature are compared with the signature's
-smallest class (the hub), never all with all. What the hubs leave open - members of one
-signature that ended up in different components - is compared pair by pair when
-those pairs are few for the number of documents, and by further rounds of hubs
-otherwise; either way no pair that shares a signature stays undecided. Pairs are
-dropped early only by exact bounds: the sizes, and the distance between the counts of
-features in 256 buckets, which is never larger than the real difference.
+signatures of a class once. The members of a signature are first compared with its
+smallest class (the hub). What that leaves open - signatures whose members are still in
+different components - is settled in rounds: a task looks at the parity sketches of one
+signature's members in blocks and emits pairs that join its components, no more than
+a spanning forest of them, out of the pairs that may link. They are compared exactly,
+components are renewed, and a signature stays open only as long as a pair of its round
+failed. So no pair that shares a signature remains undecided, and no group emits all
+its pairs.
+
+A parity sketch has a bit for each of 2.5 buckets a feature, the parity of the bucket's
+features. Two sketches differ in at most as many bits as the sets in features, so pairs
+that differ in more bits than a link allows are settled exactly; a sketch folds to half
+its size by xor of its halves.
 
 Null and empty texts, and texts without words, have an empty set and link with
 nothing. Fewer words than a shingle has: the whole sequence is the one shingle.
@@ -46,9 +52,10 @@ from fleetlens.llm.common import (FEW_IDS, PIECE_BYTES, SpanHash, components, lo
 WORDS, PERCENT = 4, 85
 BAND = 1.7
 SPARE = 2
-#: Undecided pairs for each document up to which they are compared directly.
-DIRECT = 8
-BUCKETS = 256
+#: Bits of a parity sketch.
+MIN_BITS, MAX_BITS = 256, 1 << 16
+#: Rows of a group that are compared with the others at a time.
+BLOCK = 256
 
 _HASH = SpanHash(11)
 _SPACE = np.zeros(256, bool)
@@ -148,15 +155,19 @@ def _featured(words: int, percent: int):
                         seen.add(key)
                         fresh[i] = True
                 inside = fresh[doc]
-                bucket = doc[inside] * BUCKETS + (features[inside] & np.uint64(BUCKETS - 1)).astype(np.int64)
-                sketch = np.minimum(np.bincount(bucket, minlength=n * BUCKETS), 255).astype(np.uint8).reshape(n, BUCKETS)
+                bits = np.where(fresh, _bits(sizes), 0)
+                base = np.cumsum(bits) - bits
+                owner = doc[inside]
+                bucket = base[owner] + (features[inside] & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+                sketch = np.packbits(np.bincount(bucket, minlength=int(bits.sum())) & 1, bitorder="little").tobytes()
                 of, sigs = signatures(doc[inside], features[inside], np.where(fresh, sizes, 0), percent)
                 order = np.argsort(of, kind="stable")
                 each = np.append(0, np.cumsum(np.bincount(of, minlength=n))).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": piece.column(0), "n": pa.array(sizes.astype(np.int64)),
                     "one": pa.array(one.view(np.int64)), "two": pa.array(two.view(np.int64)),
-                    "sketch": pa.array([s.tobytes() if f else None for s, f in zip(sketch, fresh, strict=True)], pa.binary()),
+                    "sketch": pa.array([sketch[a // 8: (a + w) // 8] if w else None
+                                        for a, w in zip(base.tolist(), bits.tolist(), strict=True)], pa.binary()),
                     "sigs": pa.ListArray.from_arrays(pa.array(each), pa.array(sigs[order].view(np.int64)))})
 
     return run
@@ -176,25 +187,99 @@ def _sets(words: int):
     return run
 
 
+def _bits(sizes: np.ndarray) -> np.ndarray:
+    """How many bits the sketches of sets of these sizes have: a power of two."""
+    power = np.ceil(np.log2(np.maximum(sizes, 1) * 2.5)).astype(np.int64)
+    return np.clip(1 << power, MIN_BITS, MAX_BITS)
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of words, all folded to the size of the smallest."""
+    least = min(map(len, sketches))
+    out = np.zeros((len(sketches), least // 8), np.uint64)
+    for i, raw in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(raw, "<u8").reshape(-1, least // 8), axis=0)
+    return out
+
+
+def _may_link(bits: np.ndarray, n: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and differing bits allow a link."""
+    return ((100 * np.minimum(n, other) >= percent * np.maximum(n, other))
+            & (bits * (100 + percent) <= (n + other) * (100 - percent)))
+
+
 def _maybe(percent: int):
-    """Keep pairs whose counts by bucket allow a link."""
+    """Keep pairs that may link."""
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
             col = dict(zip(batch.schema.names, batch.columns, strict=True))
-            a, b = (np.frombuffer(b"".join(col[c].to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int64)
-                    for c in ("sketch_a", "sketch_b"))
-            total = col["n_a"].to_numpy() + col["n_b"].to_numpy()
-            far = np.abs(a - b).sum(axis=1)
-            full = (a == 255).any(axis=1) | (b == 255).any(axis=1)  # cut counts bound nothing
-            keep = full | (far * (100 + percent) <= total * (100 - percent))
-            yield pa.RecordBatch.from_pydict({c: col[c].filter(pa.array(keep)) for c in ("a", "b")})
+            n_a, n_b = col["n_a"].to_numpy(), col["n_b"].to_numpy()
+            bits = np.array([int(np.bitwise_count(np.bitwise_xor(*_folded([x, y]))).sum()) for x, y in zip(
+                col["sketch_a"].to_pylist(), col["sketch_b"].to_pylist(), strict=True)], np.int64)
+            keep = pa.array(_may_link(bits, n_a, n_b, percent))
+            yield pa.RecordBatch.from_pydict({c: col[c].filter(keep) for c in ("a", "b")})
+
+    return run
+
+
+def _forest(percent: int):
+    """Pairs of each signature's members that may link and join its components; rows come sorted by signature."""
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]) if rest is not None else table
+            cuts = np.flatnonzero(np.diff(table.column("sig").to_numpy())) + 1
+            done = int(cuts[-1]) if len(cuts) else 0  # the last signature may go on in the next batch
+            if done:
+                yield from _joining(table.slice(0, done).combine_chunks(), np.append(0, cuts), percent)
+            rest = table.slice(done)
+        if rest is not None and rest.num_rows:
+            yield from _joining(rest.combine_chunks(), np.array([0, rest.num_rows]), percent)
 
     return run
 
 
+def _joining(table: pa.Table, cuts: np.ndarray, percent: int):
+    sig, node, part, n = (table.column(c).to_numpy() for c in ("sig", "node", "component", "n"))
+    sketches, failed = table.column("sketch").to_pylist(), table.column("failed").to_pylist()
+    out = [(sig[a], x, y) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+           for x, y in _spanning(node[a:b], part[a:b], n[a:b], sketches[a:b], failed[a:b], percent)]
+    if out:
+        sigs, ones, twos = (np.array(x, np.int64) for x in zip(*out, strict=True))
+        yield pa.RecordBatch.from_pydict({"sig": pa.array(sigs), "a": pa.array(np.minimum(ones, twos)),
+                                          "b": pa.array(np.maximum(ones, twos))})
+
+
+def _spanning(node, part, n, sketches, failed, percent: int) -> list[tuple[int, int]]:
+    """Pairs that may link and make one component of as many as they can."""
+    order = np.argsort(node)
+    node, part, n = node[order], part[order], n[order]
+    sketch = _folded([sketches[i] for i in order.tolist()])
+    label = np.unique(part, return_inverse=True)[1]
+    out = []
+    for begin in range(0, len(node), BLOCK):
+        rows = slice(begin, begin + BLOCK)
+        bits = np.zeros((len(node[rows]), len(node)), np.int64)
+        for word in range(sketch.shape[1]):
+            bits += np.bitwise_count(sketch[rows, word][:, None] ^ sketch[None, :, word])
+        may = _may_link(bits, n[rows][:, None], n[None, :], percent) & (label[rows][:, None] != label[None, :])
+        for i in range(len(may)):
+            tried = failed[order[begin + i]]
+            if tried:
+                may[i] &= ~np.isin(node, tried)
+        one, two = np.nonzero(may)
+        one = one + begin
+        while len(one):
+            out.append((int(node[one[0]]), int(node[two[0]])))
+            label[label == label[two[0]]] = label[one[0]]
+            open_ = label[one] != label[two]
+            one, two = one[open_], two[open_]
+    return out
+
+
 def _linked(percent: int):
     def run(batches):
         for batch in batches:
@@ -252,34 +337,27 @@ class _Join:
         """Links that connect every component."""
         tested = written(self.candidates(), "tested")
         links = written(self.compared(tested), "links")
-        alive = self.shared.select("sig", "one", "hub")
-        documents = self.classes.count()
+        nodes = self.classes.select("one", "node", "n", "sketch")
+        alive = self.shared.select("sig", "one")
         while True:
-            nodes = self.classes.select("one", "node")
-            part = components(links)
-            placed = (alive.join(nodes, "one").join(part, "node", "left")
+            part = written(components(links), "part")
+            placed = (alive.join(nodes.select("one", "node"), "one").join(part, "node", "left")
                       .select("sig", "one", "node", F.coalesce("component", "node").alias("component")))
             spread = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-            alive = written(placed.join(spread.filter("low <> high").select("sig"), "sig"), "alive")
-            each = alive.groupBy("sig", "component").count()
-            open_pairs = (each.groupBy("sig").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
-                          .agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0)
-            if not open_pairs:
+            still = placed.join(spread.filter("low <> high").select("sig"), "sig")
+            missed = tested.join(links, ["a", "b"], "left_anti")
+            missed = (missed.unionAll(missed.select("b", "a")).groupBy(F.col("a").alias("node"))
+                      .agg(F.collect_list("b").alias("failed")))
+            rows = still.join(nodes.drop("one"), "node").join(missed, "node", "left")
+            found = written(rows.select("sig", "node", "component", "n", "sketch", "failed")
+                            .repartition("sig").sortWithinPartitions("sig")
+                            .mapInArrow(_forest(self.percent), "sig long, a long, b long"), "forest")
+            if found.isEmpty():
                 return links
-            if open_pairs <= DIRECT * documents:
-                other = alive.select("sig", F.col("node").alias("b"), F.col("component").alias("other"))
-                pairs = (alive.join(other, "sig").filter("node < b AND component <> other")
-                         .select(F.col("node").alias("a"), "b").distinct())
-                pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "rest")
-                return links.unionAll(self.compared(pairs))
-            hub = alive.groupBy("sig").agg(F.min(F.struct("node", "component")).alias("hub"))
-            round_ = alive.join(hub, "sig")
-            pairs = (round_.filter("component <> hub.component")
-                     .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct())
-            pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "round")
+            pairs = written(found.select("a", "b").distinct(), "round")
             links = written(links.unionAll(self.compared(pairs)), "links")
             tested = written(tested.unionAll(pairs), "tested")
-            alive = written(round_.filter("node <> hub.node").select("sig", "one"), "alive")
+            alive = written(alive.join(found.select("sig").distinct(), "sig", "left_semi"), "alive")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",

@@ -42,7 +42,7 @@ SAMPLE_BYTES = 20_000
 WINDOWS = 300
 WINDOW, STRIDE = 128, 64
 HIDDEN, EMBEDDED = 16, 12
-EPOCHS, BATCH, RATE = 14, 32, 0.01
+STEPS, BATCH, RATE = 400, 32, 0.01
 SURE = 0.9
 
 # The base patterns.
@@ -252,19 +252,20 @@ class Tagger:
                 dh, dc = dz @ w["h" + way].T, dc * forget
         return out
 
-    def fit(self, symbols: np.ndarray, tags: np.ndarray, epochs: int = EPOCHS, seed: int = 6) -> Tagger:
+    def fit(self, symbols: np.ndarray, tags: np.ndarray, steps: int | None = None, seed: int = 6) -> Tagger:
         rng = np.random.default_rng(seed)
         mean, square = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
-        count = 0
-        for _ in range(epochs):
-            for rows in np.array_split(rng.permutation(len(symbols)), max(1, len(symbols) // BATCH)):
-                count += 1
-                for k, g in self.gradients(symbols[rows], tags[rows]).items():
-                    g = np.clip(g, -5, 5)
-                    mean[k] = 0.9 * mean[k] + 0.1 * g
-                    square[k] = 0.99 * square[k] + 0.01 * g * g
-                    self.w[k] = (self.w[k] - RATE * (mean[k] / (1 - 0.9 ** count))
-                                 / (np.sqrt(square[k] / (1 - 0.99 ** count)) + 1e-6)).astype(np.float32)
+        order: list[int] = []
+        for step in range(1, 1 + (STEPS if steps is None else steps)):
+            if len(order) < min(BATCH, len(symbols)):
+                order = rng.permutation(len(symbols)).tolist()
+            rows, order = order[:BATCH], order[BATCH:]
+            for k, g in self.gradients(symbols[rows], tags[rows]).items():
+                g = np.clip(g, -5, 5)
+                mean[k] = 0.9 * mean[k] + 0.1 * g
+                square[k] = 0.99 * square[k] + 0.01 * g * g
+                self.w[k] = (self.w[k] - RATE * (mean[k] / (1 - 0.9 ** step))
+                             / (np.sqrt(square[k] / (1 - 0.99 ** step)) + 1e-6)).astype(np.float32)
         return self
 
 
