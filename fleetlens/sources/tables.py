@@ -8,43 +8,84 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from fleetlens import schema
+from fleetlens.sources.files import names
 
 # Raised by a scan of a folder that is missing or holds no Parquet file.
-_NO_FILES = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
+NO_FILES = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
 
 
-def read_chunks(spark: SparkSession, path: str, table: str, merge_schema: bool = False) -> DataFrame:
+def raw_schema(spark: SparkSession, paths: list[str], contract: T.StructType) -> T.StructType:
+    """The contract, with the physical types that a file has for its columns.
+
+    Every contract column is read from every file that has it; which columns the
+    looked-up file has does not matter.
+    """
+    try:
+        found = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+                 .parquet(*paths).schema)
+    except AnalysisException as error:
+        if error.getCondition() in NO_FILES:
+            return contract
+        raise
+    have = {field.name: field.dataType for field in found.fields}
+    return T.StructType([T.StructField(f.name, have.get(f.name, f.dataType)) for f in contract.fields])
+
+
+def read_chunks(spark: SparkSession, path: str, table: str) -> DataFrame:
     """A raw table folder, at any depth, projected onto the contract.
 
     Folder names such as dt= and hour= are not turned into columns: a chunk is
-    filed under its first timestamp, so they may be wrong for later rows. A
+    filed under its first timestamp, so they may be wrong for later rows. Chunks
+    may have different columns; one that a chunk does not have is null there. A
     folder without files gives an empty table of the right type.
     """
     contract = schema.TABLES[table]
-    reader = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
-              .option("mergeSchema", str(merge_schema).lower()))
     try:
-        raw = reader.parquet(path)
+        raw = (spark.read.schema(raw_schema(spark, [path], contract)).option("recursiveFileLookup", "true")
+               .option("pathGlobFilter", "*.parquet").parquet(path))
     except AnalysisException as error:
-        if error.getCondition() in _NO_FILES:
+        if error.getCondition() in NO_FILES:
             return schema.empty(spark, contract)
         raise
     return schema.conform(raw, contract)
 
 
+def claims_path(lake: str, table: str) -> str:
+    return f"{lake.rstrip('/')}/_ingest/claims/{table}"
+
+
+def ledger_path(lake: str) -> str:
+    return f"{lake.rstrip('/')}/_ingest/ledger"
+
+
+def claimed(spark: SparkSession, lake: str, table: str) -> set[int]:
+    """All batch ids that somebody has claimed."""
+    return {int(name) for name in names(spark, claims_path(lake, table)) if name.isdigit()}
+
+
+def uncommitted(spark: SparkSession, lake: str, table: str) -> set[int]:
+    """Batch ids that are claimed and not in the ledger: being written, or left by a crash."""
+    done = {name.partition("=")[2] for name in names(spark, f"{ledger_path(lake)}/table={table}")}
+    return {batch for batch in claimed(spark, lake, table) if str(batch) not in done}
+
+
 def read_lake(spark: SparkSession, path: str, table: str, as_of_batch: int | None = None) -> DataFrame:
-    """A lake table folder. Keeps ts_day (time filters prune by it) and the batch
-    columns; ``as_of_batch`` reads the table as it was after that batch."""
+    """A lake table folder, committed batches only. Keeps ts_day (time filters prune by it) and
+    the batch columns; ``as_of_batch`` reads the table as it was after that batch."""
     contract = schema.TABLES[table]
     full = T.StructType([
         *contract.fields, T.StructField("_source_file", T.StringType()),
         T.StructField("ts_day", T.DateType()), T.StructField("_batch_id", T.LongType())])
+    lake = path.rstrip("/").rpartition("/")[0]
     try:
         rows = spark.read.schema(full).parquet(path)
     except AnalysisException as error:
-        if error.getCondition() in _NO_FILES:
+        if error.getCondition() in NO_FILES:
             return schema.empty(spark, full)
         raise
+    unfinished = sorted(uncommitted(spark, lake, table))
+    if unfinished:  # as many as there are writers and crashes
+        rows = rows.filter(~F.col("_batch_id").isin(unfinished))
     if as_of_batch is not None:
         rows = rows.filter(F.col("_batch_id") <= as_of_batch)
     return rows
@@ -96,8 +137,15 @@ def list_chunks(spark: SparkSession, root: str, table: str | None = None) -> Dat
     one table's; the file contents are not read. Files of no known table are left
     out. Only the path below ``root`` decides the table."""
     root = root.rstrip("/")
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "*.parquet").load(f"{root}/{table}" if table else root))
+    try:
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                 .option("pathGlobFilter", "*.parquet").load(f"{root}/{table}" if table else root))
+    except AnalysisException as error:
+        if error.getCondition() in NO_FILES:
+            return schema.empty(spark, T.StructType([
+                T.StructField("file_path", T.StringType()), T.StructField("table", T.StringType()),
+                T.StructField("length", T.LongType()), T.StructField("modified", T.TimestampType())]))
+        raise
     base = urlsplit(root).path or root
     found = F.locate(base, F.col("path"))
     key = F.when(found > 0, F.substr("path", found + F.lit(len(base) + 1))).otherwise(F.col("path"))

@@ -1,17 +1,21 @@
 """Incremental ingest: every raw chunk lands in the lake exactly once.
 
-A lake table is Parquet partitioned by (ts_day, _batch_id). A batch is written
-with dynamic partition overwrite under its own id, so repeating a batch after a
-crash replaces what it had written; then its files are recorded in the ledger,
-which is written the same way. The ledger is also the batch history.
-
-Two ways in, sharing the commit: ``ingest_stream`` (file stream and checkpoint)
+A lake table is Parquet partitioned by (ts_day, _batch_id). Whoever loads a batch
+first claims an id for it: a marker file that only one writer can create names the
+owner, a stream and its batch. Ids are never shared or used again, so no batch can
+overwrite another, and a batch that is repeated after a crash finds its claim and
+replaces what it had written. Then its files are recorded in the ledger, which is also
+the batch history. Readers leave out ids that are claimed and not in the ledger.
+
+Two ways in, sharing claim and commit: ``ingest_stream`` (file stream and checkpoint)
 and ``ingest_files`` (listing minus ledger, for one-off loads and empty chunks).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from hashlib import md5
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -19,7 +23,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fleetlens import schema
 from fleetlens.functions.sizing import small_side
-from fleetlens.sources.tables import list_chunks, read_lake
+from fleetlens.session import checkpoint as checkpoint_rows
+from fleetlens.sources.files import create, read
+from fleetlens.sources.tables import NO_FILES, claimed, claims_path, ledger_path, list_chunks, raw_schema, uncommitted
 
 LEDGER = T.StructType([
     T.StructField("file_path", T.StringType()), T.StructField("rows", T.LongType()),
@@ -27,7 +33,7 @@ LEDGER = T.StructType([
     T.StructField("stream", T.StringType()), T.StructField("stream_batch", T.LongType()),
     T.StructField("ingested_at", T.TimestampType()),
     T.StructField("table", T.StringType()), T.StructField("batch_id", T.LongType())])
-BY_HAND = "files"          # stream name of batches loaded without a stream
+BY_HAND = "files"          # stream name of batches loaded without a stream, before a digest of their files
 MAX_FILES = 1000
 
 
@@ -35,10 +41,6 @@ def table_path(lake: str, table: str) -> str:
     return f"{lake.rstrip('/')}/{table}"
 
 
-def ledger_path(lake: str) -> str:
-    return f"{lake.rstrip('/')}/_ingest/ledger"
-
-
 def read_ledger(spark: SparkSession, lake: str) -> DataFrame:
     try:
         return spark.read.schema(LEDGER).parquet(ledger_path(lake))
@@ -53,19 +55,50 @@ def _replace(rows: DataFrame, path: str, *partitions: str) -> None:
      .partitionBy(*partitions).parquet(path))
 
 
-def commit(spark: SparkSession, lake: str, table: str, rows: DataFrame, batch_id: int,
-           stream: str, stream_batch: int, read_files: DataFrame | None = None) -> None:
-    """Write one batch and then its ledger rows; safe to repeat.
+def claim(spark: SparkSession, lake: str, table: str, stream: str, stream_batch: int) -> int:
+    """The lake batch id of a stream's batch: the one it has, or the next free one."""
+    owner = f"{stream} {stream_batch}"
+    own = (read_ledger(spark, lake).filter((F.col("table") == table) & (F.col("stream") == stream)
+                                           & (F.col("stream_batch") == stream_batch))
+           .agg(F.min("batch_id")).first()[0])
+    if own is not None:
+        return own
+    folder = claims_path(lake, table)
+    for batch_id in sorted(uncommitted(spark, lake, table)):
+        if read(spark, f"{folder}/{batch_id}") == owner:
+            return batch_id
+    last = read_ledger(spark, lake).filter(F.col("table") == table).agg(F.max("batch_id")).first()[0]
+    batch_id = max([-1 if last is None else last, *claimed(spark, lake, table)]) + 1
+    while not create(spark, f"{folder}/{batch_id}", owner):
+        batch_id += 1
+    return batch_id
+
+
+def _landed(spark: SparkSession, lake: str, table: str, batch_id: int) -> DataFrame:
+    """What a batch has written, from its own folders alone."""
+    full = T.StructType([*schema.TABLES[table].fields, T.StructField("_source_file", T.StringType())])
+    path = table_path(lake, table)
+    try:
+        return spark.read.schema(full).parquet(f"{path}/ts_day=*/_batch_id={batch_id}")
+    except AnalysisException as error:
+        if error.getCondition() in NO_FILES:
+            return schema.empty(spark, full)
+        raise
+
+
+def commit(spark: SparkSession, lake: str, table: str, rows: DataFrame, stream: str, stream_batch: int,
+           read_files: DataFrame | None = None) -> int:
+    """Write one batch and then its ledger rows; safe to repeat. Returns its id.
 
     ``rows`` has the raw columns and ``_source_file``. There is no shuffle: each
     task writes the chunks it read. ``read_files`` names the chunks of the batch
     where they are known, so that empty ones are recorded with 0 rows.
     """
+    batch_id = claim(spark, lake, table, stream, stream_batch)
     landed = schema.conform(rows, schema.TABLES[table], keep=["_source_file"]).withColumns({
         "ts_day": F.to_date("ts"), "_batch_id": F.lit(batch_id).cast("long")})
     _replace(landed, table_path(lake, table), "ts_day", "_batch_id")
-    written = (read_lake(spark, table_path(lake, table), table).filter(F.col("_batch_id") == batch_id)
-               .groupBy(F.col("_source_file").alias("file_path"))
+    written = (_landed(spark, lake, table, batch_id).groupBy(F.col("_source_file").alias("file_path"))
                .agg(F.count("*").alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
     if read_files is not None:
         written = read_files.select("file_path").join(written, "file_path", "left")
@@ -75,28 +108,14 @@ def commit(spark: SparkSession, lake: str, table: str, rows: DataFrame, batch_id
         F.lit(stream_batch).cast("long").alias("stream_batch"),
         F.current_timestamp().alias("ingested_at"), F.lit(table).alias("table"),
         F.lit(batch_id).cast("long").alias("batch_id")), ledger_path(lake), "table", "batch_id")
+    return batch_id
 
 
-def _first_batch_id(spark: SparkSession, lake: str, table: str, stream: str) -> int:
-    """Lake batch id of this stream's batch 0: fixed by its ledger rows, or the
-    next free id while it has none."""
-    row = read_ledger(spark, lake).filter(F.col("table") == table).agg(
-        F.min(F.when(F.col("stream") == stream, F.col("batch_id") - F.col("stream_batch"))).alias("own"),
-        F.max("batch_id").alias("last")).first()
-    if row.own is not None:
-        return row.own
-    return 0 if row.last is None else row.last + 1
-
-
-def _raw_schema(spark: SparkSession, path: str, contract: T.StructType) -> T.StructType:
-    """Physical schema of the raw files; a file stream must be told."""
-    try:
-        return (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
-                .parquet(path).schema)
-    except AnalysisException as error:
-        if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
-            return contract
-        raise
+def _stream_name(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the stream that owns a checkpoint folder; it goes when the folder goes."""
+    marker = f"{checkpoint}/_stream_name"
+    create(spark, marker, uuid.uuid4().hex)
+    return read(spark, marker)
 
 
 def ingest_stream(spark: SparkSession, raw: str, lake: str, table: str, watch_seconds: float | None = None,
@@ -105,35 +124,28 @@ def ingest_stream(spark: SparkSession, raw: str, lake: str, table: str, watch_se
 
     Processes what is there and stops, or polls every ``watch_seconds``. With
     ``max_files=1`` every chunk is a batch of its own. A chunk is known by its
-    path: one that is rewritten under the same name is not read again.
+    path: one that is rewritten under the same name is not read again. The folder
+    of the table may still be missing.
     """
-    source = table_path(raw, table)
     checkpoint = f"{lake.rstrip('/')}/_ingest/checkpoint/{table}"
-    contract = schema.FACTS[table]
-    chunks = (spark.readStream.schema(_raw_schema(spark, source, contract))
+    # As a pattern, the folder need not exist yet.
+    source = table_path(raw, f"{{{table}}}")
+    chunks = (spark.readStream.schema(raw_schema(spark, [table_path(raw, table)], schema.FACTS[table]))
               .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
               .option("maxFilesPerTrigger", max_files).parquet(source)
               .select("*", F.col("_metadata.file_path").alias("_source_file")))
-    known = {}
+    name = _stream_name(spark, checkpoint)
 
     def land(batch: DataFrame, stream_batch: int) -> None:
         session = batch.sparkSession
-        if not known:
-            # The id Spark gave this checkpoint: a deleted and re-created one is another stream.
-            known["stream"] = session.read.json(f"{checkpoint}/metadata").first().id
-            known["first"] = _first_batch_id(session, lake, table, known["stream"])
-            known["others"] = not (read_ledger(session, lake).filter(
-                (F.col("table") == table) & (F.col("stream") != known["stream"])).isEmpty())
-        batch_id = known["first"] + stream_batch
-        if known["others"]:
-            # Loaded earlier under another checkpoint.
-            done = read_ledger(session, lake).filter(
-                (F.col("table") == table) & (F.col("stream") != known["stream"]))
-            again = batch.select("_source_file").distinct().join(
-                done.select(F.col("file_path").alias("_source_file")), "_source_file", "left_semi")
-            # at most as many names as a batch has files
-            batch = batch.join(small_side(again, max_files), "_source_file", "left_anti")
-        commit(session, lake, table, batch, batch_id, known["stream"], stream_batch)
+        # Chunks that came in another way: by hand, or under a checkpoint that was lost.
+        done = read_ledger(session, lake).filter(
+            (F.col("table") == table) & ~((F.col("stream") == name) & (F.col("stream_batch") == stream_batch)))
+        again = batch.select("_source_file").distinct().join(
+            done.select(F.col("file_path").alias("_source_file")), "_source_file", "left_semi")
+        if not again.isEmpty():
+            batch = batch.join(small_side(again), "_source_file", "left_anti")
+        batch_id = commit(session, lake, table, batch, name, stream_batch)
         if on_commit:
             on_commit(batch_id)
 
@@ -146,34 +158,30 @@ def ingest_stream(spark: SparkSession, raw: str, lake: str, table: str, watch_se
 def ingest_files(spark: SparkSession, raw: str, lake: str, table: str, max_files: int = MAX_FILES) -> int:
     """Load the chunks the ledger does not have, ``max_files`` per batch; returns
     the number of batches. Empty chunks are recorded and add nothing."""
-    batches = 0
+    ledger = read_ledger(spark, lake).filter(F.col("table") == table)
+    todo = checkpoint_rows(list_chunks(spark, raw, table).filter(F.col("table") == table)
+                           .join(ledger, "file_path", "left_anti").select("file_path"))
+    batches, last = 0, ""
     while True:
-        ledger = read_ledger(spark, lake).filter(F.col("table") == table)
-        todo = (list_chunks(spark, raw, table).filter(F.col("table") == table)
-                .join(ledger, "file_path", "left_anti").select("file_path"))
         # Spark plans a read from a list of names: this many at a time.
-        names = [row.file_path for row in todo.orderBy("file_path").limit(max_files).collect()]
+        page = todo.filter(F.col("file_path") > last).orderBy("file_path").limit(max_files)
+        names = [row.file_path for row in page.collect()]
         if not names:
             return batches
-        last = ledger.agg(F.max("batch_id")).first()[0]
-        batch_id = 0 if last is None else last + 1
-        rows = spark.read.parquet(*names).select("*", F.col("_metadata.file_path").alias("_source_file"))
+        rows = (spark.read.schema(raw_schema(spark, names, schema.FACTS[table])).parquet(*names)
+                .select("*", F.col("_metadata.file_path").alias("_source_file")))
         listed = spark.createDataFrame([(name,) for name in names], "file_path string")
-        commit(spark, lake, table, rows, batch_id, BY_HAND, batch_id, listed)
-        batches += 1
+        # The names say which batch this is, so repeating it after a crash finds its claim.
+        commit(spark, lake, table, rows, f"{BY_HAND}:{md5(chr(10).join(names).encode()).hexdigest()}", 0, listed)
+        batches, last = batches + 1, names[-1]
 
 
 def ingest_once(spark: SparkSession, raw: str, lake: str, max_files: int = MAX_FILES) -> DataFrame:
     """Ingest all new chunks of both fact tables through the streams, then record
     empty chunks; returns the ledger rows that this pass added."""
-    before = read_ledger(spark, lake).groupBy("table").agg(F.max("batch_id").alias("last")).collect()
-    last = {row.table: row["last"] for row in before}
+    before = checkpoint_rows(read_ledger(spark, lake).select("table", "batch_id").distinct())
     for table in schema.FACTS:
-        if list_chunks(spark, raw).filter(F.col("table") == table).isEmpty():
-            continue
         ingest_stream(spark, raw, lake, table, max_files=max_files).awaitTermination()
         ingest_files(spark, raw, lake, table, max_files)
-    fresh = F.lit(False)
-    for table in schema.FACTS:
-        fresh = fresh | ((F.col("table") == table) & (F.col("batch_id") > last.get(table, -1)))
-    return read_ledger(spark, lake).filter(fresh).select("file_path", "table", "rows", "batch_id")
+    return (read_ledger(spark, lake).join(small_side(before), ["table", "batch_id"], "left_anti")
+            .select("file_path", "table", "rows", "batch_id"))

@@ -102,7 +102,7 @@ def test_repeated_batch_replaces_itself(spark, dirs):
     raw_rows = (spark.read.option("recursiveFileLookup", "true").parquet(f"{raw}/vm_metrics")
                 .select("*", F.col("_metadata.file_path").alias("_source_file")))
     for _ in range(2):
-        ingest.commit(spark, lake, "vm_metrics", raw_rows, 0, "s", 0)
+        ingest.commit(spark, lake, "vm_metrics", raw_rows, "s", 0)
     assert rows(spark, lake).count() == 2
     assert [r.rows for r in ingest.read_ledger(spark, lake).collect()] == [2]
 
@@ -191,7 +191,7 @@ def test_sources(spark, dirs, tmp_path):
     chunk(raw, "vm_metrics", "a.parquet", ["2026-01-01 08:00"])
     wide = pa.table({"ts": pa.array([dt.datetime(2026, 1, 1)], pa.timestamp("us")), "vm_id": ["x"], "heap_mb": [1.5]})
     pq.write_table(wide, f"{raw}/vm_metrics/wide.parquet")
-    merged = tables.read_chunks(spark, f"{raw}/vm_metrics", "vm_metrics", merge_schema=True)
+    merged = tables.read_chunks(spark, f"{raw}/vm_metrics", "vm_metrics")
     assert merged.schema == schema.VM_METRICS
     assert sorted((r.vm_id, r.heap_mb) for r in merged.collect()) == [("vm-0", None), ("x", 1.5)]
 
@@ -209,3 +209,82 @@ def test_catalog_tables(spark, tmp_path):
     with pytest.raises(Exception):
         tables.read_catalog(spark, "obs_missing", "vm_metrics")
     assert tables.read_catalog(spark, "obs_missing", "topology", optional=True).count() == 0
+
+
+def _rows_by_file(spark, lake):
+    got = {os.path.basename(r._source_file): r["count"]
+           for r in rows(spark, lake).groupBy("_source_file").count().collect()}
+    ledger = {os.path.basename(r.file_path): r.rows for r in ingest.read_ledger(spark, lake).collect()}
+    return got, ledger
+
+
+def test_streams_and_hand_loads_share_no_batch(spark, dirs):
+    raw, lake = dirs
+    chunk(raw, "vm_metrics", "a.parquet", ["2026-01-01 08:00"])
+    ingest.ingest_stream(spark, raw, lake, "vm_metrics").awaitTermination()
+    chunk(raw, "vm_metrics", "b.parquet", ["2026-01-01 08:10", "2026-01-02 08:00"])
+    assert ingest.ingest_files(spark, raw, lake, "vm_metrics") == 1
+    chunk(raw, "vm_metrics", "c.parquet", ["2026-01-01 08:20"])
+    ingest.ingest_stream(spark, raw, lake, "vm_metrics").awaitTermination()
+    chunk(raw, "vm_metrics", "d.parquet", ["2026-01-02 08:20"])
+    chunk(raw, "vm_metrics", "e.parquet", [])
+    added = sorted((os.path.basename(r.file_path), r.rows) for r in ingest.ingest_once(spark, raw, lake).collect())
+    assert added == [("d.parquet", 1), ("e.parquet", 0)]
+    got, ledger = _rows_by_file(spark, lake)
+    assert got == {"a.parquet": 1, "b.parquet": 2, "c.parquet": 1, "d.parquet": 1}
+    assert ledger == {**got, "e.parquet": 0}
+    ids = [r.batch_id for r in ingest.read_ledger(spark, lake).select("batch_id").distinct().collect()]
+    assert len(ids) == 5
+    chunk(raw, "vm_metrics", "f.parquet", ["2026-01-03 08:20"])
+    assert [os.path.basename(r.file_path) for r in ingest.ingest_once(spark, raw, lake).collect()] == ["f.parquet"]
+    assert _rows_by_file(spark, lake)[1]["e.parquet"] == 0
+
+
+@pytest.mark.parametrize("by_hand", [True, False])
+def test_a_batch_that_broke_off_is_invisible_and_repeated(spark, dirs, monkeypatch, by_hand):
+    raw, lake = dirs
+    chunk(raw, "vm_metrics", "a.parquet", ["2026-01-01 08:00", "2026-01-02 08:00"])
+    written = ingest._replace
+
+    def breaks(frame, path, *partitions):
+        if path.endswith("ledger"):
+            raise RuntimeError("lost")
+        written(frame, path, *partitions)
+
+    monkeypatch.setattr(ingest, "_replace", breaks)
+    with pytest.raises(Exception, match="lost"):
+        if by_hand:
+            ingest.ingest_files(spark, raw, lake, "vm_metrics")
+        else:
+            ingest.ingest_stream(spark, raw, lake, "vm_metrics").awaitTermination()
+    assert rows(spark, lake).count() == 0 and os.listdir(f"{lake}/_ingest/claims/vm_metrics") != []
+    monkeypatch.setattr(ingest, "_replace", written)
+    ingest.ingest_once(spark, raw, lake)
+    assert rows(spark, lake).count() == 2
+    assert [r.rows for r in ingest.read_ledger(spark, lake).collect()] == [2]
+
+
+def test_chunks_with_different_columns(spark, dirs):
+    raw, lake = dirs
+    chunk(raw, "vm_metrics", "a.parquet", ["2026-01-01 08:00"])
+    wide = pa.table({"ts": pa.array([pd.Timestamp("2026-01-01 09:00")], pa.timestamp("us")), "heap_mb": pa.array([7.0], pa.float32()),
+                     "vm_id": ["vm-1"], "other": [1]})
+    pq.write_table(wide, os.path.join(raw, "vm_metrics", "dt=2026-01-01", "hour=08", "b.parquet"))
+    want = [("vm-0", None), ("vm-1", 7.0)]
+    read = tables.read_chunks(spark, f"{raw}/vm_metrics", "vm_metrics")
+    assert sorted((r.vm_id, r.heap_mb) for r in read.collect()) == want
+    ingest.ingest_stream(spark, raw, lake, "vm_metrics").awaitTermination()
+    assert sorted((r.vm_id, r.heap_mb) for r in rows(spark, lake).collect()) == want
+    ingest.ingest_files(spark, raw, f"{lake}2", "vm_metrics")
+    assert sorted((r.vm_id, r.heap_mb) for r in rows(spark, f"{lake}2").collect()) == want
+
+
+def test_a_table_without_a_folder_is_empty(spark, dirs):
+    raw, lake = dirs
+    chunk(raw, "vm_metrics", "a.parquet", ["2026-01-01 08:00"])
+    assert ingest.ingest_files(spark, raw, lake, "app_events") == 0
+    ingest.ingest_stream(spark, raw, lake, "app_events").awaitTermination()
+    assert rows(spark, lake, "app_events").count() == 0
+    assert ingest.ingest_once(spark, raw, lake).count() == 1
+    chunk(raw, "app_events", "z.parquet", ["2026-01-01 08:00"])
+    assert [r.table for r in ingest.ingest_once(spark, raw, lake).collect()] == ["app_events"]
