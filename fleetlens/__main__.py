@@ -17,7 +17,12 @@ from fleetlens.sources import sinks
 from fleetlens.sources.tables import read_chunks
 from fleetlens.streaming.ingest import ingest_files, ingest_once, ingest_stream, read_ledger, table_path
 
-SHOWN = 50      # rows a terminal gets; the sinks get all
+
+def show(df) -> None:
+    """Print all rows, as they come."""
+    print(" | ".join(df.columns))
+    for row in df.toLocalIterator():
+        print(" | ".join("" if value is None else str(value) for value in row))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -66,8 +71,8 @@ def load(spark, args) -> None:
         for table in FACTS:
             print(table, "batches:", ingest_files(spark, args.raw, args.lake, table))
     else:
-        ingest_once(spark, args.raw, args.lake).groupBy("table", "batch_id").agg(
-            F.count("*").alias("chunks"), F.sum("rows").alias("rows")).orderBy("table", "batch_id").show(SHOWN)
+        show(ingest_once(spark, args.raw, args.lake).groupBy("table", "batch_id").agg(
+            F.count("*").alias("chunks"), F.sum("rows").alias("rows")).orderBy("table", "batch_id"))
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -77,8 +82,8 @@ def main(argv: list[str] | None = None) -> None:
         return load(spark, args)
     if args.command == "history":
         ledger = read_ledger(spark, args.lake)
-        history.table_sizes(ledger).orderBy("table").show()
-        return history.last_batches(ledger).orderBy("table", "batch_id").show(SHOWN, truncate=False)
+        show(history.table_sizes(ledger).orderBy("table"))
+        return show(history.last_batches(ledger).orderBy("table", "batch_id"))
 
     given = {key: value for key, value in vars(args).items() if value is not None}
     lake = Lake.open(spark, args.data or args.lake or "", Thresholds.from_settings(given), args.namespace,
@@ -86,7 +91,7 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "detect":
         alerts = detect(lake.metrics, lake.cfg, args.asof, ordered=False).persist()
         print(f"{alerts.count()} alert(s) as of {args.asof:.0f} minutes before the data end")
-        sort_alerts(alerts).select("severity", "rule", "vm_id", "app", "headline").show(SHOWN, truncate=False)
+        show(sort_alerts(alerts).select("severity", "rule", "vm_id", "app", "headline"))
         if args.json:
             sinks.write_alerts_json(alerts, args.json)
         if args.table:
@@ -95,7 +100,7 @@ def main(argv: list[str] | None = None) -> None:
             for page in sinks.digest(alerts, args.asof).orderBy("page").toLocalIterator():
                 print(page.payload)
     elif args.command == "replay":
-        rule_counts(replay(lake.metrics, lake.cfg, REPLAY)).orderBy(F.desc("asof"), "rule", "severity").show(SHOWN)
+        show(rule_counts(replay(lake.metrics, lake.cfg, REPLAY)).orderBy(F.desc("asof"), "rule", "severity"))
     elif args.command == "ask":
         for row in lake.answer(args.question, args.asof).toLocalIterator():
             print(row.line)
@@ -103,7 +108,7 @@ def main(argv: list[str] | None = None) -> None:
         lake.alerts(args.asof)
         print(lake.run_sql(args.statement).text())
     elif args.command == "trace":
-        lake.trace_dependencies(args.app, args.asof).show(SHOWN, truncate=False)
+        show(lake.trace_dependencies(args.app, args.asof))
 
 
 if __name__ == "__main__":

@@ -24,8 +24,6 @@ from fleetlens.functions.keys import key_names, with_keys
 BUCKET_WIDTH = math.log(1.001)
 # Larger than |ln(x)| / BUCKET_WIDTH for any finite double, so signs never mix.
 BUCKET_SHIFT = 1_000_000
-# Up to this many input rows the built-in percentile's buffers are small anyway.
-SMALL_ROWS = 2_000_000
 # Target rows pulled to the driver to fix the second pass; beyond this the
 # targets stay distributed.
 MAX_LOCAL_TARGETS = 50_000
@@ -40,19 +38,13 @@ def log_bucket(value: Column) -> Column:
             .when(value > 0, size).when(value < 0, -size).otherwise(0))
 
 
-def exact_percentile(rows: DataFrame, keys: list[str], value: str, p: float, name: str,
-                     n_rows: int | None = None) -> DataFrame:
+def exact_percentile(rows: DataFrame, keys: list[str], value: str, p: float, name: str) -> DataFrame:
     """One row per ``keys`` with the interpolated percentile ``name`` of ``value``.
 
     The first pass runs when this is called (its result is one or two rows per
-    group); the returned frame holds the second pass only. Where the caller has
-    counted the rows (``n_rows``, an upper bound) and they are few, one ordinary
-    aggregation does.
+    group); the returned frame holds the second pass only. Results are those of the
+    built-in ``percentile``, bit for bit, also for infinities and NaN (the largest).
     """
-    if n_rows is not None and n_rows <= SMALL_ROWS:
-        valued = rows.filter(F.col(value).isNotNull())
-        return valued.groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), p).alias(name))
-
     groups = key_names(keys)
     rows = (with_keys(rows.filter(F.col(value).isNotNull()), keys)
             .select(*groups, *keys, F.col(value).cast("double").alias("_v"))
@@ -92,6 +84,7 @@ def exact_percentile(rows: DataFrame, keys: list[str], value: str, p: float, nam
     low = F.min(F.when(F.col("_upto") > F.col("_lo"), F.col("_v")))
     high = F.min(F.when(F.col("_upto") > F.col("_hi"), F.col("_v")))
     weight = F.col("_pos") - F.col("_lo")
+    between = (F.col("_hi") - F.col("_pos")) * F.col("_low") + weight * F.col("_high")
     return (ranked.groupBy(*groups, *keys, *ranks).agg(low.alias("_low"), high.alias("_high"))
-            .select(*keys, F.when(weight == 0, F.col("_low"))
-                    .otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) * weight).alias(name)))
+            .select(*keys, F.when((weight == 0) | (F.col("_low") == F.col("_high")), F.col("_low"))
+                    .otherwise(between).alias(name)))

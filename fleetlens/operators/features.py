@@ -103,9 +103,7 @@ def app_latency(metrics: DataFrame, cfg: Thresholds, points: list[Instant]) -> D
         metrics.select(*_present(metrics, "ts", "ts_day", "app", "app_latency_ms")), points, heap=False)
     # recent and baseline never overlap, so one flag tells them apart
     rows = rows.select("slot", "app", F.when(F.col("in_recent"), 1).otherwise(0).alias("recent"), "app_latency_ms")
-    known = points[0].n_rows
-    p95 = exact_percentile(rows, [*slot_keys(points), "app", "recent"], "app_latency_ms", P95, "p95",
-                           n_rows=None if known is None else known * (len(points) + 1))
+    p95 = exact_percentile(rows, [*slot_keys(points), "app", "recent"], "app_latency_ms", P95, "p95")
     both = p95.groupBy(*slot_keys(points), "app").agg(
         F.max(F.when(F.col("recent") == 1, F.col("p95"))).alias("p95_recent"),
         F.max(F.when(F.col("recent") == 0, F.col("p95"))).alias("p95_base"))

@@ -93,15 +93,21 @@ def hops(edge_set: DataFrame, roots: DataFrame, direction: str = DOWNSTREAM,
          max_hops: int = 5) -> DataFrame:
     """(root, app, hops): distinct path lengths of 1..max_hops.
 
-    Unlike ``reach`` an app appears once per path length. On a cyclic graph a
-    path here may use an edge twice.
+    Unlike ``reach`` an app appears once per path length. A path uses no edge
+    twice, so walks through a cycle end; ``max_hops`` bounds the edges a walk has
+    to remember.
     """
-    steps = checkpoint(_steps(edge_set, direction))
-    frontier = _start(roots, direction)
+    steps = checkpoint(_steps(edge_set, direction).select("src", "dst", F.struct("src", "dst").alias("edge")))
+    none = F.array().cast("array<struct<src:string,dst:string>>")
+    frontier = roots.select("root", F.col("root").alias("app"), none.alias("used")).distinct()
     found = None
     for step in range(1, max_hops + 1):
-        frontier, rows = checkpoint_counted(_advance(frontier, steps))
-        level = frontier.select("root", "app", F.lit(step).alias("hops"))
+        taken = (frontier.join(steps, F.col("app") == F.col("src")).filter(~F.array_contains("used", F.col("edge")))
+                 # in one order, so that ways over the same edges are one row
+                 .select("root", F.col("dst").alias("app"), F.array_sort(F.array_append("used", F.col("edge"))).alias("used"))
+                 .distinct())
+        frontier, rows = checkpoint_counted(taken)
+        level = frontier.select("root", "app", F.lit(step).alias("hops")).distinct()
         found = level if found is None else found.unionByName(level)
         if not rows:
             break
@@ -163,6 +169,6 @@ def vms_in_radius(edge_set: DataFrame, roots: DataFrame, vms: DataFrame, max_hop
     dependencies are missing from the topology. One row per VM, as a list per
     app would grow with the fleet.
     """
-    hit = hops(edge_set, roots, DOWNSTREAM, max_hops).select("root", "app").distinct()
+    hit = reach(edge_set, roots, DOWNSTREAM, max_hops).select("root", "app")
     placed = vms.select("app", "vm_id").distinct()
     return placed.join(small_side(hit), "app").select("root", "app", "vm_id")

@@ -109,7 +109,9 @@ def thin(metrics: DataFrame, every: int, slice_: str | None = None) -> DataFrame
     all samples is numbered by many tasks; the slice follows the busiest VM.
     """
     unit = slice_ or time_slice(metrics)
-    numbered = position_by_slice(metrics, ["vm_id"], ["ts"], F.date_trunc(unit, "ts"), "_position")
+    # every column decides among equal times, so a repeated task numbers alike
+    order = ["ts", *sorted(c for c in metrics.columns if c not in ("ts", "vm_id"))]
+    numbered = position_by_slice(metrics, ["vm_id"], order, F.date_trunc(unit, "ts"), "_position")
     return numbered.filter(col("_position") % every == 0).drop("_position")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetlens.config import Thresholds
@@ -52,18 +54,25 @@ def alert_summary(alerts: DataFrame) -> DataFrame:
 
 
 def facts(metrics: DataFrame, cfg: Thresholds, alerts: DataFrame, asof: float = 0.0,
-          found: Frames | None = None) -> DataFrame:
+          found: Frames | None = None, apps: Sequence[str] = ()) -> DataFrame:
     """One row per app: p95 now and baseline, its worst VMs, its alert summary.
 
     ``found``: the feature frames of this instant, where the caller has them.
+    ``apps`` have a row whether there are samples of them or not.
     """
-    found = found or frames(metrics, cfg, instants(metrics, cfg, asof))
+    points = instants(metrics, cfg, asof)
+    found = found or frames(metrics, cfg, points)
     worst = worst_vms(found.vm, cfg).groupBy("app").agg(
         F.sort_array(F.collect_list(F.struct(
             "place", "vm_id", "heap_slope", "heap_now", "gc", "io_await", "latency"))).alias("worst"))
-    return (found.app.filter(col("app").isNotNull())
+    latency = found.app.filter(col("app").isNotNull())
+    if apps:
+        listed = metrics.sparkSession.createDataFrame([(app,) for app in dict.fromkeys(apps)], "app string")
+        latency = latency.join(listed, "app", "full")
+    end = F.timestamp_micros(F.lit(points[0].end))
+    return (latency
             .join(worst, "app", "left").join(alert_summary(alerts), "app", "left")
-            .select("app", "t_end", F.coalesce("p95_recent", F.lit(0.0)).alias("p95_now"),
+            .select("app", F.coalesce("t_end", end).alias("t_end"), F.coalesce("p95_recent", F.lit(0.0)).alias("p95_now"),
                     F.coalesce("p95_base", F.lit(0.0)).alias("p95_base"),
                     "worst", "alert_counts", "alert_rules",
                     F.coalesce("leaking", F.lit(False)).alias("leaking")))

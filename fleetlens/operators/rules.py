@@ -31,6 +31,11 @@ class Rule:
     app: str = "app"                                      # column that holds the app
 
 
+def _id(name: str) -> Column:
+    """An id as alerts show it: a missing one is empty."""
+    return F.coalesce(col(name), F.lit(""))
+
+
 def _eta(cfg: Thresholds) -> Column:
     return F.try_divide(F.lit(cfg.heap_cap_mb) - col("heap_now"), col("heap_slope"))
 
@@ -53,6 +58,7 @@ def _both() -> Column:
     return (col("n_recent") > 0) & (col("n_base") > 0) & col("vm_id").isNotNull()
 
 
+# Headlines and actions are fixed values: the texts of the alerts.
 RULES: dict[str, Rule] = {rule.name: rule for rule in [
     Rule(
         name="heap_leak", scope="vm", app="app_heap",
@@ -68,7 +74,7 @@ RULES: dict[str, Rule] = {rule.name: rule for rule in [
             "slope_mb_min": col("heap_slope")},
         digits={"corr": 3, "cur_heap_mb": 1, "oom_eta_min": 1, "slope_mb_min": 2},
         headline=lambda c: F.concat(
-            F.lit("Heap leak on "), col("vm_id"), F.lit(": +"), whole(col("heap_slope")),
+            F.lit("Heap leak on "), _id("vm_id"), F.lit(": +"), whole(col("heap_slope")),
             F.lit(" MB/min, OOM ETA ~"), whole(_eta(c)), F.lit(" min")),
         action="Capture heap dump; schedule rolling restart before ETA; "
                "check for unbounded cache/collection growth."),
@@ -81,7 +87,7 @@ RULES: dict[str, Rule] = {rule.name: rule for rule in [
             "cur_iops": col("iops_now"), "z": _io_z()},
         digits={"await_ms": 1, "baseline_ms": 1, "cur_iops": 0, "z": 2},
         headline=lambda c: F.concat(
-            F.lit("Disk IO saturation on "), col("vm_id"), F.lit(": await "),
+            F.lit("Disk IO saturation on "), _id("vm_id"), F.lit(": await "),
             whole(col("io_recent")), F.lit("ms (z="), tenth(_io_z()), F.lit(")")),
         action="Check storage backend / noisy neighbor; inspect slow queries "
                "and disk queue depth."),
@@ -93,7 +99,7 @@ RULES: dict[str, Rule] = {rule.name: rule for rule in [
             "retrans_pct": col("retrans_recent"), "threshold_pct": F.lit(float(c.retrans_pct))},
         digits={"retrans_pct": 2},
         headline=lambda c: F.concat(
-            F.lit("Network retransmits on "), col("vm_id"), F.lit(": "),
+            F.lit("Network retransmits on "), _id("vm_id"), F.lit(": "),
             tenth(col("retrans_recent")), F.lit("% (> "), whole(F.lit(float(c.retrans_pct))), F.lit("%)")),
         action="Check NIC/switch path, packet loss, and replication links; "
                "look for conn_reset events."),
@@ -106,7 +112,7 @@ RULES: dict[str, Rule] = {rule.name: rule for rule in [
             "baseline_p95_ms": col("p95_base"), "factor_x": _factor(), "p95_ms": col("p95_recent")},
         digits={"baseline_p95_ms": 1, "factor_x": 2, "p95_ms": 1},
         headline=lambda c: F.concat(
-            F.lit("Latency regression on "), col("app"), F.lit(": p95 "), whole(col("p95_recent")),
+            F.lit("Latency regression on "), _id("app"), F.lit(": p95 "), whole(col("p95_recent")),
             F.lit("ms (>"), whole(F.lit(float(c.latency_x))), F.lit("x baseline "),
             whole(col("p95_base")), F.lit("ms)")),
         action="Correlate with downstream dependency alerts (DB/IO); check "
@@ -121,7 +127,7 @@ RULES: dict[str, Rule] = {rule.name: rule for rule in [
             "jump_x": F.try_divide(col("err_recent"), _err_floor(c))},
         digits={"baseline_pct": 2, "error_rate_pct": 2, "jump_x": 1},
         headline=lambda c: F.concat(
-            F.lit("Error storm on "), col("vm_id"), F.lit(": "), tenth(col("err_recent")),
+            F.lit("Error storm on "), _id("vm_id"), F.lit(": "), tenth(col("err_recent")),
             F.lit("% errors ("), whole(F.try_divide(col("err_recent"), _err_floor(c))),
             F.lit("x baseline)")),
         action="Check 5xx sources and upstream dependencies; consider "
@@ -131,23 +137,22 @@ RULES: dict[str, Rule] = {rule.name: rule for rule in [
 
 def rule_hits(features: DataFrame, rule: Rule, cfg: Thresholds) -> DataFrame:
     """Rows where one rule fires, with typed and unrounded evidence."""
-    vm = col("vm_id") if rule.scope == "vm" else F.lit("")
+    vm = _id("vm_id") if rule.scope == "vm" else F.lit("")
     return features.filter(rule.fires(cfg)).select(
         "asof", "t_end", rule.severity(cfg).alias("severity"), F.lit(rule.name).alias("rule"),
-        F.coalesce(vm, F.lit("")).alias("vm_id"), F.coalesce(col(rule.app), F.lit("")).alias("app"),
+        vm.alias("vm_id"), _id(rule.app).alias("app"),
         *[value.alias(name) for name, value in rule.evidence(cfg).items()])
 
 
 def _alert(rule: Rule, cfg: Thresholds) -> Column:
-    vm = col("vm_id") if rule.scope == "vm" else F.lit("")
+    vm = _id("vm_id") if rule.scope == "vm" else F.lit("")
     # Evidence keys are written in alphabetical order.
     evidence = F.struct(*[
         (F.bround(value, rule.digits[name]) if name in rule.digits else value).alias(name)
         for name, value in sorted(rule.evidence(cfg).items())])
     return F.struct(
         rule.severity(cfg).alias("severity"), F.lit(rule.name).alias("rule"),
-        F.coalesce(vm, F.lit("")).alias("vm_id"),
-        F.coalesce(col(rule.app), F.lit("")).alias("app"),
+        vm.alias("vm_id"), _id(rule.app).alias("app"),
         rule.headline(cfg).alias("headline"),
         F.to_json(evidence).alias("evidence_json"),
         F.lit(rule.action).alias("action"))

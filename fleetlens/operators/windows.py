@@ -30,7 +30,6 @@ class Instant:
     recent_lo: int
     heap_lo: int
     base_hi: int
-    n_rows: int | None = None      # rows of the whole fact, if known
 
 
 def at(us: int) -> Column:
@@ -71,7 +70,7 @@ def instants(metrics: DataFrame, cfg: Thresholds, asof: float | Sequence[float]
         out.append(Instant(
             asof=float(minutes), start=bounds.start, end=end, recent_lo=recent_lo,
             heap_lo=end - cfg.heap_min * unit,
-            base_hi=min(bounds.start + cfg.baseline_min * unit, recent_lo), n_rows=bounds.n_rows))
+            base_hi=min(bounds.start + cfg.baseline_min * unit, recent_lo)))
     return out
 
 

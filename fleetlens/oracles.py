@@ -153,17 +153,26 @@ FROM f WHERE "asof" = 0 AND {FIRES['error_storm']}"""
 ORACLES["detect_alerts"] = f"""
 WITH {A} SELECT e AS ts_us, severity, rule, vm_id, app, headline, action FROM a WHERE "asof" = 0"""
 
-ORACLES["alert_evidence"] = f"""
-WITH {A}, keys(rule, evidence_key) AS (VALUES
-  ('heap_leak', 'corr'), ('heap_leak', 'cur_heap_mb'), ('heap_leak', 'heap_cap_mb'),
-  ('heap_leak', 'oom_eta_min'), ('heap_leak', 'slope_mb_min'),
-  ('io_spike', 'await_ms'), ('io_spike', 'baseline_ms'), ('io_spike', 'cur_iops'), ('io_spike', 'z'),
-  ('net_retrans', 'retrans_pct'), ('net_retrans', 'threshold_pct'),
-  ('apm_latency', 'baseline_p95_ms'), ('apm_latency', 'factor_x'), ('apm_latency', 'p95_ms'),
-  ('error_storm', 'baseline_pct'), ('error_storm', 'error_rate_pct'), ('error_storm', 'jump_x'))
-SELECT rule, evidence_key, count(*) AS n_values FROM a JOIN keys USING (rule) WHERE "asof" = 0
-GROUP BY rule, evidence_key"""
-
+# What an alert is based on, by key: value and decimals.
+EVIDENCE = {
+    "heap_leak": ("f", "vm_id", "app_h", {
+        "corr": "round_even(r, 3)", "cur_heap_mb": "round_even(cur, 1)", "heap_cap_mb": "100.0",
+        "oom_eta_min": "round_even((100 - cur) / slope, 1)", "slope_mb_min": "round_even(slope, 2)"}),
+    "io_spike": ("f", "vm_id", "app_r", {
+        "await_ms": "round_even(v_rec, 1)", "baseline_ms": "round_even(v_base, 1)", "cur_iops": "round_even(iops, 0)",
+        "z": "round_even((v_rec - v_base) / v_std, 2)"}),
+    "net_retrans": ("f", "vm_id", "app_r", {"retrans_pct": "round_even(retr, 2)", "threshold_pct": "5.0"}),
+    "apm_latency": ("p", "''", "app", {
+        "baseline_p95_ms": "round_even(p_base, 1)", "factor_x": "round_even(p_rec / p_base, 2)",
+        "p95_ms": "round_even(p_rec, 1)"}),
+    "error_storm": ("f", "vm_id", "app_r", {
+        "baseline_pct": "round_even(err_base, 2)", "error_rate_pct": "round_even(err_rec, 2)",
+        "jump_x": "round_even(err_rec / greatest(err_base, 0.1), 1)"}),
+}
+ORACLES["alert_evidence"] = f"WITH {A} " + " UNION ALL ".join(
+    f"SELECT '{rule}' AS rule, {vm} AS vm_id, {app} AS app, '{key}' AS evidence_key, CAST({value} AS DOUBLE) AS x "
+    f"FROM {source} WHERE \"asof\" = 0 AND {FIRES[rule]}"
+    for rule, (source, vm, app, keys) in EVIDENCE.items() for key, value in keys.items())
 ORACLES["replay_alerts"] = f"""
 WITH {A} SELECT "asof", e AS ts_us, severity, rule, vm_id, app FROM a"""
 
@@ -330,18 +339,18 @@ WITH {P} SELECT conv_id, turn, CASE WHEN {_NAMED['que-la']} THEN 'que-la' WHEN {
 ORACLES["question_answers"] = f"""
 WITH RECURSIVE {FACTS}{APP_EDGES}, {TRACE},
 q AS (SELECT conv_id, turn, CASE WHEN {_NAMED['app-1']} THEN 'app-1' WHEN {_NAMED['app-3']} THEN 'app-3'
-  ELSE {TOP_APP} END AS app, {INTENT} AS intent FROM conversations),
+  WHEN {_NAMED['une']} THEN 'une' ELSE {TOP_APP} END AS app, {INTENT} AS intent FROM conversations),
 n AS (
   SELECT app, 'rca' AS intent, 4 + (worst_vm IS NOT NULL)::BIGINT + 2 * (cause <> 'none')::BIGINT AS n_lines FROM judged
+  UNION ALL SELECT 'une', 'rca', 4
   UNION ALL
-  SELECT app, 'blast', 5 + greatest(1, (SELECT count(*) FROM both_ways x WHERE x.root = y.app AND direction = 'downstream'))
+  SELECT app, 'blast', 7 + greatest(1, (SELECT count(*) FROM both_ways x WHERE x.root = y.app AND direction = 'downstream'))
     + greatest(1, (SELECT count(*) FROM both_ways x WHERE x.root = y.app AND direction = 'upstream'))
   FROM (SELECT DISTINCT app FROM q) y)
 SELECT conv_id, turn, app, intent, n_lines FROM q JOIN n USING (app, intent)"""
 
 ORACLES["guarded_sql"] = f"""
-WITH {M} SELECT vm_id, count(*) AS n, round(max(v)::FLOAT, 6) AS top_heap, count(*) OVER () AS total
-FROM m GROUP BY vm_id ORDER BY n DESC, vm_id LIMIT 50"""
+WITH {M} SELECT vm_id, count(*) AS n, round(max(v)::FLOAT, 6) AS top_heap FROM m GROUP BY vm_id"""
 ORACLES["guarded_sql_alerts"] = f"""
 WITH {A} SELECT rule, severity, count(*) AS n FROM a WHERE "asof" = 0 GROUP BY rule, severity"""
 
@@ -432,6 +441,13 @@ ORACLES["ingested_days"] = f"""
 WITH {M} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(v), 6) AS heap FROM m GROUP BY ALL"""
 ORACLES["ingest_ledger"] = f"""
 WITH {W} SELECT (us - t0) // {CHUNK} AS chunk, 'vm_metrics' AS "table", count(*) AS n FROM m, b GROUP BY ALL"""
+ORACLES["mixed_ingest"] = f"""
+WITH {M} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, (SELECT count(*) FROM m) AS ledger_rows,
+  1::BIGINT AS empty_chunks FROM m GROUP BY ALL"""
+ORACLES["mixed_columns"] = f"""
+WITH {W}, c AS (SELECT t0 + (t1 - t0) * 1 // 3 AS c1, t0 + (t1 - t0) * 2 // 3 AS c2 FROM b)
+SELECT vm_id, way, count(*) AS n, count(*) FILTER (WHERE us > c1) AS n_heap, count(*) FILTER (WHERE us > c2) AS n_cpu,
+  0::BIGINT AS n_app FROM m, c, (VALUES ('raw'), ('files'), ('stream')) ways(way) GROUP BY vm_id, way"""
 ORACLES["batch_history"] = f"""
 WITH {W}, h AS (SELECT count(*) FILTER (WHERE us <= (t0 + t1) // 2) AS n0, count(*) AS n FROM m, b)
 SELECT 'vm_metrics' AS "table", 0::BIGINT AS batch_id, 'append' AS operation, n0 AS added, 0::BIGINT AS previous_total,
@@ -450,7 +466,9 @@ ORACLES["topology_overwrite"] = f"""
 WITH {T} SELECT app, depends_on_app, count(*) AS n_vms FROM topology GROUP BY app, depends_on_app"""
 ORACLES["alerts_json"] = f"""
 WITH {A} SELECT strftime(make_timestamp(e), '%Y-%m-%d %H:%M:%S.') || rtrim(strftime(make_timestamp(e), '%f'), '0') AS ts,
-  severity, rule, vm_id, app FROM a WHERE "asof" = 0"""
+  severity, rule, vm_id, app, headline, action,
+  CASE rule WHEN 'heap_leak' THEN 5 WHEN 'io_spike' THEN 4 WHEN 'net_retrans' THEN 2 ELSE 3 END AS n_evidence
+FROM a WHERE "asof" = 0"""
 ORACLES["alerts_table"] = f"""WITH {A} SELECT rule, severity, count(*) AS n FROM a WHERE "asof" = 0 GROUP BY rule, severity"""
 ORACLES["alert_digest"] = f"""
 WITH {A}, o AS (SELECT *, row_number() OVER (ORDER BY {RANK}, rule, vm_id, app) - 1 AS at_ FROM a WHERE "asof" = 0)

@@ -32,7 +32,7 @@ def blast_lines(topology: DataFrame, roots: DataFrame, alerts: DataFrame) -> Dat
     """
     traced = graph.trace(topology, roots, alerts).withColumnRenamed("root", "root_app")
     entry = traced.select(
-        "root_app", (F.when(col("direction") == graph.DOWNSTREAM, 3).otherwise(5)).alias("block"), "depth",
+        "root_app", (F.when(col("direction") == graph.DOWNSTREAM, 4).otherwise(6)).alias("block"), "depth",
         F.concat(lit("  depth "), col("depth").cast("string"), lit(": "), col("app"),
                  F.when(col("tags") != "", F.concat(lit("  ALERTS: "), col("tags"))).otherwise("")).alias("line"))
     counts = roots.select(col("root").alias("root_app")).join(
@@ -45,14 +45,17 @@ def blast_lines(topology: DataFrame, roots: DataFrame, alerts: DataFrame) -> Dat
         return F.struct(lit(number).alias("block"), lit(0).alias("depth"), text.alias("line"))
 
     none = lit("  (none)")
+    # The wording of the answer.
     fixed = counts.select("root_app", F.explode(F.array_compact(F.array(
         block(0, F.concat(lit("## Blast radius: "), app)),
-        block(1, F.concat(lit("app: "), app)),
-        block(2, F.concat(lit("downstream (impacted if "), app, lit(" fails):"))),
-        F.when(F.coalesce("n_down", lit(0)) == 0, block(3, none)),
-        block(4, F.concat(lit("upstream ("), app, lit(" depends on):"))),
-        F.when(F.coalesce("n_up", lit(0)) == 0, block(5, none)),
-        block(6, F.concat(
+        block(1, lit("")),
+        block(2, F.concat(lit("app: "), app)),
+        block(3, F.concat(lit("downstream (impacted if "), app, lit(" fails):"))),
+        F.when(F.coalesce("n_down", lit(0)) == 0, block(4, none)),
+        block(5, F.concat(lit("upstream ("), app, lit(" depends on):"))),
+        F.when(F.coalesce("n_up", lit(0)) == 0, block(6, none)),
+        block(7, lit("")),
+        block(8, F.concat(
             lit("**Interpretation:** if "), app, lit(" degrades, every downstream app above "
             "loses its dependency; any already showing ALERTS is feeling it now. "
             "Trace the chain to connect a root-cause alert on "), app,
@@ -66,7 +69,7 @@ def answer_lines(metrics: DataFrame, topology: DataFrame, alerts: DataFrame, cfg
                  apps: Sequence[str], asof: float = 0.0, found: Frames | None = None) -> DataFrame:
     """(app, intent, line_no, line): both kinds of answer for the listed apps."""
     spark = metrics.sparkSession
-    judged = rca.verdict(rca.facts(metrics, cfg, alerts, asof, found), cfg)
+    judged = rca.verdict(rca.facts(metrics, cfg, alerts, asof, found, apps), cfg)
     causes = rca.narrative_lines(judged).filter(col("app").isin(list(apps)))
     blast = blast_lines(topology, graph.roots_of(spark, *apps), alerts)
     return (causes.withColumn("intent", lit("rca"))
@@ -77,7 +80,8 @@ def answer_lines(metrics: DataFrame, topology: DataFrame, alerts: DataFrame, cfg
 def answer(questions: DataFrame, metrics: DataFrame, topology: DataFrame, cfg: Thresholds,
            apps: Sequence[str] = tuple(APPS), hints: Sequence[str] = tuple(BLAST_HINTS),
            asof: float = 0.0) -> DataFrame:
-    """Every question with its app, its intent and the lines of its answer.
+    """Every question with its app, its intent and the lines of its answer; none goes
+    without one, also where there are no samples of its app.
 
     The fact is aggregated once, into feature frames; alerts, verdicts and the
     default app come from those. Answers are made once per (app, intent) and
@@ -85,8 +89,8 @@ def answer(questions: DataFrame, metrics: DataFrame, topology: DataFrame, cfg: T
     """
     found = frames(metrics, cfg, instants(metrics, cfg, asof)).kept()
     alerts = alerts_of(found, cfg).drop("asof")
-    fallback = default_app(metrics, cfg, asof, found)
+    fallback = default_app(metrics, cfg, asof, found) or next(iter(apps), None)
     routed = route(questions, fallback, apps, hints)
     known = list(dict.fromkeys([*apps, *([fallback] if fallback else [])]))
     lines = answer_lines(metrics, topology, alerts, cfg, known, asof, found)
-    return routed.join(small_side(lines), ["app", "intent"])
+    return routed.join(small_side(lines), ["app", "intent"], "left")

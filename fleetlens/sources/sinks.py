@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import uuid
+from datetime import datetime
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from fleetlens import schema
+from fleetlens.functions.sizing import small_side
 from fleetlens.functions.ranking import position_by_sort
 from fleetlens.functions.stats import severity_rank
 
@@ -69,25 +74,41 @@ def write_alerts_json(alerts: DataFrame, path: str) -> None:
     alerts.withColumn("ts", F.col("ts").cast("string")).write.mode("overwrite").json(path)
 
 
-def append_alerts(alerts: DataFrame, path: str, replace_instant: bool = False) -> None:
-    """Add alerts to the table at ``path``, partitioned by day and instant.
+def append_alerts(alerts: DataFrame, path: str, replace_instant: bool = False, instant: datetime | None = None) -> None:
+    """Add alerts to the table at ``path``, partitioned by day and run.
 
     By default every run appends, and no alerts means no change. With
-    ``replace_instant`` a second run at the same instant replaces the first.
+    ``replace_instant`` the alerts that earlier runs have at the same instants no
+    longer count; name the ``instant`` of the run, so that one that has lost all its
+    alerts is replaced as well.
     """
-    rows = alerts.select(
-        *schema.ALERTS.names, F.to_date("ts").alias("ts_day"),
-        F.unix_micros("ts").alias("instant_us"))
-    writer = rows.write.partitionBy("ts_day", "instant_us")
+    spark, run = alerts.sparkSession, uuid.uuid4().hex
+    rows = alerts.select(*schema.ALERTS.names, F.to_date("ts").alias("ts_day"))
+    rows.withColumn("_run", F.lit(run)).write.mode("append").partitionBy("ts_day", "_run").parquet(f"{path}/rows")
+    marks = spark.createDataFrame([(None,)], "instant timestamp")
     if replace_instant:
-        writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    else:
-        writer = writer.mode("append")
-    writer.parquet(path)
+        marks = marks.unionAll(alerts.select("ts").distinct())
+        if instant is not None:
+            marks = marks.unionAll(spark.createDataFrame([(instant,)], "instant timestamp")).distinct()
+    (marks.select(F.lit(run).alias("_run"), "instant", F.current_timestamp().alias("written"))
+     .coalesce(1).write.mode("append").parquet(f"{path}/runs"))
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(*schema.ALERTS.names)
+    """The alerts of all finished runs, without those whose instant a later run has replaced."""
+    full = T.StructType([*schema.ALERTS.fields, T.StructField("ts_day", T.DateType()), T.StructField("_run", T.StringType())])
+    try:
+        rows = spark.read.schema(full).parquet(f"{path}/rows")
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return schema.empty(spark, schema.ALERTS)
+        raise
+    marks = (spark.read.schema("_run string, instant timestamp, written timestamp").parquet(f"{path}/runs")
+             .withColumn("at", F.struct("written", "_run")))
+    runs = marks.filter("instant IS NULL").select("_run", "at")
+    last = marks.groupBy("instant").agg(F.max("at").alias("replaced")).filter("instant IS NOT NULL")
+    return (rows.join(small_side(runs), "_run").join(small_side(last), F.col("ts") == F.col("instant"), "left")
+            .filter(F.col("replaced").isNull() | (F.col("at") >= F.col("replaced"))).select(*schema.ALERTS.names))
 
 
 def digest(alerts: DataFrame, asof: float = 0.0, page_size: int = DIGEST_PAGE) -> DataFrame:

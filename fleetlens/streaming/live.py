@@ -13,6 +13,7 @@ detection on the lake after each ingested batch instead.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -89,6 +90,7 @@ def detect_on_commit(spark: SparkSession, lake: str, alerts_path: str, cfg: Thre
         bounds = time_bounds(read_ledger(spark, lake))
         if bounds:
             metrics = read_lake(spark, table_path(lake, "vm_metrics"), "vm_metrics")
-            append_alerts(detect(metrics, cfg, bounds=bounds, ordered=False), alerts_path, replace_instant=True)
+            append_alerts(detect(metrics, cfg, bounds=bounds, ordered=False), alerts_path, replace_instant=True,
+                          instant=datetime.fromtimestamp(bounds.end / 1e6, timezone.utc))
 
     return run

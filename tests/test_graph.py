@@ -103,11 +103,11 @@ def test_blast_lines_read_like_a_report(spark):
     lines = answers.blast_lines(fleet.topology(spark), graph.roots_of(spark, "ehr-api"),
                                 _alerts(spark, ("kafka", "P1", "heap_leak")))
     text = [r.line for r in lines.orderBy("line_no", "line").collect()]
-    assert text[:7] == [
-        "## Blast radius: ehr-api", "app: ehr-api", "downstream (impacted if ehr-api fails):",
+    assert text[:8] == [
+        "## Blast radius: ehr-api", "", "app: ehr-api", "downstream (impacted if ehr-api fails):",
         "  depth 1: kafka  ALERTS: P1:heap_leak", "  depth 1: patient-onboarding", "  depth 2: hl7-ingest",
         "upstream (ehr-api depends on):"]
-    assert text[7] == "  depth 1: postgres-db"
+    assert text[8] == "  depth 1: postgres-db"
     alone = answers.blast_lines(fleet.topology(spark), graph.roots_of(spark, "nobody"), empty(spark, ALERTS))
     assert [r.line for r in alone.collect()].count("  (none)") == 2
 
@@ -115,3 +115,12 @@ def test_blast_lines_read_like_a_report(spark):
 def test_unknown_direction(spark):
     with pytest.raises(ValueError):
         graph.reach(edge_frame(spark, fleet.EDGES), graph.roots_of(spark, "a"), "sideways")
+
+
+def test_hops_use_no_edge_twice(spark):
+    """On two nodes that need each other, a walk is back after two steps and then stuck."""
+    e = edge_frame(spark, [("a", "b"), ("b", "a")])
+    assert sorted((r.app, r.hops) for r in graph.hops(e, graph.roots_of(spark, "a")).collect()) == [("a", 2), ("b", 1)]
+    both = edge_frame(spark, [("b", "a"), ("a", "b"), ("c", "b")])
+    assert sorted((r.app, r.hops) for r in graph.hops(both, graph.roots_of(spark, "a")).collect()) == [
+        ("a", 2), ("b", 1), ("c", 2)]

@@ -59,6 +59,19 @@ def test_alert_sinks(spark, tmp_path):
     assert sinks.read_alerts(spark, path).count() == n + other.count()
 
 
+def test_a_replaced_instant_may_lose_all_its_alerts(spark, tmp_path):
+    alerts = detect(fleet.metrics(spark, incidents=fleet.MIX), CFG, 30)
+    instant = alerts.first().ts
+    path = str(tmp_path / "table")
+    sinks.append_alerts(alerts, path, replace_instant=True, instant=instant)
+    other = detect(fleet.metrics(spark, incidents=fleet.MIX), CFG, 20)
+    sinks.append_alerts(other, path, replace_instant=True)
+    sinks.append_alerts(alerts.limit(0), path, replace_instant=True, instant=instant)
+    assert sinks.read_alerts(spark, path).count() == other.count()
+    sinks.append_alerts(alerts, path, replace_instant=True, instant=instant)
+    assert sinks.read_alerts(spark, path).count() == other.count() + alerts.count()
+
+
 def test_digest(spark):
     alerts = detect(fleet.metrics(spark, incidents=fleet.MIX), CFG, 30)
     lines = [f"[{r.severity}] {r.rule} — {r.headline}" for r in alerts.collect()]
