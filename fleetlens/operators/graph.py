@@ -64,7 +64,7 @@ def _start(roots: DataFrame, *directions: str) -> DataFrame:
 def _explore(edge_set: DataFrame, start: DataFrame, directions: list[str], max_depth: int | None) -> DataFrame:
     """(direction, root, app, depth) for all starts of both directions at once:
     one level of every walk per round."""
-    steps = checkpoint(_steps(edge_set, *directions))
+    steps = small_side(checkpoint(_steps(edge_set, *directions)))
     frontier = checkpoint(start.withColumn("depth", F.lit(0)))
     seen, depth = frontier, 0
     while max_depth is None or depth < max_depth:

@@ -35,13 +35,13 @@ f AS (
   SELECT "asof", e, vm_id,
     max(app) FILTER (WHERE {REC}) AS app_r, max(app) FILTER (WHERE {HEAP}) AS app_h,
     count(*) FILTER (WHERE {HEAP}) AS n_heap,
-    regr_slope(v, us / {UNIT}.0) FILTER (WHERE {HEAP}) AS slope,
-    corr(v, us / {UNIT}.0) FILTER (WHERE {HEAP}) AS r,
+    nullif(regr_slope(v, (us - e) / {UNIT}.0) FILTER (WHERE {HEAP}), 'nan'::DOUBLE) AS slope,
+    nullif(corr(v, (us - e) / {UNIT}.0) FILTER (WHERE {HEAP}), 'nan'::DOUBLE) AS r,
     arg_max(v, us) FILTER (WHERE {HEAP}) AS cur,
     count(*) FILTER (WHERE {REC}) AS n_rec, avg(v) FILTER (WHERE {REC}) AS v_rec,
     arg_max(k, us) FILTER (WHERE {REC}) AS iops, avg(retrans) FILTER (WHERE {REC}) AS retr,
     avg(err) FILTER (WHERE {REC}) AS err_rec, avg(k) FILTER (WHERE {REC}) AS gc,
-    regr_slope(v, us / {UNIT}.0) FILTER (WHERE {REC}) AS slope_rec,
+    nullif(regr_slope(v, (us - e) / {UNIT}.0) FILTER (WHERE {REC}), 'nan'::DOUBLE) AS slope_rec,
     arg_max(v, us) FILTER (WHERE {REC}) AS cur_rec,
     count(*) FILTER (WHERE {BASE}) AS n_base, avg(v) FILTER (WHERE {BASE}) AS v_base,
     stddev_samp(v) FILTER (WHERE {BASE}) AS v_std, avg(err) FILTER (WHERE {BASE}) AS err_base
@@ -225,9 +225,26 @@ walk(root, app, depth) AS (
 
 DOWN, UP = ("depends_on_app", "app"), ("app", "depends_on_app")
 ORACLES["downstream_apps"] = f"""
-WITH RECURSIVE {T}, {_walk(*DOWN)} SELECT root, app, min(depth) AS depth FROM walk GROUP BY root, app"""
+WITH RECURSIVE {T}, {_walk(*DOWN, "depends_on_app IN ('NATION_0', 'NATION_3')")} SELECT root, app, min(depth) AS depth FROM walk GROUP BY root, app"""
 ORACLES["upstream_apps"] = f"""
-WITH RECURSIVE {T}, {_walk(*UP)} SELECT root, app, min(depth) AS depth FROM walk GROUP BY root, app"""
+WITH RECURSIVE {T}, {_walk(*UP, "app IN ('NATION_20', 'NATION_24')")} SELECT root, app, min(depth) AS depth FROM walk GROUP BY root, app"""
+CYCLE = T.replace("edges AS (SELECT", "edges AS (SELECT 'NATION_0' AS app, 'NATION_20' AS depends_on_app UNION SELECT", 1)
+ORACLES["cyclic_reach"] = f"""
+WITH RECURSIVE {CYCLE}, {_walk(*DOWN, "depends_on_app IN ('NATION_2', 'NATION_20')", 30)}
+SELECT root, app, min(depth) AS depth FROM walk WHERE app <> root GROUP BY root, app"""
+ORACLES["cyclic_hops"] = f"""
+WITH RECURSIVE {CYCLE}, walk(root, app, depth, used) AS (
+  SELECT depends_on_app, app, 1::BIGINT, [depends_on_app || '>' || app] FROM edges
+  WHERE depends_on_app IN ('NATION_2', 'NATION_20')
+  UNION ALL
+  SELECT root, edges.app, depth + 1, list_append(used, edges.depends_on_app || '>' || edges.app)
+  FROM walk JOIN edges ON edges.depends_on_app = walk.app
+  WHERE depth < 5 AND NOT list_contains(used, edges.depends_on_app || '>' || edges.app))
+SELECT DISTINCT root, app, depth AS hops FROM walk"""
+ORACLES["target_vms"] = f"""
+WITH {T[:T.index('tree AS')].rstrip().rstrip(',')}
+SELECT vm_id, app, site FROM (SELECT *, row_number() OVER (ORDER BY vm_id) AS n FROM fleet WHERE app = 'NATION_3') WHERE n <= 3
+UNION ALL SELECT vm_id, app, site FROM fleet WHERE vm_id IN ('Supplier#000000001', 'Supplier#000000002')"""
 ORACLES["blast_radius_hops"] = f"""
 WITH RECURSIVE {T}, {_walk(*DOWN, "depends_on_app IN ('NATION_0', 'NATION_2')", 5)}
 SELECT DISTINCT root, app, depth AS hops FROM walk"""
@@ -457,6 +474,11 @@ ORACLES["lake_as_of_batch"] = f"""
 WITH {W} SELECT app, count(*) AS n_now, nullif(count(*) FILTER (WHERE us <= (t0 + t1) // 2), 0) AS n_then
 FROM m, b GROUP BY app"""
 ORACLES["lake_detect"] = f"""WITH {A} SELECT severity, rule, vm_id, app FROM a WHERE "asof" = 0"""
+ORACLES["catalog_load"] = f"""
+WITH {A}, {T.strip()},
+loaded AS (SELECT 'vm_metrics' AS "table", count(*) AS n FROM m UNION ALL SELECT 'app_events', count(*) FROM m
+  UNION ALL SELECT 'topology', count(*) FROM topology UNION ALL SELECT 'alerts', count(*) FROM a WHERE "asof" = 0)
+SELECT "table", n, (SELECT count(*) FROM a WHERE "asof" = 0 AND severity = 'P1') AS n_p1 FROM loaded"""
 ORACLES["hourly_chunks"] = f"""
 WITH {M} SELECT strftime(ts, '%Y-%m-%d') AS dt, hour(ts) AS hour, count(*) AS n FROM m GROUP BY ALL"""
 ORACLES["app_event_counts"] = f"""
@@ -491,7 +513,7 @@ UNION ALL SELECT e, 'P2', 'io_spike', vm_id, app FROM g JOIN base USING (vm_id)
 UNION ALL SELECT e, {ERR_SEV}, 'error_storm', vm_id, app FROM g JOIN base USING (vm_id)
   WHERE err_rec > 3 AND err_rec > 3 * greatest(err_base, 0.1)"""
 ORACLES["live_heap_alerts"] = f"""
-WITH {LIVE}, g AS (SELECT e, vm_id, max(app) AS app, count(*) AS n_heap, regr_slope(v, us / {UNIT}.0) AS slope,
-    corr(v, us / {UNIT}.0) AS r, arg_max(v, us) AS cur
+WITH {LIVE}, g AS (SELECT e, vm_id, max(app) AS app, count(*) AS n_heap, regr_slope(v, (us - e) / {UNIT}.0) AS slope,
+    corr(v, (us - e) / {UNIT}.0) AS r, arg_max(v, us) AS cur
   FROM closed JOIN m ON us > e - 30 * {UNIT} AND us <= e GROUP BY e, vm_id)
 SELECT e AS ts_us, {HEAP_SEV} AS severity, 'heap_leak' AS rule, vm_id, app FROM g WHERE {FIRES['heap_leak']}"""

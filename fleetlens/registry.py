@@ -6,6 +6,7 @@ decimals, so that results can be compared across engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,7 +15,7 @@ from fleetlens import driver_tables as dt, schema
 from fleetlens.operators import graph, health, history, quality, questions, rca, rules, windows
 from fleetlens.operators.features import app_latency, frames, vm_features
 from fleetlens.plans import answers, detect, sqlguard
-from fleetlens.session import prepare, scratch_dir
+from fleetlens.session import checkpoint, prepare, scratch_dir
 from fleetlens.sources import sinks, tables
 from fleetlens.streaming import ingest, live
 
@@ -215,16 +216,42 @@ def dependency_edges(spark, sf):
 
 @query
 def downstream_apps(spark, sf):
-    """Impacted apps of every app, at least depth."""
+    """Impacted apps of the given ones, at least depth."""
     e = _nation_edges(spark, sf)
-    return r6(graph.reach(e, graph.all_roots(e), graph.DOWNSTREAM))
+    return r6(graph.reach(e, graph.roots_of(spark, "NATION_0", "NATION_3"), graph.DOWNSTREAM))
+
+
+def _cyclic_edges(spark, sf):
+    """The nation tree, whose root depends on one of its leaves."""
+    return _nation_edges(spark, sf).unionByName(
+        spark.createDataFrame([("NATION_0", "NATION_20")], "app string, depends_on_app string"))
+
+
+@query
+def cyclic_reach(spark, sf):
+    """Impacted apps where dependencies go round."""
+    return r6(graph.reach(_cyclic_edges(spark, sf), graph.roots_of(spark, "NATION_2", "NATION_20")))
+
+
+@query
+def cyclic_hops(spark, sf):
+    """Path lengths where dependencies go round; no path uses an edge twice."""
+    return r6(graph.hops(_cyclic_edges(spark, sf), graph.roots_of(spark, "NATION_2", "NATION_20")))
+
+
+@query
+def target_vms(spark, sf):
+    """R2: the first VMs of an app, and VMs by name."""
+    fleet = dt.fleet(spark, sf)
+    return (quality.select_vms(fleet, app="NATION_3", count=3)
+            .unionByName(quality.select_vms(fleet, vms=["Supplier#000000001", "Supplier#000000002"])))
 
 
 @query
 def upstream_apps(spark, sf):
-    """Needed apps of every app, at least depth."""
+    """Needed apps of the given ones, at least depth."""
     e = _nation_edges(spark, sf)
-    return r6(graph.reach(e, graph.all_roots(e), graph.UPSTREAM))
+    return r6(graph.reach(e, graph.roots_of(spark, "NATION_20", "NATION_24"), graph.UPSTREAM))
 
 
 @query
@@ -613,6 +640,22 @@ def lake_detect(spark, sf):
     return found.select("severity", "rule", "vm_id", "app")
 
 
+@query
+def catalog_load(spark, sf):
+    """A fresh namespace, loaded, detected from, and counted table by table."""
+    namespace = f"fleetlens_{uuid.uuid4().hex}"
+    m = dt.vm_metrics(spark, sf)
+    topology = graph.build_topology(dt.fleet(spark, sf), dt.edge_list(spark, sf))
+    sinks.ensure_tables(spark, namespace)
+    for table, rows in (("vm_metrics", m), ("app_events", dt.app_events(spark, sf)), ("topology", topology), ("topology", topology)):
+        sinks.load_table(rows, namespace, table)
+    sinks.load_table(_alerts(tables.read_catalog(spark, namespace, "vm_metrics")), namespace, "alerts")
+    p1 = tables.read_catalog(spark, namespace, "alerts").agg(F.count_if(col("severity") == "P1").alias("n_p1"))
+    found = checkpoint(sinks.table_counts(spark, namespace).join(F.broadcast(p1)))  # one row
+    spark.sql(f"DROP DATABASE {namespace} CASCADE")
+    return found
+
+
 @query
 def hourly_chunks(spark, sf):
     """The raw dt/hour layout, written and counted by partition."""

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -75,6 +76,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """A checkpointed step of an iterative job, and how many rows it has."""
-    kept = checkpoint(df)
-    return kept, kept.count()
+    """A checkpointed step of an iterative job, and how many rows it has: counted as they are written."""
+    counted = Observation()
+    kept = checkpoint(df.observe(counted, F.count(F.lit(1)).alias("n")))
+    return kept, counted.get["n"]

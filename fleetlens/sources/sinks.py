@@ -69,6 +69,24 @@ def ensure_tables(spark: SparkSession, namespace: str) -> None:
         spark.sql(f"CREATE TABLE IF NOT EXISTS {namespace}.{name} {layout}")
 
 
+def load_table(df: DataFrame, namespace: str, table: str) -> None:
+    """Put rows into a catalog table: the topology replaces what is there, all others are added."""
+    rows = schema.conform(df, schema.TABLES[table])
+    if table == "topology":
+        return rows.write.mode("overwrite").insertInto(f"{namespace}.{table}")
+    rows = balanced(rows.withColumn("ts_day", F.to_date("ts")), "ts_day")
+    return rows.write.mode("append").insertInto(f"{namespace}.{table}")
+
+
+def table_counts(spark: SparkSession, namespace: str) -> DataFrame:
+    """(table, n): the rows of every table of a namespace."""
+    out = None
+    for name in schema.TABLES:
+        one = spark.table(f"{namespace}.{name}").agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def write_alerts_json(alerts: DataFrame, path: str) -> None:
     """One JSON record per line, ts as text."""
     alerts.withColumn("ts", F.col("ts").cast("string")).write.mode("overwrite").json(path)

@@ -137,15 +137,13 @@ def list_chunks(spark: SparkSession, root: str, table: str | None = None) -> Dat
     one table's; the file contents are not read. Files of no known table are left
     out. Only the path below ``root`` decides the table."""
     root = root.rstrip("/")
-    try:
-        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-                 .option("pathGlobFilter", "*.parquet").load(f"{root}/{table}" if table else root))
-    except AnalysisException as error:
-        if error.getCondition() in NO_FILES:
-            return schema.empty(spark, T.StructType([
-                T.StructField("file_path", T.StringType()), T.StructField("table", T.StringType()),
-                T.StructField("length", T.LongType()), T.StructField("modified", T.TimestampType())]))
-        raise
+    folder = f"{root}/{table}" if table else root
+    if not names(spark, folder):
+        return schema.empty(spark, T.StructType([
+            T.StructField("file_path", T.StringType()), T.StructField("table", T.StringType()),
+            T.StructField("length", T.LongType()), T.StructField("modified", T.TimestampType())]))
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", "*.parquet").load(folder))
     base = urlsplit(root).path or root
     found = F.locate(base, F.col("path"))
     key = F.when(found > 0, F.substr("path", found + F.lit(len(base) + 1))).otherwise(F.col("path"))

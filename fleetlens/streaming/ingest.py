@@ -24,7 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fleetlens import schema
 from fleetlens.functions.sizing import small_side
 from fleetlens.session import checkpoint as checkpoint_rows
-from fleetlens.sources.files import create, read
+from fleetlens.sources.files import create, names, read
 from fleetlens.sources.tables import NO_FILES, claimed, claims_path, ledger_path, list_chunks, raw_schema, uncommitted
 
 LEDGER = T.StructType([
@@ -42,12 +42,9 @@ def table_path(lake: str, table: str) -> str:
 
 
 def read_ledger(spark: SparkSession, lake: str) -> DataFrame:
-    try:
-        return spark.read.schema(LEDGER).parquet(ledger_path(lake))
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return schema.empty(spark, LEDGER)
-        raise
+    if not names(spark, ledger_path(lake)):
+        return schema.empty(spark, LEDGER)
+    return spark.read.schema(LEDGER).parquet(ledger_path(lake))
 
 
 def _replace(rows: DataFrame, path: str, *partitions: str) -> None:
@@ -165,15 +162,15 @@ def ingest_files(spark: SparkSession, raw: str, lake: str, table: str, max_files
     while True:
         # Spark plans a read from a list of names: this many at a time.
         page = todo.filter(F.col("file_path") > last).orderBy("file_path").limit(max_files)
-        names = [row.file_path for row in page.collect()]
-        if not names:
+        paths = [row.file_path for row in page.collect()]
+        if not paths:
             return batches
-        rows = (spark.read.schema(raw_schema(spark, names, schema.FACTS[table])).parquet(*names)
+        rows = (spark.read.schema(raw_schema(spark, paths, schema.FACTS[table])).parquet(*paths)
                 .select("*", F.col("_metadata.file_path").alias("_source_file")))
-        listed = spark.createDataFrame([(name,) for name in names], "file_path string")
-        # The names say which batch this is, so repeating it after a crash finds its claim.
-        commit(spark, lake, table, rows, f"{BY_HAND}:{md5(chr(10).join(names).encode()).hexdigest()}", 0, listed)
-        batches, last = batches + 1, names[-1]
+        listed = spark.createDataFrame([(path,) for path in paths], "file_path string")
+        # The paths say which batch this is, so repeating it after a crash finds its claim.
+        commit(spark, lake, table, rows, f"{BY_HAND}:{md5(chr(10).join(paths).encode()).hexdigest()}", 0, listed)
+        batches, last = batches + 1, paths[-1]
 
 
 def ingest_once(spark: SparkSession, raw: str, lake: str, max_files: int = MAX_FILES) -> DataFrame:
