@@ -19,6 +19,8 @@ from fleetlens.session import checkpoint, scratch_dir
 
 #: Text bytes that a task works on at a time; a longer document is one piece of its own.
 PIECE_BYTES = 1 << 20
+#: Positions that a ragged gather works out at a time.
+GATHERED = 1 << 20
 #: Rows of an Arrow batch between the JVM and Python.
 BATCH_ROWS = 2_000
 #: Ids that are sent to every executor; more are joined by shuffle.
@@ -147,11 +149,20 @@ class SpanHash:
     """64-bit hashes of any spans of an array of small symbols, from one prefix sum."""
 
     def __init__(self, seed: int = 1, symbols: int = 256):
+        self.made_from = (seed, symbols)
         self.base = np.uint64((0x9E3779B97F4A7C15 * (2 * seed + 1) | 5) & 0xFFFFFFFFFFFFFFFF)
         self.back = np.uint64(_inverse(int(self.base)))
         self.table = mixed(np.arange(1, symbols + 1, dtype=np.uint64) + np.uint64(seed << 32))
         self._powers = self._backs = np.ones(1, np.uint64)
 
+    def __reduce__(self):
+        return SpanHash, self.made_from  # without the powers
+
+    def back_powers(self, n: int) -> np.ndarray:
+        """The first n powers of the inverse of the base."""
+        self._grow(n)
+        return self._backs[:n]
+
     def _grow(self, n: int) -> None:
         if len(self._powers) <= n:
             n = max(n + 1, 1 << 16)
@@ -167,7 +178,7 @@ class SpanHash:
         return sums
 
     def spans(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (prefix[ends] - prefix[starts]) * self._backs[starts]
+        raw = (prefix[ends] - prefix[starts]) * self.back_powers(len(prefix))[starts]
         return mixed(raw + (ends - starts).astype(np.uint64) * _BASE)
 
 
@@ -193,11 +204,18 @@ def owners(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def gathered(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenate spans of a pool."""
-    total = int(lengths.sum())
-    if not total:
-        return pool[:0]
-    begin = np.cumsum(lengths) - lengths
-    return pool[np.repeat(starts - begin, lengths) + np.arange(total)]
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    out = np.empty(total, pool.dtype)
+    begin = 0
+    while begin < len(lengths):  # so many positions at a time
+        done = int(ends[begin - 1]) if begin else 0
+        end = max(int(np.searchsorted(ends, done + GATHERED, side="right")), begin + 1)
+        size = lengths[begin:end]
+        shift = starts[begin:end] - (ends[begin:end] - size - done)
+        out[done: int(ends[end - 1])] = pool[np.repeat(shift, size) + np.arange(int(ends[end - 1]) - done)]
+        begin = end
+    return out
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -210,16 +228,45 @@ def lowered(data: np.ndarray) -> np.ndarray:
 # ---- connected components
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of the edges of one task, by union-find with the smaller node on top."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while top.setdefault(root, root) != root:
+            root = top[root]
+        while top[x] != root:
+            top[x], x = root, top[x]
+        return root
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(u), find(v)
+            top[max(a, b)] = min(a, b)
+    nodes = list(top)
+    yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()),
+                                      "component": pa.array([find(x) for x in nodes], pa.int64())})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of (a, b) can reach.
 
-    Alternating large-star and small-star steps: every node links its larger
+    Up to FEW_IDS edges are a few megabytes and go through one task. More are worked
+    on by alternating large-star and small-star steps: every node links its larger
     neighbours, then its smaller ones, to the smallest it knows. Each step is two
-    aggregations of the edges with map-side minima, so a node with very many
-    edges is no single task. Steps end on checkpoints; no edge reaches the driver.
+    aggregations of the edges with map-side minima, so a node with very many edges is no
+    single task. Steps end on checkpoints; no edge reaches the driver.
     """
-    links = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                       .filter("u <> v").distinct())
+    found = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v"), "edges")
+    if found.count() <= FEW_IDS:
+        return written(found.coalesce(1).mapInArrow(_united, "node long, component long"), "components")
+    return _starred(found)
+
+
+def _starred(edges: DataFrame) -> DataFrame:
+    """Components of any number of edges (u, v), u > v."""
+    links = checkpoint(edges.distinct())
     seen = None
     while True:
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))

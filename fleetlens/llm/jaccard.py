@@ -20,8 +20,8 @@ Equal sets are one class, whose smallest document stands for it; a task emits th
 signatures of a class once. The members of a signature are first compared with its
 smallest class (the hub). What that leaves open - signatures whose members are still in
 different components - is settled in rounds: a task looks at the parity sketches of one
-signature's members in blocks and emits pairs that join its components, no more than
-a spanning forest of them, out of the pairs that may link. They are compared exactly,
+signature's members in blocks and emits pairs that join its components, at most TRIES for
+each edge of a spanning forest, the most alike ones of those that may link. They are compared exactly,
 components are renewed, and a signature stays open only as long as a pair of its round
 failed. So no pair that shares a signature remains undecided, and no group emits all
 its pairs.
@@ -56,6 +56,10 @@ SPARE = 2
 MIN_BITS, MAX_BITS = 256, 1 << 16
 #: Rows of a group that are compared with the others at a time.
 BLOCK = 256
+#: Pairs that are tried at a time for two components of a group.
+TRIES = 8
+#: Groups up to this size need no arrays.
+FEW = 24
 
 _HASH = SpanHash(11)
 _SPACE = np.zeros(256, bool)
@@ -255,6 +259,8 @@ def _joining(table: pa.Table, cuts: np.ndarray, percent: int):
 
 def _spanning(node, part, n, sketches, failed, percent: int) -> list[tuple[int, int]]:
     """Pairs that may link and make one component of as many as they can."""
+    if len(node) <= FEW:
+        return _spanning_few(node.tolist(), part.tolist(), n.tolist(), sketches, failed, percent)
     order = np.argsort(node)
     node, part, n = node[order], part[order], n[order]
     sketch = _folded([sketches[i] for i in order.tolist()])
@@ -270,16 +276,50 @@ def _spanning(node, part, n, sketches, failed, percent: int) -> list[tuple[int,
             tried = failed[order[begin + i]]
             if tried:
                 may[i] &= ~np.isin(node, tried)
-        one, two = np.nonzero(may)
-        one = one + begin
+        one, two = np.nonzero(np.triu(may, begin + 1))  # each pair once
+        near = np.argsort(bits[one, two], kind="stable")  # the most alike first
+        one, two = one[near] + begin, two[near]
         while len(one):
-            out.append((int(node[one[0]]), int(node[two[0]])))
-            label[label == label[two[0]]] = label[one[0]]
+            x, y = label[one[0]], label[two[0]]
+            between = np.flatnonzero(((label[one] == x) & (label[two] == y)) | ((label[one] == y) & (label[two] == x)))
+            out += [(int(node[one[k]]), int(node[two[k]])) for k in between[:TRIES]]
+            label[label == y] = x
             open_ = label[one] != label[two]
             one, two = one[open_], two[open_]
     return out
 
 
+def _spanning_few(node, part, n, sketches, failed, percent: int) -> list[tuple[int, int]]:
+    """The same for a small group, without arrays."""
+    order = sorted(range(len(node)), key=node.__getitem__)
+    least = min(map(len, sketches))
+    bits = []
+    for i in order:
+        raw, size = int.from_bytes(sketches[i], "little"), len(sketches[i]) * 8
+        while size > least * 8:
+            size //= 2
+            raw = raw >> size ^ raw & (1 << size) - 1
+        bits.append(raw)
+    label = [part[i] for i in order]
+    pairs = []
+    for x, i in enumerate(order):
+        for y in range(x + 1, len(order)):
+            j = order[y]
+            differ = (bits[x] ^ bits[y]).bit_count()
+            if (label[x] != label[y] and 100 * min(n[i], n[j]) >= percent * max(n[i], n[j])
+                    and differ * (100 + percent) <= (n[i] + n[j]) * (100 - percent) and node[j] not in (failed[i] or ())):
+                pairs.append((differ, x, y))
+    pairs.sort()
+    out = []
+    while pairs:
+        kept, gone = label[pairs[0][1]], label[pairs[0][2]]
+        between = [(x, y) for _, x, y in pairs if {label[x], label[y]} == {kept, gone}]
+        out += [(node[order[x]], node[order[y]]) for x, y in between[:TRIES]]
+        label = [kept if old == gone else old for old in label]
+        pairs = [p for p in pairs if label[p[1]] != label[p[2]]]
+    return out
+
+
 def _linked(percent: int):
     def run(batches):
         for batch in batches:
@@ -318,9 +358,17 @@ class _Join:
         return (keys.join(node.toDF("x", "p"), "x").join(node.toDF("y", "q"), "y")
                 .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).filter("a <> b").distinct())
 
-    def compared(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that link."""
-        side = self.classes.select("node", "n", "sketch")
+    def _of(self, nodes: DataFrame) -> DataFrame:
+        """The classes of the given representatives, picked without a shuffle of all where these are few."""
+        nodes = written(nodes.select("node").distinct(), "nodes")
+        few = nodes.count() <= FEW_IDS
+        return written(self.classes.join(F.broadcast(nodes) if few else nodes, "node", "left_semi"), "own")
+
+    def compared(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The pairs that the sketches leave open, and those of them that link."""
+        pairs = written(pairs, "pairs")
+        ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
+        side = self._of(ends).select("node", "n", "sketch")
         likely = (pairs.join(side.toDF("a", "n_a", "sketch_a"), "a").join(side.toDF("b", "n_b", "sketch_b"), "b")
                   .filter(f"100 * least(n_a, n_b) >= {self.percent} * greatest(n_a, n_b)"))
         likely = written(likely.mapInArrow(_maybe(self.percent), "a long, b long"), "likely")
@@ -330,34 +378,35 @@ class _Join:
         texts = self.docs.withColumn("node", F.col("doc_id"))
         texts = texts.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").select("doc_id", "text", "node")
         sets = written(texts.mapInArrow(_sets(self.words), "node long, features binary"), "sets")
-        return (likely.join(sets.toDF("a", "features_a"), "a").join(sets.toDF("b", "features_b"), "b")
-                .mapInArrow(_linked(self.percent), "a long, b long").distinct())
-
-    def links(self) -> DataFrame:
-        """Links that connect every component."""
-        tested = written(self.candidates(), "tested")
-        links = written(self.compared(tested), "links")
-        nodes = self.classes.select("one", "node", "n", "sketch")
-        alive = self.shared.select("sig", "one")
+        return likely, (likely.join(sets.toDF("a", "features_a"), "a").join(sets.toDF("b", "features_b"), "b")
+                        .mapInArrow(_linked(self.percent), "a long, b long"))
+
+    def components(self) -> DataFrame:
+        """(node, component) of all representatives that link with another."""
+        likely, links = self.compared(self.candidates())
+        links = written(links, "links")
+        tested = likely
+        alive = self.shared.select("sig", "one").join(self.classes.select("one", "node"), "one").select("sig", "node")
         while True:
-            part = written(components(links), "part")
-            placed = (alive.join(nodes.select("one", "node"), "one").join(part, "node", "left")
-                      .select("sig", "one", "node", F.coalesce("component", "node").alias("component")))
+            part = components(links)
+            part = F.broadcast(part) if part.count() <= FEW_IDS else part
+            placed = alive.join(part, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
             spread = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-            still = placed.join(spread.filter("low <> high").select("sig"), "sig")
+            still = written(placed.join(spread.filter("low <> high").select("sig"), "sig"), "still")
+            # Pairs that the sketches alone rule out need not be remembered: they will again.
             missed = tested.join(links, ["a", "b"], "left_anti")
             missed = (missed.unionAll(missed.select("b", "a")).groupBy(F.col("a").alias("node"))
                       .agg(F.collect_list("b").alias("failed")))
-            rows = still.join(nodes.drop("one"), "node").join(missed, "node", "left")
-            found = written(rows.select("sig", "node", "component", "n", "sketch", "failed")
+            own = self._of(still).select("node", "n", "sketch").join(missed, "node", "left")
+            found = written(still.join(own, "node").select("sig", "node", "component", "n", "sketch", "failed")
                             .repartition("sig").sortWithinPartitions("sig")
                             .mapInArrow(_forest(self.percent), "sig long, a long, b long"), "forest")
             if found.isEmpty():
-                return links
-            pairs = written(found.select("a", "b").distinct(), "round")
-            links = written(links.unionAll(self.compared(pairs)), "links")
-            tested = written(tested.unionAll(pairs), "tested")
-            alive = written(alive.join(found.select("sig").distinct(), "sig", "left_semi"), "alive")
+                return part
+            likely, more = self.compared(found.select("a", "b").distinct())
+            links = written(links.unionAll(more), "links")
+            tested = tested.unionAll(likely)
+            alive = written(still.select("sig", "node").join(found.select("sig").distinct(), "sig", "left_semi"), "alive")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
@@ -365,7 +414,7 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     """One row per document: doc_id, n_shingles, component_id (the smallest id that links reach)."""
     docs = two_columns(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     join = _Join(docs, words, percent)
-    part = components(join.links())
+    part = join.components()
     named = (join.classes.join(part, "node", "left")
              .select("one", "two", "n", F.coalesce("component", "node").alias("component")))
     rows = join.table.select("doc_id", "n", "one", "two")

@@ -46,7 +46,7 @@ def fingerprints(texts: list[bytes]) -> list[np.ndarray]:
     prefix = _HASH.prefix(data)
     chosen: list[np.ndarray] = [None] * len(texts)
     if len(data) >= GRAM:
-        raw = (prefix[GRAM:] - prefix[:-GRAM]) * _HASH._backs[: len(data) - GRAM + 1]
+        raw = (prefix[GRAM:] - prefix[:-GRAM]) * _HASH.back_powers(len(data) - GRAM + 1)
         raw ^= raw >> np.uint64(29)
         raw *= np.uint64(0xBF58476D1CE4E5B9)
         # Smallest hash first, and of equal hashes the one furthest right.

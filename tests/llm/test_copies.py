@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from fleetlens.llm import jaccard, sharding, substrings, winnow
+from fleetlens.llm import common, jaccard, sharding, substrings, winnow
 from fleetlens.llm.common import components
 
 
@@ -71,8 +71,9 @@ def test_repeated_substrings(spark, monkeypatch, hot):
 
 
 def _all_anchors(rows):
-    return list({int(k) for r in rows.collect() for k in substrings.stretches(
-        np.frombuffer(r.text.encode(), np.uint8), np.array([0, len(r.text.encode())]))[4].tolist()})
+    raw = [np.frombuffer(r.text.encode(), np.uint8) for r in rows.collect()]
+    return list({int(k) for data in raw for k in substrings.stretches(
+        data, np.array([0, len(data)]), substrings._HASH.prefix(data))[4].tolist()})
 
 
 def test_repeated_substrings_edges(spark):
@@ -239,7 +240,9 @@ def test_every_similar_pair_shares_a_signature():
         assert set(sigs[of == 0].tolist()) & set(sigs[of == 1].tolist())
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_components_of_chains_and_stars(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_IDS", few)
     edges = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(30)] + [(7, 7), (300, 299)]
     found = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert found == {**{i: 0 for i in range(41)}, 100: 100, **{200 + i: 100 for i in range(30)}, 299: 299, 300: 299}
