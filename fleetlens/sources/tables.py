@@ -28,7 +28,13 @@ def raw_schema(spark: SparkSession, paths: list[str], contract: T.StructType) ->
             return contract
         raise
     have = {field.name: field.dataType for field in found.fields}
-    return T.StructType([T.StructField(f.name, have.get(f.name, f.dataType)) for f in contract.fields])
+
+    def read_as(field: T.StructField) -> T.DataType:
+        kind = have.get(field.name, field.dataType)
+        # Chunks may hold a metric as float or as double: both can be read as double.
+        return T.DoubleType() if isinstance(kind, T.FloatType) else kind
+
+    return T.StructType([T.StructField(f.name, read_as(f)) for f in contract.fields])
 
 
 def read_chunks(spark: SparkSession, path: str, table: str) -> DataFrame:
