@@ -38,27 +38,34 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import SpanHash, gathered, map_pieces, pieces, text_bytes, written
+from fleetlens.llm.common import SpanHash, gathered, map_pieces, mixed, pieces, text_bytes, written
 
-LENGTH, GRAM = 50, 12
+LENGTH, GRAM = 50, 20
 #: Text that a map task and a suffix array take at a time; stretches that a shard is meant to hold.
-PIECE, BLOCK_BYTES, SHARD_BYTES = 4 << 20, 1 << 20, 8 << 20
+PIECE, BLOCK_BYTES, SHARD_BYTES = 2 << 20, 1 << 20, 4 << 20
 #: Bytes of stretches for each byte of text, about.
-SPREAD = 3.3
+SPREAD = 4
 #: Documents looked at for hot anchors, and the share of them that makes an anchor hot.
 HOT_SAMPLE, HOT = 20_000, 0.01
 SENT_BYTES = 64 << 20
+#: Excerpts that make the dictionary which blobs are packed with; it changes their size only.
+PACKING_TEXTS = 100
 
 _HASH, _CHECK = SpanHash(19), SpanHash(23)
 _WHOLE = 255  # the anchor is the window itself
 
 
+def _dictionary(sample: bytes) -> zstandard.ZstdCompressionDict | None:
+    """What blobs are packed with, so that small ones get small as well."""
+    return zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if sample else None
+
+
 # ---- map side: stretches
 
 
 def _anchors(data: np.ndarray, prefix: np.ndarray) -> np.ndarray:
     """For every window start, the position of its smallest GRAM-byte hash (of equal ones the last)."""
-    raw = (prefix[GRAM:] - prefix[:-GRAM]) * _HASH._backs[: len(data) - GRAM + 1]
+    raw = (prefix[GRAM:] - prefix[:-GRAM]) * _HASH.back_powers(len(data) - GRAM + 1)
     raw ^= raw >> np.uint64(29)
     raw *= np.uint64(0xBF58476D1CE4E5B9)
     last = np.uint64(0xFFFFFFFF)
@@ -72,14 +79,13 @@ def _anchors(data: np.ndarray, prefix: np.ndarray) -> np.ndarray:
     return (last - (low & last)).astype(np.int64)
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+def stretches(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, ...]:
     """(document, start, windows, anchor position, anchor hash) of every stretch of a batch."""
     none = np.zeros(0, np.int64)
     lengths = np.diff(offsets)
     valid = np.maximum(lengths - LENGTH + 1, 0)
     if not valid.sum():
         return none, none, none, none, none.astype(np.uint64)
-    prefix = _HASH.prefix(data)
     anchor = _anchors(data, prefix)
     doc = np.repeat(np.arange(len(lengths)), valid)
     at = gathered(np.arange(len(data)), offsets[:-1], valid)
@@ -92,16 +98,18 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
             _HASH.spans(prefix, place, place + GRAM))
 
 
-def _shipped(sent_hot, shards: int):
+def _shipped(sent, shards: int):
     """Rows (shard, blob): the stretches of each piece, by the shard of their anchor."""
 
     def run(batches):
-        hot = np.array(sorted(sent_hot.value), np.uint64)
-        pack = zstandard.ZstdCompressor(level=1)
+        keys, sample = sent.value
+        hot = np.array(sorted(keys), np.uint64)
+        pack = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(sample))
         for batch in batches:
             for piece in pieces(batch, "text", PIECE):
                 data, offsets = text_bytes(piece.column(2))
-                doc, start, count, place, key = stretches(data, offsets)
+                prefix = _HASH.prefix(data)
+                doc, start, count, place, key = stretches(data, offsets, prefix)
                 if not len(doc):
                     continue
                 anchor = place - start
@@ -109,7 +117,7 @@ def _shipped(sent_hot, shards: int):
                     one = count[split]
                     inside = np.arange(int(one.sum())) - np.repeat(np.cumsum(one) - one, one)
                     own = np.repeat(start[split], one) + inside
-                    single = _HASH.spans(_HASH.prefix(data), own, own + LENGTH)
+                    single = _HASH.spans(prefix, own, own + LENGTH)
                     doc = np.append(doc[~split], np.repeat(doc[split], one))
                     start, count = np.append(start[~split], own), np.append(count[~split], np.ones(len(own), np.int64))
                     anchor = np.append(anchor[~split], np.full(len(own), _WHOLE))
@@ -117,7 +125,7 @@ def _shipped(sent_hot, shards: int):
                 ids, variants = piece.column(0).to_numpy(), piece.column(1).to_numpy()
                 # Of equal stretches those of the smallest document go on; the others are repeats.
                 end = start + count + LENGTH - 1
-                same, check = (h.spans(h.prefix(data), start, end) for h in (_HASH, _CHECK))
+                same, check = _HASH.spans(prefix, start, end), _CHECK.spans(_CHECK.prefix(data), start, end)
                 order = np.lexsort((ids[doc], check, same))
                 fresh = np.ones(len(order), bool)
                 fresh[1:] = (same[order][1:] != same[order][:-1]) | (check[order][1:] != check[order][:-1])
@@ -251,9 +259,9 @@ def _merged(runs_: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return runs_[0]
 
 
-def _read(blobs: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _read(blobs: list[bytes], sample: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """(kept stretches, repeats) of a shard: ids, variants, starts, counts; and anchors and text of the kept."""
-    unpack = zstandard.ZstdDecompressor()
+    unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(sample))
     kept, gone = ([[] for _ in range(6)] for _ in range(2))
     for blob in blobs:
         raw = unpack.decompress(blob)
@@ -271,9 +279,9 @@ def _read(blobs: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
 _RANGES = "id long, variant int, begin long, end long"
 
 
-def _shard(table: pa.Table) -> pa.Table:
+def _shard(table: pa.Table, sample: bytes) -> pa.Table:
     """The repeated ranges that a shard finds."""
-    (ids, variant, start, count, anchor, text), gone = _read(table.column("blob").to_pylist())
+    (ids, variant, start, count, anchor, text), gone = _read(table.column("blob").to_pylist(), sample)
     count = count.astype(np.int64)
     size = count + LENGTH - 1
     at = np.cumsum(size) - size
@@ -281,13 +289,16 @@ def _shard(table: pa.Table) -> pa.Table:
     if len(ids):
         # An anchor in one document only: nothing to find. (By hash: others may only be looked at in vain.)
         whole = anchor == _WHOLE
-        begin = at + np.where(whole, 0, anchor)
-        key = _HASH.spans(_HASH.prefix(text), begin, begin + np.where(whole, LENGTH, GRAM))
+        spot = text[(at + np.where(whole, 0, anchor))[:, None] + np.arange(GRAM)]
+        spot = np.ascontiguousarray(np.pad(spot, ((0, 0), (0, -GRAM % 8)))).view("<u8")
+        key = spot[:, 0]
+        for j in range(1, spot.shape[1]):
+            key = mixed(key * np.uint64(0xD6E8FEB86659FD93) + spot[:, j])
         order = np.argsort(key)
         heads = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
         low, high = (f.reduceat(ids[order], heads) for f in (np.minimum, np.maximum))
-        shared = np.zeros(len(ids), bool)
-        shared[order] = np.repeat(low != high, np.diff(np.append(heads, len(order))))
+        shared = whole.copy()
+        shared[order] |= np.repeat(low != high, np.diff(np.append(heads, len(order))))
         chosen = np.flatnonzero(shared)
         cuts = np.searchsorted(np.cumsum(size[chosen]), np.arange(BLOCK_BYTES, int(size[chosen].sum()) + 1, BLOCK_BYTES))
         blocks = [b for b in np.split(chosen, cuts) if len(b)]
@@ -365,7 +376,8 @@ def _hot(rows: DataFrame, count: int) -> list[int]:
     def run(batches):
         for batch in batches:
             for piece in pieces(batch, "text", PIECE):
-                doc, _, _, _, key = stretches(*text_bytes(piece.column(0)))
+                data, offsets = text_bytes(piece.column(0))
+                doc, _, _, _, key = stretches(data, offsets, _HASH.prefix(data))
                 both = np.unique(np.stack([doc, key.view(np.int64)], axis=1), axis=0)
                 values, counts = np.unique(both[:, 1], return_counts=True) if len(both) else (both[:, 0], both[:, 0])
                 yield pa.RecordBatch.from_pydict({"key": pa.array(values), "docs": pa.array(counts.astype(np.int64))})
@@ -381,9 +393,11 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rows = _numbered(docs, id_col, text_col)
     total, count = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     shards = max(1, -(-int((total or 0) * SPREAD) // SHARD_BYTES))
-    sent = spark.sparkContext.broadcast(set(_hot(rows, count)))
+    excerpts = rows.filter("text <> ''").select(F.substring("text", 1, 600).alias("text"), F.xxhash64("id").alias("at"))
+    sample = "\n".join(r.text for r in excerpts.orderBy("at", "text").limit(PACKING_TEXTS).collect()).encode()
+    sent = spark.sparkContext.broadcast((set(_hot(rows, count)), sample))
     stretched = rows.select("id", "variant", "text").mapInArrow(_shipped(sent, shards), "shard long, blob binary")
-    found = stretched.groupBy("shard").applyInArrow(_shard, _RANGES)
+    found = stretched.groupBy("shard").applyInArrow(lambda table: _shard(table, sent.value[1]), _RANGES)
     ranges = written(found.groupBy("id", "variant").agg(F.collect_list("begin").alias("begin"), F.collect_list("end").alias("end"))
                      .mapInArrow(_ranges, "id long, variant int, ranges array<long>"), "ranges")
     room = ranges.agg(F.sum(F.size("ranges") * 8 + 24)).first()[0] or 0
