@@ -20,8 +20,8 @@ Equal sets are one class, whose smallest document stands for it; a task emits th
 signatures of a class once. The members of a signature are first compared with its
 smallest class (the hub). What that leaves open - signatures whose members are still in
 different components - is settled in rounds: a task looks at the parity sketches of one
-signature's members in blocks and emits pairs that join its components, at most TRIES for
-each edge of a spanning forest, the most alike ones of those that may link. They are compared exactly,
+signature's members in blocks and emits pairs that join its components, a few for
+each edge of a spanning forest, more in later rounds, the most alike ones of those that may link. They are compared exactly,
 components are renewed, and a signature stays open only as long as a pair of its round
 failed. So no pair that shares a signature remains undecided, and no group emits all
 its pairs.
@@ -56,8 +56,8 @@ SPARE = 2
 MIN_BITS, MAX_BITS = 256, 1 << 16
 #: Rows of a group that are compared with the others at a time.
 BLOCK = 256
-#: Pairs that are tried at a time for two components of a group.
-TRIES = 8
+#: Pairs that the first round tries for two components of a group; each further round, MORE times as many.
+TRIES, MORE = 32, 8
 #: Groups up to this size need no arrays.
 FEW = 24
 
@@ -227,7 +227,7 @@ def _maybe(percent: int):
     return run
 
 
-def _forest(percent: int):
+def _forest(percent: int, tries: int):
     """Pairs of each signature's members that may link and join its components; rows come sorted by signature."""
 
     def run(batches):
@@ -238,29 +238,29 @@ def _forest(percent: int):
             cuts = np.flatnonzero(np.diff(table.column("sig").to_numpy())) + 1
             done = int(cuts[-1]) if len(cuts) else 0  # the last signature may go on in the next batch
             if done:
-                yield from _joining(table.slice(0, done).combine_chunks(), np.append(0, cuts), percent)
+                yield from _joining(table.slice(0, done).combine_chunks(), np.append(0, cuts), percent, tries)
             rest = table.slice(done)
         if rest is not None and rest.num_rows:
-            yield from _joining(rest.combine_chunks(), np.array([0, rest.num_rows]), percent)
+            yield from _joining(rest.combine_chunks(), np.array([0, rest.num_rows]), percent, tries)
 
     return run
 
 
-def _joining(table: pa.Table, cuts: np.ndarray, percent: int):
+def _joining(table: pa.Table, cuts: np.ndarray, percent: int, tries: int):
     sig, node, part, n = (table.column(c).to_numpy() for c in ("sig", "node", "component", "n"))
     sketches, failed = table.column("sketch").to_pylist(), table.column("failed").to_pylist()
     out = [(sig[a], x, y) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
-           for x, y in _spanning(node[a:b], part[a:b], n[a:b], sketches[a:b], failed[a:b], percent)]
+           for x, y in _spanning(node[a:b], part[a:b], n[a:b], sketches[a:b], failed[a:b], percent, tries)]
     if out:
         sigs, ones, twos = (np.array(x, np.int64) for x in zip(*out, strict=True))
         yield pa.RecordBatch.from_pydict({"sig": pa.array(sigs), "a": pa.array(np.minimum(ones, twos)),
                                           "b": pa.array(np.maximum(ones, twos))})
 
 
-def _spanning(node, part, n, sketches, failed, percent: int) -> list[tuple[int, int]]:
+def _spanning(node, part, n, sketches, failed, percent: int, tries: int) -> list[tuple[int, int]]:
     """Pairs that may link and make one component of as many as they can."""
     if len(node) <= FEW:
-        return _spanning_few(node.tolist(), part.tolist(), n.tolist(), sketches, failed, percent)
+        return _spanning_few(node.tolist(), part.tolist(), n.tolist(), sketches, failed, percent, tries)
     order = np.argsort(node)
     node, part, n = node[order], part[order], n[order]
     sketch = _folded([sketches[i] for i in order.tolist()])
@@ -282,14 +282,14 @@ def _spanning(node, part, n, sketches, failed, percent: int) -> list[tuple[int,
         while len(one):
             x, y = label[one[0]], label[two[0]]
             between = np.flatnonzero(((label[one] == x) & (label[two] == y)) | ((label[one] == y) & (label[two] == x)))
-            out += [(int(node[one[k]]), int(node[two[k]])) for k in between[:TRIES]]
+            out += [(int(node[one[k]]), int(node[two[k]])) for k in between[:tries]]
             label[label == y] = x
             open_ = label[one] != label[two]
             one, two = one[open_], two[open_]
     return out
 
 
-def _spanning_few(node, part, n, sketches, failed, percent: int) -> list[tuple[int, int]]:
+def _spanning_few(node, part, n, sketches, failed, percent: int, tries: int) -> list[tuple[int, int]]:
     """The same for a small group, without arrays."""
     order = sorted(range(len(node)), key=node.__getitem__)
     least = min(map(len, sketches))
@@ -314,7 +314,7 @@ def _spanning_few(node, part, n, sketches, failed, percent: int) -> list[tuple[i
     while pairs:
         kept, gone = label[pairs[0][1]], label[pairs[0][2]]
         between = [(x, y) for _, x, y in pairs if {label[x], label[y]} == {kept, gone}]
-        out += [(node[order[x]], node[order[y]]) for x, y in between[:TRIES]]
+        out += [(node[order[x]], node[order[y]]) for x, y in between[:tries]]
         label = [kept if old == gone else old for old in label]
         pairs = [p for p in pairs if label[p[1]] != label[p[2]]]
     return out
@@ -387,6 +387,7 @@ class _Join:
         links = written(links, "links")
         tested = likely
         alive = self.shared.select("sig", "one").join(self.classes.select("one", "node"), "one").select("sig", "node")
+        tries = TRIES
         while True:
             part = components(links)
             part = F.broadcast(part) if part.count() <= FEW_IDS else part
@@ -400,12 +401,13 @@ class _Join:
             own = self._of(still).select("node", "n", "sketch").join(missed, "node", "left")
             found = written(still.join(own, "node").select("sig", "node", "component", "n", "sketch", "failed")
                             .repartition("sig").sortWithinPartitions("sig")
-                            .mapInArrow(_forest(self.percent), "sig long, a long, b long"), "forest")
+                            .mapInArrow(_forest(self.percent, tries), "sig long, a long, b long"), "forest")
             if found.isEmpty():
                 return part
             likely, more = self.compared(found.select("a", "b").distinct())
             links = written(links.unionAll(more), "links")
             tested = tested.unionAll(likely)
+            tries *= MORE
             alive = written(still.select("sig", "node").join(found.select("sig").distinct(), "sig", "left_semi"), "alive")
 
 
