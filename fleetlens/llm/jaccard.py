@@ -364,9 +364,8 @@ class _Join:
         few = nodes.count() <= FEW_IDS
         return written(self.classes.join(F.broadcast(nodes) if few else nodes, "node", "left_semi"), "own")
 
-    def compared(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The pairs that the sketches leave open, and those of them that link."""
-        pairs = written(pairs, "pairs")
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """Those of some written pairs that link."""
         ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
         side = self._of(ends).select("node", "n", "sketch")
         likely = (pairs.join(side.toDF("a", "n_a", "sketch_a"), "a").join(side.toDF("b", "n_b", "sketch_b"), "b")
@@ -378,14 +377,13 @@ class _Join:
         texts = self.docs.withColumn("node", F.col("doc_id"))
         texts = texts.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").select("doc_id", "text", "node")
         sets = written(texts.mapInArrow(_sets(self.words), "node long, features binary"), "sets")
-        return likely, (likely.join(sets.toDF("a", "features_a"), "a").join(sets.toDF("b", "features_b"), "b")
-                        .mapInArrow(_linked(self.percent), "a long, b long"))
+        return (likely.join(sets.toDF("a", "features_a"), "a").join(sets.toDF("b", "features_b"), "b")
+                .mapInArrow(_linked(self.percent), "a long, b long"))
 
     def components(self) -> DataFrame:
         """(node, component) of all representatives that link with another."""
-        likely, links = self.compared(self.candidates())
-        links = written(links, "links")
-        tested = likely
+        tested = written(self.candidates(), "tested")
+        links = written(self.compared(tested), "links")
         alive = self.shared.select("sig", "one").join(self.classes.select("one", "node"), "one").select("sig", "node")
         tries = TRIES
         while True:
@@ -394,7 +392,7 @@ class _Join:
             placed = alive.join(part, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
             spread = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"))
             still = written(placed.join(spread.filter("low <> high").select("sig"), "sig"), "still")
-            # Pairs that the sketches alone rule out need not be remembered: they will again.
+            # Also pairs that the sketches of the two rule out: folded to the smallest of a group, these may let them pass again.
             missed = tested.join(links, ["a", "b"], "left_anti")
             missed = (missed.unionAll(missed.select("b", "a")).groupBy(F.col("a").alias("node"))
                       .agg(F.collect_list("b").alias("failed")))
@@ -404,9 +402,9 @@ class _Join:
                             .mapInArrow(_forest(self.percent, tries), "sig long, a long, b long"), "forest")
             if found.isEmpty():
                 return part
-            likely, more = self.compared(found.select("a", "b").distinct())
-            links = written(links.unionAll(more), "links")
-            tested = tested.unionAll(likely)
+            tried = written(found.select("a", "b").distinct(), "tried")
+            links = written(links.unionAll(self.compared(tried)), "links")
+            tested = tested.unionAll(tried)
             tries *= MORE
             alive = written(still.select("sig", "node").join(found.select("sig").distinct(), "sig", "left_semi"), "alive")
 

@@ -217,6 +217,39 @@ def test_jaccard_components(spark, words, percent):
     assert len(set(want.values())) < len(rows)
 
 
+def _resized(seed, n, size, edits=8):
+    """Near copies by insertions and deletions: sets of sizes on both sides of the steps between sketch sizes."""
+    rng = random.Random(seed)
+    base = [f"v{rng.randrange(10_000)}" for _ in range(size)]
+    out = []
+    for _ in range(n):
+        own, grows = list(base), rng.random() < 0.5
+        for _ in range(rng.randint(0, edits)):
+            at = rng.randrange(len(own))
+            own[at:at + (not grows)] = [f"e{rng.randrange(10_000)}"] if grows else []
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_rounds_end(spark, monkeypatch, seed):
+    calls = []
+
+    def counted(edges):
+        calls.append(1)
+        assert len(calls) <= 10, "rounds that find the same pairs again"
+        return components(edges)
+
+    monkeypatch.setattr(jaccard, "components", counted)
+    monkeypatch.setattr(jaccard, "TRIES", 1 << 20)
+    rows = list(enumerate(_resized(seed, 60, 106) + _resized(seed + 10, 40, 112, 14) + _resized(seed + 20, 30, 208, 20)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    sets = _sets(rows, 4)
+    assert min(map(len, sets.values())) < 102 < max(map(len, sets.values()))
+    assert got == _components(sets, 85)
+
+
 def test_jaccard_edges(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (4, "a b c d e"), (2, "a b c d e"), (2, "a b c d e"), (9, " "), (8, None),
                                   (7, "")], "doc_id long, text string")
