@@ -5,7 +5,9 @@ next one reads it. All stages but the last return the columns of `documents`.
 
 1. language: documents whose language is rejected go.
 2. near_copies: of each group of near copies (five words, similarity 0.8), the
-   document with the smallest id stays. Documents without an id stay.
+   document with the smallest id stays. Documents without an id stay, and texts without
+   words. Where an id repeats, each of its texts is a document: of a group one row stays,
+   of the smallest id and of that id's texts the one with the lowest hash.
 3. benchmark: documents with a passage of a benchmark item go.
 4. personal_data: every span is replaced by its kind; n_chars follows the text.
 5. tokens: the ids of every text, their number, and digests of ids and decoded bytes.
@@ -33,14 +35,30 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    if not docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return _near_copies_by_text(docs)
     found = jaccard.near_duplicates(docs, words=WORDS, percent=PERCENT)
-    kept = without(docs, "doc_id", found.filter("component_id <> doc_id").select("doc_id").distinct())
-    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    if repeated.isEmpty():
-        return kept
-    # Rows that repeat an id: one of them stays.
-    named, unnamed = kept.filter("doc_id IS NOT NULL"), kept.filter("doc_id IS NULL")
-    return named.dropDuplicates(["doc_id"]).unionAll(unnamed)
+    return without(docs, "doc_id", found.filter("component_id <> doc_id").select("doc_id").distinct())
+
+
+def _near_copies_by_text(docs: DataFrame) -> DataFrame:
+    """The same where ids repeat: texts are linked, and of each group one row with the smallest id stays."""
+    key = free_name(docs, "text_key")
+    # An own id for every text, so that one document id does not tie different texts.
+    keyed = docs.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.xxhash64("text")))
+    found = jaccard.near_duplicates(keyed, words=WORDS, percent=PERCENT, id_col=key)
+    found = found.filter("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias(key), "component_id").distinct()
+    named = keyed.filter("doc_id IS NOT NULL").groupBy("doc_id", key).agg(F.count("*").alias("copies"))
+    named = written(named.join(found, key), "named")
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", key)).alias("first")).select("first.*")
+    gone = named.join(first, ["doc_id", key], "left_anti").select("doc_id", key)
+    repeated = named.filter("copies > 1").join(first, ["doc_id", key], "left_semi").select("doc_id", key)
+    out = keyed.join(gone.unionAll(repeated), ["doc_id", key], "left_anti").select(*docs.columns)
+    # Of equal texts under one id, the row whose columns have the lowest digest.
+    row = F.struct(*docs.columns)
+    one = (keyed.join(repeated, ["doc_id", key], "left_semi").groupBy("doc_id", key)
+           .agg(F.min_by(row, F.sha2(F.to_json(row), 256)).alias("row")).select("row.*"))
+    return out.unionAll(one)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

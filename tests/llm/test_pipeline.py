@@ -87,6 +87,24 @@ def test_stages_against_brute_force(spark, tables, monkeypatch):
     assert whole == {(r.doc_id, r.ids_sha256) for r in last}
 
 
+def test_repeated_ids_keep_their_own_texts(spark):
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(10_000)}" for _ in range(40)) for _ in range(8)]
+    near = texts[1] + " changed"
+    # Id 5 has a copy of id 1's text, two texts of its own, one of them twice, and a near copy of another.
+    rows = [(1, texts[0], "a"), (5, texts[0], "a"), (5, texts[1], "b"), (5, texts[1], "a"), (5, near, "a"), (5, texts[2], "a"),
+            (6, texts[2] + " more", "a"), (7, texts[3], "a"), (5, texts[4], "a"), (None, texts[0], "a"), (None, texts[0], "a")]
+    rows += [(9, texts[5], "a"), (9, texts[6], "a"), (9, texts[7], "a"), (3, texts[7], "a")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string")
+        got = sorted([(r.doc_id, r.text, r.source) for r in pipeline.near_copies(spark, docs, "").collect()], key=str)
+        own = [r for r in got if r[0] == 5 and r[1] in (texts[1], near)]
+        assert len(own) == 1 and own[0][2] == "a"
+        assert [r for r in got if r not in own] == sorted(
+            [(1, texts[0], "a"), (5, texts[2], "a"), (5, texts[4], "a"), (7, texts[3], "a"), (9, texts[5], "a"), (9, texts[6], "a"),
+             (3, texts[7], "a"), (None, texts[0], "a"), (None, texts[0], "a")], key=str)
+
+
 def test_stages_of_an_empty_table(spark, tables):
     folder, _, _ = tables
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
