@@ -19,12 +19,15 @@ signature: its sets link only when equal.)
 Equal sets are one class, whose smallest document stands for it; a task emits the
 signatures of a class once. The members of a signature are first compared with its
 smallest class (the hub). What that leaves open - signatures whose members are still in
-different components - is settled in rounds: a task looks at the parity sketches of one
-signature's members in blocks and emits pairs that join its components, a few for
-each edge of a spanning forest, more in later rounds, the most alike ones of those that may link. They are compared exactly,
-components are renewed, and a signature stays open only as long as a pair of its round
-failed. So no pair that shares a signature remains undecided, and no group emits all
-its pairs.
+different components - is settled in rounds. A large signature is dealt into blocks; two
+blocks meet in a task, except that the blocks of its largest component need not meet each other.
+The task looks at the parity sketches of a meeting's members and emits pairs that join
+components, a few for each edge of a spanning forest, MORE times as many in each further round,
+the most alike ones of those that may link and have not been tried there. They are
+compared exactly and components are renewed; a meeting stays open as long as it emits pairs.
+So no pair that shares a signature remains undecided. Rounds are few, as the number of tries
+soon exceeds the pairs of a meeting; pairs that the sketches leave open and that do not link are
+then all emitted, up to the square of the members if all of a family are just below the threshold.
 
 A parity sketch has a bit for each of 2.5 buckets a feature, the parity of the bucket's
 features. Two sketches differ in at most as many bits as the sets in features, so pairs
@@ -54,12 +57,16 @@ BAND = 1.7
 SPARE = 2
 #: Bits of a parity sketch.
 MIN_BITS, MAX_BITS = 256, 1 << 16
-#: Rows of a group that are compared with the others at a time.
-BLOCK = 256
-#: Pairs that the first round tries for two components of a group; each further round, MORE times as many.
+#: Members of a signature that make a block, about; two blocks meet in a task.
+BLOCK = 1024
+#: Rows of a meeting that are compared with the others at a time.
+SLAB = 256
+#: Pairs that the first round tries for two components of a meeting; each further round, MORE times as many.
 TRIES, MORE = 32, 8
-#: Groups up to this size need no arrays.
+#: Meetings up to this size need no arrays.
 FEW = 24
+#: Sides of a meeting's rows: a pair that it has tried; a member that meets all others; members of two blocks.
+TRIED, WITHIN, ONE, TWO = -1, 0, 1, 2
 
 _HASH = SpanHash(11)
 _SPACE = np.zeros(256, bool)
@@ -228,69 +235,91 @@ def _maybe(percent: int):
 
 
 def _forest(percent: int, tries: int):
-    """Pairs of each signature's members that may link and join its components; rows come sorted by signature."""
+    """Pairs of each meeting's members that may link and join its components; rows come sorted by meeting."""
 
     def run(batches):
-        rest = None
+        waiting = []  # rows of the last meeting so far, which may go on in the next batch
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([rest, table]) if rest is not None else table
-            cuts = np.flatnonzero(np.diff(table.column("sig").to_numpy())) + 1
-            done = int(cuts[-1]) if len(cuts) else 0  # the last signature may go on in the next batch
-            if done:
-                yield from _joining(table.slice(0, done).combine_chunks(), np.append(0, cuts), percent, tries)
-            rest = table.slice(done)
-        if rest is not None and rest.num_rows:
-            yield from _joining(rest.combine_chunks(), np.array([0, rest.num_rows]), percent, tries)
+            if not batch.num_rows:
+                continue
+            meet = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(meet)) + 1
+            if waiting and waiting[-1].column(0)[0].as_py() != meet[0]:
+                yield from _joining(pa.Table.from_batches(waiting), percent, tries)
+                waiting = []
+            if len(cuts):
+                yield from _joining(pa.Table.from_batches([*waiting, batch.slice(0, int(cuts[-1]))]), percent, tries)
+                batch, waiting = batch.slice(int(cuts[-1])), []
+            waiting.append(batch)
+        if waiting:
+            yield from _joining(pa.Table.from_batches(waiting), percent, tries)
 
     return run
 
 
-def _joining(table: pa.Table, cuts: np.ndarray, percent: int, tries: int):
-    sig, node, part, n = (table.column(c).to_numpy() for c in ("sig", "node", "component", "n"))
-    sketches, failed = table.column("sketch").to_pylist(), table.column("failed").to_pylist()
-    out = [(sig[a], x, y) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
-           for x, y in _spanning(node[a:b], part[a:b], n[a:b], sketches[a:b], failed[a:b], percent, tries)]
-    if out:
-        sigs, ones, twos = (np.array(x, np.int64) for x in zip(*out, strict=True))
-        yield pa.RecordBatch.from_pydict({"sig": pa.array(sigs), "a": pa.array(np.minimum(ones, twos)),
-                                          "b": pa.array(np.maximum(ones, twos))})
+def _joining(table: pa.Table, percent: int, tries: int):
+    table = table.combine_chunks()
+    meet, side = table.column("meet").to_numpy(), table.column("side").to_numpy()
+    cuts = np.flatnonzero(np.diff(meet)) + 1
+    node, part = table.column("node").to_numpy(), table.column("component").to_numpy()
+    n, sketches = table.column("n").to_numpy(), table.column("sketch")
+    few: list[tuple[int, int, int]] = []
+    for a, b in itertools.pairwise([0, *cuts.tolist(), len(meet)]):
+        member, pair = a + np.flatnonzero(side[a:b] >= 0), a + np.flatnonzero(side[a:b] < 0)
+        if len(member) < 2:
+            continue
+        sketch = sketches.take(pa.array(member)).to_pylist()
+        row = node[member], part[member], side[member], n[member], sketch
+        if len(member) <= FEW:
+            tested = set(zip(node[pair].tolist(), part[pair].tolist(), strict=True))
+            few += [(int(meet[a]), x, y) for x, y in _spanning_few(*(r.tolist() for r in row[:4]), sketch, tested, percent, tries)]
+            continue
+        for ones, twos in _spanning(*row, node[pair], part[pair], percent, tries):
+            yield pa.RecordBatch.from_pydict({"meet": pa.array(np.full(len(ones), meet[a])), "a": pa.array(ones),
+                                              "b": pa.array(twos)})
+    if few:
+        meets, ones, twos = (np.array(x, np.int64) for x in zip(*few, strict=True))
+        yield pa.RecordBatch.from_pydict({"meet": pa.array(meets), "a": pa.array(ones), "b": pa.array(twos)})
 
 
-def _spanning(node, part, n, sketches, failed, percent: int, tries: int) -> list[tuple[int, int]]:
-    """Pairs that may link and make one component of as many as they can."""
-    if len(node) <= FEW:
-        return _spanning_few(node.tolist(), part.tolist(), n.tolist(), sketches, failed, percent, tries)
+def _spanning(node, part, side, n, sketches, tested_a, tested_b, percent: int, tries: int):
+    """Pairs, a < b, that may link and make one component of as many members as they can."""
     order = np.argsort(node)
-    node, part, n = node[order], part[order], n[order]
+    node, part, side, n = node[order], part[order], side[order], n[order]
     sketch = _folded([sketches[i] for i in order.tolist()])
     label = np.unique(part, return_inverse=True)[1]
-    out = []
-    for begin in range(0, len(node), BLOCK):
-        rows = slice(begin, begin + BLOCK)
+    names, named = np.unique(node, return_inverse=True)  # a repeated id is several rows
+    at_a, at_b = np.searchsorted(names, tested_a), np.searchsorted(names, tested_b)
+    for begin in range(0, len(node), SLAB):
+        rows = slice(begin, begin + SLAB)
         bits = np.zeros((len(node[rows]), len(node)), np.int64)
         for word in range(sketch.shape[1]):
             bits += np.bitwise_count(sketch[rows, word][:, None] ^ sketch[None, :, word])
         may = _may_link(bits, n[rows][:, None], n[None, :], percent) & (label[rows][:, None] != label[None, :])
-        for i in range(len(may)):
-            tried = failed[order[begin + i]]
-            if tried:
-                may[i] &= ~np.isin(node, tried)
+        may &= (side[None, :] == WITHIN) | (side[rows][:, None] != side[None, :])
+        first, last = named[rows][0], named[rows][-1]
+        here = (at_a >= first) & (at_a <= last)
+        tried = np.zeros((last - first + 1, len(names)), bool)
+        tried[at_a[here] - first, at_b[here]] = True
+        may &= ~tried[named[rows] - first][:, named]
         one, two = np.nonzero(np.triu(may, begin + 1))  # each pair once
         near = np.argsort(bits[one, two], kind="stable")  # the most alike first
         one, two = one[near] + begin, two[near]
+        ones, twos = [], []
         while len(one):
             x, y = label[one[0]], label[two[0]]
-            between = np.flatnonzero(((label[one] == x) & (label[two] == y)) | ((label[one] == y) & (label[two] == x)))
-            out += [(int(node[one[k]]), int(node[two[k]])) for k in between[:tries]]
+            between = np.flatnonzero(((label[one] == x) & (label[two] == y)) | ((label[one] == y) & (label[two] == x)))[:tries]
+            ones.append(node[one[between]])
+            twos.append(node[two[between]])
             label[label == y] = x
             open_ = label[one] != label[two]
             one, two = one[open_], two[open_]
-    return out
+        if ones:
+            yield np.concatenate(ones), np.concatenate(twos)
 
 
-def _spanning_few(node, part, n, sketches, failed, percent: int, tries: int) -> list[tuple[int, int]]:
-    """The same for a small group, without arrays."""
+def _spanning_few(node, part, side, n, sketches, tested, percent: int, tries: int) -> list[tuple[int, int]]:
+    """The same for a small meeting, without arrays."""
     order = sorted(range(len(node)), key=node.__getitem__)
     least = min(map(len, sketches))
     bits = []
@@ -307,7 +336,8 @@ def _spanning_few(node, part, n, sketches, failed, percent: int, tries: int) ->
             j = order[y]
             differ = (bits[x] ^ bits[y]).bit_count()
             if (label[x] != label[y] and 100 * min(n[i], n[j]) >= percent * max(n[i], n[j])
-                    and differ * (100 + percent) <= (n[i] + n[j]) * (100 - percent) and node[j] not in (failed[i] or ())):
+                    and (side[i] == WITHIN or side[i] != side[j])
+                    and differ * (100 + percent) <= (n[i] + n[j]) * (100 - percent) and (node[i], node[j]) not in tested):
                 pairs.append((differ, x, y))
     pairs.sort()
     out = []
@@ -335,6 +365,35 @@ def _linked(percent: int):
     return run
 
 
+def dealt(members: DataFrame, block: int) -> DataFrame:
+    """(meet, node, side): the members (sig, node, component) of each signature that has several components, dealt into
+    meetings of one or two blocks. Any two members of different components have one meeting, in which
+    both are WITHIN or one is ONE and the other TWO.
+
+    A signature of up to `block` members is one meeting. In a larger one, its largest component is dealt into blocks,
+    and the rest into others: blocks of the rest meet all blocks, but those of the largest component not each other.
+    """
+    counts = members.groupBy("sig", "component").agg(F.count("*").alias("n"))
+    counts = (counts.groupBy("sig").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"),
+                                        F.count("*").alias("parts")).filter("parts > 1"))
+    whole = F.col("n") <= block
+    counts = counts.select(
+        "sig", F.when(~whole, F.col("most.component")).alias("main"),
+        F.when(whole, 1).otherwise(F.ceil((F.col("n") - F.col("most.n")) / block)).cast("int").alias("rest"),
+        F.when(whole, 0).otherwise(F.ceil(F.col("most.n") / block)).cast("int").alias("blocks"))
+    rows = members.join(counts, "sig")
+    at = F.xxhash64("node")
+    in_main = F.coalesce(F.col("component") == F.col("main"), F.lit(False))
+    rows = rows.select("sig", "node", "rest", "blocks", in_main.alias("in_main"), F.when(
+        in_main, F.col("rest") + F.pmod(at, F.greatest("blocks", F.lit(1)))).otherwise(F.pmod(at, "rest")).cast("int").alias("block"))
+    others = F.when(F.col("in_main"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(
+        F.sequence(F.lit(0), F.col("rest") + F.col("blocks") - 1))
+    rows = rows.select("sig", "node", "block", F.explode(others).alias("other"))
+    return rows.select(
+        F.xxhash64("sig", F.least("block", "other"), F.greatest("block", "other")).alias("meet"), "node",
+        F.when(F.col("block") == F.col("other"), WITHIN).when(F.col("block") < F.col("other"), ONE).otherwise(TWO).alias("side"))
+
+
 class _Join:
     """The candidate pairs of one run, and which of them link."""
 
@@ -382,31 +441,40 @@ class _Join:
 
     def components(self) -> DataFrame:
         """(node, component) of all representatives that link with another."""
-        tested = written(self.candidates(), "tested")
-        links = written(self.compared(tested), "links")
-        alive = self.shared.select("sig", "one").join(self.classes.select("one", "node"), "one").select("sig", "node")
+        links = written(self.compared(written(self.candidates(), "tested")), "links")
+        tested = None
+        part = self._sent(components(links))
+        # Hubs have been compared with all others of their signatures.
+        alive = self.shared.filter("one <> hub").join(self.classes.select("one", "node"), "one").select("sig", "node")
+        alive = written(dealt(alive.join(part, "node", "left").select(
+            "sig", "node", F.coalesce("component", "node").alias("component")), BLOCK), "dealt")
         tries = TRIES
         while True:
-            part = components(links)
-            part = F.broadcast(part) if part.count() <= FEW_IDS else part
-            placed = alive.join(part, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-            spread = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-            still = written(placed.join(spread.filter("low <> high").select("sig"), "sig"), "still")
-            # Also pairs that the sketches of the two rule out: folded to the smallest of a group, these may let them pass again.
-            missed = tested.join(links, ["a", "b"], "left_anti")
-            missed = (missed.unionAll(missed.select("b", "a")).groupBy(F.col("a").alias("node"))
-                      .agg(F.collect_list("b").alias("failed")))
-            own = self._of(still).select("node", "n", "sketch").join(missed, "node", "left")
-            found = written(still.join(own, "node").select("sig", "node", "component", "n", "sketch", "failed")
-                            .repartition("sig").sortWithinPartitions("sig")
-                            .mapInArrow(_forest(self.percent, tries), "sig long, a long, b long"), "forest")
+            placed = alive.join(part, "node", "left").select("meet", "node", "side", F.coalesce("component", "node").alias("component"))
+            spread = placed.groupBy("meet").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+            still = written(placed.join(spread.filter("low <> high").select("meet"), "meet"), "still")
+            rows = (still.join(self._of(still).select("node", "n", "sketch"), "node")
+                    .select("meet", "node", "component", "side", "n", "sketch"))
+            if tested is not None:
+                rows = rows.unionAll(tested.select("meet", F.col("a").alias("node"), F.col("b").alias("component"), F.lit(TRIED),
+                                                   F.lit(0).cast("long"), F.lit(None).cast("binary")))
+            found = written(rows.repartition("meet").sortWithinPartitions("meet")
+                            .mapInArrow(_forest(self.percent, tries), "meet long, a long, b long"), "forest")
             if found.isEmpty():
                 return part
-            tried = written(found.select("a", "b").distinct(), "tried")
-            links = written(links.unionAll(self.compared(tried)), "links")
-            tested = tested.unionAll(tried)
+            tried = found.select("a", "b").distinct()
+            if tested is not None:  # by another meeting
+                tried = tried.join(tested.select("a", "b").distinct(), ["a", "b"], "left_anti")
+            links = written(links.unionAll(self.compared(written(tried, "tried"))), "links")
+            tested = found if tested is None else tested.unionAll(found)
+            tested = written(tested.join(found.select("meet").distinct(), "meet", "left_semi"), "tested")
             tries *= MORE
-            alive = written(still.select("sig", "node").join(found.select("sig").distinct(), "sig", "left_semi"), "alive")
+            part = self._sent(components(links))
+            alive = written(still.select("meet", "node", "side").join(found.select("meet").distinct(), "meet", "left_semi"), "alive")
+
+    @staticmethod
+    def _sent(part: DataFrame) -> DataFrame:
+        return F.broadcast(part) if part.count() <= FEW_IDS else part
 
 
 def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",

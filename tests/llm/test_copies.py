@@ -250,6 +250,30 @@ def test_jaccard_rounds_end(spark, monkeypatch, seed):
     assert got == _components(sets, 85)
 
 
+def test_large_signatures_are_dealt_into_bounded_meetings(spark):
+    parts = {1: [0] * 3000 + list(range(5000, 5030)), 2: [0] * 40 + [7] * 30, 3: [9] * 500, 4: list(range(300))}
+    rows = [(sig, i, part) for sig, of in parts.items() for i, part in enumerate(of)]
+    got = jaccard.dealt(spark.createDataFrame(rows, "sig long, node long, component long"), 100).collect()
+    meets = {}
+    for r in got:
+        meets.setdefault(r.meet, []).append((r.node, r.side))
+    assert max(map(len, meets.values())) <= 300  # of 3,030
+    assert len(got) < 3000 + 30 * 32 + 70 + 300 * 4
+    met = [tuple(sorted((x, y))) for m in meets.values() for (x, s), (y, t) in itertools.combinations(m, 2)
+           if s == t == jaccard.WITHIN or s != t]
+    want = [p for of in parts.values() for p in itertools.combinations(range(len(of)), 2) if of[p[0]] != of[p[1]]]
+    assert set(want) <= set(met) and len(met) < 3030 * 3029 // 8
+
+
+def test_jaccard_of_dealt_signatures(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 6)
+    monkeypatch.setattr(jaccard, "TRIES", 2)
+    rows = list(enumerate(_family(21, 90, 60, (2, 9)) + _resized(22, 40, 106)))
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _components(_sets(rows, 4), 85)
+
+
 def test_jaccard_edges(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (4, "a b c d e"), (2, "a b c d e"), (2, "a b c d e"), (9, " "), (8, None),
                                   (7, "")], "doc_id long, text string")
