@@ -7,16 +7,17 @@ the payload digest; a revisit without any is not accepted. An accepted revisit g
 response's payload and headers, updated by those of its own headers that a 304 may
 update.
 
-The as-of join is two windows over ids and times only: the time line is cut into slices
+The as-of join is two windows over ids and instants only: the time line is cut into slices
 of about SLICE_ROWS captures, the latest response inside a slice comes from a window by
 URL and slice, and that of earlier slices from a window over the slices' last responses.
 So a URL with very many captures is as many tasks as it has slices. Headers and payload
-join afterwards, by record id.
+join afterwards, by URL, instant and record id.
 
 States: `resolved`; `mismatch` (validators differ); `unvalidated` (none to compare);
 `missing` (no earlier response, or no URL). Of responses at one instant the largest
 record id counts as the latest. Revisits of one URL, repeated or not, are resolved one by
-one; records without an instant have no place in time and are missing. An empty table
+one, and give one row each; a response that is repeated under its id counts once, and where its
+copies differ, the one whose headers and payload have the lowest hash. Records without an instant have no place in time and are missing. An empty table
 gives an empty result.
 """
 
@@ -45,22 +46,25 @@ def canonical(url: Column) -> Column:
 
 
 def _earlier(events: DataFrame) -> DataFrame:
-    """(record_id, refers_to): each revisit with the latest response before it, if any."""
+    """(url_key, ts, refers_to, refers_ts): each instant of a revisit once, with the latest response before it, if any."""
     n = min(MAX_SLICES, max(1, -(-events.count() // SLICE_ROWS)))
     cuts = sorted({float(c) for c in events.approxQuantile("ts", [i / n for i in range(1, n)], 0.1 / n)}) if n > 1 else []
     part = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c <= F.col("ts"))) if cuts else F.lit(0)
-    events = events.withColumn("slice", part)
+    # Captures of a URL at one instant, repeated or not, are one row.
+    instants = events.groupBy("url_key", "ts").agg(
+        F.max("full").alias("full"), F.max(~F.col("full")).alias("asked"),
+        F.max(F.when(F.col("full"), F.col("record_id"))).alias("record_id")).withColumn("slice", part)
     response = F.when(F.col("full"), F.struct("ts", "record_id"))
-    # At one instant revisits come first: a response must be earlier.
-    order = Window.partitionBy("url_key", "slice").orderBy("ts", "full", "record_id")
-    inside = events.withColumn("near", F.last(response, ignorenulls=True).over(order)).filter(~F.col("full"))
-    lasts = events.filter("full").groupBy("url_key", "slice").agg(F.max(F.struct("ts", "record_id")).alias("last"))
+    order = Window.partitionBy("url_key", "slice").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    inside = instants.withColumn("near", F.last(response, ignorenulls=True).over(order)).filter("asked")
+    lasts = instants.filter("full").groupBy("url_key", "slice").agg(F.max(F.struct("ts", "record_id")).alias("last"))
     # Every slice of a URL that has captures, with the last response of the slices before.
-    slices = events.select("url_key", "slice").distinct().join(lasts, ["url_key", "slice"], "left")
+    slices = instants.select("url_key", "slice").distinct().join(lasts, ["url_key", "slice"], "left")
     before = Window.partitionBy("url_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select("url_key", "slice", F.last("last", ignorenulls=True).over(before).alias("far"))
+    last = F.coalesce("near", "far")
     return inside.join(slices, ["url_key", "slice"]).select(
-        "record_id", F.coalesce("near", "far").getField("record_id").alias("refers_to"))
+        "url_key", "ts", last.getField("record_id").alias("refers_to"), last.getField("ts").alias("refers_ts"))
 
 
 def _tag(column: Column) -> Column:
@@ -79,10 +83,13 @@ def resolved(records: DataFrame, *, id_col: str = "record_id", type_col: str = "
                           F.col(headers_col).alias("headers"), F.col(payload_col).alias("payload"))
     events = rows.filter(F.col("type").isin("response", "revisit") & F.col("url_key").isNotNull() & F.col("ts").isNotNull())
     found = _earlier(events.select("record_id", "url_key", "ts", (F.col("type") == "response").alias("full")))
-    revisits = rows.filter("type = 'revisit'").drop("payload").join(found, "record_id", "left")
-    full = rows.filter("type = 'response'").select(
-        F.col("record_id").alias("refers_to"), F.col("ts").alias("refers_ts"), F.col("headers").alias("stored"), "payload")
-    both = revisits.join(full, "refers_to", "left")
+    revisits = rows.filter("type = 'revisit'").drop("payload").join(found, ["url_key", "ts"], "left")
+    # A response that is given several times counts once.
+    given = F.struct(F.col("headers").alias("stored"), "payload")
+    full = (rows.filter("type = 'response'")
+            .groupBy(F.col("record_id").alias("refers_to"), F.col("ts").alias("refers_ts"), "url_key")
+            .agg(F.min_by(given, F.xxhash64(F.to_json(given))).alias("given")).select("refers_to", "refers_ts", "url_key", "given.*"))
+    both = revisits.join(full, ["refers_to", "refers_ts", "url_key"], "left")
 
     def header(side: str, name: str) -> Column:
         return F.col(side)[name]

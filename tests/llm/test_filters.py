@@ -258,6 +258,16 @@ def test_revisits(spark, monkeypatch):
     assert warc.resolved(records.limit(0)).count() == 0
 
 
+def test_repeated_records_do_not_multiply(spark):
+    url, tag = "http://a.example/", {"etag": '"1"'}
+    rows = [(1, "response", url, 10, tag, "p")] * 4 + [(2, "revisit", url, 20, tag, None)] * 5
+    rows += [(2, "revisit", "http://b.example/", 20, tag, None), (1, "response", url, 5, tag, "old"), (2, "revisit", url, 7, tag, None)]
+    rows += [(9, "response", url, 30, tag, "x"), (9, "response", url, 30, tag, "y"), (3, "revisit", url, 40, tag, None)]
+    records = spark.createDataFrame(rows, "record_id long, type string, url string, ts long, headers map<string,string>, payload string")
+    got = sorted(((r.record_id, r.ts, r.state, r.refers_ts) for r in warc.resolved(records).collect()), key=str)
+    assert got == sorted([(2, 20, "resolved", 10)] * 5 + [(2, 20, "missing", None), (2, 7, "resolved", 5), (3, 40, "resolved", 30)], key=str)
+
+
 def test_captures_of_odd_pages(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "http://a.example/", "x")], "page_id long, url string, html string")
     rows = captures(pages).collect()
