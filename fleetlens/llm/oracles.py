@@ -90,7 +90,56 @@ SELECT page_id * 2 + 1 AS revisit_id, url_key, ts,
 FROM r
 """
 
+def _quartiles(keys: str) -> str:
+    """Rows, lower and upper quartile of each rate, by the given keys of the table `r` with a trailing comma."""
+    return f"""
+  SELECT {keys} rate, rows, min(b) FILTER (4 * upto >= rows) AS q1, min(b) FILTER (4 * upto >= 3 * rows) AS q3
+  FROM (SELECT {keys} rate, b, sum(count(*)) OVER (PARTITION BY {keys} rate ORDER BY b) AS upto,
+               sum(count(*)) OVER (PARTITION BY {keys} rate) AS rows FROM r GROUP BY {keys} rate, b)
+  GROUP BY {keys} rate, rows"""
+
+
+ADAPTIVE = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT k, i, w[i:i + 2] AS s FROM (SELECT k, w, unnest(range(1, CAST(len(w) AS BIGINT) - 1)) AS i FROM d)
+), again AS (
+  SELECT k, count(DISTINCT p) AS n FROM (
+    SELECT k, unnest([i, i + 1, i + 2]) AS p FROM (SELECT k, i, count(*) OVER (PARTITION BY k, s) AS c FROM win) WHERE c > 1)
+  GROUP BY k
+), c AS (
+  SELECT k, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+         n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+  FROM d LEFT JOIN again USING (k)
+), v AS (
+  SELECT *, unnest([{{'rate': 'word_length', 'v': 100 * word_chars // n_words}}, {{'rate': 'symbols', 'v': 1000 * n_symbols // n_words}},
+                    {{'rate': 'dup_lines', 'v': 1000 * n_dup_lines // greatest(len(l), 1)}},
+                    {{'rate': 'repeats', 'v': 1000 * n_repeat_words // n_words}}], recursive := true)
+  FROM c WHERE NOT base_failed
+), r AS (
+  SELECT *, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS b FROM v
+), own AS ({_quartiles('lang, source,')}), wide AS ({_quartiles('lang,')}), whole AS ({_quartiles('')}), q AS (
+  SELECT own.lang, own.source, rate,
+         CASE WHEN own.rows >= 100 THEN own.q1 WHEN wide.rows >= 100 THEN wide.q1 ELSE whole.q1 END AS q1,
+         CASE WHEN own.rows >= 100 THEN own.q3 WHEN wide.rows >= 100 THEN wide.q3 ELSE whole.q3 END AS q3
+  FROM own JOIN wide USING (lang, rate) JOIN whole USING (rate)
+), f AS (
+  SELECT k, bool_and(CASE rate WHEN 'word_length' THEN v BETWEEN q1 - greatest(3 * (q3 - q1), 100) AND q3 + greatest(3 * (q3 - q1), 100)
+                     WHEN 'symbols' THEN v <= q3 + greatest(3 * (q3 - q1), 20)
+                     ELSE v <= q3 + greatest(3 * (q3 - q1), 300) END) AS inside
+  FROM v JOIN q USING (lang, source, rate) GROUP BY k
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(inside, FALSE) AS kept
+FROM c LEFT JOIN f USING (k)
+"""
+
 ORACLES: dict[str, str] = {
+    "op13_adaptive_rules": ADAPTIVE,
     "op6_decontamination": DECONTAMINATION,
     "op7_warc_revisits": WARC,
     "op9_jaccard_join": JACCARD,

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, decontam, jaccard, langid, pii, quality, sharding, substrings, warc, winnow
+from fleetlens.llm import adaptive, bpe, decontam, jaccard, langid, pii, quality, sharding, substrings, warc, winnow
 from fleetlens.llm.common import documents, held_out
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -93,6 +93,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(f"pii.{c}" for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")))
 
 
+def op13_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive.judged(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_language_id": op2_language_id,
@@ -104,4 +109,5 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_personal_data": op10_personal_data,
+    "op13_adaptive_rules": op13_adaptive_rules,
 }
