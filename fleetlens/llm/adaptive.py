@@ -67,7 +67,7 @@ RATES = {
 
 
 def _let(value: Column, body) -> Column:
-    """`body` of a value that is worked out once."""
+    """`body` of a value that is worked out once, also where the optimizer moves the expression."""
     return F.transform(F.array(value), body)[0]
 
 
@@ -77,7 +77,6 @@ def repeat_words(words: Column) -> Column:
     Windows are sorted as single numbers of a part of their hash and their place; only those with an equal
     neighbour are then compared by the whole hash.
     """
-    at = F.greatest(F.size(words) - 2, F.lit(0))
     place = F.lit((1 << PLACE_BITS) - 1).cast("long")
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
 
@@ -95,8 +94,11 @@ def repeat_words(words: Column) -> Column:
         return F.aggregate(places, start, lambda a, p: F.struct(
             p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")))["n"]
 
-    hashes = F.transform(F.slice(words, F.lit(1), at), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
-    return _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(_let(
+    def hashed(words: Column) -> Column:
+        return F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(
+            w, F.get(words, i + 1), F.get(words, i + 2)))
+
+    return _let(_let(words, hashed), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(_let(
         F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(place)).bitwiseOR(i.cast("long")))),
         lambda packed: covered(h, packed))))
 

@@ -138,7 +138,40 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM c LEFT JOIN f USING (k)
 """
 
+COLLOCATIONS = rf"""
+WITH piece AS (
+  SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS t FROM (
+    SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS text FROM documents)
+), w AS (
+  SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM piece
+), c AS (
+  SELECT lang, k, w[i:i + k - 1] AS p, count(*) AS a
+  FROM (SELECT lang, w, k, unnest(range(1, CAST(len(w) AS BIGINT) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k))
+  GROUP BY ALL
+), n AS (
+  SELECT lang, sum(a) AS n FROM c WHERE k = 1 GROUP BY lang
+), f AS (
+  SELECT * FROM c WHERE a >= 10
+), cut AS (
+  SELECT lang, p, a, k, unnest(range(1, k)) AS j FROM f WHERE k > 1
+), s AS (
+  SELECT cut.lang, cut.p, cut.a, arg_min({{'l': x.a, 'r': y.a}}, (score, j)) AS lr, min(score) AS score
+  FROM (SELECT *, p[1:j] AS pl, p[j + 1:] AS pr FROM cut) cut JOIN f x ON x.lang = cut.lang AND x.p = pl
+  JOIN f y ON y.lang = cut.lang AND y.p = pr,
+  LATERAL (SELECT 1000000::HUGEINT * cut.a * cut.a // (x.a::HUGEINT * y.a) AS score)
+  GROUP BY ALL
+), longer AS (
+  SELECT lang, p, max(a) AS most FROM (SELECT lang, unnest([p[1:2], p[2:3]]) AS p, a FROM f WHERE k = 3) GROUP BY ALL
+), best AS (
+  SELECT s.lang, array_to_string(s.p, ' ') AS phrase, s.a, lr.l AS l, lr.r AS r, CAST(score AS BIGINT) AS score,
+         row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, s.a DESC, phrase) AS rank
+  FROM s LEFT JOIN longer ON longer.lang = s.lang AND longer.p = s.p WHERE most IS NULL OR 100 * most < 50 * s.a
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM best JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_collocations": COLLOCATIONS,
     "op13_adaptive_rules": ADAPTIVE,
     "op6_decontamination": DECONTAMINATION,
     "op7_warc_revisits": WARC,

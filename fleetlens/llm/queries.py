@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import adaptive, bpe, decontam, jaccard, langid, pii, quality, sharding, substrings, warc, winnow
+from fleetlens.llm import (adaptive, alignment, bpe, collocations, decontam, jaccard, langid, pii, quality, sharding,
+                           substrings, warc, winnow)
 from fleetlens.llm.common import documents, held_out
 
+BYTE_LEVEL, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -93,6 +95,14 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(f"pii.{c}" for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(documents(spark, sf_dir), BYTE_LEVEL, PIECES)
+
+
 def op13_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive.judged(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -109,5 +119,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_personal_data": op10_personal_data,
+    "op11_collocations": op11_collocations,
+    "op12_token_alignment": op12_token_alignment,
     "op13_adaptive_rules": op13_adaptive_rules,
 }
