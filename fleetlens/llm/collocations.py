@@ -44,7 +44,7 @@ RANGE_BYTES, SPREAD = 24 << 20, 4
 #: The filter: its largest size, and bits for each phrase below that.
 FILTER_BYTES, KEY_BITS = 64 << 20, 16
 
-_HASH = SpanHash(31)
+_HASH, _LANG_HASH = SpanHash(31), SpanHash(37)
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _BLANK = _BREAK.copy()
@@ -74,11 +74,11 @@ def _runs_of_words(texts: pa.Array, langs: np.ndarray, longest: int):
 
 
 def _lang_keys(langs: list[str]) -> dict[str, int]:
-    """A number for each language, by its name only."""
+    """A number for each language, by its name only; words are hashed otherwise, so that sums of both differ."""
     out = {}
     for lang in set(langs):
         raw = np.frombuffer(lang.encode(), np.uint8)
-        out[lang] = int(_HASH.spans(_HASH.prefix(raw), np.zeros(1, np.int64), np.full(1, len(raw)))[0])
+        out[lang] = int(_LANG_HASH.spans(_LANG_HASH.prefix(raw), np.zeros(1, np.int64), np.full(1, len(raw)))[0])
     return out
 
 
