@@ -50,22 +50,8 @@ def exact_percentile(rows: DataFrame, keys: list[str], value: str, p: float, nam
             .select(*groups, *keys, F.col(value).cast("double").alias("_v"))
             .withColumn("_b", log_bucket(F.col("_v"))))
 
-    group = Window.partitionBy(*groups)
-    buckets = (
-        rows.groupBy(*groups, "_b")
-        .agg(F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
-        .withColumn("_upto", F.sum("_n").over(group.orderBy("_b")))
-        .withColumn("_pos", (F.sum("_n").over(group) - 1) * F.lit(float(p)))
-        .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos"))
-    )
-
-    def holds(rank: str) -> Column:
-        return (F.col("_upto") - F.col("_n") <= F.col(rank)) & (F.col(rank) < F.col("_upto"))
-
-    targets = (buckets.filter(holds("_lo") | holds("_hi"))
-               .select(*groups, "_b", "_pos", "_lo", "_hi", "_least", "_most",
-                       (F.col("_upto") - F.col("_n")).alias("_before")))
-
+    buckets = rows.groupBy(*groups, "_b").agg(F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    targets = target_buckets(buckets, groups, p)
     fixed = targets.take(MAX_LOCAL_TARGETS + 1)
     if len(fixed) <= MAX_LOCAL_TARGETS:
         # Size just checked: a local relation this small is joined map-side. Rows
@@ -75,16 +61,40 @@ def exact_percentile(rows: DataFrame, keys: list[str], value: str, p: float, nam
         if ends and not any(map(math.isnan, ends)):
             rows = rows.filter(F.col("_v").between(min(ends), max(ends)))
 
-    ranks = ["_pos", "_lo", "_hi"]
     counted = (rows.join(targets.drop("_least", "_most"), [*groups, "_b"])
-               .groupBy(*groups, *keys, "_v", *ranks)
+               .groupBy(*groups, *keys, "_v", "_pos", "_lo", "_hi")
                .agg(F.count("*").alias("_n"), F.min("_before").alias("_before")))
+    return ranked_values(counted, groups, keys, name)
+
+
+def target_buckets(buckets: DataFrame, groups: list[str], p: float) -> DataFrame:
+    """The one or two buckets of each group that hold the wanted ranks, and how many rows come before them.
+
+    ``buckets``: groups, _b, _n, _least, _most.
+    """
+    group = Window.partitionBy(*groups)
+    buckets = (buckets
+               .withColumn("_upto", F.sum("_n").over(group.orderBy("_b")))
+               .withColumn("_pos", (F.sum("_n").over(group) - 1) * F.lit(float(p)))
+               .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos")))
+
+    def holds(rank: str) -> Column:
+        return (F.col("_upto") - F.col("_n") <= F.col(rank)) & (F.col(rank) < F.col("_upto"))
+
+    return (buckets.filter(holds("_lo") | holds("_hi"))
+            .select(*groups, "_b", "_pos", "_lo", "_hi", "_least", "_most", (F.col("_upto") - F.col("_n")).alias("_before")))
+
+
+def ranked_values(counted: DataFrame, groups: list[str], keys: list[str], name: str) -> DataFrame:
+    """The percentile from the counted values of the target buckets: groups, keys, _v, _n, _before and the ranks."""
+    group = Window.partitionBy(*groups)
+    ranks, columns = ["_pos", "_lo", "_hi"], list(dict.fromkeys([*groups, *keys]))
     ranked = counted.withColumn(
         "_upto", F.min("_before").over(group) + F.sum("_n").over(group.orderBy("_v")))
     low = F.min(F.when(F.col("_upto") > F.col("_lo"), F.col("_v")))
     high = F.min(F.when(F.col("_upto") > F.col("_hi"), F.col("_v")))
     weight = F.col("_pos") - F.col("_lo")
     between = (F.col("_hi") - F.col("_pos")) * F.col("_low") + weight * F.col("_high")
-    return (ranked.groupBy(*groups, *keys, *ranks).agg(low.alias("_low"), high.alias("_high"))
+    return (ranked.groupBy(*columns, *ranks).agg(low.alias("_low"), high.alias("_high"))
             .select(*keys, F.when((weight == 0) | (F.col("_low") == F.col("_high")), F.col("_low"))
                     .otherwise(between).alias(name)))

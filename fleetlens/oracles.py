@@ -79,22 +79,24 @@ def _rule(name: str, severity: str, app: str, headline: str, source: str = "f",
 
 HEAP_SEV = "CASE WHEN (100 - cur) / slope <= 10 THEN 'P1' ELSE 'P2' END"
 ERR_SEV = "CASE WHEN err_rec > 40 THEN 'P1' ELSE 'P2' END"
-A = F + P[len(W):] + ",\na AS (" + "\nUNION ALL ".join([
-    _rule("heap_leak", HEAP_SEV, "app_h",
-          "'Heap leak on ' || vm_id || ': +' || printf('%.0f', slope) || ' MB/min, OOM ETA ~' "
-          "|| printf('%.0f', (100 - cur) / slope) || ' min'"),
-    _rule("io_spike", "'P2'", "app_r",
-          "'Disk IO saturation on ' || vm_id || ': await ' || printf('%.0f', v_rec) || 'ms (z=' "
-          "|| printf('%.1f', (v_rec - v_base) / v_std) || ')'"),
-    _rule("net_retrans", "'P2'", "app_r",
-          "'Network retransmits on ' || vm_id || ': ' || printf('%.1f', retr) || '% (> 5%)'"),
-    _rule("apm_latency", "'P2'", "app",
-          "'Latency regression on ' || app || ': p95 ' || printf('%.0f', p_rec) || 'ms (>1x baseline ' "
-          "|| printf('%.0f', p_base) || 'ms)'", "p", "''"),
-    _rule("error_storm", ERR_SEV, "app_r",
-          "'Error storm on ' || vm_id || ': ' || printf('%.1f', err_rec) || '% errors (' "
-          "|| printf('%.0f', err_rec / greatest(err_base, 0.1)) || 'x baseline)'"),
-]) + ")"
+# The texts of the alerts, as SQL.
+HEADLINE = {
+    "heap_leak": "'Heap leak on ' || vm_id || ': +' || printf('%.0f', slope) || ' MB/min, OOM ETA ~' "
+                 "|| printf('%.0f', (100 - cur) / slope) || ' min'",
+    "io_spike": "'Disk IO saturation on ' || vm_id || ': await ' || printf('%.0f', v_rec) || 'ms (z=' "
+                "|| printf('%.1f', (v_rec - v_base) / v_std) || ')'",
+    "net_retrans": "'Network retransmits on ' || vm_id || ': ' || printf('%.1f', retr) || '% (> 5%)'",
+    "apm_latency": "'Latency regression on ' || app || ': p95 ' || printf('%.0f', p_rec) || 'ms (>1x baseline ' "
+                   "|| printf('%.0f', p_base) || 'ms)'",
+    "error_storm": "'Error storm on ' || vm_id || ': ' || printf('%.1f', err_rec) || '% errors (' "
+                   "|| printf('%.0f', err_rec / greatest(err_base, 0.1)) || 'x baseline)'",
+}
+SEVERITY = {"heap_leak": HEAP_SEV, "error_storm": ERR_SEV}
+APP = {"heap_leak": "app_h", "apm_latency": "app"}
+ALL_ALERTS = ",\na AS (" + "\nUNION ALL ".join(
+    _rule(name, SEVERITY.get(name, "'P2'"), APP.get(name, "app_r"), HEADLINE[name],
+          *(("p", "''") if name == "apm_latency" else ())) for name in HEADLINE) + ")"
+A = F + P[len(W):] + ALL_ALERTS
 RANK = "CASE severity WHEN 'P1' THEN 0 WHEN 'P2' THEN 1 WHEN 'P3' THEN 2 ELSE 9 END"
 
 # --- windows and features ---------------------------------------------------
@@ -502,18 +504,36 @@ FROM o GROUP BY at_ // 500"""
 LIVE = W + f""",
 ends AS (SELECT unnest(range(t0 // {SLIDE} * {SLIDE}, t1 + 30 * {UNIT}, {SLIDE})) AS e, t0, t1 FROM b),
 closed AS (SELECT e, t0 FROM ends WHERE e <= (t1 - 1) // 1000 * 1000 - 60000000)"""
-ORACLES["live_recent_alerts"] = f"""
-WITH {LIVE}, base AS (SELECT vm_id, avg(v) AS v_base, stddev_samp(v) AS v_std, avg(err) AS err_base
-  FROM m, w WHERE "asof" = 0 AND us >= t0 AND us < b_hi GROUP BY vm_id),
-g AS (SELECT e, vm_id, max(app) AS app, avg(v) AS v_rec, avg(retrans) AS retr, avg(err) AS err_rec
-  FROM closed JOIN m ON us > e - 10 * {UNIT} AND us <= e GROUP BY e, vm_id)
-SELECT e AS ts_us, 'P2' AS severity, 'net_retrans' AS rule, vm_id, app FROM g WHERE retr > 5
-UNION ALL SELECT e, 'P2', 'io_spike', vm_id, app FROM g JOIN base USING (vm_id)
-  WHERE v_std > 0.01 AND (v_rec - v_base) / v_std > 0.5
-UNION ALL SELECT e, {ERR_SEV}, 'error_storm', vm_id, app FROM g JOIN base USING (vm_id)
-  WHERE err_rec > 3 AND err_rec > 3 * greatest(err_base, 0.1)"""
-ORACLES["live_heap_alerts"] = f"""
-WITH {LIVE}, g AS (SELECT e, vm_id, max(app) AS app, count(*) AS n_heap, regr_slope(v, (us - e) / {UNIT}.0) AS slope,
-    corr(v, (us - e) / {UNIT}.0) AS r, arg_max(v, us) AS cur
-  FROM closed JOIN m ON us > e - 30 * {UNIT} AND us <= e GROUP BY e, vm_id)
-SELECT e AS ts_us, {HEAP_SEV} AS severity, 'heap_leak' AS rule, vm_id, app FROM g WHERE {FIRES['heap_leak']}"""
+LIVE_BASE = """,
+base AS (SELECT vm_id, avg(v) AS v_base, stddev_samp(v) AS v_std, avg(err) AS err_base, count(*) AS n_base
+  FROM m, w WHERE "asof" = 0 AND us >= t0 AND us < b_hi GROUP BY vm_id)"""
+LIVE_F = LIVE + LIVE_BASE + f""",
+g AS (SELECT e, vm_id, max(app) FILTER (WHERE us > e - 10 * {UNIT}) AS app_r, max(app) AS app_h, count(*) AS n_heap,
+    nullif(regr_slope(v, (us - e) / {UNIT}.0), 'nan'::DOUBLE) AS slope, nullif(corr(v, (us - e) / {UNIT}.0), 'nan'::DOUBLE) AS r,
+    arg_max(v, us) AS cur, count(*) FILTER (WHERE us > e - 10 * {UNIT}) AS n_rec, avg(v) FILTER (WHERE us > e - 10 * {UNIT}) AS v_rec,
+    arg_max(k, us) FILTER (WHERE us > e - 10 * {UNIT}) AS iops, avg(retrans) FILTER (WHERE us > e - 10 * {UNIT}) AS retr,
+    avg(err) FILTER (WHERE us > e - 10 * {UNIT}) AS err_rec
+  FROM closed JOIN m ON us > e - 30 * {UNIT} AND us <= e GROUP BY e, vm_id),
+f AS (SELECT *, coalesce(base.n_base, 0) AS n_base FROM g LEFT JOIN base USING (vm_id))"""
+LIVE_P = LIVE + f""",
+stored AS (SELECT app, quantile_cont(v, 0.95) AS p_base FROM m, w WHERE "asof" = 0 AND us >= t0 AND us < b_hi GROUP BY app),
+p AS (SELECT e, app, quantile_cont(v, 0.95) AS p_rec, any_value(p_base) AS p_base
+  FROM closed JOIN m ON us > e - 10 * {UNIT} AND us <= e JOIN stored USING (app) GROUP BY e, app)"""
+
+
+def _live(name: str) -> str:
+    """Whole rows of one rule; evidence as `key=value` by key."""
+    source, vm, app, values = EVIDENCE[name]
+    evidence = " || ';' || ".join(f"'{key}=' || printf('%.3f', {value}::DOUBLE + 0.0::DOUBLE)" for key, value in sorted(values.items()))
+    return (f"SELECT e AS ts_us, {SEVERITY.get(name, "'P2'")} AS severity, '{name}' AS rule, {vm} AS vm_id, {app} AS app, "
+            f"{HEADLINE[name]} AS headline, {evidence} AS evidence, '{ACTION[name]}' AS action FROM {source} WHERE {FIRES[name]}")
+
+
+ORACLES["live_recent_alerts"] = f"WITH {LIVE_F} " + "\nUNION ALL ".join(map(_live, ("io_spike", "net_retrans", "error_storm")))
+ORACLES["live_heap_alerts"] = f"WITH {LIVE_F} " + _live("heap_leak")
+ORACLES["live_vm_alerts"] = f"WITH {LIVE_F} " + "\nUNION ALL ".join(
+    map(_live, ("heap_leak", "io_spike", "net_retrans", "error_storm")))
+ORACLES["live_latency_alerts"] = f"WITH {LIVE_P} " + _live("apm_latency")
+ORACLES["sweep_alerts"] = "WITH " + A.replace(
+    "(VALUES (0), (15), (30), (45)) AS x(ao)", "(SELECT unnest(range(0, 440))::DOUBLE / 4 AS ao) AS x") + """
+SELECT "asof", e::BIGINT AS ts_us, severity, rule, vm_id, app FROM a"""

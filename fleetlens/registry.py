@@ -716,26 +716,48 @@ def _stream(spark, sf):
             .parquet(f"{base}/raw/vm_metrics")), base
 
 
-def _drain(alerts, base):
-    """Run a streaming query to its end into a table, and read that."""
-    (alerts.writeStream.format("parquet").option("checkpointLocation", f"{base}/cp")
-     .option("path", f"{base}/alerts").outputMode("append").trigger(availableNow=True)
-     .start().awaitTermination())
-    return alerts.sparkSession.read.schema(schema.ALERTS).parquet(f"{base}/alerts").select(
-        us("ts"), "severity", "rule", "vm_id", "app")
+def _watched(alerts):
+    """Whole alert rows; evidence as its rounded values, by key."""
+    values = F.array_sort(F.map_entries(F.from_json("evidence_json", "map<string,double>")))
+    text = F.array_join(F.transform(values, lambda e: F.format_string("%s=%.3f", e["key"], e["value"] + F.lit(0.0))), ";")
+    return alerts.select(us("ts"), "severity", "rule", "vm_id", "app", "headline", text.alias("evidence"), "action")
 
 
 @query
-def live_recent_alerts(spark, sf):
-    """The recent-window rules as a stream with a watermark."""
+def live_vm_alerts(spark, sf):
+    """The per-VM rules as a stream of panes, against a stored baseline."""
     m = dt.vm_metrics(spark, sf)
-    baseline = live.vm_baseline(m, windows.instants(m, CFG)[0])
     stream, base = _stream(spark, sf)
-    return _drain(live.live_recent(stream, baseline, CFG, LIVE_SLIDE_S, LIVE_DELAY), base)
+    baseline = checkpoint(live.vm_baseline(m, windows.instants(m, CFG)[0]))
+    live.watch_vms(stream, baseline, base, CFG, LIVE_SLIDE_S, LIVE_DELAY).awaitTermination()
+    return _watched(live.live_alerts(spark, base))
+
+
+@query
+def live_recent_alerts(spark, sf):
+    """What the stream finds by the recent-window rules."""
+    return live_vm_alerts(spark, sf).filter("rule <> 'heap_leak'")
 
 
 @query
 def live_heap_alerts(spark, sf):
-    """The heap-leak rule as a stream with a watermark."""
+    """What the stream finds by the heap-leak rule."""
+    return live_vm_alerts(spark, sf).filter("rule = 'heap_leak'")
+
+
+@query
+def live_latency_alerts(spark, sf):
+    """The app p95 rule on a stream of bucket counts; exact by a second look at one bucket."""
+    m = dt.vm_metrics(spark, sf)
     stream, base = _stream(spark, sf)
-    return _drain(live.live_heap(stream, CFG, LIVE_SLIDE_S, LIVE_DELAY), base)
+    baseline = checkpoint(live.app_baseline(app_latency(m, CFG, windows.instants(m, CFG))))
+    live.watch_latency(stream, lambda: tables.read_chunks(spark, f"{base}/raw/vm_metrics", "vm_metrics"), baseline, base, CFG,
+                       LIVE_SLIDE_S, LIVE_DELAY).awaitTermination()
+    return _watched(live.live_alerts(spark, base))
+
+
+@query
+def sweep_alerts(spark, sf):
+    """Alerts of 440 instants, a quarter of a rule minute apart, from panes."""
+    asofs = [i / 4 for i in range(440)]
+    return detect.sweep(dt.vm_metrics(spark, sf), CFG, asofs).select("asof", us("ts"), "severity", "rule", "vm_id", "app")

@@ -26,12 +26,6 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def big(points):
-    """The same instants with an unknown row count, as for a large table."""
-    from dataclasses import replace
-    return [replace(p, n_rows=None) for p in points]
-
-
 def test_detection_reads_few_narrow_columns(spark, stored):
     text = plan(detect.detect(stored, CFG))
     scans = re.findall(r"ReadSchema: struct<([^>]*)>", text)
@@ -44,7 +38,7 @@ def test_detection_reads_few_narrow_columns(spark, stored):
 
 def test_fact_aggregations_are_hash_based(stored):
     points = instants(stored, CFG)
-    for df in (app_latency(stored, CFG, big(points)), quality.first_crossings(stored, 1.0),
+    for df in (app_latency(stored, CFG, points), quality.first_crossings(stored, 1.0),
                quality.band_audit(stored, quality.app_means(stored), 0.1), health.vm_list(stored)):
         text = plan(df)
         # the aggregate next to a scan never sorts its input
@@ -72,7 +66,7 @@ def test_no_plan_pairs_rows_or_runs_python(stored):
     alerts = detect.detect(stored, CFG, ordered=False)
     m = stored
     for df in (alerts, detect.replay(m, CFG), rca.verdict(rca.facts(m, CFG, alerts), CFG), health.kpis(m, alerts),
-               health.grid(m, alerts), quality.thin(m, 10), app_latency(m, CFG, big(instants(m, CFG)))):
+               health.grid(m, alerts), quality.thin(m, 10), app_latency(m, CFG, instants(m, CFG))):
         text = plan(df)
         for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEval", "BatchEvalPython",
                      "MapInPandas", "FlatMapGroups"):
