@@ -38,9 +38,9 @@ LEAST, LONGEST, FIRST = 10, 3, 2000
 COVERED = 50
 SHARDS = 4
 #: Text that is counted at a time, and distinct phrases that a map task holds before it sends them.
-PIECE, HELD = 4 << 20, 2 << 20
+PIECE, HELD = 1 << 20, 1 << 19
 #: Bytes of keys and counts that a range's task is meant to add up, and about how many there are for a byte of text.
-RANGE_BYTES, SPREAD = 24 << 20, 4
+RANGE_BYTES, SPREAD = 8 << 20, 4
 #: The filter: its largest size, and bits for each phrase below that.
 FILTER_BYTES, KEY_BITS = 64 << 20, 16
 
