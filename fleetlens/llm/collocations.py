@@ -9,7 +9,7 @@ phrase is a run of words of one piece; everything is counted for each language.
    send sorted 64-bit phrase hashes with counts, packed, one blob for each shard and range; a
    range's task adds them up shard by shard and unites what is frequent in any. A phrase that
    occurs very often is one number in each blob.
-2. The union goes to all tasks as a Bloom filter of at most FILTER_BYTES, whatever the corpus. What it
+2. The union goes to all tasks as a Bloom filter of at most hashed.FILTER_BYTES, whatever the corpus. What it
    lets through beyond the union costs work in the next step, and changes no result.
 3. Counting. A second pass over the texts counts every phrase that passes, globally and exactly, by
    its spelling; those below `least` go. (Inside one map task, equal 64-bit hashes stand for equal
@@ -28,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.llm import hashed
 from fleetlens.llm.common import SpanHash, gathered, lowered, mixed, owners, pieces, runs, text_bytes, written
 
 LEAST, LONGEST, FIRST = 10, 3, 2000
@@ -39,10 +39,8 @@ COVERED = 50
 SHARDS = 4
 #: Text that is counted at a time, and distinct phrases that a map task holds before it sends them.
 PIECE, HELD = 1 << 20, 1 << 19
-#: Bytes of keys and counts that a range's task is meant to add up, and about how many there are for a byte of text.
-RANGE_BYTES, SPREAD = 8 << 20, 4
-#: The filter: its largest size, and bits for each phrase below that.
-FILTER_BYTES, KEY_BITS = 64 << 20, 16
+#: Bytes of keys and counts for each byte of text, about.
+SPREAD = 4
 
 _HASH, _LANG_HASH = SpanHash(31), SpanHash(37)
 _BREAK = np.zeros(256, bool)
@@ -85,33 +83,11 @@ def _lang_keys(langs: list[str]) -> dict[str, int]:
 # ---- mining
 
 
-def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sorted keys and their summed counts."""
-    key, count = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key)
-    key = key[order]
-    heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    return key[heads], np.add.reduceat(count[order], heads) if len(heads) else count[:0]
-
-
-def _mined_locally(longest: int, range_bits: int):
+def _mined_locally(longest: int, bits: int):
     """Rows (range, shard, blob): the phrase hashes and counts of a map task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
         held: dict[int, list] = {}
-
-        def sent(shard: int) -> pa.RecordBatch:
-            key, count = _added(*zip(*held.pop(shard), strict=True))
-            part = (key >> np.uint64(64 - range_bits)) if range_bits else np.zeros(len(key), np.uint64)
-            cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            blobs = [pack.compress(len(k).to_bytes(8, "little") + k.astype("<u8").tobytes() + c.astype("<i8").view(np.uint8)
-                                   .reshape(-1, 8).T.tobytes()) for k, c in zip(np.split(_steps(key, cuts), cuts[1:]),
-                                                                               np.split(count, cuts[1:]), strict=True)]
-            return pa.RecordBatch.from_pydict({"range": pa.array(part[cuts].astype(np.int64)),
-                                               "shard": pa.array(np.full(len(cuts), shard, np.int64)),
-                                               "blob": pa.array(blobs, pa.binary())})
-
         for batch in batches:
             for piece in pieces(batch, "text", PIECE):
                 names = piece.column(2).to_pylist()
@@ -122,87 +98,18 @@ def _mined_locally(longest: int, range_bits: int):
                 for number in np.unique(shard).tolist():
                     keys = np.concatenate([grown[shard[first] == number] for first, grown in made])
                     mine = held.setdefault(number, [])
-                    mine.append(_added([keys], [np.ones(len(keys), np.int64)]))
+                    mine.append(hashed.added([keys], [np.ones(len(keys), np.int64)]))
                     if sum(len(k) for k, _ in mine) > HELD:
-                        mine[:] = [_added(*zip(*mine, strict=True))]
+                        mine[:] = [hashed.added(*zip(*mine, strict=True))]
                         if len(mine[0][0]) > HELD // 2:
-                            yield sent(number)
-        for number in list(held):
-            if any(len(k) for k, _ in held[number]):
-                yield sent(number)
+                            yield hashed.packed(*mine.pop(), bits, number)
+        for number, mine in held.items():
+            if mine:
+                yield hashed.packed(*hashed.added(*zip(*mine, strict=True)), bits, number)
 
     return run
 
 
-def _steps(key: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Differences of sorted keys, starting anew at each cut."""
-    out = key.copy()
-    out[1:] -= key[:-1]
-    out[cuts] = key[cuts]
-    return out
-
-
-def _frequent(table: pa.Table, support: int) -> np.ndarray:
-    """What is frequent in any shard of a range's blobs."""
-    shards = table.column("shard").to_numpy()
-    union = np.zeros(0, np.uint64)
-    unpack = zstandard.ZstdDecompressor()
-    for shard in np.unique(shards).tolist():
-        keys, counts = [], []
-        for i in np.flatnonzero(shards == shard).tolist():
-            raw = unpack.decompress(table.column("blob")[i].as_py())
-            n = int.from_bytes(raw[:8], "little")
-            keys.append(np.cumsum(np.frombuffer(raw, "<u8", n, 8)))
-            counts.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8 + 8 * n).reshape(8, n).T).view("<i8").ravel())
-        key, count = _added(keys, counts)
-        union = np.union1d(union, key[count >= support])
-    return union
-
-
-# ---- the filter: blocks of 64 bits, four of them set by a key
-
-
-def _bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a number that chooses the block, the four bits) of each key."""
-    drawn = mixed(keys + np.uint64(0x632BE59BD9B4E019))
-    one = np.uint64(1)
-    bits = np.zeros(len(keys), np.uint64)
-    for shift in (0, 6, 12, 18):
-        bits |= one << (drawn >> np.uint64(shift) & np.uint64(63))
-    return drawn >> np.uint64(24), bits
-
-
-def _segment(keys: np.ndarray, most_bytes: int) -> bytes:
-    """A range's part of the filter: KEY_BITS bits a key, rounded up to a power of two of blocks, no more than given."""
-    blocks = 1
-    while blocks * 64 < len(keys) * KEY_BITS and blocks * 16 <= most_bytes:
-        blocks *= 2
-    out = np.zeros(blocks, np.uint64)
-    at, bits = _bits(keys)
-    np.bitwise_or.at(out, (at & np.uint64(blocks - 1)).astype(np.int64), bits)
-    return out.tobytes()
-
-
-class Filter:
-    """The Bloom filter, put together from the ranges' segments."""
-
-    def __init__(self, segments: list[tuple[int, bytes]], range_bits: int):
-        self.range_bits = range_bits
-        sizes = np.zeros(1 << range_bits, np.int64)
-        for number, raw in segments:
-            sizes[number] = len(raw) // 8
-        self.at = np.cumsum(sizes) - sizes
-        self.mask = np.maximum(sizes - 1, 0)
-        self.any = sizes > 0
-        self.words = np.frombuffer(b"".join(raw for _, raw in sorted(segments)) or b"\0" * 8, np.uint64)
-
-    def holds(self, keys: np.ndarray) -> np.ndarray:
-        part = (keys >> np.uint64(64 - self.range_bits)).astype(np.int64) if self.range_bits else np.zeros(len(keys), np.int64)
-        at, bits = _bits(keys)
-        place = self.at[part] + (at.astype(np.int64) & self.mask[part])
-        return (self.words[np.minimum(place, len(self.words) - 1)] & bits == bits) & self.any[part]
-
-
 # ---- counting
 
 
@@ -210,7 +117,7 @@ def _counted(sent, longest: int):
     """Rows (lang, phrase, n): occurrences of what passes the filter; a null phrase stands for all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep: Filter = sent.value
+        keep: hashed.Filter = sent.value
         held: list[tuple] = []
         total: dict[str, int] = {}
 
@@ -274,16 +181,15 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, *
     rows = docs.select(F.pmod(F.xxhash64(id_col, text), F.lit(shards)).cast("long").alias("shard"), text.alias("text"),
                        F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    range_bits = max(0, (size * SPREAD // RANGE_BYTES).bit_length())
-    support, most = -(-least // shards), FILTER_BYTES >> range_bits
+    bits, support = hashed.range_bits(size * SPREAD), -(-least // shards)
 
     def segment(table: pa.Table) -> pa.Table:
-        return pa.table({"range": table.column("range")[:1], "bits": pa.array([_segment(_frequent(table, support), most)],
-                                                                              pa.binary())})
+        return pa.table({"range": table.column("range")[:1], "bits": pa.array(
+            [hashed.segment(hashed.frequent(table, support), bits)], pa.binary())})
 
-    mined = (rows.mapInArrow(_mined_locally(longest, range_bits), "range long, shard long, blob binary")
+    mined = (rows.mapInArrow(_mined_locally(longest, bits), hashed.BLOBS)
              .groupBy("range").applyInArrow(segment, "range long, bits binary"))
-    sent = spark.sparkContext.broadcast(Filter([(r.range, bytes(r.bits)) for r in mined.collect()], range_bits))
+    sent = spark.sparkContext.broadcast(hashed.Filter([(r.range, bytes(r.bits)) for r in mined.collect()], bits))
     counted = rows.mapInArrow(_counted(sent, longest), "lang string, phrase string, n long")
     return (counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
             .filter(F.col("phrase").isNull() | (F.col("n") >= least)))

@@ -49,6 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.llm import hashed
 from fleetlens.llm.common import (FEW_IDS, PIECE_BYTES, SpanHash, components, lowered, mixed, owners, pieces, runs, text_bytes,
                                   two_columns, written)
 
@@ -63,6 +64,8 @@ BLOCK = 1024
 SLAB = 256
 #: Pairs that the first round tries for two components of a meeting; each further round, MORE times as many.
 TRIES, MORE = 32, 8
+#: Signatures that a task counts at a time.
+HELD = 1 << 20
 #: Meetings up to this size need no arrays.
 FEW = 24
 #: Sides of a meeting's rows: a pair that it has tried; a member that meets all others; members of two blocks.
@@ -394,6 +397,49 @@ def dealt(members: DataFrame, block: int) -> DataFrame:
         F.when(F.col("block") == F.col("other"), WITHIN).when(F.col("block") < F.col("other"), ONE).otherwise(TWO).alias("side"))
 
 
+def _repeated(table: DataFrame) -> hashed.Filter:
+    """A filter of the signatures that occur in more than one row: counted by packed blobs, as most occur in one."""
+    rows = table.select("sigs")
+    total = rows.agg(F.sum(F.size("sigs"))).first()[0] or 0
+    bits = hashed.range_bits(total * 8)
+
+    def packed(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch.column(0).flatten().to_numpy().view(np.uint64))
+            size += len(held[-1])
+            if size > HELD:
+                yield _counts(held, bits)
+                held, size = [], 0
+        yield _counts(held, bits)
+
+    def segment(found: pa.Table) -> pa.Table:
+        return pa.table({"range": found.column("range")[:1],
+                         "bits": pa.array([hashed.segment(hashed.frequent(found, 2), bits)], pa.binary())})
+
+    segments = rows.mapInArrow(packed, hashed.BLOBS).groupBy("range").applyInArrow(segment, "range long, bits binary")
+    return hashed.Filter([(r.range, bytes(r.bits)) for r in segments.collect()], bits)
+
+
+def _counts(held: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    keys = np.concatenate([np.zeros(0, np.uint64), *held])
+    return hashed.packed(*hashed.added([keys], [np.ones(len(keys), np.int64)]), bits)
+
+
+def _filtered(keep: hashed.Filter):
+    """(sig, one) of the signatures that pass."""
+
+    def run(batches):
+        for batch in batches:
+            sigs = batch.column(1)
+            values = sigs.flatten().to_numpy()
+            passed = keep.holds(values.view(np.uint64))
+            one = np.repeat(batch.column(0).to_numpy(), sigs.value_lengths().to_numpy())
+            yield pa.RecordBatch.from_pydict({"sig": pa.array(values[passed]), "one": pa.array(one[passed])})
+
+    return run
+
+
 class _Join:
     """The candidate pairs of one run, and which of them link."""
 
@@ -402,18 +448,30 @@ class _Join:
         self.table = written(docs.mapInArrow(
             _featured(words, percent),
             "doc_id long, n long, one long, two long, sketch binary, sigs array<long>"), "partenum")
-        self.classes = written(
-            self.table.filter("n > 0 AND doc_id IS NOT NULL").groupBy("one", "two", "n")
-            .agg(F.min("doc_id").alias("node"), F.min("sketch").alias("sketch")), "classes")
-        rows = self.table.select(F.explode("sigs").alias("sig"), "one")
-        hubs = rows.groupBy("sig").agg(F.min("one").alias("hub"), F.max("one").alias("top")).filter("hub <> top")
+        in_class = F.expr("n > 0 AND doc_id IS NOT NULL")
+        self.classes = written(self.table.filter(in_class).groupBy("one", "two", "n").agg(F.min("doc_id").alias("node")), "classes")
+        # Signatures that tasks gave more than once; the filter may let others through, which the next step drops.
+        rows = self.table.select("one", "sigs").mapInArrow(_filtered(_repeated(self.table)), "sig long, one long").distinct()
+        rows = written(rows, "repeated")
+        sets = rows.groupBy("sig").agg(
+            F.min("one").alias("hub"), F.count("*").alias("members"),
+            *[F.bit_xor(F.xxhash64("one", F.lit(i))).alias(f"x{i}") for i in (1, 2)]).filter("members > 1")
+        # Signatures with the same members say the same: one of them stays.
+        kept = sets.groupBy("members", "x1", "x2", "hub").agg(F.min("sig").alias("sig"))
         # What shares a signature with another class: the only rows that matter from here on.
-        self.shared = written(rows.join(hubs.select("sig", "hub"), "sig"), "shared")
+        self.shared = written(rows.join(kept.select("sig", "hub"), "sig"), "shared")
+        ones = written(self.shared.select("one").distinct(), "ones")
+        few = ones.count() <= FEW_IDS
+        mine = self.table.filter(in_class).select("one", "two", "n", "sketch")
+        sketches = (mine.filter("sketch IS NOT NULL").join(F.broadcast(ones) if few else ones, "one", "left_semi")
+                    .groupBy("one", "two", "n").agg(F.min("sketch").alias("sketch")))
+        #: Classes with a partner in sight, and their sketches.
+        self.known = written(self.classes.join(sketches, ["one", "two", "n"]), "known")
 
     def candidates(self) -> DataFrame:
         """Each class with the hubs of its signatures, as pairs of representatives."""
         keys = self.shared.filter("one <> hub").select(F.col("hub").alias("x"), F.col("one").alias("y")).distinct()
-        node = self.classes.select("one", "node")
+        node = self.known.select("one", "node")
         return (keys.join(node.toDF("x", "p"), "x").join(node.toDF("y", "q"), "y")
                 .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).filter("a <> b").distinct())
 
@@ -421,7 +479,7 @@ class _Join:
         """The classes of the given representatives, picked without a shuffle of all where these are few."""
         nodes = written(nodes.select("node").distinct(), "nodes")
         few = nodes.count() <= FEW_IDS
-        return written(self.classes.join(F.broadcast(nodes) if few else nodes, "node", "left_semi"), "own")
+        return written(self.known.join(F.broadcast(nodes) if few else nodes, "node", "left_semi"), "own")
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         """Those of some written pairs that link."""
@@ -445,7 +503,7 @@ class _Join:
         tested = None
         part = self._sent(components(links))
         # Hubs have been compared with all others of their signatures.
-        alive = self.shared.filter("one <> hub").join(self.classes.select("one", "node"), "one").select("sig", "node")
+        alive = self.shared.filter("one <> hub").join(self.known.select("one", "node"), "one").select("sig", "node")
         alive = written(dealt(alive.join(part, "node", "left").select(
             "sig", "node", F.coalesce("component", "node").alias("component")), BLOCK), "dealt")
         tries = TRIES

@@ -8,7 +8,7 @@ import re
 import public_tokenizers
 import pytest
 
-from fleetlens.llm import adaptive, alignment, collocations
+from fleetlens.llm import adaptive, alignment, collocations, hashed
 from fleetlens.llm.alignment import aligner
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -74,8 +74,9 @@ def test_collocations_equal_brute_force(spark, seed):
 
 def test_collocations_with_small_tasks_and_a_tight_filter(spark, monkeypatch):
     rows = _phrase_rows(3) + [(500 + i, "hot spot " * 50, "en", "x") for i in range(100)]
-    for name, value in (("PIECE", 500), ("HELD", 40), ("FILTER_BYTES", 64), ("RANGE_BYTES", 2_000)):
-        monkeypatch.setattr(collocations, name, value)
+    for module, name, value in ((collocations, "PIECE", 500), (collocations, "HELD", 40), (hashed, "FILTER_BYTES", 64),
+                                (hashed, "RANGE_BYTES", 2_000)):
+        monkeypatch.setattr(module, name, value)
     assert _mined(spark, rows, first=7) == _collocations(rows, first=7)
 
 
