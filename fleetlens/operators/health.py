@@ -13,7 +13,9 @@ col = F.col
 
 
 def vm_list(metrics: DataFrame) -> DataFrame:
-    """Distinct (vm_id, app) with their sample count."""
+    """Distinct (vm_id, app) with their sample count; stored partials are such a list already."""
+    if "n_samples" in metrics.columns:
+        return metrics.select("vm_id", "app", "n_samples")
     return metrics.groupBy("vm_id", "app").agg(F.count("*").alias("n_samples"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetlens.functions.ranking import position_by_slice, position_by_sort
 from fleetlens.functions.sizing import small_side
+from fleetlens.operators.intervals import interval_join
 from fleetlens.schema import METRICS
 
 col = F.col
@@ -70,13 +71,12 @@ def label_incidents(metrics: DataFrame, incidents: DataFrame, unit_s: float = 60
     """Samples inside an incident of their VM: [start_ts, end_ts), with the rule
     minutes elapsed since its start.
 
-    ``incidents``: incident, vm_id, start_ts, end_ts. An equi-join on the VM with
-    a range condition; a VM with very many samples is split by the adaptive skew
-    join when the incidents are too many to broadcast.
+    ``incidents``: incident, vm_id, start_ts, end_ts. Joined by time bins, so a VM with many
+    samples and many incidents is no product of the two.
     """
-    joined = metrics.join(small_side(incidents), "vm_id").filter(
-        (col("ts") >= col("start_ts")) & (col("ts") < col("end_ts")))
-    elapsed = (F.unix_micros("ts") - F.unix_micros("start_ts")) / F.lit(unit_s * 1e6)
+    at, start = F.unix_micros("ts"), F.unix_micros("start_ts")
+    joined = interval_join(metrics, incidents, ["vm_id"], at, start, F.unix_micros("end_ts"))
+    elapsed = (at - start) / F.lit(unit_s * 1e6)
     return joined.select(*metrics.columns, "incident", elapsed.alias("elapsed_min"))
 
 

@@ -537,3 +537,19 @@ ORACLES["live_latency_alerts"] = f"WITH {LIVE_P} " + _live("apm_latency")
 ORACLES["sweep_alerts"] = "WITH " + A.replace(
     "(VALUES (0), (15), (30), (45)) AS x(ao)", "(SELECT unnest(range(0, 440))::DOUBLE / 4 AS ao) AS x") + """
 SELECT "asof", e::BIGINT AS ts_us, severity, rule, vm_id, app FROM a"""
+
+# --- partials, sketches, intervals --------------------------------------------
+
+ORACLES["lake_kpis"] = ORACLES["fleet_kpis"]
+ORACLES["lake_grid"] = ORACLES["fleet_grid"]
+ORACLES["lake_heap_series"] = ORACLES["vm_heap_series"]
+ORACLES["vm_history"] = f"""
+WITH {W}, c AS (SELECT min(us) AS lo, max(us) AS hi FROM m)
+SELECT vm_id, app, count(*) AS n_samples, min(us) AS first_ts_us, max(us) AS last_ts_us,
+  nullif(count(*) FILTER (WHERE us <= (lo + hi) // 2), 0) AS n_then FROM m, c GROUP BY vm_id, app"""
+ORACLES["sketched_latency"] = f"""
+WITH {M} SELECT app, count(*) AS n, TRUE AS rank_in_bound, TRUE AS vms_in_bound FROM m GROUP BY app"""
+ORACLES["dense_incident_labels"] = f"""
+WITH {M}, i AS (SELECT vm_id, us AS s, us + (1 + floor(v)::BIGINT % 7) * {UNIT // 2} AS t FROM m WHERE v > 60)
+SELECT m.vm_id, count(*) AS n, round(max((us - s) / {UNIT}.0), 6) AS longest, sum(floor((us - s) / {UNIT}.0)) AS total
+FROM m JOIN i ON m.vm_id = i.vm_id AND us >= s AND us < t GROUP BY m.vm_id"""

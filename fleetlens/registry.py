@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetlens import driver_tables as dt, schema
-from fleetlens.operators import graph, health, history, quality, questions, rca, rules, windows
+from fleetlens.operators import graph, health, history, quality, questions, rca, rules, sketches, windows
 from fleetlens.operators.features import app_latency, frames, vm_features
 from fleetlens.plans import answers, detect, sqlguard
 from fleetlens.session import checkpoint, prepare, scratch_dir
@@ -468,6 +468,17 @@ def incident_labels(spark, sf):
     return r6(labelled.select(us("ts"), "vm_id", "incident", "elapsed_min"))
 
 
+@query
+def dense_incident_labels(spark, sf):
+    """Every sample above a level opens an incident of its VM, long or short; samples in each, per VM."""
+    m = dt.vm_metrics(spark, sf)
+    opened = m.filter("heap_mb > 60").select(
+        F.lit("above").alias("incident"), "vm_id", col("ts").alias("start_ts"),
+        F.timestamp_micros(F.unix_micros("ts") + (1 + F.pmod(col("heap_mb").cast("long"), F.lit(7))) * (CFG.unit_us // 2)).alias("end_ts"))
+    return r6(quality.label_incidents(m, opened, CFG.unit_s).groupBy("vm_id").agg(
+        F.count("*").alias("n"), F.max("elapsed_min").alias("longest"), F.sum(F.floor("elapsed_min")).alias("total")))
+
+
 @query
 def first_cap_crossings(spark, sf):
     """R4"""
@@ -629,6 +640,51 @@ def lake_as_of_batch(spark, sf):
     return now.join(then, "app", "left")
 
 
+@query
+def lake_kpis(spark, sf):
+    """Q10, A10: the KPI row of a lake, from what each batch added; the fact is read for the alerts only."""
+    lake = _two_batches(spark, sf)
+    bounds = history.time_bounds(ingest.read_ledger(spark, lake))
+    alerts = detect.detect(tables.read_lake(spark, f"{lake}/vm_metrics", "vm_metrics"), CFG, bounds=bounds, ordered=False)
+    return health.kpis(ingest.read_partials(spark, lake), alerts)
+
+
+@query
+def lake_grid(spark, sf):
+    """Q11, K3: the status grid of a lake's VMs, from what each batch added."""
+    lake = _two_batches(spark, sf)
+    return r6(health.grid(ingest.read_partials(spark, lake), _alerts(dt.vm_metrics(spark, sf))))
+
+
+@query
+def vm_history(spark, sf):
+    """The samples and time span of each VM after the first batch, and now."""
+    lake = _two_batches(spark, sf)
+    then = ingest.read_partials(spark, lake, as_of_batch=0).select("vm_id", "app", col("n_samples").alias("n_then"))
+    return (ingest.read_partials(spark, lake).join(then, ["vm_id", "app"], "left")
+            .select("vm_id", "app", "n_samples", us("first_ts"), us("last_ts"), "n_then"))
+
+
+@query
+def lake_heap_series(spark, sf):
+    """One VM's heap from a lake whose files are laid out by VM."""
+    lake = _two_batches(spark, sf)
+    found = health.heap_series(tables.read_lake(spark, f"{lake}/vm_metrics", "vm_metrics"), CFG, "vm-00003", 45.0)
+    return r6(found.select(us("ts"), "heap_mb", "phase", "heap_cap_mb"))
+
+
+@query
+def sketched_latency(spark, sf):
+    """Percentiles and distinct VMs from daily sketches, and whether they keep their error bounds."""
+    m = dt.vm_metrics(spark, sf)
+    path = scratch_dir(spark, "sketches")
+    sketches.daily(m).write.partitionBy("day").parquet(path)
+    found = checkpoint(sketches.answers(spark.read.parquet(path)))
+    errors = sketches.rank_errors(m, found)
+    return found.join(F.broadcast(errors), "app").select(  # a row for each app
+        "app", "n", (col("rank_error") <= 0.02).alias("rank_in_bound"), (col("vm_error") <= 0.04).alias("vms_in_bound"))
+
+
 @query
 def lake_detect(spark, sf):
     """Detection over the ingested lake, bounds taken from the ledger."""

@@ -35,6 +35,9 @@ LEDGER = T.StructType([
     T.StructField("table", T.StringType()), T.StructField("batch_id", T.LongType())])
 BY_HAND = "files"          # stream name of batches loaded without a stream, before a digest of their files
 MAX_FILES = 1000
+# How landed files are laid out for reads of single VMs.
+SKIPPING = {"parquet.block.size": str(16 << 20), "parquet.bloom.filter.enabled#vm_id": "true",
+            "parquet.bloom.filter.expected.ndv#vm_id": "10000"}
 
 
 def table_path(lake: str, table: str) -> str:
@@ -47,11 +50,36 @@ def read_ledger(spark: SparkSession, lake: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(ledger_path(lake))
 
 
-def _replace(rows: DataFrame, path: str, *partitions: str) -> None:
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+def _replace(rows: DataFrame, path: str, *partitions: str, **options: str) -> None:
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**options)
      .partitionBy(*partitions).parquet(path))
 
 
+def partials_path(lake: str) -> str:
+    return f"{lake.rstrip('/')}/_ingest/partials"
+
+
+def vm_partials(counted: DataFrame) -> DataFrame:
+    """(vm_id, app, n_samples, first_ts, last_ts) of a batch, or of several put together."""
+    n = "rows" if "rows" in counted.columns else "n_samples"
+    return counted.groupBy("vm_id", "app").agg(F.sum(n).alias("n_samples"), F.min("first_ts").alias("first_ts"),
+                                               F.max("last_ts").alias("last_ts"))
+
+
+def read_partials(spark: SparkSession, lake: str, table: str = "vm_metrics", as_of_batch: int | None = None) -> DataFrame:
+    """VMs and apps of a lake table with their sample counts, from what each committed batch added; the table is not read."""
+    known = "vm_id string, app string, n_samples long, first_ts timestamp, last_ts timestamp, table string, batch_id long"
+    if not names(spark, partials_path(lake)):
+        return vm_partials(spark.createDataFrame([], known))
+    rows = spark.read.schema(known).parquet(partials_path(lake)).filter(F.col("table") == table)
+    unfinished = sorted(uncommitted(spark, lake, table))
+    if unfinished:
+        rows = rows.filter(~F.col("batch_id").isin(unfinished))
+    if as_of_batch is not None:
+        rows = rows.filter(F.col("batch_id") <= as_of_batch)
+    return vm_partials(rows)
+
+
 def claim(spark: SparkSession, lake: str, table: str, stream: str, stream_batch: int) -> int:
     """The lake batch id of a stream's batch: the one it has, or the next free one."""
     owner = f"{stream} {stream_batch}"
@@ -94,9 +122,15 @@ def commit(spark: SparkSession, lake: str, table: str, rows: DataFrame, stream:
     batch_id = claim(spark, lake, table, stream, stream_batch)
     landed = schema.conform(rows, schema.TABLES[table], keep=["_source_file"]).withColumns({
         "ts_day": F.to_date("ts"), "_batch_id": F.lit(batch_id).cast("long")})
-    _replace(landed, table_path(lake, table), "ts_day", "_batch_id")
-    written = (_landed(spark, lake, table, batch_id).groupBy(F.col("_source_file").alias("file_path"))
-               .agg(F.count("*").alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
+    # By VM inside a day: row groups, pages and bloom filters then tell which of them a VM is in.
+    _replace(landed.sortWithinPartitions("ts_day", "_batch_id", "vm_id", "ts"), table_path(lake, table), "ts_day", "_batch_id",
+             **SKIPPING)
+    counted = checkpoint_rows(_landed(spark, lake, table, batch_id).groupBy(F.col("_source_file").alias("file_path"), "vm_id", "app")
+                              .agg(F.count("*").alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
+    _replace(vm_partials(counted).withColumns({"table": F.lit(table), "batch_id": F.lit(batch_id).cast("long")}),
+             partials_path(lake), "table", "batch_id")
+    written = counted.groupBy("file_path").agg(F.sum("rows").alias("rows"), F.min("first_ts").alias("first_ts"),
+                                               F.max("last_ts").alias("last_ts"))
     if read_files is not None:
         written = read_files.select("file_path").join(written, "file_path", "left")
     _replace(written.select(
