@@ -4,10 +4,14 @@ A byte goes if a LENGTH-byte string that covers it also starts in a document wit
 smaller id. Strings are judged on the input; those of one document never count against
 it, and none crosses documents.
 
+Of documents with equal texts only those of the smallest id are looked at: the others lose every
+byte, if they have LENGTH of them, and can make no one else lose any.
+
 Every window (LENGTH bytes) is sent to the shard of its anchor: the smallest hash among
 the GRAM-byte strings inside it, so equal windows meet. Neighbouring windows with the
 same anchor travel as one stretch of text. Before that, a map task keeps one of equal
-stretches: those of documents with a larger id are repeats already. Windows of anchors
+stretches: those of documents with a larger id are repeats already, and go on as maximal runs of
+their document, to the shard of its id. Windows of anchors
 that a sample shows in many documents (HOT of them) are sent one by one, by their own
 hash, so that no shard grows with one passage.
 
@@ -38,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import SpanHash, gathered, map_pieces, mixed, pieces, text_bytes, written
+from fleetlens.llm.common import FEW_IDS, SpanHash, gathered, map_pieces, mixed, pieces, text_bytes, written
 
 LENGTH, GRAM = 50, 20
 #: Text that a map task and a suffix array take at a time; stretches that a shard is meant to hold.
@@ -98,6 +102,18 @@ def stretches(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray) -> tupl
             _HASH.spans(prefix, place, place + GRAM))
 
 
+def _runs_by_document(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, begin, end) of the maximal runs that ranges cover; positions are of the piece, so documents keep apart."""
+    if not len(doc):
+        return doc, begin, end
+    order = np.argsort(begin, kind="stable")
+    doc, begin, end = doc[order], begin[order], np.maximum.accumulate(end[order])
+    new = np.ones(len(doc), bool)
+    new[1:] = (begin[1:] > end[:-1]) | (doc[1:] != doc[:-1])
+    heads = np.flatnonzero(new)
+    return doc[heads], begin[heads], end[np.append(heads[1:], len(doc)) - 1]
+
+
 def _shipped(sent, shards: int):
     """Rows (shard, blob): the stretches of each piece, by the shard of their anchor."""
 
@@ -132,18 +148,24 @@ def _shipped(sent, shards: int):
                 least = ids[doc[order]][np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
                 again = np.zeros(len(order), bool)
                 again[order] = ids[doc[order]] > least
-                shard = (key >> np.uint64(20)) % np.uint64(shards)
-                order = np.lexsort((start, shard))
-                cuts = np.flatnonzero(np.append(True, shard[order][1:] != shard[order][:-1]))
+                shard = ((key >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+                kept = np.flatnonzero(~again)
+                kept = kept[np.lexsort((start[kept], shard[kept]))]
+                run_doc, run_begin, run_end = _runs_by_document(doc[again], start[again], end[again])
+                run_shard = (mixed(ids[run_doc].view(np.uint64)) % np.uint64(shards)).astype(np.int64)
                 out_shard, out_blob = [], []
-                for rows in np.split(order, cuts[1:]):
-                    kept, gone = rows[~again[rows]], rows[again[rows]]
-                    parts = [np.array([len(kept), len(gone)], "<i8")]
-                    for some in (kept, gone):
-                        parts += [ids[doc[some]].astype("<i8"), variants[doc[some]].astype("<i4"),
-                                  (start[some] - offsets[doc[some]]).astype("<i8"), count[some].astype(np.uint8)]
-                    parts += [anchor[kept].astype(np.uint8), gathered(data, start[kept], end[kept] - start[kept])]
-                    out_shard.append(int(shard[rows[0]]))
+                for number in np.union1d(shard[kept], run_shard).tolist():
+                    rows = kept[slice(*np.searchsorted(shard[kept], [number, number + 1]))]
+                    gone = np.flatnonzero(run_shard == number)
+                    parts = [np.array([len(rows), len(gone)], "<i8")]
+                    of = doc[rows]
+                    parts += [ids[of].astype("<i8"), variants[of].astype("<i4"), (start[rows] - offsets[of]).astype("<i8"),
+                              count[rows].astype(np.uint8)]
+                    of = run_doc[gone]
+                    parts += [ids[of].astype("<i8"), variants[of].astype("<i4"), (run_begin[gone] - offsets[of]).astype("<i8"),
+                              (run_end[gone] - offsets[of]).astype("<i8")]
+                    parts += [anchor[rows].astype(np.uint8), gathered(data, start[rows], end[rows] - start[rows])]
+                    out_shard.append(number)
                     out_blob.append(pack.compress(b"".join(p.tobytes() for p in parts)))
                 yield pa.RecordBatch.from_pydict({"shard": pa.array(out_shard, pa.int64()),
                                                   "blob": pa.array(out_blob, pa.binary())})
@@ -260,7 +282,7 @@ def _merged(runs_: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _read(blobs: list[bytes], sample: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """(kept stretches, repeats) of a shard: ids, variants, starts, counts; and anchors and text of the kept."""
+    """(kept stretches, repeated runs) of a shard: ids, variants, starts, counts or ends; and anchors and text of the kept."""
     unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(sample))
     kept, gone = ([[] for _ in range(6)] for _ in range(2))
     for blob in blobs:
@@ -268,7 +290,7 @@ def _read(blobs: list[bytes], sample: bytes) -> tuple[list[np.ndarray], list[np.
         sizes = np.frombuffer(raw, "<i8", 2).tolist()
         at = 16
         for n, into in zip(sizes, (kept, gone), strict=True):
-            for j, kind in enumerate(("<i8", "<i4", "<i8", np.uint8)):
+            for j, kind in enumerate(("<i8", "<i4", "<i8", np.uint8 if into is kept else "<i8")):
                 into[j].append(np.frombuffer(raw, kind, n, at))
                 at += into[j][-1].nbytes
         kept[4].append(np.frombuffer(raw, np.uint8, sizes[0], at))
@@ -285,7 +307,7 @@ def _shard(table: pa.Table, sample: bytes) -> pa.Table:
     count = count.astype(np.int64)
     size = count + LENGTH - 1
     at = np.cumsum(size) - size
-    found = [[gone[0]], [gone[1]], [gone[2]], [gone[2] + gone[3].astype(np.int64) + LENGTH - 1]]
+    found = [[gone[0]], [gone[1]], [gone[2]], [gone[3]]]
     if len(ids):
         # An anchor in one document only: nothing to find. (By hash: others may only be looked at in vain.)
         whole = anchor == _WHOLE
@@ -368,6 +390,18 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .select("id", F.coalesce(F.col("number"), F.lit(0)).cast("int").alias("variant"), "text", "doc_id"))
 
 
+def _copies_marked(rows: DataFrame) -> DataFrame:
+    """The rows with `copy`: whether a document with a smaller id has the same text."""
+    tag = F.sha2(F.col("text"), 256)
+    # Texts of several ids; of other texts nothing is joined.
+    twice = (rows.filter("text <> ''").groupBy(tag.alias("tag")).agg(F.min("id").alias("first"), F.max("id").alias("last"))
+             .filter("first < last").select("tag", "first"))
+    twice = written(twice, "copies")
+    few = twice.count() <= FEW_IDS
+    return (rows.withColumn("tag", tag).join(F.broadcast(twice) if few else twice, "tag", "left")
+            .select("id", "variant", "text", "doc_id", F.coalesce(F.col("id") > F.col("first"), F.lit(False)).alias("copy")))
+
+
 def _hot(rows: DataFrame, count: int) -> list[int]:
     """Anchors in at least a share HOT of the sampled documents; the sample only decides how work is dealt."""
     share = min(1.0, HOT_SAMPLE / max(count, 1))
@@ -390,7 +424,8 @@ def _hot(rows: DataFrame, count: int) -> list[int]:
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per document: bytes, removed bytes, removed runs, digest of what stays; with the kept text if asked."""
     spark = docs.sparkSession
-    rows = _numbered(docs, id_col, text_col)
+    all_rows = _copies_marked(_numbered(docs, id_col, text_col))
+    rows = all_rows.filter("NOT copy").select("id", "variant", "text", "doc_id")
     total, count = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     shards = max(1, -(-int((total or 0) * SPREAD) // SHARD_BYTES))
     excerpts = rows.filter("text <> ''").select(F.substring("text", 1, 600).alias("text"), F.xxhash64("id").alias("at"))
@@ -401,7 +436,10 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     ranges = written(found.groupBy("id", "variant").agg(F.collect_list("begin").alias("begin"), F.collect_list("end").alias("end"))
                      .mapInArrow(_ranges, "id long, variant int, ranges array<long>"), "ranges")
     room = ranges.agg(F.sum(F.size("ranges") * 8 + 24)).first()[0] or 0
-    joined = rows.join(F.broadcast(ranges) if room <= SENT_BYTES else ranges, ["id", "variant"], "left")
+    size = F.octet_length("text").cast("long")
+    whole = F.when(F.col("copy") & (size >= LENGTH), F.array(F.lit(0).cast("long"), size))
+    joined = (all_rows.join(F.broadcast(ranges) if room <= SENT_BYTES else ranges, ["id", "variant"], "left")
+              .select("doc_id", "text", F.coalesce(whole, "ranges").alias("ranges")))
     key = rows.schema["doc_id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> dict:
