@@ -21,7 +21,7 @@ signatures of a class once. The members of a signature are first compared with i
 smallest class (the hub). What that leaves open - signatures whose members are still in
 different components - is settled in rounds. A large signature is dealt into blocks; two
 blocks meet in a task, except that the blocks of its largest component need not meet each other.
-The task looks at the parity sketches of a meeting's members and emits pairs that join
+A pair belongs to the smallest signature that both have, so it is tried in one meeting only. The task looks at the parity sketches of a meeting's members and emits pairs that join
 components, a few for each edge of a spanning forest, MORE times as many in each further round,
 the most alike ones of those that may link and have not been tried there. They are
 compared exactly and components are renewed; a meeting stays open as long as it emits pairs.
@@ -66,6 +66,8 @@ SLAB = 256
 TRIES, MORE = 32, 8
 #: Signatures that a task counts at a time.
 HELD = 1 << 20
+#: Signatures that are compared at a time when it is looked up whether two members share one.
+CODES = 4096
 #: Meetings up to this size need no arrays.
 FEW = 24
 #: Sides of a meeting's rows: a pair that it has tried; a member that meets all others; members of two blocks.
@@ -265,19 +267,21 @@ def _joining(table: pa.Table, percent: int, tries: int):
     meet, side = table.column("meet").to_numpy(), table.column("side").to_numpy()
     cuts = np.flatnonzero(np.diff(meet)) + 1
     node, part = table.column("node").to_numpy(), table.column("component").to_numpy()
-    n, sketches = table.column("n").to_numpy(), table.column("sketch")
+    n, sketches, earlier = table.column("n").to_numpy(), table.column("sketch"), table.column("before")
     few: list[tuple[int, int, int]] = []
     for a, b in itertools.pairwise([0, *cuts.tolist(), len(meet)]):
         member, pair = a + np.flatnonzero(side[a:b] >= 0), a + np.flatnonzero(side[a:b] < 0)
         if len(member) < 2:
             continue
         sketch = sketches.take(pa.array(member)).to_pylist()
+        before = earlier.take(pa.array(member)).to_pylist()
         row = node[member], part[member], side[member], n[member], sketch
         if len(member) <= FEW:
             tested = set(zip(node[pair].tolist(), part[pair].tolist(), strict=True))
-            few += [(int(meet[a]), x, y) for x, y in _spanning_few(*(r.tolist() for r in row[:4]), sketch, tested, percent, tries)]
+            few += [(int(meet[a]), x, y) for x, y in _spanning_few(
+                *(r.tolist() for r in row[:4]), sketch, before, tested, percent, tries)]
             continue
-        for ones, twos in _spanning(*row, node[pair], part[pair], percent, tries):
+        for ones, twos in _spanning(*row, before, node[pair], part[pair], percent, tries):
             yield pa.RecordBatch.from_pydict({"meet": pa.array(np.full(len(ones), meet[a])), "a": pa.array(ones),
                                               "b": pa.array(twos)})
     if few:
@@ -285,10 +289,27 @@ def _joining(table: pa.Table, percent: int, tries: int):
         yield pa.RecordBatch.from_pydict({"meet": pa.array(meets), "a": pa.array(ones), "b": pa.array(twos)})
 
 
-def _spanning(node, part, side, n, sketches, tested_a, tested_b, percent: int, tries: int):
-    """Pairs, a < b, that may link and make one component of as many members as they can."""
+def _shared_earlier(before: list[list[int]], rows: slice) -> np.ndarray:
+    """Whether two members, one of `rows`, have an earlier signature in common: that one settles their pair."""
+    names, code = np.unique(np.array(list(itertools.chain.from_iterable(before)), np.int64), return_inverse=True)
+    owner = np.repeat(np.arange(len(before)), [len(x) for x in before])
+    twice = np.bincount(code, minlength=len(names)) > 1  # others are nobody's in common
+    owner, code = owner[twice[code]], (np.cumsum(twice) - 1)[code[twice[code]]]
+    number = len(range(*rows.indices(len(before))))
+    out = np.zeros((number, len(before)), bool)
+    for first in range(0, int(twice.sum()), CODES):
+        grid = np.zeros((len(before), CODES), np.float32)
+        here = (code >= first) & (code < first + CODES)
+        grid[owner[here], code[here] - first] = 1
+        out |= grid[rows] @ grid.T > 0
+    return out
+
+
+def _spanning(node, part, side, n, sketches, before, tested_a, tested_b, percent: int, tries: int):
+    """Pairs, a < b, that may link, are settled here, and make one component of as many members as they can."""
     order = np.argsort(node)
     node, part, side, n = node[order], part[order], side[order], n[order]
+    before = [before[i] for i in order.tolist()]
     sketch = _folded([sketches[i] for i in order.tolist()])
     label = np.unique(part, return_inverse=True)[1]
     names, named = np.unique(node, return_inverse=True)  # a repeated id is several rows
@@ -300,6 +321,8 @@ def _spanning(node, part, side, n, sketches, tested_a, tested_b, percent: int, t
             bits += np.bitwise_count(sketch[rows, word][:, None] ^ sketch[None, :, word])
         may = _may_link(bits, n[rows][:, None], n[None, :], percent) & (label[rows][:, None] != label[None, :])
         may &= (side[None, :] == WITHIN) | (side[rows][:, None] != side[None, :])
+        if may.any():
+            may &= ~_shared_earlier(before, rows)
         first, last = named[rows][0], named[rows][-1]
         here = (at_a >= first) & (at_a <= last)
         tried = np.zeros((last - first + 1, len(names)), bool)
@@ -321,7 +344,7 @@ def _spanning(node, part, side, n, sketches, tested_a, tested_b, percent: int, t
             yield np.concatenate(ones), np.concatenate(twos)
 
 
-def _spanning_few(node, part, side, n, sketches, tested, percent: int, tries: int) -> list[tuple[int, int]]:
+def _spanning_few(node, part, side, n, sketches, before, tested, percent: int, tries: int) -> list[tuple[int, int]]:
     """The same for a small meeting, without arrays."""
     order = sorted(range(len(node)), key=node.__getitem__)
     least = min(map(len, sketches))
@@ -332,7 +355,7 @@ def _spanning_few(node, part, side, n, sketches, tested, percent: int, tries: in
             size //= 2
             raw = raw >> size ^ raw & (1 << size) - 1
         bits.append(raw)
-    label = [part[i] for i in order]
+    label, earlier = [part[i] for i in order], [set(before[i]) for i in order]
     pairs = []
     for x, i in enumerate(order):
         for y in range(x + 1, len(order)):
@@ -340,7 +363,8 @@ def _spanning_few(node, part, side, n, sketches, tested, percent: int, tries: in
             differ = (bits[x] ^ bits[y]).bit_count()
             if (label[x] != label[y] and 100 * min(n[i], n[j]) >= percent * max(n[i], n[j])
                     and (side[i] == WITHIN or side[i] != side[j])
-                    and differ * (100 + percent) <= (n[i] + n[j]) * (100 - percent) and (node[i], node[j]) not in tested):
+                    and differ * (100 + percent) <= (n[i] + n[j]) * (100 - percent) and (node[i], node[j]) not in tested
+                    and earlier[x].isdisjoint(earlier[y])):
                 pairs.append((differ, x, y))
     pairs.sort()
     out = []
@@ -369,7 +393,7 @@ def _linked(percent: int):
 
 
 def dealt(members: DataFrame, block: int) -> DataFrame:
-    """(meet, node, side): the members (sig, node, component) of each signature that has several components, dealt into
+    """(meet, sig, node, side): the members (sig, node, component) of each signature that has several components, dealt into
     meetings of one or two blocks. Any two members of different components have one meeting, in which
     both are WITHIN or one is ONE and the other TWO.
 
@@ -393,7 +417,7 @@ def dealt(members: DataFrame, block: int) -> DataFrame:
         F.sequence(F.lit(0), F.col("rest") + F.col("blocks") - 1))
     rows = rows.select("sig", "node", "block", F.explode(others).alias("other"))
     return rows.select(
-        F.xxhash64("sig", F.least("block", "other"), F.greatest("block", "other")).alias("meet"), "node",
+        F.xxhash64("sig", F.least("block", "other"), F.greatest("block", "other")).alias("meet"), "sig", "node",
         F.when(F.col("block") == F.col("other"), WITHIN).when(F.col("block") < F.col("other"), ONE).otherwise(TWO).alias("side"))
 
 
@@ -506,29 +530,33 @@ class _Join:
         alive = self.shared.filter("one <> hub").join(self.known.select("one", "node"), "one").select("sig", "node")
         alive = written(dealt(alive.join(part, "node", "left").select(
             "sig", "node", F.coalesce("component", "node").alias("component")), BLOCK), "dealt")
+        # Which signature settles a pair: the smallest that both have. So each pair is tried once. (Not those of an id
+        # with several texts, which do not have the same signatures.)
+        single = self.known.groupBy("node").count().filter("count = 1").select("node")
+        lists = written(alive.select("sig", "node").distinct().groupBy("node").agg(F.collect_list("sig").alias("sigs"))
+                        .join(single, "node"), "lists")
         tries = TRIES
         while True:
-            placed = alive.join(part, "node", "left").select("meet", "node", "side", F.coalesce("component", "node").alias("component"))
+            placed = alive.join(part, "node", "left").select("meet", "sig", "node", "side", F.coalesce("component", "node").alias("component"))
             spread = placed.groupBy("meet").agg(F.min("component").alias("low"), F.max("component").alias("high"))
             still = written(placed.join(spread.filter("low <> high").select("meet"), "meet"), "still")
-            rows = (still.join(self._of(still).select("node", "n", "sketch"), "node")
-                    .select("meet", "node", "component", "side", "n", "sketch"))
+            before = F.filter(F.coalesce("sigs", F.array().cast("array<long>")), lambda x: x < F.col("sig")).alias("before")
+            rows = (still.join(self._of(still).select("node", "n", "sketch"), "node").join(lists, "node", "left")
+                    .select("meet", "node", "component", "side", "n", "sketch", before))
             if tested is not None:
                 rows = rows.unionAll(tested.select("meet", F.col("a").alias("node"), F.col("b").alias("component"), F.lit(TRIED),
-                                                   F.lit(0).cast("long"), F.lit(None).cast("binary")))
+                                                   F.lit(0).cast("long"), F.lit(None).cast("binary"),
+                                                   F.lit(None).cast("array<long>")))
             found = written(rows.repartition("meet").sortWithinPartitions("meet")
                             .mapInArrow(_forest(self.percent, tries), "meet long, a long, b long"), "forest")
             if found.isEmpty():
                 return part
-            tried = found.select("a", "b").distinct()
-            if tested is not None:  # by another meeting
-                tried = tried.join(tested.select("a", "b").distinct(), ["a", "b"], "left_anti")
-            links = written(links.unionAll(self.compared(written(tried, "tried"))), "links")
+            links = written(links.unionAll(self.compared(written(found.select("a", "b").distinct(), "tried"))), "links")
             tested = found if tested is None else tested.unionAll(found)
             tested = written(tested.join(found.select("meet").distinct(), "meet", "left_semi"), "tested")
             tries *= MORE
             part = self._sent(components(links))
-            alive = written(still.select("meet", "node", "side").join(found.select("meet").distinct(), "meet", "left_semi"), "alive")
+            alive = written(still.select("meet", "sig", "node", "side").join(found.select("meet").distinct(), "meet", "left_semi"), "alive")
 
     @staticmethod
     def _sent(part: DataFrame) -> DataFrame:
