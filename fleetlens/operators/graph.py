@@ -89,6 +89,74 @@ def reach(edge_set: DataFrame, roots: DataFrame, direction: str = DOWNSTREAM,
     return _explore(edge_set, _start(roots, direction), [direction], max_depth).select("root", "app", "depth")
 
 
+def all_pairs(edge_set: DataFrame) -> DataFrame:
+    """(src, dst, depth): every app that a failing one reaches, at its least depth, in a round for each doubling of the depth.
+
+    The shortest path of a length in (h, 2h] starts with one of length h and goes on with one of at most h, so a round
+    joins the pairs at depth h with all known ones. A chain of a thousand apps takes eleven rounds, where a walk level by
+    level takes a thousand. There are up to V * V pairs: for few roots of a shallow graph ``reach`` does less.
+    Cycles need no care, as shortest paths visit no app twice; a pair of an app with itself is left out.
+    """
+    known = checkpoint(edge_set.filter("app <> depends_on_app")
+                       .select(F.col("depends_on_app").alias("src"), F.col("app").alias("dst"), F.lit(1).alias("depth")).distinct())
+    h = 1
+    while True:
+        head = known.filter(F.col("depth") == h).select("src", F.col("dst").alias("mid"))
+        tail = known.select(F.col("src").alias("mid"), "dst", "depth")
+        longer = (head.join(small_side(tail), "mid").filter("src <> dst").groupBy("src", "dst").agg((F.min("depth") + h).alias("depth")))
+        fresh, found = checkpoint_counted(longer.join(known, ["src", "dst"], "left_anti"))
+        if not found:
+            return known
+        known = checkpoint(known.unionByName(fresh))
+        h *= 2
+
+
+def reach_all(edge_set: DataFrame, *directions: str) -> DataFrame:
+    """(direction, root, app, depth) for every app as a root: one closure, read both ways."""
+    pairs = all_pairs(edge_set)
+    ways = []
+    for direction in directions:
+        root, app = ("src", "dst") if direction == DOWNSTREAM else ("dst", "src")
+        ways.append(F.struct(F.lit(direction).alias("direction"), F.col(root).alias("root"), F.col(app).alias("app"), F.col("depth")))
+    return pairs.select(F.explode(F.array(*ways)).alias("way")).select("way.*")
+
+
+def path_counts(edge_set: DataFrame, fault: str, symptom: str, max_hops: int = 40) -> DataFrame:
+    """(hops, n_paths): along how many dependency paths of each length a failing app reaches a symptom.
+
+    Nothing is listed: a level holds a number for each app, and levels from both ends meet in the middle. On graphs
+    with cycles walks are counted, which may come by an app again.
+    """
+    spark = edge_set.sparkSession
+    steps = small_side(checkpoint(_steps(edge_set, DOWNSTREAM).select("src", "dst")))
+    count = "decimal(38,0)"
+
+    def levels(start: str, here: str, there: str, number: int) -> list[DataFrame]:
+        out = [checkpoint(roots_of(spark, start).select(F.col("root").alias("app"), F.lit(1).cast(count).alias("n")))]
+        for _ in range(number):
+            grown = (out[-1].join(steps, F.col("app") == F.col(here)).groupBy(F.col(there).alias("app"))
+                     .agg(F.sum("n").cast(count).alias("n")))
+            level, found = checkpoint_counted(grown)
+            if not found:
+                break
+            out.append(level)
+        return out
+
+    ahead = levels(fault, "src", "dst", (max_hops + 1) // 2)
+    behind = levels(symptom, "dst", "src", max_hops - (max_hops + 1) // 2)
+    met = None
+    for length in range(1, max_hops + 1):
+        first = min(length, (max_hops + 1) // 2)
+        if first >= len(ahead) or length - first >= len(behind):
+            continue
+        pair = (ahead[first].join(behind[length - first].withColumnRenamed("n", "m"), "app")
+                .select(F.lit(length).alias("hops"), (F.col("n") * F.col("m")).cast(count).alias("n")))
+        met = pair if met is None else met.unionByName(pair)
+    if met is None:
+        return spark.createDataFrame([], "hops int, n_paths decimal(38,0)")
+    return met.groupBy("hops").agg(F.sum("n").cast(count).alias("n_paths"))
+
+
 def hops(edge_set: DataFrame, roots: DataFrame, direction: str = DOWNSTREAM,
          max_hops: int = 5) -> DataFrame:
     """(root, app, hops): distinct path lengths of 1..max_hops.
@@ -153,11 +221,14 @@ def alert_tags(alerts: DataFrame) -> DataFrame:
             .groupBy("app").agg(F.array_join(F.sort_array(F.collect_set("tag")), ", ").alias("tags")))
 
 
-def trace(topology: DataFrame, roots: DataFrame, alerts: DataFrame) -> DataFrame:
+def trace(topology: DataFrame, roots: DataFrame | None, alerts: DataFrame) -> DataFrame:
     """(root, direction, depth, app, tags): both directions of every root, each
-    app with its active alerts (empty when it has none)."""
+    app with its active alerts (empty when it has none). No roots means all apps."""
     both = [DOWNSTREAM, UPSTREAM]
-    reached = _explore(edges(topology), _start(roots, *both), both, None)
+    if roots is None:
+        reached = reach_all(edges(topology), *both)
+    else:
+        reached = _explore(edges(topology), _start(roots, *both), both, None)
     return (reached.join(alert_tags(alerts), "app", "left")
             .select("root", "direction", "depth", "app", F.coalesce("tags", F.lit("")).alias("tags")))
 

@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fleetlens.functions.sizing import small_side
+
 # The default app dictionary, in matching order.
 APPS = ["patient-onboarding", "ehr-api", "scheduler-svc", "billing-svc",
         "hl7-ingest", "postgres-db", "kafka", "generic-worker"]
@@ -48,3 +50,38 @@ def route(questions: DataFrame, default_app: str | None, apps: Sequence[str] = t
     return questions.withColumn("_text", F.lower("question")).withColumns({
         "app": F.coalesce(_first_named(text, apps), F.lit(default_app)),
         "intent": F.when(_hinted(text, hints), "blast").otherwise("rca")}).drop("_text")
+
+
+def dictionary_index(dictionary: DataFrame) -> tuple[DataFrame, int]:
+    """(gram, phrase, app, position) of every spelling of every app, by its first letters, and how many letters these are.
+
+    ``dictionary``: app and position, where the smallest position wins. Empty names are in every text and are left out.
+    """
+    spellings = F.array_distinct(F.array(F.lower("app"), F.lower(F.replace("app", F.lit("-"), F.lit(" ")))))
+    named = dictionary.filter("app <> ''").select("app", "position", F.explode(spellings).alias("phrase"))
+    letters = named.agg(F.min(F.char_length("phrase"))).first()[0] or 1
+    return named.select(F.substring("phrase", 1, letters).alias("gram"), "phrase", "app", "position"), letters
+
+
+def route_by_index(questions: DataFrame, dictionary: DataFrame, keys: Sequence[str], default_app: str | None = None,
+                   hints: Sequence[str] = tuple(BLAST_HINTS)) -> DataFrame:
+    """``route`` for large dictionaries: ``app`` and ``intent`` of every question.
+
+    An app can only be named where its first letters stand, so texts and names meet on these, and a text is searched for the
+    few names that it has the beginning of. The names are broadcast behind a count; then all but the choice of the
+    smallest position is done where the questions are read. ``keys`` tell questions apart.
+    """
+    index, letters = dictionary_index(dictionary)
+    text = questions.select(*keys, F.lower("question").alias("_text"))
+    # The letters are bound in a lambda, so that they are split once and not once for each place.
+    grams = F.transform(F.array(F.split("_text", "")), lambda chars: F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(chars) - (letters - 1), F.lit(1))),
+        lambda i: F.array_join(F.slice(chars, i, letters), ""))))[0]
+    probes = text.select(*keys, "_text", F.explode(grams).alias("gram"))
+    named = (probes.join(small_side(index), "gram").filter(F.contains("_text", "phrase"))
+             .groupBy(*keys).agg(F.min(F.struct("position", "app")).alias("_best")))
+    best = named.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_best")
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    return questions.join(best, reduce(lambda a, b: a & b, same), "left").select(
+        *questions.columns, F.coalesce(F.col("_best.app"), F.lit(default_app)).alias("app"),
+        F.when(_hinted(F.lower("question"), hints), "blast").otherwise("rca").alias("intent"))

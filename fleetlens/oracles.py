@@ -553,3 +553,44 @@ ORACLES["dense_incident_labels"] = f"""
 WITH {M}, i AS (SELECT vm_id, us AS s, us + (1 + floor(v)::BIGINT % 7) * {UNIT // 2} AS t FROM m WHERE v > 60)
 SELECT m.vm_id, count(*) AS n, round(max((us - s) / {UNIT}.0), 6) AS longest, sum(floor((us - s) / {UNIT}.0)) AS total
 FROM m JOIN i ON m.vm_id = i.vm_id AND us >= s AND us < t GROUP BY m.vm_id"""
+
+# --- closures, counts, versions, index ------------------------------------------
+
+ORACLES["all_pairs_reach"] = f"""
+WITH RECURSIVE {CYCLE}, {_walk(*DOWN, limit=30)} SELECT root AS src, app AS dst, min(depth) AS depth
+FROM walk WHERE app <> root GROUP BY root, app"""
+ORACLES["fault_to_symptom_counts"] = """
+WITH RECURSIVE c(k, hops, n) AS (
+  SELECT 0::BIGINT, 0::BIGINT, 1::BIGINT
+  UNION ALL
+  SELECT k, hops + 1, sum(n)::BIGINT FROM (SELECT c.k + s AS k, hops, n FROM c, (VALUES (1), (2), (3)) x(s) WHERE c.k + s <= 24)
+  GROUP BY k, hops)
+SELECT hops, n AS n_paths FROM c WHERE k = (SELECT max(n_nationkey) FROM nation)"""
+_KEY = "regexp_extract(app, '([0-9]+)$', 1)::INT"
+ORACLES["topology_changes"] = f"""
+WITH {T}, e AS (SELECT {_KEY} AS k FROM edges),
+l AS (SELECT k, TRUE AS a, k % 2 = 0 OR k < 10 AS b, k < 20 AS c FROM e)
+SELECT epoch_us(TIMESTAMP '2024-01-01') AS at_us, count(*) AS opened, 0::BIGINT AS closed FROM l
+UNION ALL SELECT epoch_us(TIMESTAMP '2024-01-05'), count(*) FILTER (b AND NOT a), count(*) FILTER (a AND NOT b) FROM l
+UNION ALL SELECT epoch_us(TIMESTAMP '2024-01-09'), count(*) FILTER (c AND NOT b), count(*) FILTER (b AND NOT c) FROM l"""
+_THEN = T.replace("edges AS (", "every AS (") + f", edges AS (SELECT * FROM every WHERE {_KEY} % 2 = 0 OR {_KEY} < 10)"
+ORACLES["trace_as_of_load"] = f"""
+WITH RECURSIVE {_THEN}, {_walk(*DOWN, "depends_on_app IN ('NATION_0', 'NATION_3')")}
+SELECT root, app, min(depth) AS depth FROM walk GROUP BY root, app"""
+ORACLES["question_index_routing"] = f"""
+WITH d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM conversations),
+n AS (SELECT conv_id, turn, min(w) AS app FROM conversations JOIN d ON length(w) >= 9 AND contains(lower(text), w) GROUP BY ALL)
+SELECT conv_id, turn, coalesce(n.app, 'none') AS app, {INTENT} AS intent FROM conversations LEFT JOIN n USING (conv_id, turn)"""
+
+ORACLES["watched_ingest"] = ORACLES["ingested_days"]
+ORACLES["lake_as_of_instant"] = ORACLES["lake_as_of_batch"]
+ORACLES["ordered_downstream"] = f"""
+WITH RECURSIVE {T}, {_walk(*DOWN, "depends_on_app IN ('NATION_0', 'NATION_3')")},
+d AS (SELECT root, app, min(depth) AS depth FROM walk GROUP BY root, app)
+SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, app) AS place FROM d"""
+ORACLES["alerts_without_ids"] = f"""
+WITH {W}, g AS (SELECT e, avg(retrans) AS retr FROM w JOIN m ON {REC} WHERE "asof" = 0 AND app = 'app-3' GROUP BY e)
+SELECT e AS ts_us, 'P2' AS severity, 'net_retrans' AS rule, '' AS vm_id, 'app-3' AS app,
+  'Network retransmits on : ' || printf('%.1f', retr) || '% (> 1%)' AS headline, '{ACTION['net_retrans']}' AS action
+FROM g WHERE retr > 1"""
+ORACLES["empty_tables_union"] = f"WITH {M} SELECT app, count(*) AS n, round(sum(v), 6) AS heap FROM m GROUP BY app"

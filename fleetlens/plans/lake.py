@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetlens.config import Thresholds
 from fleetlens.operators import graph
+from fleetlens.operators.history import time_bounds
 from fleetlens.operators.questions import APPS
+from fleetlens.operators.windows import Bounds
 from fleetlens.plans import answers, sqlguard
 from fleetlens.plans.detect import detect, select_alerts
 from fleetlens.sources.tables import open_tables, register
+from fleetlens.streaming.ingest import read_ledger
 
 
 @dataclass
@@ -21,15 +24,18 @@ class Lake:
     topology: DataFrame
     cfg: Thresholds = field(default_factory=Thresholds)
     apps: Sequence[str] = tuple(APPS)
+    #: Time bounds from the ingest ledger; without them they are read from the fact.
+    bounds: Bounds | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, root: str = "", cfg: Thresholds | None = None,
              namespace: str | None = None, ingested: bool = False) -> "Lake":
         frames = open_tables(spark, root, namespace, ingested)
-        return cls(frames["vm_metrics"], frames["topology"], cfg or Thresholds())
+        bounds = time_bounds(read_ledger(spark, root)) if ingested else None
+        return cls(frames["vm_metrics"], frames["topology"], cfg or Thresholds(), bounds=bounds)
 
     def alerts(self, asof: float = 0.0) -> DataFrame:
-        found = detect(self.metrics, self.cfg, asof)
+        found = detect(self.metrics, self.cfg, asof, bounds=self.bounds)
         register(alerts=found)
         return found
 

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from fleetlens import driver_tables as dt, schema
-from fleetlens.operators import graph, health, history, quality, questions, rca, rules, sketches, windows
+from fleetlens.operators import graph, health, history, quality, questions, rca, rules, sketches, versions, windows
 from fleetlens.operators.features import app_latency, frames, vm_features
 from fleetlens.plans import answers, detect, sqlguard
 from fleetlens.session import checkpoint, prepare, scratch_dir
@@ -30,6 +32,8 @@ HINTS = ["the ", "que"]
 CHUNK_MINUTES = 3 * 1440.0
 LIVE_SLIDE_S = 5 * 21_600
 LIVE_DELAY = "1 minute"
+# Instants of three topology loads.
+LOADED = [datetime(2024, 1, day, tzinfo=timezone.utc) for day in (1, 5, 9)]
 
 
 def query(run: Query) -> Query:
@@ -157,6 +161,23 @@ def detect_alerts(spark, sf):
         us("ts"), "severity", "rule", "vm_id", "app", "headline", "action")
 
 
+@query
+def alerts_without_ids(spark, sf):
+    """Samples of one app that have lost their VM id: alerts show an empty one."""
+    m = dt.vm_metrics(spark, sf)
+    lost = m.withColumn("vm_id", F.when(col("app") != "app-3", col("vm_id")))
+    return detect.detect(lost, replace(CFG, retrans_pct=1.0)).filter("rule = 'net_retrans' AND vm_id = ''").select(
+        us("ts"), "severity", "rule", "vm_id", "app", "headline", "action")
+
+
+@query
+def empty_tables_union(spark, sf):
+    """A typed empty table put beside the fact by name changes neither rows nor types."""
+    m = dt.vm_metrics(spark, sf).unionByName(schema.empty(spark, schema.VM_METRICS)).unionByName(
+        tables.read_chunks(spark, scratch_dir(spark, "nothing"), "vm_metrics"))
+    return r6(m.groupBy("app").agg(F.count("*").alias("n"), F.sum(col("heap_mb").cast("double")).alias("heap")))
+
+
 @query
 def alert_evidence(spark, sf):
     """The evidence JSON, read back key by key with its rounded values."""
@@ -221,6 +242,14 @@ def downstream_apps(spark, sf):
     return r6(graph.reach(e, graph.roots_of(spark, "NATION_0", "NATION_3"), graph.DOWNSTREAM))
 
 
+@query
+def ordered_downstream(spark, sf):
+    """K5: impacted apps in the order in which they are shown, by depth and name."""
+    e = _nation_edges(spark, sf)
+    found = graph.reach(e, graph.roots_of(spark, "NATION_0", "NATION_3"), graph.DOWNSTREAM)
+    return r6(found.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("depth", "app"))))
+
+
 def _cyclic_edges(spark, sf):
     """The nation tree, whose root depends on one of its leaves."""
     return _nation_edges(spark, sf).unionByName(
@@ -287,8 +316,47 @@ def dependency_trace(spark, sf):
     """Both directions of every app, with active alerts."""
     m = dt.vm_metrics(spark, sf)
     t = dt.app_topology(spark, sf)
-    roots = graph.all_roots(graph.edges(t))
-    return r6(graph.trace(t, roots, _alerts(m)))
+    return r6(graph.trace(t, None, _alerts(m)))
+
+
+@query
+def all_pairs_reach(spark, sf):
+    """Who is hit by whom, for all apps of a graph that goes round, in rounds of doubling."""
+    return r6(graph.all_pairs(_cyclic_edges(spark, sf)))
+
+
+@query
+def fault_to_symptom_counts(spark, sf):
+    """How many paths of each length lead from a fault to a symptom, through a ladder of nations; none is listed."""
+    n = dt.table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"))
+    step = n.select("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("by")).filter("k + by <= 24")
+    name = [F.concat(F.lit("N"), (col("k") + by).cast("string")) for by in (col("by"), F.lit(0))]
+    found = graph.path_counts(step.select(name[0].alias("app"), name[1].alias("depends_on_app")), "N0", "N24", 24)
+    return found.select(col("hops").cast("long").alias("hops"), col("n_paths").cast("long").alias("n_paths"))
+
+
+def _topology_loads(spark, sf):
+    """Three loads of the topology: all nations, those with an even key and the first ten, and all but the last five."""
+    key = F.regexp_extract("app", r"(\d+)$", 1).cast("int")
+    full = _nation_edges(spark, sf)
+    loads = [full, full.filter((key % 2 == 0) | (key < 10)), full.filter(key < 20)]
+    found = versions.first_versions(loads[0], LOADED[0])
+    for rows, at in zip(loads[1:], LOADED[1:], strict=True):
+        found = checkpoint(versions.merged(found, rows, at))
+    return found
+
+
+@query
+def topology_changes(spark, sf):
+    """What each load of the topology opened and closed."""
+    return versions.changes(_topology_loads(spark, sf)).select(us("at"), "opened", "closed")
+
+
+@query
+def trace_as_of_load(spark, sf):
+    """Who is hit, in the topology as it was at an earlier load."""
+    then = versions.as_of(_topology_loads(spark, sf), LOADED[1])
+    return r6(graph.reach(then, graph.roots_of(spark, "NATION_0", "NATION_3")))
 
 
 # --- root cause and questions -----------------------------------------------
@@ -357,6 +425,16 @@ def question_routing(spark, sf):
         "conv_id", "turn", "app", "intent")
 
 
+@query
+def question_index_routing(spark, sf):
+    """Q6, Q7: questions routed by a dictionary of all their longer words, the first in order winning."""
+    q = dt.questions(spark, sf)
+    words = q.select(F.explode(F.regexp_extract_all(F.lower("question"), F.lit("[a-z]+"), F.lit(0))).alias("app")).filter(
+        "length(app) >= 9").distinct()
+    return questions.route_by_index(q, words.withColumn("position", col("app")), ["conv_id", "turn"], "none", HINTS).select(
+        "conv_id", "turn", "app", "intent")
+
+
 @query
 def question_answers(spark, sf):
     """Q8: the number of answer lines of every question; one of the apps has no samples."""
@@ -550,6 +628,18 @@ def ingested_days(spark, sf):
         F.count("*").alias("n"), F.sum(col("heap_mb").cast("double")).alias("heap")))
 
 
+@query
+def watched_ingest(spark, sf):
+    """The streams in watch mode: they poll, take what has come, and are stopped."""
+    base = _chunked(spark, dt.vm_metrics(spark, sf), "watch")
+    query = ingest.ingest_stream(spark, f"{base}/raw", f"{base}/lake", "vm_metrics", watch_seconds=1)
+    query.processAllAvailable()
+    query.stop()
+    lake = tables.read_lake(spark, f"{base}/lake/vm_metrics", "vm_metrics")
+    return r6(lake.groupBy(col("ts_day").cast("string").alias("day")).agg(
+        F.count("*").alias("n"), F.sum(col("heap_mb").cast("double")).alias("heap")))
+
+
 @query
 def ingest_ledger(spark, sf):
     """Rows recorded per chunk folder by the listing-based load."""
@@ -640,6 +730,16 @@ def lake_as_of_batch(spark, sf):
     return now.join(then, "app", "left")
 
 
+@query
+def lake_as_of_instant(spark, sf):
+    """Rows per app as the lake was when its first batch had been committed, and now."""
+    lake = _two_batches(spark, sf)
+    first = ingest.read_ledger(spark, lake).filter("batch_id = 0").agg(F.max("ingested_at")).first()[0]
+    now = tables.read_lake(spark, f"{lake}/vm_metrics", "vm_metrics").groupBy("app").agg(F.count("*").alias("n_now"))
+    then = ingest.read_as_of(spark, lake, "vm_metrics", first).groupBy("app").agg(F.count("*").alias("n_then"))
+    return now.join(then, "app", "left")
+
+
 @query
 def lake_kpis(spark, sf):
     """Q10, A10: the KPI row of a lake, from what each batch added; the fact is read for the alerts only."""

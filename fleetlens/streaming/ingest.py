@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 from hashlib import md5
 
 from pyspark.errors import AnalysisException
@@ -25,7 +26,8 @@ from fleetlens import schema
 from fleetlens.functions.sizing import small_side
 from fleetlens.session import checkpoint as checkpoint_rows
 from fleetlens.sources.files import create, names, read
-from fleetlens.sources.tables import NO_FILES, claimed, claims_path, ledger_path, list_chunks, raw_schema, uncommitted
+from fleetlens.sources.tables import (NO_FILES, claimed, claims_path, ledger_path, list_chunks, raw_schema, read_lake,
+                                      uncommitted)
 
 LEDGER = T.StructType([
     T.StructField("file_path", T.StringType()), T.StructField("rows", T.LongType()),
@@ -80,6 +82,13 @@ def read_partials(spark: SparkSession, lake: str, table: str = "vm_metrics", as_
     return vm_partials(rows)
 
 
+def read_as_of(spark: SparkSession, lake: str, table: str, at: datetime) -> DataFrame:
+    """A lake table as it was at an instant: the batches that had been committed by then, whatever their order."""
+    done = (read_ledger(spark, lake).filter((F.col("table") == table) & (F.col("ingested_at") <= F.lit(at)))
+            .select(F.col("batch_id").alias("_batch_id")).distinct())
+    return read_lake(spark, table_path(lake, table), table).join(small_side(done), "_batch_id", "left_semi")
+
+
 def claim(spark: SparkSession, lake: str, table: str, stream: str, stream_batch: int) -> int:
     """The lake batch id of a stream's batch: the one it has, or the next free one."""
     owner = f"{stream} {stream_batch}"
