@@ -52,8 +52,8 @@ def read_ledger(spark: SparkSession, lake: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(ledger_path(lake))
 
 
-def _replace(rows: DataFrame, path: str, *partitions: str, **options: str) -> None:
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**options)
+def _replace(rows: DataFrame, path: str, *partitions: str) -> None:
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**SKIPPING)
      .partitionBy(*partitions).parquet(path))
 
 
@@ -132,8 +132,7 @@ def commit(spark: SparkSession, lake: str, table: str, rows: DataFrame, stream:
     landed = schema.conform(rows, schema.TABLES[table], keep=["_source_file"]).withColumns({
         "ts_day": F.to_date("ts"), "_batch_id": F.lit(batch_id).cast("long")})
     # By VM inside a day: row groups, pages and bloom filters then tell which of them a VM is in.
-    _replace(landed.sortWithinPartitions("ts_day", "_batch_id", "vm_id", "ts"), table_path(lake, table), "ts_day", "_batch_id",
-             **SKIPPING)
+    _replace(landed.sortWithinPartitions("ts_day", "_batch_id", "vm_id", "ts"), table_path(lake, table), "ts_day", "_batch_id")
     counted = checkpoint_rows(_landed(spark, lake, table, batch_id).groupBy(F.col("_source_file").alias("file_path"), "vm_id", "app")
                               .agg(F.count("*").alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
     _replace(vm_partials(counted).withColumns({"table": F.lit(table), "batch_id": F.lit(batch_id).cast("long")}),
