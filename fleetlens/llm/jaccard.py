@@ -240,7 +240,9 @@ def _maybe(percent: int):
 
 
 def _forest(percent: int, tries: int):
-    """Pairs of each meeting's members that may link and join its components; rows come sorted by meeting."""
+    """Pairs of each meeting's members that may link and join its components; rows come sorted by meeting.
+
+    Without tries, one pair of every meeting that has any, whichever signature settles it."""
 
     def run(batches):
         waiting = []  # rows of the last meeting so far, which may go on in the next batch
@@ -329,6 +331,9 @@ def _spanning(node, part, side, n, sketches, before, tested_a, tested_b, percent
         tried[at_a[here] - first, at_b[here]] = True
         may &= ~tried[named[rows] - first][:, named]
         one, two = np.nonzero(np.triu(may, begin + 1))  # each pair once
+        if not tries and len(one):
+            yield node[one[:1] + begin], node[two[:1]]
+            return
         near = np.argsort(bits[one, two], kind="stable")  # the most alike first
         one, two = one[near] + begin, two[near]
         ones, twos = [], []
@@ -368,6 +373,8 @@ def _spanning_few(node, part, side, n, sketches, before, tested, percent: int, t
                 pairs.append((differ, x, y))
     pairs.sort()
     out = []
+    if not tries:
+        return [(node[order[x]], node[order[y]]) for _, x, y in pairs[:1]]
     while pairs:
         kept, gone = label[pairs[0][1]], label[pairs[0][2]]
         between = [(x, y) for _, x, y in pairs if {label[x], label[y]} == {kept, gone}]
@@ -540,6 +547,13 @@ class _Join:
             placed = alive.join(part, "node", "left").select("meet", "sig", "node", "side", F.coalesce("component", "node").alias("component"))
             spread = placed.groupBy("meet").agg(F.min("component").alias("low"), F.max("component").alias("high"))
             still = written(placed.join(spread.filter("low <> high").select("meet"), "meet"), "still")
+            if tested is None:  # most meetings have no pair that may link; lists of signatures are for the others
+                none = F.array().cast("array<long>").alias("before")
+                rows = (still.join(self._of(still).select("node", "n", "sketch"), "node")
+                        .select("meet", "node", "component", "side", "n", "sketch", none))
+                open_ = written(rows.repartition("meet").sortWithinPartitions("meet")
+                                .mapInArrow(_forest(self.percent, 0), "meet long, a long, b long"), "open")
+                still = written(still.join(open_.select("meet").distinct(), "meet", "left_semi"), "still")
             before = F.filter(F.coalesce("sigs", F.array().cast("array<long>")), lambda x: x < F.col("sig")).alias("before")
             rows = (still.join(self._of(still).select("node", "n", "sketch"), "node").join(lists, "node", "left")
                     .select("meet", "node", "component", "side", "n", "sketch", before))
