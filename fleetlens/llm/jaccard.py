@@ -566,12 +566,19 @@ class _Join:
             if found.isEmpty():
                 return part
             links = written(links.unionAll(self.compared(written(found.select("a", "b").distinct(), "tried"))), "links")
-            tested = found if tested is None else tested.unionAll(found)
-            tested = written(tested.join(found.select("meet").distinct(), "meet", "left_semi"), "tested")
             tries *= MORE
             part = self._sent(components(links))
+            tested = self._apart(found if tested is None else tested.unionAll(found), part)
+            tested = written(tested.join(found.select("meet").distinct(), "meet", "left_semi"), "tested")
             alive = written(still.select("meet", "sig", "node", "side").join(found.select("meet").distinct(), "meet", "left_semi"), "alive")
 
+    @staticmethod
+    def _apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
+        """Those of some tried pairs that no component holds; the others cannot be tried again."""
+        for end in ("a", "b"):
+            pairs = pairs.join(part.select(F.col("node").alias(end), F.col("component").alias(f"part_{end}")), end, "left")
+        return pairs.filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("meet", "a", "b")
+
     @staticmethod
     def _sent(part: DataFrame) -> DataFrame:
         return F.broadcast(part) if part.count() <= FEW_IDS else part
