@@ -33,9 +33,10 @@ def slope_and_corr_if(cond: Column, y: Column, x: Column) -> tuple[Column, Colum
 
 def _fixed(value: Column, digits: int) -> Column:
     """Text with a fixed number of decimals, ties to even. A negative value that
-    rounds to zero keeps its sign, as in C and Python formatting."""
+    rounds to zero keeps its sign, as in C and Python formatting. Null stays null
+    (the formatter would cut the word "null" to that many letters)."""
     rounded = F.bround(value, digits)
-    text = F.format_string(f"%.{digits}f", rounded)
+    text = F.when(value.isNotNull(), F.format_string(f"%.{digits}f", rounded))
     return F.when((value < 0) & (rounded == 0), F.concat(F.lit("-"), text)).otherwise(text)
 
 
@@ -47,6 +48,10 @@ def tenth(value: Column) -> Column:
     return _fixed(value, 1)
 
 
+def hundredth(value: Column) -> Column:
+    return _fixed(value, 2)
+
+
 def severity_rank(severity: Column) -> Column:
     """Sort position of a severity: P1 first, unknown last."""
     return (F.when(severity == "P1", 0).when(severity == "P2", 1)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetlens.config import Thresholds
-from fleetlens.functions.stats import severity_rank, tenth, whole
+from fleetlens.functions.stats import hundredth, severity_rank, tenth, whole
 from fleetlens.operators.features import Frames, frames
 from fleetlens.operators.windows import instants
 
@@ -158,10 +158,10 @@ def facts_lines(found: DataFrame, alerts: DataFrame) -> DataFrame:
         F.concat(lit("app: "), col("app")),
         F.concat(lit("app_latency_ms p95: now="), whole(col("p95_now")), lit(" ms, baseline="),
                  whole(col("p95_base")), lit(" ms")))).alias("line_no", "line"))
+    numbers = [F.concat(lit(f" {name}="), F.coalesce(form(col(f"w.{name}")), lit("nan"))) for name, form in (
+        ("heap_slope", hundredth), ("heap_now", tenth), ("gc", tenth), ("io_await", tenth), ("latency", tenth))]
     vms = found.select("app", F.posexplode("worst").alias("line_no", "w")).select(
-        "app", "line_no", F.format_string(
-            "%s heap_slope=%.2f heap_now=%.1f gc=%.1f io_await=%.1f latency=%.1f",
-            "w.vm_id", "w.heap_slope", "w.heap_now", "w.gc", "w.io_await", "w.latency").alias("line"))
+        "app", "line_no", F.concat(col("w.vm_id"), *numbers).alias("line"))
     active = alerts.filter(col("app") != "").select(
         "app", (severity_rank(col("severity"))).cast("int").alias("line_no"),
         F.concat_ws(" ", "severity", "rule", "vm_id", "headline").alias("line"))

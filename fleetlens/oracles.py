@@ -316,17 +316,26 @@ judged AS (
 ORACLES["rca_facts"] = f"""
 WITH {FACTS} SELECT app, round(p95_now, 6) AS p95_now, round(p95_base, 6) AS p95_base, worst_vms, alert_counts,
   alert_rules, leaking FROM facts"""
+
+
+def _number(value: str, digits: int) -> str:
+    return f"coalesce(printf('%.{digits}f', {value}), 'nan')"
+
+
 ORACLES["rca_facts_text"] = f"""
-WITH {FACTS} SELECT app, 'latency' AS section, 2::BIGINT AS n_lines FROM facts
-UNION ALL SELECT app, 'worst_vms', count(*) FROM worst GROUP BY app
-UNION ALL SELECT app, 'alerts', count(*) FROM a WHERE "asof" = 0 AND app <> '' GROUP BY app"""
+WITH {FACTS} SELECT app, 'latency' AS section, 0::BIGINT AS line_no, 'app: ' || app AS line FROM facts
+UNION ALL SELECT app, 'latency', 1, 'app_latency_ms p95: now=' || printf('%.0f', p95_now) || ' ms, baseline='
+  || printf('%.0f', p95_base) || ' ms' FROM facts
+UNION ALL SELECT app, 'worst_vms', place - 1, vm_id || ' heap_slope=' || {_number("slope_rec", 2)} || ' heap_now='
+  || {_number("cur_rec", 1)} || ' gc=' || {_number("gc", 1)} || ' io_await=' || {_number("v_rec", 1)} || ' latency='
+  || {_number("v_rec", 1)} FROM worst
+UNION ALL SELECT app, 'alerts', {RANK}, concat_ws(' ', severity, rule, vm_id, headline) FROM a WHERE "asof" = 0 AND app <> ''"""
 ORACLES["rca_verdict"] = f"""
 WITH {FACTS} SELECT app, elevated, round(factor, 6) AS factor, worst_vm, round(latency, 6) AS worst_latency,
   heap_climbing, round(heap_eta, 6) AS heap_eta, gc_high, io_high, cause FROM judged"""
 
 NL = "chr(10)"
-ORACLES["rca_narrative"] = f"""
-WITH {FACTS} SELECT app,
+NARRATIVE = f"""SELECT app,
   '## ' || app || ': root-cause summary (as of ' || strftime(make_timestamp(e), '%H:%M:%S') || ')' || {NL} || {NL}
   || CASE WHEN elevated THEN '- **Latency is elevated**: p95 ' || printf('%.0f', p95_now) || ' ms vs baseline '
        || printf('%.0f', p95_base) || ' ms (' || printf('%.1f', factor) || 'x).'
@@ -346,6 +355,7 @@ WITH {FACTS} SELECT app,
        WHEN 'io_saturation' THEN {NL} || {NL} || '**Likely cause:** downstream disk/IO saturation. **Action:** check the storage backend and slow queries.'
        ELSE '' END AS text
 FROM judged"""
+ORACLES["rca_narrative"] = f"WITH {FACTS} {NARRATIVE}"
 
 _NAMED = {app: f"contains(lower(text), '{app}') OR contains(lower(text), '{app.replace('-', ' ')}')"
           for app in ("que-la", "une", "the", "app-1", "app-3")}
@@ -359,14 +369,27 @@ ORACLES["question_answers"] = f"""
 WITH RECURSIVE {FACTS}{APP_EDGES}, {TRACE},
 q AS (SELECT conv_id, turn, CASE WHEN {_NAMED['app-1']} THEN 'app-1' WHEN {_NAMED['app-3']} THEN 'app-3'
   WHEN {_NAMED['une']} THEN 'une' ELSE {TOP_APP} END AS app, {INTENT} AS intent FROM conversations),
+texts AS (
+  {NARRATIVE}
+  UNION ALL SELECT 'une', '## une: root-cause summary (as of ' || strftime(make_timestamp(max(e)), '%H:%M:%S') || ')' || {NL} || {NL}
+    || '- Latency p95 is 0 ms (baseline 0 ms) — near normal.' || {NL} || '- No active alerts for this app.' FROM p WHERE "asof" = 0),
+split AS (SELECT app, string_split(text, {NL}) AS parts FROM texts),
+tags AS (SELECT app, string_agg(tag, ', ' ORDER BY tag) AS tags
+  FROM (SELECT DISTINCT app, severity || ':' || rule AS tag FROM a WHERE "asof" = 0) GROUP BY app),
+asked AS (SELECT DISTINCT app FROM q),
+near AS (SELECT root, CASE direction WHEN 'downstream' THEN 4 ELSE 6 END AS block, depth,
+    '  depth ' || depth || ': ' || app || coalesce('  ALERTS: ' || tags, '') AS line
+  FROM both_ways LEFT JOIN tags USING (app)),
 n AS (
-  SELECT app, 'rca' AS intent, 4 + (worst_vm IS NOT NULL)::BIGINT + 2 * (cause <> 'none')::BIGINT AS n_lines FROM judged
-  UNION ALL SELECT 'une', 'rca', 4
-  UNION ALL
-  SELECT app, 'blast', 7 + greatest(1, (SELECT count(*) FROM both_ways x WHERE x.root = y.app AND direction = 'downstream'))
-    + greatest(1, (SELECT count(*) FROM both_ways x WHERE x.root = y.app AND direction = 'upstream'))
-  FROM (SELECT DISTINCT app FROM q) y)
-SELECT conv_id, turn, app, intent, n_lines FROM q JOIN n USING (app, intent)"""
+  SELECT app, 'rca' AS intent, i - 1 AS line_no, parts[i] AS line
+  FROM (SELECT app, parts, unnest(range(1, len(parts) + 1)) AS i FROM split)
+  UNION ALL SELECT root, 'blast', block * 1000000 + depth, line FROM near
+  UNION ALL SELECT app, 'blast', block * 1000000, '  (none)' FROM asked, (VALUES (4), (6)) x(block)
+    WHERE NOT EXISTS (SELECT 1 FROM near WHERE root = asked.app AND near.block = x.block)
+  UNION ALL SELECT app, 'blast', block * 1000000, replace(line, '@', app) FROM asked, (VALUES
+    (0, '## Blast radius: @'), (1, ''), (2, 'app: @'), (3, 'downstream (impacted if @ fails):'), (5, 'upstream (@ depends on):'),
+    (7, ''), (8, '**Interpretation:** if @ degrades, every downstream app above loses its dependency; any already showing ALERTS is feeling it now. Trace the chain to connect a root-cause alert on @ to the user-facing symptoms upstream.')) x(block, line))
+SELECT conv_id, turn, app, intent, line_no, line FROM q JOIN n USING (app, intent)"""
 
 ORACLES["guarded_sql"] = f"""
 WITH {M} SELECT vm_id, count(*) AS n, round(max(v)::FLOAT, 6) AS top_heap FROM m GROUP BY vm_id"""

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.functions import quantile
+from fleetlens.functions import quantile, stats
 from fleetlens.functions.ranking import position_by_slice, position_by_sort
 
 
@@ -88,3 +88,9 @@ def test_number_text_is_that_of_python(spark, digits):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     text = (whole if digits == 0 else tenth)(F.col("x"))
     assert [r[0] for r in df.select(text).collect()] == [f"{v:.{digits}f}" for v in values]
+
+
+def test_text_of_numbers(spark):
+    rows = spark.createDataFrame([(0, 73.25), (1, -0.004), (2, None), (3, 2.5)], "i int, x double").orderBy("i")
+    got = rows.select(stats.whole(F.col("x")), stats.tenth(F.col("x")), stats.hundredth(F.col("x"))).collect()
+    assert [tuple(r) for r in got] == [("73", "73.2", "73.25"), ("-0", "-0.0", "-0.00"), (None, None, None), ("2", "2.5", "2.50")]
