@@ -114,7 +114,7 @@ def test_stages_of_an_empty_table(spark, tables):
 
 def test_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] and "pipeline" in entry.queries()
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] and "pipeline" in entry.queries()
     assert [len(pipeline.STAGES), pipeline.ORACLE_SQL] == [5, None]
 
 
