@@ -23,18 +23,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import bpe, decontam, jaccard, langid, pii
-from fleetlens.llm.common import documents, free_name, without, written
+from fleetlens.llm.common import FEW_ROWS, batches_of, documents, free_name, without, written
 
 #: Near copies: words of a shingle, and similarity in percent.
 WORDS, PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    batches_of(spark, FEW_ROWS)
     name = free_name(docs, "language")
     return langid.identified(docs, langid.dictionaries(docs), name=name).filter(~F.col(name)["rejected"]).drop(name)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    batches_of(spark, FEW_ROWS)
     if not docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return _near_copies_by_text(docs)
     found = jaccard.near_duplicates(docs, words=WORDS, percent=PERCENT)
@@ -63,11 +65,12 @@ def _near_copies_by_text(docs: DataFrame) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     name = free_name(docs, "overlap")
-    rows = decontam.flagged(docs, documents(spark, sf_dir, "benchmark"), name=name)
+    rows = decontam.flagged(docs, documents(spark, sf_dir, "benchmark", FEW_ROWS), name=name)
     return rows.filter(F.size(F.col(name)["hits"]) == 0).drop(name)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    batches_of(spark, FEW_ROWS)
     name = free_name(docs, "pii")
     rows = pii.found(docs, pii.trained(docs), name=name, mask=True)
     text = F.col(name)["masked"]
@@ -77,6 +80,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    batches_of(spark, FEW_ROWS)
     return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
@@ -88,7 +92,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir)
+    rows = documents(spark, sf_dir, rows=FEW_ROWS)
     for name, stage in STAGES:
         rows = written(stage(spark, rows, sf_dir), name)
     return rows

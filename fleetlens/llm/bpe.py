@@ -9,7 +9,7 @@ position that it swallowed: three point updates of logarithmic cost.
 
 Equal pieces of a batch are merged once (two 64-bit hashes tell them apart), and the
 trees of pieces of like length are worked on together as the rows of a matrix; a
-piece above LONGEST bytes has a tree of its own. A worker keeps at most CACHED
+piece above LONGEST bytes has a tree of its own. A task keeps at most CACHED
 pieces between batches.
 
 Null and empty texts have no tokens; a null id stays null; repeated rows give
@@ -32,7 +32,7 @@ from fleetlens.llm.common import PIECE_BYTES, SpanHash, gathered, map_pieces, te
 
 #: Pieces up to so many bytes share a matrix of trees.
 LONGEST = 64
-#: Pieces whose ids a Python worker keeps.
+#: Pieces whose ids a task keeps.
 CACHED = 500_000
 
 # The only pattern that has an array form below; any other goes through the regex module.
@@ -248,11 +248,16 @@ class Vocabulary:
             cls._kept[path, pattern] = cls(path, pattern)
         return cls._kept[path, pattern]
 
+    @classmethod
+    def forget_all(cls) -> None:
+        """At the end of a task: its worker goes on to others, also of other stages."""
+        for words in cls._kept.values():
+            words.forget()
+
     def __init__(self, path: str, pattern: str):
         self.tokens = read_ranks(path)
         self.rank = {token: i for i, token in enumerate(self.tokens) if token}
         self.split = Splitter(pattern)
-        self.hashes = [SpanHash(seed) for seed in (1, 2)]
         self.pairs = Pairs(self.tokens)
         full = self.pairs.keys >= 0
         self.pair = dict(zip(self.pairs.keys[full].tolist(), self.pairs.made[full].tolist(), strict=True))
@@ -275,6 +280,7 @@ class Vocabulary:
         return self.merged(raw, starts, lengths)
 
     def forget(self) -> None:
+        self.hashes = [SpanHash(seed) for seed in (1, 2)]
         self.slot: dict[int, int] = {}
         self.check = np.zeros(0, np.uint64)
         self.ids = np.zeros(0, np.uint32)
@@ -410,7 +416,7 @@ def encoded(docs: DataFrame, ranks: str, pattern: str = ARRAY_PATTERN, *, id_col
 
     only = two_columns(docs, id_col, text_col)
     schema = SCHEMA.replace("doc_id long", f"doc_id {only.schema['doc_id'].dataType.simpleString()}")
-    return map_pieces(only, work, schema + (", ids array<int>" if with_ids else ""))
+    return map_pieces(only, work, schema + (", ids array<int>" if with_ids else ""), after=Vocabulary.forget_all)
 
 
 def _digests(words: Vocabulary, texts: list[str], with_ids: bool) -> list[tuple]:

@@ -7,6 +7,7 @@ as empty unless an operator says otherwise.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,17 +22,22 @@ from fleetlens.session import checkpoint, scratch_dir
 PIECE_BYTES = 1 << 20
 #: Positions that a ragged gather works out at a time.
 GATHERED = 1 << 20
-#: Rows of an Arrow batch between the JVM and Python.
-BATCH_ROWS = 2_000
+#: Rows of an Arrow batch between the JVM and Python; in the pipeline, whose stages share the executors.
+BATCH_ROWS, FEW_ROWS = 2_000, 500
 #: Ids that are sent to every executor; more are joined by shuffle.
 FEW_IDS = 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
-def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+def batches_of(spark: SparkSession, rows: int) -> None:
+    """Keep Arrow batches small, in what the session runs from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def documents(spark: SparkSession, sf_dir: str, table: str = "documents", rows: int = BATCH_ROWS) -> DataFrame:
     """A given table, with Arrow batches kept small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    batches_of(spark, rows)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -83,16 +89,35 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES
         begin = end
 
 
+def handed_back() -> None:
+    """Give freed memory that the allocators hold back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], after: Callable[[], None] = lambda: None):
+    """The same work on a task's batches; at its end the worker, which goes on to other tasks, hands back what this one has freed."""
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        after()
+        handed_back()
+
+    return all_of
+
+
 def map_pieces(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str,
-               column: str = "text", limit: int = PIECE_BYTES) -> DataFrame:
-    """Run `work` on bounded runs of rows; it returns the columns of the result."""
+               column: str = "text", limit: int = PIECE_BYTES, after: Callable[[], None] = lambda: None) -> DataFrame:
+    """Run `work` on bounded runs of rows; it returns the columns of the result. `after` is called when a task ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, column, limit):
                 yield pa.RecordBatch.from_pydict(work(piece))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run, after), schema)
 
 
 def free_name(df: DataFrame, wish: str) -> str:
@@ -116,7 +141,7 @@ def annotated(df: DataFrame, text_col: str, work: Callable[[pa.Array], dict], fi
                 yield pa.RecordBatch.from_arrays([*piece.columns, extra], [*piece.schema.names, name])
 
     schema = StructType([*df.schema.fields, StructField(name, StructType.fromDDL(fields))])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def without(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm import hashed
-from fleetlens.llm.common import (FEW_IDS, PIECE_BYTES, SpanHash, components, lowered, mixed, owners, pieces, runs, text_bytes,
+from fleetlens.llm.common import (FEW_IDS, SpanHash, components, lowered, mixed, owners, pieces, runs, text_bytes, tidied,
                                   two_columns, written)
 
 WORDS, PERCENT = 4, 85
@@ -64,10 +64,12 @@ BLOCK = 1024
 SLAB = 256
 #: Pairs that the first round tries for two components of a meeting; each further round, MORE times as many.
 TRIES, MORE = 32, 8
+#: Text bytes that a task makes shingles of at a time; a longer document is one piece of its own.
+PIECE_BYTES = 1 << 18
 #: Signatures that a task counts at a time.
-HELD = 1 << 20
+HELD = 1 << 18
 #: Signatures that are compared at a time when it is looked up whether two members share one.
-CODES = 4096
+CODES = 1024
 #: Meetings up to this size need no arrays.
 FEW = 24
 #: Sides of a meeting's rows: a pair that it has tried; a member that meets all others; members of two blocks.
@@ -448,7 +450,7 @@ def _repeated(table: DataFrame) -> hashed.Filter:
         return pa.table({"range": found.column("range")[:1],
                          "bits": pa.array([hashed.segment(hashed.frequent(found, 2), bits)], pa.binary())})
 
-    segments = rows.mapInArrow(packed, hashed.BLOBS).groupBy("range").applyInArrow(segment, "range long, bits binary")
+    segments = rows.mapInArrow(tidied(packed), hashed.BLOBS).groupBy("range").applyInArrow(segment, "range long, bits binary")
     return hashed.Filter([(r.range, bytes(r.bits)) for r in segments.collect()], bits)
 
 
@@ -477,12 +479,12 @@ class _Join:
     def __init__(self, docs: DataFrame, words: int, percent: int):
         self.docs, self.words, self.percent = docs, words, percent
         self.table = written(docs.mapInArrow(
-            _featured(words, percent),
+            tidied(_featured(words, percent)),
             "doc_id long, n long, one long, two long, sketch binary, sigs array<long>"), "partenum")
         in_class = F.expr("n > 0 AND doc_id IS NOT NULL")
         self.classes = written(self.table.filter(in_class).groupBy("one", "two", "n").agg(F.min("doc_id").alias("node")), "classes")
         # Signatures that tasks gave more than once; the filter may let others through, which the next step drops.
-        rows = self.table.select("one", "sigs").mapInArrow(_filtered(_repeated(self.table)), "sig long, one long").distinct()
+        rows = self.table.select("one", "sigs").mapInArrow(tidied(_filtered(_repeated(self.table))), "sig long, one long").distinct()
         rows = written(rows, "repeated")
         sets = rows.groupBy("sig").agg(
             F.min("one").alias("hub"), F.count("*").alias("members"),
@@ -518,15 +520,15 @@ class _Join:
         side = self._of(ends).select("node", "n", "sketch")
         likely = (pairs.join(side.toDF("a", "n_a", "sketch_a"), "a").join(side.toDF("b", "n_b", "sketch_b"), "b")
                   .filter(f"100 * least(n_a, n_b) >= {self.percent} * greatest(n_a, n_b)"))
-        likely = written(likely.mapInArrow(_maybe(self.percent), "a long, b long"), "likely")
+        likely = written(likely.mapInArrow(tidied(_maybe(self.percent)), "a long, b long"), "likely")
         nodes = written(likely.select(F.col("a").alias("node")).unionAll(likely.select(F.col("b").alias("node"))).distinct(),
                         "nodes")
         few = nodes.count() <= FEW_IDS
         texts = self.docs.withColumn("node", F.col("doc_id"))
         texts = texts.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").select("doc_id", "text", "node")
-        sets = written(texts.mapInArrow(_sets(self.words), "node long, features binary"), "sets")
+        sets = written(texts.mapInArrow(tidied(_sets(self.words)), "node long, features binary"), "sets")
         return (likely.join(sets.toDF("a", "features_a"), "a").join(sets.toDF("b", "features_b"), "b")
-                .mapInArrow(_linked(self.percent), "a long, b long"))
+                .mapInArrow(tidied(_linked(self.percent)), "a long, b long"))
 
     def components(self) -> DataFrame:
         """(node, component) of all representatives that link with another."""
@@ -552,7 +554,7 @@ class _Join:
                 rows = (still.join(self._of(still).select("node", "n", "sketch"), "node")
                         .select("meet", "node", "component", "side", "n", "sketch", none))
                 open_ = written(rows.repartition("meet").sortWithinPartitions("meet")
-                                .mapInArrow(_forest(self.percent, 0), "meet long, a long, b long"), "open")
+                                .mapInArrow(tidied(_forest(self.percent, 0)), "meet long, a long, b long"), "open")
                 still = written(still.join(open_.select("meet").distinct(), "meet", "left_semi"), "still")
             before = F.filter(F.coalesce("sigs", F.array().cast("array<long>")), lambda x: x < F.col("sig")).alias("before")
             rows = (still.join(self._of(still).select("node", "n", "sketch"), "node").join(lists, "node", "left")
@@ -562,7 +564,7 @@ class _Join:
                                                    F.lit(0).cast("long"), F.lit(None).cast("binary"),
                                                    F.lit(None).cast("array<long>")))
             found = written(rows.repartition("meet").sortWithinPartitions("meet")
-                            .mapInArrow(_forest(self.percent, tries), "meet long, a long, b long"), "forest")
+                            .mapInArrow(tidied(_forest(self.percent, tries)), "meet long, a long, b long"), "forest")
             if found.isEmpty():
                 return part
             links = written(links.unionAll(self.compared(written(found.select("a", "b").distinct(), "tried"))), "links")
