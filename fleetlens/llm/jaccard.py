@@ -68,6 +68,8 @@ TRIES, MORE = 32, 8
 PIECE_BYTES = 1 << 18
 #: Signatures that a task counts at a time.
 HELD = 1 << 18
+#: Leading bits of a signature that are counted: equal ones by chance only let a few more through, and the rest need not be sent.
+COUNTED = 40
 #: Signatures that are compared at a time when it is looked up whether two members share one.
 CODES = 1024
 #: Meetings up to this size need no arrays.
@@ -434,7 +436,7 @@ def _repeated(table: DataFrame) -> hashed.Filter:
     """A filter of the signatures that occur in more than one row: counted by packed blobs, as most occur in one."""
     rows = table.select("sigs")
     total = rows.agg(F.sum(F.size("sigs"))).first()[0] or 0
-    bits = hashed.range_bits(total * 8)
+    bits = min(hashed.range_bits(total * 8), COUNTED)
 
     def packed(batches):
         held, size = [], 0
@@ -454,8 +456,12 @@ def _repeated(table: DataFrame) -> hashed.Filter:
     return hashed.Filter([(r.range, bytes(r.bits)) for r in segments.collect()], bits)
 
 
+def _leading(sigs: np.ndarray) -> np.ndarray:
+    return sigs & ~np.uint64((1 << 64 - COUNTED) - 1)
+
+
 def _counts(held: list[np.ndarray], bits: int) -> pa.RecordBatch:
-    keys = np.concatenate([np.zeros(0, np.uint64), *held])
+    keys = _leading(np.concatenate([np.zeros(0, np.uint64), *held]))
     return hashed.packed(*hashed.added([keys], [np.ones(len(keys), np.int64)]), bits)
 
 
@@ -466,7 +472,7 @@ def _filtered(keep: hashed.Filter):
         for batch in batches:
             sigs = batch.column(1)
             values = sigs.flatten().to_numpy()
-            passed = keep.holds(values.view(np.uint64))
+            passed = keep.holds(_leading(values.view(np.uint64)))
             one = np.repeat(batch.column(0).to_numpy(), sigs.value_lengths().to_numpy())
             yield pa.RecordBatch.from_pydict({"sig": pa.array(values[passed]), "one": pa.array(one[passed])})
 

@@ -3,11 +3,12 @@
 import random
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 
 import corpus_pipeline as pipeline
-from fleetlens.llm import bpe, common, jaccard
+from fleetlens.llm import bpe, common, hashed, jaccard
 
 
 def _texts(n, words):
@@ -55,3 +56,17 @@ def test_stages_keep_batches_small(spark, tmp_path):
             assert spark.conf.get(name) == str(common.FEW_ROWS)
     finally:
         spark.conf.set(name, before)
+
+
+def test_counted_signatures_are_sent_in_few_bytes():
+    sigs = np.random.default_rng(2).integers(0, 1 << 64, 1 << 17, dtype=np.uint64)
+    sent = jaccard._counts([sigs, sigs[:1000]], 3)
+    assert sum(len(b) for b in sent.column("blob").to_pylist()) < 4.5 * len(sigs)
+    table = pa.Table.from_batches([sent])
+    found = [hashed.segment(hashed.frequent(table.slice(i, 1), 2), 3) for i in range(8)]
+    keep = hashed.Filter(list(enumerate(found)), 3)
+    rows = pa.RecordBatch.from_pydict({"one": pa.array([1, 2], pa.int64()), "sigs": pa.array(
+        [sigs[:1000].view(np.int64).tolist(), sigs[1000:].view(np.int64).tolist()], pa.list_(pa.int64()))})
+    passed = next(iter(jaccard._filtered(keep)([rows])))
+    assert passed.column("sig").to_pylist()[:1000] == sigs[:1000].view(np.int64).tolist()  # none is missed
+    assert passed.num_rows < 1000 + 0.05 * len(sigs)
