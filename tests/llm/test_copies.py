@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fleetlens.llm import common, jaccard, sharding, substrings, winnow
@@ -98,6 +99,87 @@ def test_suffix_order_and_common_prefixes():
         assert shared[b] == same
 
 
+class _Sent:
+    value = (set(), b"some words that many texts have")
+
+
+def _texts_table(texts):
+    return pa.table({"id": pa.array(range(len(texts)), pa.int64()), "variant": pa.array([0] * len(texts), pa.int32()), "text": texts})
+
+
+def _shipped_blobs(texts, shards, rows):
+    return [(n, blob) for batch in substrings._shipped(_Sent, shards)(_texts_table(texts).to_batches(rows))
+            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+
+
+def test_blobs_do_not_grow_with_batches_times_shards():
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(400)) for _ in range(400)]
+    assert len(_shipped_blobs(texts, 20, 40)) == 20
+    large = 400 << 30
+    assert substrings._shards(large) < substrings._shards(large // 100) * 11
+    assert substrings._shards(0) == 1
+
+
+def test_equal_stretches_go_through_a_suffix_array_once(monkeypatch):
+    rng = random.Random(13)
+    passage = " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(300))
+    texts = [f"{' '.join(f'v{rng.randrange(10 ** 6)}' for _ in range(30))} {passage}" for _ in range(20)]
+    seen = []
+    block = substrings._block
+    monkeypatch.setattr(substrings, "_block", lambda text, first_at, count, doc: seen.append(int(count.sum())) or block(
+        text, first_at, count, doc))
+    blobs = [blob for _, blob in _shipped_blobs(texts, 1, 1)]
+    blobs += [blob for i, t in enumerate(texts) for blob in _alone(i + 20, t)]  # as of tasks of their own
+    found = substrings._shard(pa.table({"blob": pa.array(blobs, pa.binary())}), _Sent.value[1])
+    removed = {i: (b, e) for i, b, e in _covered(found)}
+    assert sum(seen) < len(passage) and len(removed) == 39
+    for i, t in enumerate(texts[1:], 1):
+        assert removed[i][0] <= t.index(passage) and removed[i][1] == len(t)
+
+
+def _alone(number, text):
+    table = _texts_table([text]).set_column(0, "id", pa.array([number], pa.int64()))
+    return [blob for batch in substrings._shipped(_Sent, 1)(table.to_batches()) for blob in batch.column(1).to_pylist()]
+
+
+def _covered(found):
+    out = {}
+    for row in sorted(found.to_pylist(), key=lambda r: (r["id"], r["begin"])):
+        runs = out.setdefault(row["id"], [])
+        if runs and row["begin"] <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], row["end"])
+        else:
+            runs.append([row["begin"], row["end"]])
+    return [(i, *run) for i, runs in out.items() for run in runs]
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_repeated_ranges_in_small_steps(monkeypatch, hot):
+    for name, size in (("STEP", 300), ("PIECE", 900), ("SHARD_BYTES", 500), ("BLOCK_BYTES", 300), ("STRETCHES", 5)):
+        monkeypatch.setattr(substrings, name, size, raising=False)
+    texts = [t or "" for _, t in _rows(3, 150)]
+    if hot:
+        raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+        monkeypatch.setattr(_Sent, "value", ({int(k) for d in raw for k in substrings.stretches(
+            d, np.array([0, len(d)]), substrings._HASH.prefix(d))[4].tolist()[::2]}, b""))
+    by = {}
+    for n, blob in _shipped_blobs(texts, 3, 7):
+        by.setdefault(n, []).append(blob)
+    found = pa.concat_tables([substrings._shard(pa.table({"blob": pa.array(b, pa.binary())}), _Sent.value[1]) for b in by.values()])
+    seen, want = {}, []
+    for i, t in enumerate(texts):
+        raw, runs = t.encode(), []
+        for at in range(len(raw) - 49):
+            if seen.setdefault(raw[at:at + 50], i) < i:
+                if runs and at <= runs[-1][2]:
+                    runs[-1][2] = at + 50
+                else:
+                    runs.append([i, at, at + 50])
+        want += map(tuple, runs)
+    assert sorted(_covered(found)) == want
+
+
 # ---- fingerprints
 
 
