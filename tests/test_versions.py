@@ -1,6 +1,7 @@
 """Closures by doubling, path counts, dimension versions, and routing by an index."""
 
 import itertools
+import re
 from datetime import datetime, timezone
 
 import pytest
@@ -88,3 +89,49 @@ def test_index_of_many_apps_stays_map_side(spark):
     text = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in text and "Cartesian" not in text and text.count("Python") == 0
     assert found.filter(F.expr("app <> concat('svc-', lpad(id * 5, 5, '0'))")).isEmpty()
+
+
+@pytest.mark.parametrize("bound", [50_000, 0])
+def test_index_finds_names_anywhere_in_a_text(spark, monkeypatch, bound):
+    monkeypatch.setattr(questions, "small_side", lambda df: df if not bound else F.broadcast(df))
+    long = "long-" + "name-" * 30 + "x"
+    apps = ["zebra", long + "y", long, "?afoo", "fooÜbung", "mark\u00b2", "line one", "\U0001f600bar"]
+    filler = "ab cd " * 1500  # several chunks
+    texts = [None, "", "\U0001f600afoo", "x?afoo", f"{filler}ZEBRA{filler}", filler[:4094] + "zebra", filler[:4090] + "zebra", f"a {long}",
+             f"a {long}Y", long[:-1], long.replace("-", " "), "a fooübung", "mark\u00b2", "line\none", "line one", "a\U0001f600bar",
+             "zebra \U0001f600bar", "zebra", "zebra"]
+    rows = [(i if i % 5 else None, i, t) for i, t in enumerate(texts)]
+    q = spark.createDataFrame(rows, "conv_id int, turn int, question string")
+    dictionary = spark.createDataFrame([(a, -i) for i, a in enumerate(apps)], "app string, position int")
+
+    def named(text):
+        text = (text or "").lower()
+        return next((a for a in reversed(apps) if a.lower() in text or a.replace("-", " ").lower() in text), "other")
+
+    found = {r.turn: r.app for r in questions.route_by_index(q, dictionary, ["conv_id", "turn"], "other").collect()}
+    assert found == {i: named(t) for _, i, t in rows}
+
+
+@pytest.mark.parametrize("bound", [50_000, 0])
+def test_questions_under_one_key_share_their_names(spark, monkeypatch, bound):
+    monkeypatch.setattr(questions, "small_side", lambda df: df if not bound else F.broadcast(df))
+    q = spark.createDataFrame([(1, "kafka"), (1, "zebra"), (None, "zebra"), (None, "none"), (2, "zebra"), (2, "zebra")], "id int, question string")
+    dictionary = spark.createDataFrame([("kafka", 0), ("zebra", 1)], "app string, position int")
+    found = sorted(((r.id or 0), r.question, r.app) for r in questions.route_by_index(q, dictionary, ["id"], "other").collect())
+    assert found == [(0, "none", "zebra"), (0, "zebra", "zebra"), (1, "kafka", "kafka"), (1, "zebra", "kafka"), (2, "zebra", "zebra"), (2, "zebra", "zebra")]
+
+
+def test_texts_do_not_travel_once_for_every_place(spark, monkeypatch):
+    monkeypatch.setattr(questions, "small_side", lambda df: df)
+    q = spark.createDataFrame([(1, "why is kafka slow")], "id int, question string")
+    dictionary = spark.createDataFrame([("kafka", 0), ("ehr-api", 1)], "app string, position int")
+    plan = questions.route_by_index(q, dictionary, ["id"])._jdf.queryExecution().optimizedPlan()
+    sides = [node.left().output().mkString(" ") for node in _nodes(plan)
+             if node.nodeName() == "Join" and re.search(r"gram#\d+ = gram#\d+", node.condition().toString())]
+    assert len(sides) == 1 and "gram#" in sides[0] and "_text#" not in sides[0]
+
+
+def _nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(i))
