@@ -45,11 +45,12 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import FEW_IDS, SpanHash, gathered, map_pieces, mixed, pieces, text_bytes, written
+from fleetlens.llm.common import (FEW_IDS, SpanHash, gathered, handed_back, map_pieces, mixed, pieces, shuffles_let_go,
+                                  text_bytes, tidied, written)
 
 LENGTH, GRAM = 50, 20
 #: Text that a map task hashes and that it sends at a time; stretches that a suffix array takes and that are compared at a time.
-STEP, PIECE, BLOCK_BYTES, SHARD_BYTES = 512 << 10, 8 << 20, 1 << 20, 4 << 20
+STEP, PIECE, BLOCK_BYTES, SHARD_BYTES = 512 << 10, 4 << 20, 1 << 20, 4 << 20
 #: Stretches that a shard is meant to hold, and shards up to which that holds; beyond them shards grow as well.
 SHIPPED_BYTES, MANY_SHARDS = 8 << 20, 1024
 #: Stretches whose text is gathered at a time.
@@ -531,7 +532,7 @@ def _hot(rows: DataFrame, count: int) -> list[int]:
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch, "text", PIECE):
+            for piece in pieces(batch, "text", STEP):
                 data, offsets = text_bytes(piece.column(0))
                 doc, _, _, _, key = stretches(data, offsets, _HASH.prefix(data))
                 both = np.unique(np.stack([doc, key.view(np.int64)], axis=1), axis=0)
@@ -539,7 +540,7 @@ def _hot(rows: DataFrame, count: int) -> list[int]:
                 yield pa.RecordBatch.from_pydict({"key": pa.array(values), "docs": pa.array(counts.astype(np.int64))})
 
     least = max(HOT * min(count, HOT_SAMPLE), 50)
-    found = sample.select("text").mapInArrow(run, "key long, docs long").groupBy("key").agg(F.sum("docs").alias("docs"))
+    found = sample.select("text").mapInArrow(tidied(run), "key long, docs long").groupBy("key").agg(F.sum("docs").alias("docs"))
     return [r.key & (1 << 64) - 1 for r in found.filter(F.col("docs") >= least).select("key").collect()]
 
 
@@ -559,11 +560,19 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     excerpts = rows.filter("text <> ''").select(F.substring("text", 1, 600).alias("text"), F.xxhash64("id").alias("at"))
     sample = "\n".join(r.text for r in excerpts.orderBy("at", "text").limit(PACKING_TEXTS).collect()).encode()
     sent = spark.sparkContext.broadcast((set(_hot(rows, count)), sample))
-    stretched = rows.select("id", "variant", "text").mapInArrow(_shipped(sent, shards), "shard long, blob binary")
-    found = stretched.groupBy("shard").applyInArrow(lambda table: _shard(table, sent.value[1]), _RANGES)
+    stretched = rows.select("id", "variant", "text").mapInArrow(tidied(_shipped(sent, shards)), "shard long, blob binary")
+
+    def shard(table: pa.Table) -> pa.Table:
+        out = _shard(table, sent.value[1])
+        handed_back()
+        return out
+
+    found = stretched.groupBy("shard").applyInArrow(shard, _RANGES)
     ranges = written(found.groupBy("id", "variant").agg(F.collect_list("begin").alias("begin"), F.collect_list("end").alias("end"))
                      .mapInArrow(_ranges, "id long, variant int, ranges array<long>"), "ranges")
     room = ranges.agg(F.sum(F.size("ranges") * 8 + 24)).first()[0] or 0
+    if room > SENT_BYTES:  # the texts are shuffled next, and the stretches have done their work
+        shuffles_let_go(spark)
     size = F.octet_length("text").cast("long")
     whole = F.when(F.col("copy") & (size >= LENGTH), F.array(F.lit(0).cast("long"), size))
     joined = (all_rows.join(F.broadcast(ranges) if room <= SENT_BYTES else ranges, ["id", "variant"], "left")
